@@ -1,0 +1,108 @@
+"""Wiring: raw tables -> staging -> intermediate -> marts, as lazy DataFrames.
+
+Staging and intermediate layers are lazy views (Catalyst inlines and prunes them); marts can be
+materialised with ``materialize`` so reports read stored tables instead of recomputing."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+
+from areascope.plans import intermediate as I
+from areascope.plans import marts as M
+from areascope.plans import staging as S
+from areascope.session import materialize
+from areascope.sources import adapter
+
+
+@dataclass
+class Pipeline:
+    spark: SparkSession
+    raw_home_values: DataFrame
+    raw_rental_prices: DataFrame
+    raw_amenities: DataFrame
+    raw_schools: DataFrame
+
+    @classmethod
+    def from_benchmark(cls, spark: SparkSession, sf_dir: str) -> "Pipeline":
+        """Raw tables derived from the benchmark tables. They are the stored raw layer (the
+        reference lands them as tables too); each is written once, on first use."""
+        return LazyRawPipeline(spark, sf_dir)
+
+    # staging
+    @cached_property
+    def stg_home_values(self) -> DataFrame:
+        return S.stage_home_values(self.raw_home_values)
+
+    @cached_property
+    def stg_rental_prices(self) -> DataFrame:
+        return S.stage_rental_prices(self.raw_rental_prices)
+
+    @cached_property
+    def stg_amenities(self) -> DataFrame:
+        return S.stage_amenities(self.raw_amenities)
+
+    @cached_property
+    def stg_schools(self) -> DataFrame:
+        return S.stage_schools(self.raw_schools)
+
+    # intermediate
+    @cached_property
+    def price_trends(self) -> DataFrame:
+        return I.price_trends(self.stg_home_values)
+
+    @cached_property
+    def rental_yield(self) -> DataFrame:
+        return I.rental_yield(self.stg_rental_prices, self.stg_home_values)
+
+    @cached_property
+    def neighborhood_score(self) -> DataFrame:
+        return I.neighborhood_score(self.stg_amenities)
+
+    @cached_property
+    def school_score(self) -> DataFrame:
+        return I.school_score(self.stg_schools)
+
+    # marts
+    @cached_property
+    def market_intelligence(self) -> DataFrame:
+        return M.market_intelligence(self.price_trends, self.rental_yield, self.neighborhood_score, self.school_score)
+
+    @cached_property
+    def investment_hotspots(self) -> DataFrame:
+        return M.investment_hotspots(self.market_intelligence)
+
+    @cached_property
+    def area_comparison(self) -> DataFrame:
+        return M.area_comparison(self.market_intelligence)
+
+
+class LazyRawPipeline(Pipeline):
+    """A Pipeline whose raw tables are derived from the benchmark tables and materialised on
+    first use, so a query touching only the value panel never builds the school table."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+
+    @cached_property
+    def _dim(self) -> DataFrame:
+        return adapter.dimension(self.spark, self.sf_dir)
+
+    @cached_property
+    def raw_home_values(self) -> DataFrame:
+        return materialize(adapter.raw_home_values(self.spark, self.sf_dir, self._dim), "raw_home_values")
+
+    @cached_property
+    def raw_rental_prices(self) -> DataFrame:
+        return materialize(adapter.raw_rental_prices(self.spark, self.sf_dir, self._dim), "raw_rental_prices")
+
+    @cached_property
+    def raw_amenities(self) -> DataFrame:
+        return materialize(adapter.raw_amenities(self.spark, self.sf_dir, self._dim), "raw_amenities")
+
+    @cached_property
+    def raw_schools(self) -> DataFrame:
+        return materialize(adapter.raw_schools(self.spark, self.sf_dir, self._dim), "raw_schools")
