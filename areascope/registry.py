@@ -97,3 +97,250 @@ def q_investment(spark, sf_dir):
 @register("area_comparison", _sel("area_comparison"))
 def q_area_comparison(spark, sf_dir):
     return pipeline(spark, sf_dir).area_comparison
+
+
+# ------------------------------------------------------------------ ingestion (S-01..S-16, C-17, C-18)
+from areascope.functions.keys import school_zip  # noqa: E402
+from areascope.operators import aggregates as AG  # noqa: E402
+from areascope.operators.panel import LOOKBACK_MONTHS, at_latest, common_latest, lookback  # noqa: E402
+from areascope.operators.ranking import percent_rank_scores, rank_within  # noqa: E402
+from areascope.plans import staging as STG  # noqa: E402
+from areascope.sources import adapter as AD  # noqa: E402
+from areascope.sources import ingest as ING  # noqa: E402
+from areascope.sources import landed as LD  # noqa: E402
+
+_PANEL_WIDE_NAMES = {v: k for k, v in ING.PANEL_RENAMES.items()}
+
+
+@register("unpivot_panel", O.with_models("""
+SELECT region_id, size_rank, zip_code, region_type, state_name, state, city, metro, county,
+       CAST(date AS DATE) AS date, home_value FROM raw_home_values"""))
+def q_unpivot_panel(spark, sf_dir):
+    """Wide panel (one column per month header) rebuilt from the long panel, then melted back."""
+    raw = pipeline(spark, sf_dir).raw_home_values
+    ids = [_PANEL_WIDE_NAMES[c] for c in ("region_id", "size_rank", "zip_code", "region_type", "state_name", "state",
+                                         "city", "metro", "county")]
+    named = raw.select(*[F.col(k).alias(v) for k, v in _PANEL_WIDE_NAMES.items()],
+                       F.date_format("date", "yyyy-MM-dd").alias("_month"), "home_value")
+    wide = named.groupBy(*ids).pivot("_month").agg(F.max("home_value"))
+    return ING.wide_to_long(wide, "home_value")
+
+
+@register("amenity_json_flatten", O.with_models("""
+SELECT CASE WHEN l.l_linenumber % 3 <> 0 THEN p.p_name ELSE 'unnamed' END AS amenity_name,
+       CASE p.p_type WHEN 'ECONOMY' THEN 'park' WHEN 'SMALL' THEN 'supermarket' WHEN 'MEDIUM' THEN 'cinema'
+                     WHEN 'LARGE' THEN 'restaurant' WHEN 'PROMO' THEN 'marketplace' END AS amenity_type,
+       CASE p.p_type WHEN 'ECONOMY' THEN 'parks' WHEN 'SMALL' THEN 'shopping' WHEN 'MEDIUM' THEN 'entertainment'
+                     WHEN 'LARGE' THEN 'dining' WHEN 'PROMO' THEN 'shopping' END AS amenity_category,
+       l.l_discount * 100 AS latitude, l.l_tax * 100 AS longitude, d.city, d.state_name
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppkey = d.s_suppkey
+WHERE l.l_linestatus = 'F' AND p.p_type <> 'STANDARD'"""))
+def q_amenity_json_flatten(spark, sf_dir):
+    """Overpass-shaped JSON pages -> parsed -> one classified row per element."""
+    return ING.flatten_amenity_json(LD.parse_amenity_documents(LD.amenity_documents(spark, sf_dir)))
+
+
+@register("school_json_flatten", O.with_models("""
+SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS nces_school_id,
+       d.zip_code, d.state, CASE year(l.l_shipdate) WHEN 1996 THEN 2017 ELSE 2022 END AS year,
+       CAST(l.l_linenumber AS INTEGER) AS school_level, CAST(trunc(l.l_quantity) AS INTEGER) AS enrollment,
+       round(coalesce(l.l_quantity, 0) / nullif(l.l_tax * 100, 0) + 1e-9, 1) AS student_teacher_ratio,
+       round(floor(l.l_quantity * l.l_discount) / nullif(l.l_quantity, 0) * 100 + 1e-9, 1) AS free_lunch_pct,
+       CASE WHEN l.l_linenumber = 1 THEN 'Primary' WHEN l.l_linenumber = 2 THEN 'Middle' WHEN l.l_linenumber = 3 THEN 'High'
+            WHEN l.l_linenumber = 4 THEN 'Other' ELSE 'Unknown' END AS school_level_name
+FROM lineitem l JOIN dim d ON l.l_suppkey = d.s_suppkey
+WHERE l.l_linestatus = 'O' AND year(l.l_shipdate) IN (1996, 2001) AND l.l_quantity > 0"""))
+def q_school_json_flatten(spark, sf_dir):
+    """Education-portal-shaped JSON pages -> records -> regular schools -> ratios -> staged."""
+    recs = ING.flatten_school_json(LD.parse_school_documents(LD.school_documents(spark, sf_dir)))
+    staged = STG.stage_schools(ING.derive_school_ratios(ING.filter_regular_schools(recs)))
+    return staged.select("nces_school_id", "zip_code", "state", "year", "school_level", "enrollment",
+                         "student_teacher_ratio", "free_lunch_pct", "school_level_name")
+
+
+@register("fips_lookup", O.with_models("""
+SELECT s.nces_school_id, s.zip_code, s.state, s.year, n.n_nationkey AS fips_code
+FROM stg_schools s JOIN nation n ON s.state = n.n_name"""))
+def q_fips_lookup(spark, sf_dir):
+    """State -> code lookup as a broadcast inner join (states without a code drop)."""
+    schools = pipeline(spark, sf_dir).stg_schools.select("nces_school_id", "zip_code", "state", "year")
+    return ING.with_fips(schools, LD.nation_codes(spark, sf_dir))
+
+
+@register("school_zip_keys", """
+SELECT o_orderkey,
+       CASE WHEN split_part(coalesce(m, loc), '-', 1) = '' THEN NULL
+            WHEN length(split_part(coalesce(m, loc), '-', 1)) < 5 THEN lpad(split_part(coalesce(m, loc), '-', 1), 5, '0')
+            ELSE split_part(coalesce(m, loc), '-', 1) END AS zip_code,
+       cust_zip
+FROM (SELECT o_orderkey,
+             CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey % 10000 AS VARCHAR) END AS m,
+             CAST(o_orderkey AS VARCHAR) AS loc,
+             CASE WHEN length(CAST(o_custkey AS VARCHAR)) < 5 THEN lpad(CAST(o_custkey AS VARCHAR), 5, '0')
+                  ELSE CAST(o_custkey AS VARCHAR) END AS cust_zip
+      FROM orders)""")
+def q_school_zip_keys(spark, sf_dir):
+    """Key cleaning: mailing code else location code, cut at '-', padded to 5 without truncation."""
+    k = LD.order_keys(spark, sf_dir)
+    return k.select("o_orderkey", school_zip(F.col("mailing"), F.col("location")).alias("zip_code"), "cust_zip")
+
+
+@register("profile_home_values", O.with_models("""
+SELECT count(*) AS row_count, count(DISTINCT zip_code) AS zip_count, min(date) AS earliest_date, max(date) AS latest_date
+FROM stg_home_values"""))
+def q_profile_home_values(spark, sf_dir):
+    return ING.profile_panel(pipeline(spark, sf_dir).stg_home_values)
+
+
+@register("profile_rental_prices", O.with_models("""
+SELECT count(*) AS row_count, count(DISTINCT zip_code) AS zip_count, min(date) AS earliest_date, max(date) AS latest_date
+FROM stg_rental_prices"""))
+def q_profile_rental_prices(spark, sf_dir):
+    return ING.profile_panel(pipeline(spark, sf_dir).stg_rental_prices)
+
+
+@register("profile_category", O.with_models("""
+SELECT amenity_category, count(*) AS count, count(DISTINCT zip_code) AS zips_covered
+FROM stg_amenities GROUP BY amenity_category"""))
+def q_profile_category(spark, sf_dir):
+    return ING.profile_by_category(pipeline(spark, sf_dir).stg_amenities)
+
+
+@register("profile_year", O.with_models("""
+SELECT year, count(*) AS school_count, count(DISTINCT zip_code) AS zip_count,
+       round(avg(enrollment) + 1e-9, 0) AS avg_enrollment,
+       round(avg(student_teacher_ratio) + 1e-9, 1) AS avg_student_teacher_ratio
+FROM stg_schools GROUP BY year"""))
+def q_profile_year(spark, sf_dir):
+    return ING.profile_by_year(pipeline(spark, sf_dir).stg_schools)
+
+
+@register("school_level_counts", O.with_models("""
+SELECT school_level_name, count(*) AS count FROM stg_schools GROUP BY school_level_name"""))
+def q_school_level_counts(spark, sf_dir):
+    return ING.value_counts(pipeline(spark, sf_dir).stg_schools, "school_level_name")
+
+
+@register("city_zip_sets", O.with_models("""
+SELECT city, state, state_name, array_to_string(list_sort(list(DISTINCT zip_code)), ',') AS zip_codes,
+       count(DISTINCT zip_code) AS zip_count
+FROM raw_home_values WHERE city IS NOT NULL AND state IS NOT NULL GROUP BY city, state, state_name"""))
+def q_city_zip_sets(spark, sf_dir):
+    sets = ING.city_zip_sets(pipeline(spark, sf_dir).raw_home_values)
+    return sets.select("city", "state", "state_name", F.array_join("zip_codes", ",").alias("zip_codes"), "zip_count")
+
+
+@register("top_cities", O.with_models("""
+SELECT city, state, state_name, count(DISTINCT zip_code) AS zip_count
+FROM raw_home_values WHERE city IS NOT NULL AND state IS NOT NULL GROUP BY city, state, state_name
+ORDER BY zip_count DESC, city, state LIMIT 100"""))
+def q_top_cities(spark, sf_dir):
+    sets = ING.city_zip_sets(pipeline(spark, sf_dir).raw_home_values)
+    return ING.top_cities(sets, 100).select("city", "state", "state_name", "zip_count")
+
+
+@register("map_to_zip", O.with_models("""
+SELECT a.zip_code, x.amenity_name, x.amenity_type, x.amenity_category, x.latitude, x.longitude, x.city, x.state_name
+FROM (SELECT p.p_name AS amenity_name, p.p_brand AS amenity_type,
+             CASE p.p_type WHEN 'ECONOMY' THEN 'parks' WHEN 'SMALL' THEN 'shopping'
+                           WHEN 'MEDIUM' THEN 'entertainment' WHEN 'LARGE' THEN 'dining' END AS amenity_category,
+             CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude, d.city, d.state_name
+      FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppkey = d.s_suppkey
+      WHERE l.l_linestatus = 'F' AND l.l_suppkey % 10 <> 3 AND p.p_type IN ('ECONOMY', 'SMALL', 'MEDIUM', 'LARGE')) x
+JOIN (SELECT DISTINCT zip_code, city, state_name FROM raw_home_values WHERE city IS NOT NULL) a
+  ON x.city = a.city AND x.state_name = a.state_name"""))
+def q_map_to_zip(spark, sf_dir):
+    """City-level amenities copied to every postal code of their city (many-to-many equi-join)."""
+    raw = pipeline(spark, sf_dir).raw_amenities
+    city_level = raw.drop("zip_code")
+    return ING.map_to_zip(city_level, ING.zip_city_map(pipeline(spark, sf_dir).raw_home_values))
+
+
+@register("amenity_zip_coverage", O.with_models("SELECT count(DISTINCT zip_code) AS n FROM raw_amenities"))
+def q_amenity_zip_coverage(spark, sf_dir):
+    return AG.nunique(pipeline(spark, sf_dir).raw_amenities, "zip_code")
+
+
+# ------------------------------------------------------------------ panel operators (J-01..J-05, A-01, A-02, U-01)
+@register("rows_at_latest", O.with_models("""
+SELECT * FROM stg_home_values WHERE date = (SELECT max(date) FROM stg_home_values)"""))
+def q_rows_at_latest(spark, sf_dir):
+    return at_latest(pipeline(spark, sf_dir).stg_home_values)
+
+
+@register("common_latest", O.with_models("""
+SELECT min(max_date) AS ref_date FROM (SELECT max(date) AS max_date FROM stg_rental_prices
+                                       UNION ALL SELECT max(date) AS max_date FROM stg_home_values)"""))
+def q_common_latest(spark, sf_dir):
+    p = pipeline(spark, sf_dir)
+    maxes = p.stg_rental_prices.agg(F.max("date").alias("max_date")).unionByName(
+        p.stg_home_values.agg(F.max("date").alias("max_date")))
+    return maxes.agg(F.min("max_date").alias("ref_date"))
+
+
+_LOOKBACK_SQL = """
+SELECT c.zip_code, c.home_value AS current_value, h1.home_value AS value_30d_ago, h6.home_value AS value_6m_ago,
+       h12.home_value AS value_1yr_ago
+FROM {panel} c
+LEFT JOIN {panel} h1 ON c.zip_code = h1.zip_code AND h1.date = CAST(c.date - INTERVAL 1 MONTH AS DATE)
+LEFT JOIN {panel} h6 ON c.zip_code = h6.zip_code AND h6.date = CAST(c.date - INTERVAL 6 MONTH AS DATE)
+LEFT JOIN {panel} h12 ON c.zip_code = h12.zip_code AND h12.date = CAST(c.date - INTERVAL 12 MONTH AS DATE)
+WHERE c.date = (SELECT max(date) FROM {panel})"""
+
+_SPARSE_PANEL = """
+sparse_panel AS (
+  SELECT CASE WHEN length(CAST(l_partkey AS VARCHAR)) < 5 THEN lpad(CAST(l_partkey AS VARCHAR), 5, '0')
+              ELSE CAST(l_partkey AS VARCHAR) END AS zip_code,
+         CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+         round(100000.0::DOUBLE + 3.0::DOUBLE * avg(l_extendedprice / nullif(l_quantity, 0)) + 1e-9, 2) AS home_value
+  FROM lineitem
+  WHERE l_shipdate < TIMESTAMP '2001-11-01' AND NOT (l_suppkey % 9 = 4 AND l_shipdate < TIMESTAMP '2001-01-01')
+  GROUP BY 1, 2
+),
+sparse_lookback AS (""" + _LOOKBACK_SQL.format(panel="sparse_panel") + ")"
+
+_LOOKBACK_NAMES = {"value_30d_ago": 1, "value_6m_ago": 6, "value_1yr_ago": 12}
+
+
+@register("lookback_1_6_12", O.with_models(_LOOKBACK_SQL.format(panel="stg_home_values")))
+def q_lookback(spark, sf_dir):
+    hv = pipeline(spark, sf_dir).stg_home_values
+    return lookback(hv, "zip_code", "home_value", hv.select(F.max("date")).scalar(), _LOOKBACK_NAMES)
+
+
+def _sparse_lookback(spark, sf_dir):
+    p = AD.sparse_value_panel(spark, sf_dir)
+    return lookback(p, "zip_code", "home_value", p.select(F.max("date")).scalar(), _LOOKBACK_NAMES)
+
+
+@register("lookback_sparse", f"WITH {O.ADAPTER}, {_SPARSE_PANEL} SELECT * FROM sparse_lookback")
+def q_lookback_sparse(spark, sf_dir):
+    """Part-keyed panel: most lookbacks find no row and stay null."""
+    return _sparse_lookback(spark, sf_dir)
+
+
+@register("percentile_scores", f"""WITH {O.ADAPTER}, {_SPARSE_PANEL}
+SELECT zip_code, current_value, value_1yr_ago,
+       round(percent_rank() OVER (ORDER BY current_value ASC NULLS FIRST) * 100 + 1e-9, 1) AS current_pct,
+       round(percent_rank() OVER (ORDER BY value_1yr_ago ASC NULLS FIRST) * 100 + 1e-9, 1) AS past_pct_asc,
+       round(percent_rank() OVER (ORDER BY value_1yr_ago DESC NULLS LAST) * 100 + 1e-9, 1) AS past_pct_desc,
+       percent_rank() OVER (ORDER BY value_6m_ago DESC NULLS LAST) AS six_month_fraction
+FROM sparse_lookback""")
+def q_percentile_scores(spark, sf_dir):
+    """Global percent_rank in both directions over a column that is mostly null."""
+    lb = _sparse_lookback(spark, sf_dir).select("zip_code", "current_value", "value_1yr_ago", "value_6m_ago")
+    scored = percent_rank_scores(lb, {"current_pct": ("current_value", True), "past_pct_asc": ("value_1yr_ago", True),
+                                      "past_pct_desc": ("value_1yr_ago", False)})
+    frac = percent_rank_scores(scored, {"six_month_fraction": ("value_6m_ago", False)}, scale=None)
+    return frac.drop("value_6m_ago")
+
+
+@register("value_rank_by_month", O.with_models("""
+SELECT zip_code, date, home_value,
+       CAST(rank() OVER (PARTITION BY date ORDER BY round(home_value + 1e-9, -3) DESC NULLS LAST) AS INTEGER) AS value_rank
+FROM stg_home_values"""))
+def q_value_rank_by_month(spark, sf_dir):
+    """rank() within every month of the panel (thousands rounded, so ties are common)."""
+    hv = pipeline(spark, sf_dir).stg_home_values.select("zip_code", "date", "home_value")
+    keyed = hv.withColumn("_k", F.round(F.col("home_value") + F.lit(1e-9), -3))
+    return rank_within(keyed, "date", "_k", out="value_rank").drop("_k")
