@@ -50,8 +50,6 @@ def _ranks_from_counts(counts: DataFrame, partition_by: Sequence[str], cut_by: S
     """``counts`` has ``partition_by`` + ``_v`` (ascending sort key, unique per partition),
     ``_rows`` (long) and ``_nf`` (nulls first?). Adds ``_before`` and ``_n``."""
     parts = list(partition_by)
-    # distinct (partition, value) rows feed three branches below: write them once
-    counts = materialize(counts, "rank-counts")
     key_d = F.col("_v").cast("double")
     probs = [i / buckets for i in range(1, buckets)]
     cut_by = list(cut_by)
@@ -92,20 +90,24 @@ def _pct(before: Column, n: Column) -> Column:
 
 def percent_rank_scores(
     df: DataFrame,
-    specs: Mapping[str, tuple[str, bool]],
+    specs: Mapping[str, tuple],
     scale: int | None = 1,
     buckets: int = DEFAULT_BUCKETS,
+    reuse_input: bool = True,
 ) -> DataFrame:
     """Add ``round(percent_rank() OVER (ORDER BY col [DESC]) * 100, scale)`` for each
-    ``{out: (col, ascending)}``, over the whole DataFrame, without a global window.
+    ``{out: (col, ascending[, scale])}``, over the whole DataFrame, without a global window.
 
-    All specs share one stacked count (one shuffle). ``scale=None`` returns the raw 0-1 fraction.
+    All specs share one stacked count (one shuffle). A scale of None returns the raw 0-1 fraction.
+    ``reuse_input`` writes ``df`` once first, since it is read by both the count and the join-back.
     """
     specs = dict(specs)
     names = list(specs)
+    if reuse_input:
+        df = materialize(df, "rank-input")
 
     def key(i: int) -> Column:
-        col, asc = specs[names[i]]
+        col, asc = specs[names[i]][:2]
         v = F.col(col).cast("double")
         return v if asc else -v
 
@@ -122,7 +124,8 @@ def percent_rank_scores(
         r = ranks.where(F.col("_m") == i).select(F.col("_v").alias(f"_rv{i}"), F.col("_pr").alias(f"_rp{i}"))
         out = out.join(r, key(i).eqNullSafe(r[f"_rv{i}"]), "left")
         pr = F.col(f"_rp{i}")
-        value = pr if scale is None else tie_safe_round(pr * 100, scale)
+        spec_scale = specs[name][2] if len(specs[name]) > 2 else scale
+        value = pr if spec_scale is None else tie_safe_round(pr * 100, spec_scale)
         out = out.withColumn(name, value).drop(f"_rv{i}", f"_rp{i}")
     return out
 
@@ -134,6 +137,7 @@ def rank_within(
     out: str = "rank",
     descending: bool = True,
     buckets: int = DEFAULT_BUCKETS,
+    reuse_input: bool = True,
 ) -> DataFrame:
     """Add ``rank() OVER (PARTITION BY p ORDER BY order_col [DESC])`` as ``out`` (int).
 
@@ -141,6 +145,8 @@ def rank_within(
     descending and first when ascending. No task ever holds a whole partition.
     """
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    if reuse_input:
+        df = materialize(df, "rank-input")
     counts = (df.groupBy(*parts, order_col).agg(F.count(F.lit(1)).alias("_rows"))
               .withColumn("_v", -F.col(order_col) if descending else F.col(order_col))
               .withColumn("_nf", F.lit(not descending))

@@ -17,7 +17,6 @@ from areascope.functions.numeric import (
 from areascope.operators.aggregates import category_counts, count_when, rounded_avg
 from areascope.operators.panel import common_latest, latest_date, lookback, multi_series_lookback
 from areascope.operators.ranking import percent_rank_scores
-from areascope.session import materialize
 
 # Lookback output names and offsets in months.
 PRICE_LOOKBACKS = {"value_30d_ago": 1, "value_6m_ago": 6, "value_1yr_ago": 12}
@@ -101,7 +100,6 @@ def neighborhood_score(amenities: DataFrame, grain: str = "reference") -> DataFr
         counts = amenities.groupBy("zip_code").agg(F.max("city").alias("city"), F.max("state_name").alias("state_name"), *aggs)
     else:
         raise ValueError(grain)
-    counts = materialize(counts, "amenity_counts")
     scored = percent_rank_scores(counts, {f"{c}_score": (f"{c}_count", True) for c in L.AMENITY_CATEGORIES})
     score = weighted_score([(as_score(F.col(c)), w) for c, w in NEIGHBORHOOD_WEIGHTS])
     return scored.select(
@@ -135,7 +133,6 @@ def school_score(schools: DataFrame, current_year: int = CURRENT_SCHOOL_YEAR, ba
     tot, tot5 = F.col("total_enrollment"), F.col("total_enrollment_5yr")
     j = j.withColumn("enrollment_change_5yr_pct", tie_safe_round(safe_div(tot - tot5, tot5) * 100, 1)) \
          .withColumn("str_change_5yr", tie_safe_round(F.col("avg_student_teacher_ratio") - F.col("student_teacher_ratio_5yr_ago"), 1))
-    j = materialize(j, "school_aggregates")
     scored = percent_rank_scores(j, {"str_score": ("avg_student_teacher_ratio", False), "choice_score": ("school_count", True)})
     diversity = L.level_diversity("primary_schools", "middle_schools", "high_schools")
     scored = scored.withColumn("_div", diversity)

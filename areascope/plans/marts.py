@@ -9,7 +9,6 @@ from areascope.functions import labels as L
 from areascope.functions.numeric import as_score, default, safe_div, scale_clip, share_pct, tie_safe_round, weighted_sum
 from areascope.operators.aggregates import approx_median, count_when, rounded_avg
 from areascope.operators.ranking import rank_within
-from areascope.session import materialize
 
 # Composite weights and the two defaults the reference uses for a missing score.
 LIVABILITY_WEIGHTS = {"price": "0.25", "yield": "0.20", "neighborhood": "0.30", "school": "0.25"}
@@ -82,8 +81,6 @@ def market_intelligence(trends: DataFrame, yields: DataFrame, neighborhood: Data
         default(F.col("_sc_school_trend"), "no_data").alias("school_trend"),
         livability.alias("livability_score"),
     ).withColumn("livability_tier", L.tier(F.col("livability_score"), L.LIVABILITY_TIERS))
-    # the assembled rows feed both the rank counts and the final join: write them once
-    out = materialize(out, "market_unranked")
     return rank_within(out, "metro", "livability_score", out="metro_rank", descending=True)
 
 

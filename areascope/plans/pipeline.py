@@ -65,18 +65,19 @@ class Pipeline:
     def school_score(self) -> DataFrame:
         return I.school_score(self.stg_schools)
 
-    # marts
+    # marts: stored tables (reports and the two downstream marts read the stored market table)
     @cached_property
     def market_intelligence(self) -> DataFrame:
-        return M.market_intelligence(self.price_trends, self.rental_yield, self.neighborhood_score, self.school_score)
+        mart = M.market_intelligence(self.price_trends, self.rental_yield, self.neighborhood_score, self.school_score)
+        return materialize(mart, "market_intelligence")
 
     @cached_property
     def investment_hotspots(self) -> DataFrame:
-        return M.investment_hotspots(self.market_intelligence)
+        return materialize(M.investment_hotspots(self.market_intelligence), "investment_hotspots")
 
     @cached_property
     def area_comparison(self) -> DataFrame:
-        return M.area_comparison(self.market_intelligence)
+        return materialize(M.area_comparison(self.market_intelligence), "area_comparison")
 
 
 class LazyRawPipeline(Pipeline):

@@ -330,9 +330,9 @@ def q_percentile_scores(spark, sf_dir):
     """Global percent_rank in both directions over a column that is mostly null."""
     lb = _sparse_lookback(spark, sf_dir).select("zip_code", "current_value", "value_1yr_ago", "value_6m_ago")
     scored = percent_rank_scores(lb, {"current_pct": ("current_value", True), "past_pct_asc": ("value_1yr_ago", True),
-                                      "past_pct_desc": ("value_1yr_ago", False)})
-    frac = percent_rank_scores(scored, {"six_month_fraction": ("value_6m_ago", False)}, scale=None)
-    return frac.drop("value_6m_ago")
+                                      "past_pct_desc": ("value_1yr_ago", False),
+                                      "six_month_fraction": ("value_6m_ago", False, None)})
+    return scored.drop("value_6m_ago")
 
 
 @register("value_rank_by_month", O.with_models("""
