@@ -1,7 +1,8 @@
-"""Wiring: raw tables -> staging -> intermediate -> marts, as lazy DataFrames.
+"""Wiring: raw tables -> staging -> intermediate -> marts.
 
-Staging and intermediate layers are lazy views (Catalyst inlines and prunes them); marts can be
-materialised with ``materialize`` so reports read stored tables instead of recomputing."""
+Staging is a lazy view over the stored raw tables (Catalyst inlines and prunes it). Intermediate
+models (one row per area) and marts are written once to the shared checkpoint folder, so every
+consumer reads stored files instead of re-running their lineage."""
 
 from __future__ import annotations
 
@@ -48,22 +49,23 @@ class Pipeline:
     def stg_schools(self) -> DataFrame:
         return S.stage_schools(self.raw_schools)
 
-    # intermediate
+    # intermediate: one row per area each; written once per pipeline so the market mart, the
+    # reports and the quality checks reuse them instead of re-deriving them from the raw layer
     @cached_property
     def price_trends(self) -> DataFrame:
-        return I.price_trends(self.stg_home_values)
+        return materialize(I.price_trends(self.stg_home_values), "int_price_trends")
 
     @cached_property
     def rental_yield(self) -> DataFrame:
-        return I.rental_yield(self.stg_rental_prices, self.stg_home_values)
+        return materialize(I.rental_yield(self.stg_rental_prices, self.stg_home_values), "int_rental_yield")
 
     @cached_property
     def neighborhood_score(self) -> DataFrame:
-        return I.neighborhood_score(self.stg_amenities)
+        return materialize(I.neighborhood_score(self.stg_amenities), "int_neighborhood_score")
 
     @cached_property
     def school_score(self) -> DataFrame:
-        return I.school_score(self.stg_schools)
+        return materialize(I.school_score(self.stg_schools), "int_school_score")
 
     # marts: stored tables (reports and the two downstream marts read the stored market table)
     @cached_property

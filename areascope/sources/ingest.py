@@ -153,6 +153,14 @@ def flatten_school_json(pages: DataFrame) -> DataFrame:
     )
 
 
+def union_years(*frames: DataFrame) -> DataFrame:
+    """Concatenate school records fetched for different years (by column name)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def fips_table(spark: SparkSession) -> DataFrame:
     """The 51-row state -> FIPS lookup as a DataFrame."""
     return spark.createDataFrame(sorted(STATE_FIPS.items()), "state string, fips_code int")

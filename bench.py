@@ -17,6 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from areascope import registry  # noqa: E402
+from areascope.plans.build import build_raw_layer  # noqa: E402
 from areascope.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -34,8 +35,7 @@ def main() -> None:
 
     t0 = time.time()
     p = registry.pipeline(spark, sf_dir)
-    for name in ("raw_home_values", "raw_rental_prices", "raw_amenities", "raw_schools"):
-        getattr(p, name)
+    build_raw_layer(p)   # four independent writes as concurrent jobs
     times["raw_layer"] = round(time.time() - t0, 3)
 
     for name in HEADLINE:
