@@ -46,55 +46,59 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str], right_
     return cond
 
 
-def _bucket_of(counts: DataFrame, key: Column, buckets: int) -> DataFrame:
-    """``_b`` = number of cut points below ``key``: a binary search over the sorted ``_cuts`` array
-    (``buckets - 1`` elements) in log2(buckets) plain column steps - O(log B) per value, codegen'd."""
-    counts = counts.withColumn("_b", F.lit(0))
-    step = buckets // 2
+def _with_bucket(counts: DataFrame, cuts: Column, key: Column, buckets: int) -> DataFrame:
+    """``_b`` = number of cut points below ``key``: binary search over the sorted cuts
+    (``buckets - 1`` of them) in log2(buckets) steps - O(log B) comparisons per value. The steps are
+    lateral column aliases of one projection."""
+    steps, prev, step, i = [F.lit(0).alias("_s0")], "_s0", buckets // 2, 0
     while step >= 1:
-        probe = F.col("_b") + F.lit(step)
-        take = F.coalesce(F.element_at(F.col("_cuts"), probe) < key, F.lit(False))
-        counts = counts.withColumn("_b", F.when(take, probe).otherwise(F.col("_b")))
-        step //= 2
-    return counts
+        i += 1
+        probe = F.col(prev) + F.lit(step)
+        below = F.coalesce(F.element_at(cuts, probe) < key, F.lit(False))
+        steps.append(F.when(below, probe).otherwise(F.col(prev)).alias(f"_s{i}"))
+        prev, step = f"_s{i}", step // 2
+    return counts.select("*", *steps).withColumnRenamed(prev, "_b").drop(*[f"_s{j}" for j in range(i)])
+
+
+def _percentages(buckets: int) -> str:
+    return "array(" + ", ".join(repr(k / buckets) for k in range(1, buckets)) + ")"
 
 
 def _ranks_from_counts(counts: DataFrame, partition_by: Sequence[str], cut_by: Sequence[str], buckets: int) -> DataFrame:
     """``counts`` has ``partition_by`` + ``_v`` (ascending sort key, unique per partition),
-    ``_rows`` (long) and ``_nf`` (nulls first?). Adds ``_before`` and ``_n``."""
+    ``_rows`` (long) and ``_nf`` (nulls first?), optionally ``_k_*`` payload columns.
+    Returns one row per input row with ``_before`` (rows strictly ahead) and ``_n`` (partition rows)."""
     parts = list(partition_by)
     if buckets < 2 or buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two >= 2")
     key_d = F.col("_v").cast("double")
-    probs = [i / buckets for i in range(1, buckets)]
     cut_by = list(cut_by)
     if not cut_by:
-        # one global set of cuts: join it on a constant key (an equi-join with one row)
+        # one global set of cuts, joined on a constant key (an equi-join with a one-row side)
         counts = counts.withColumn("_cg", F.lit(0))
         cut_by = ["_cg"]
-    nonnull = counts.where(F.col("_v").isNotNull())
-    cuts = nonnull.groupBy(*cut_by).agg(F.percentile_approx(key_d, probs, CUT_ACCURACY).alias("_cuts"))
+    # the percentages go in as one SQL array literal (one call, not one literal column each)
+    sketch = F.expr(f"percentile_approx(CAST(_v AS DOUBLE), {_percentages(buckets)}, {CUT_ACCURACY})")
+    cuts = counts.where(F.col("_v").isNotNull()).groupBy(*cut_by).agg(sketch.alias("_cuts"))
     # one row per ranked metric (or one row in all): a proven small bound, safe to broadcast
     counts = counts.join(F.broadcast(cuts), cut_by, "left")
     null_bucket = F.when(F.col("_nf"), F.lit(-1)).otherwise(F.lit(buckets))
-    counts = _bucket_of(counts, key_d, buckets)
-    counts = counts.withColumn("_b", F.when(F.col("_v").isNull(), null_bucket).otherwise(F.col("_b"))).drop("_cuts", "_cg")
-
+    keep = [c for c in counts.columns if c not in ("_cuts", "_cg")]
+    counts = _with_bucket(counts, F.col("_cuts"), key_d, buckets)
     in_bucket = Window.partitionBy(*parts, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_in_b", F.coalesce(F.sum("_rows").over(in_bucket), F.lit(0)))
+    bucket = F.when(F.col("_v").isNull(), null_bucket).otherwise(F.col("_b"))
+    counts = counts.select(*keep, bucket.alias("_b")) \
+        .withColumn("_in_b", F.coalesce(F.sum("_rows").over(in_bucket), F.lit(0)))
 
-    totals = counts.groupBy(*parts, "_b").agg(F.sum("_rows").alias("_b_rows"))
     by_part = Window.partitionBy(*parts)
-    totals = (totals
-              .withColumn("_offset", F.coalesce(F.sum("_b_rows").over(by_part.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("_n", F.sum("_b_rows").over(by_part))
-              .select(*[F.col(p).alias(f"_t_{p}") for p in parts], F.col("_b").alias("_t_b"), "_offset", "_n"))
-    if not parts:
-        # at most buckets + 2 rows: broadcast bound is proven
-        totals = F.broadcast(totals)
+    ahead = by_part.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*parts, "_b").agg(F.sum("_rows").alias("_b_rows")).select(
+        *[F.col(p).alias(f"_t_{p}") for p in parts], F.col("_b").alias("_t_b"),
+        F.coalesce(F.sum("_b_rows").over(ahead), F.lit(0)).alias("_offset"),
+        F.sum("_b_rows").over(by_part).alias("_n"))
     joined = counts.join(totals, _null_safe_on(counts, totals, [*parts, "_b"], [*[f"_t_{p}" for p in parts], "_t_b"]))
     ranks = joined.select(*parts, "_v", (F.col("_offset") + F.col("_in_b")).alias("_before"), "_n",
-                          *[c for c in counts.columns if c.startswith("_k_")])
+                          *[c for c in keep if c.startswith("_k_")])
     # one row per distinct value; read back by every join-back
     return materialize(ranks, "ranks")
 
@@ -135,14 +139,15 @@ def percent_rank_scores(
     ranks = ranks.select("_m", "_v", _pct(F.col("_before"), F.col("_n")).alias("_pr"))
 
     out = df
-    for i, name in enumerate(names):
+    for i in range(len(names)):
         r = ranks.where(F.col("_m") == i).select(F.col("_v").alias(f"_rv{i}"), F.col("_pr").alias(f"_rp{i}"))
         out = out.join(r, key(i).eqNullSafe(r[f"_rv{i}"]), "left")
+    scores = []
+    for i, name in enumerate(names):
         pr = F.col(f"_rp{i}")
         spec_scale = specs[name][2] if len(specs[name]) > 2 else scale
-        value = pr if spec_scale is None else tie_safe_round(pr * 100, spec_scale)
-        out = out.withColumn(name, value).drop(f"_rv{i}", f"_rp{i}")
-    return out
+        scores.append((pr if spec_scale is None else tie_safe_round(pr * 100, spec_scale)).alias(name))
+    return out.select(*[c for c in df.columns if c not in specs], *scores)
 
 
 def rank_within(

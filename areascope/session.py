@@ -77,4 +77,5 @@ def materialize(df, name: str = "table"):
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/areascope/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: skip footer inference on read-back
+    return spark.read.schema(df.schema).parquet(path)
