@@ -144,8 +144,8 @@ def q_amenity_json_flatten(spark, sf_dir):
 SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS nces_school_id,
        d.zip_code, d.state, CASE year(l.l_shipdate) WHEN 1996 THEN 2017 ELSE 2022 END AS year,
        CAST(l.l_linenumber AS INTEGER) AS school_level, CAST(trunc(l.l_quantity) AS INTEGER) AS enrollment,
-       round(coalesce(l.l_quantity, 0) / nullif(l.l_tax * 100, 0) + 1e-9, 1) AS student_teacher_ratio,
-       round(floor(l.l_quantity * l.l_discount) / nullif(l.l_quantity, 0) * 100 + 1e-9, 1) AS free_lunch_pct,
+       round(coalesce(l.l_quantity, 0) / nullif(l.l_tax * 100, 0) + 1e-9, 1) + 0.0 AS student_teacher_ratio,
+       round(floor(l.l_quantity * l.l_discount) / nullif(l.l_quantity, 0) * 100 + 1e-9, 1) + 0.0 AS free_lunch_pct,
        CASE WHEN l.l_linenumber = 1 THEN 'Primary' WHEN l.l_linenumber = 2 THEN 'Middle' WHEN l.l_linenumber = 3 THEN 'High'
             WHEN l.l_linenumber = 4 THEN 'Other' ELSE 'Unknown' END AS school_level_name
 FROM lineitem l JOIN dim d ON l.l_suppkey = d.s_suppkey
@@ -208,8 +208,8 @@ def q_profile_category(spark, sf_dir):
 
 @register("profile_year", O.with_models("""
 SELECT year, count(*) AS school_count, count(DISTINCT zip_code) AS zip_count,
-       round(avg(enrollment) + 1e-9, 0) AS avg_enrollment,
-       round(avg(student_teacher_ratio) + 1e-9, 1) AS avg_student_teacher_ratio
+       round(avg(enrollment) + 1e-9, 0) + 0.0 AS avg_enrollment,
+       round(avg(student_teacher_ratio) + 1e-9, 1) + 0.0 AS avg_student_teacher_ratio
 FROM stg_schools GROUP BY year"""))
 def q_profile_year(spark, sf_dir):
     return ING.profile_by_year(pipeline(spark, sf_dir).stg_schools)
@@ -292,7 +292,7 @@ sparse_panel AS (
   SELECT CASE WHEN length(CAST(l_partkey AS VARCHAR)) < 5 THEN lpad(CAST(l_partkey AS VARCHAR), 5, '0')
               ELSE CAST(l_partkey AS VARCHAR) END AS zip_code,
          CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-         round(100000.0::DOUBLE + 3.0::DOUBLE * avg(l_extendedprice / nullif(l_quantity, 0)) + 1e-9, 2) AS home_value
+         round(100000.0::DOUBLE + 3.0::DOUBLE * avg(l_extendedprice / nullif(l_quantity, 0)) + 1e-9, 2) + 0.0 AS home_value
   FROM lineitem
   WHERE l_shipdate < TIMESTAMP '2001-11-01' AND NOT (l_suppkey % 9 = 4 AND l_shipdate < TIMESTAMP '2001-01-01')
   GROUP BY 1, 2
@@ -321,9 +321,9 @@ def q_lookback_sparse(spark, sf_dir):
 
 @register("percentile_scores", f"""WITH {O.ADAPTER}, {_SPARSE_PANEL}
 SELECT zip_code, current_value, value_1yr_ago,
-       round(percent_rank() OVER (ORDER BY current_value ASC NULLS FIRST) * 100 + 1e-9, 1) AS current_pct,
-       round(percent_rank() OVER (ORDER BY value_1yr_ago ASC NULLS FIRST) * 100 + 1e-9, 1) AS past_pct_asc,
-       round(percent_rank() OVER (ORDER BY value_1yr_ago DESC NULLS LAST) * 100 + 1e-9, 1) AS past_pct_desc,
+       round(percent_rank() OVER (ORDER BY current_value ASC NULLS FIRST) * 100 + 1e-9, 1) + 0.0 AS current_pct,
+       round(percent_rank() OVER (ORDER BY value_1yr_ago ASC NULLS FIRST) * 100 + 1e-9, 1) + 0.0 AS past_pct_asc,
+       round(percent_rank() OVER (ORDER BY value_1yr_ago DESC NULLS LAST) * 100 + 1e-9, 1) + 0.0 AS past_pct_desc,
        percent_rank() OVER (ORDER BY value_6m_ago DESC NULLS LAST) AS six_month_fraction
 FROM sparse_lookback""")
 def q_percentile_scores(spark, sf_dir):
@@ -337,7 +337,7 @@ def q_percentile_scores(spark, sf_dir):
 
 @register("value_rank_by_month", O.with_models("""
 SELECT zip_code, date, home_value,
-       CAST(rank() OVER (PARTITION BY date ORDER BY round(home_value + 1e-9, -3) DESC NULLS LAST) AS INTEGER) AS value_rank
+       CAST(rank() OVER (PARTITION BY date ORDER BY round(home_value + 1e-9, -3) + 0.0 DESC NULLS LAST) AS INTEGER) AS value_rank
 FROM stg_home_values"""))
 def q_value_rank_by_month(spark, sf_dir):
     """rank() within every month of the panel (thousands rounded, so ties are common)."""
@@ -397,9 +397,9 @@ def q_buyer_search(spark, sf_dir):
 
 
 @register("kpis", O.with_models(f"""
-SELECT count(*) AS zip_codes, round(avg(home_value) + 1e-9, 0) AS avg_home_value,
-       round(avg(monthly_rent) + 1e-9, 0) AS avg_monthly_rent, round(avg(gross_rental_yield) + 1e-9, 2) AS avg_rental_yield,
-       round(avg(livability_score) + 1e-9, 1) AS avg_livability
+SELECT count(*) AS zip_codes, round(avg(home_value) + 1e-9, 0) + 0.0 AS avg_home_value,
+       round(avg(monthly_rent) + 1e-9, 0) + 0.0 AS avg_monthly_rent, round(avg(gross_rental_yield) + 1e-9, 2) + 0.0 AS avg_rental_yield,
+       round(avg(livability_score) + 1e-9, 1) + 0.0 AS avg_livability
 FROM market_intelligence WHERE home_value BETWEEN 100000 AND 150000"""))
 def q_kpis(spark, sf_dir):
     return R.kpis(R.search(_mi(spark, sf_dir), price=(100_000, 150_000)))
@@ -554,14 +554,14 @@ def q_widget_zip_count(spark, sf_dir):
 
 
 @register("widget_yield_by_metro", O.with_models("""
-SELECT metro, round(avg(gross_rental_yield) + 1e-9, 2) AS avg_rental_yield FROM market_intelligence
+SELECT metro, round(avg(gross_rental_yield) + 1e-9, 2) + 0.0 AS avg_rental_yield FROM market_intelligence
 WHERE metro IS NOT NULL GROUP BY metro"""))
 def q_widget_yield_by_metro(spark, sf_dir):
     return R.metro_averages(_mi(spark, sf_dir), "gross_rental_yield", "avg_rental_yield", 2)
 
 
 @register("widget_livability_by_metro", O.with_models("""
-SELECT metro, round(avg(livability_score) + 1e-9, 1) AS avg_livability_score FROM market_intelligence
+SELECT metro, round(avg(livability_score) + 1e-9, 1) + 0.0 AS avg_livability_score FROM market_intelligence
 WHERE metro IS NOT NULL GROUP BY metro"""))
 def q_widget_livability_by_metro(spark, sf_dir):
     return R.metro_averages(_mi(spark, sf_dir), "livability_score", "avg_livability_score", 1)
