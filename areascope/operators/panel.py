@@ -23,6 +23,24 @@ def latest_date(df: DataFrame, date: str = "date") -> Column:
     return df.select(F.max(date)).scalar()
 
 
+def latest_date_value(df: DataFrame, date: str = "date") -> Column:
+    """``max(date)`` computed now and returned as a literal Column.
+
+    One scalar comes back to the driver (on a stored parquet table Spark can answer it from file
+    footers). Because the result is a literal, ``date IN (ref, ref - 1m, ...)`` filters are pushed
+    into the scan and prune date partitions: a lookback reads 4 months, not the whole history.
+    """
+    value = df.agg(F.max(date)).first()[0]
+    return F.lit(value).cast("date") if value is not None else F.lit(None).cast("date")
+
+
+def common_latest_value(dfs: Iterable[DataFrame], date: str = "date") -> Column:
+    """Earliest of the per-table latest dates, computed now, as a literal (nulls skipped)."""
+    values = [df.agg(F.max(date)).first()[0] for df in dfs]
+    present = [v for v in values if v is not None]
+    return F.lit(min(present)).cast("date") if present else F.lit(None).cast("date")
+
+
 def common_latest(dfs: Iterable[DataFrame], date: str = "date") -> Column:
     """Earliest of the per-table latest dates (``min`` over a union of ``max``), null-skipping."""
     refs = [latest_date(df, date) for df in dfs]

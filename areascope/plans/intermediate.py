@@ -15,7 +15,7 @@ from areascope.functions.numeric import (
     weighted_score,
 )
 from areascope.operators.aggregates import category_counts, count_when, rounded_avg
-from areascope.operators.panel import common_latest, latest_date, lookback, multi_series_lookback
+from areascope.operators.panel import common_latest_value, latest_date_value, lookback, multi_series_lookback
 from areascope.operators.ranking import percent_rank_scores
 
 # Lookback output names and offsets in months.
@@ -30,7 +30,7 @@ CURRENT_SCHOOL_YEAR, BASE_SCHOOL_YEAR = 2022, 2017
 def price_trends(home_values: DataFrame, align: str = "exact") -> DataFrame:
     """One row per area at the latest date: value now, 1/6/12 months back, % and $ changes,
     trend and momentum. One shuffle (conditional aggregate), no self-joins."""
-    ref = latest_date(home_values)
+    ref = latest_date_value(home_values)
     lb = lookback(home_values, "zip_code", "home_value", ref, PRICE_LOOKBACKS,
                   current="current_value", carry=("city", "state", "state_name", "metro", "county"), align=align)
     cur = F.col("current_value")
@@ -58,7 +58,7 @@ def _gross_yield(rent, value):
 def rental_yield(rents: DataFrame, home_values: DataFrame, align: str = "exact") -> DataFrame:
     """Gross yield at the latest date both panels share, yields 1/6/12 months back, bps changes,
     rent growth, tier and trend. Both panels go through ONE grouped shuffle."""
-    ref = common_latest([rents, home_values])
+    ref = common_latest_value([rents, home_values])
     g = multi_series_lookback(
         {"rent": (rents, "rental_price"), "value": (home_values, "home_value")},
         "zip_code", ref, YIELD_LOOKBACKS, carry_from="rent", carry=("city", "state", "metro"), align=align,

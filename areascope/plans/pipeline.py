@@ -96,11 +96,13 @@ class LazyRawPipeline(Pipeline):
 
     @cached_property
     def raw_home_values(self) -> DataFrame:
-        return materialize(adapter.raw_home_values(self.spark, self.sf_dir, self._dim), "raw_home_values")
+        return materialize(adapter.raw_home_values(self.spark, self.sf_dir, self._dim), "raw_home_values",
+                           partition_by=("date",), cluster_by=("zip_code",))
 
     @cached_property
     def raw_rental_prices(self) -> DataFrame:
-        return materialize(adapter.raw_rental_prices(self.spark, self.sf_dir, self._dim), "raw_rental_prices")
+        return materialize(adapter.raw_rental_prices(self.spark, self.sf_dir, self._dim), "raw_rental_prices",
+                           partition_by=("date",), cluster_by=("zip_code",))
 
     @cached_property
     def raw_amenities(self) -> DataFrame:
@@ -108,4 +110,5 @@ class LazyRawPipeline(Pipeline):
 
     @cached_property
     def raw_schools(self) -> DataFrame:
-        return materialize(adapter.raw_schools(self.spark, self.sf_dir, self._dim), "raw_schools")
+        return materialize(adapter.raw_schools(self.spark, self.sf_dir, self._dim), "raw_schools",
+                           partition_by=("year",), cluster_by=("zip_code",))

@@ -64,18 +64,26 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", partition_by: tuple[str, ...] = (), cluster_by: tuple[str, ...] = ()):
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Used at layer boundaries (raw tables, per-area aggregates that feed several branches, marts):
     later stages scan files instead of re-running the lineage (which also survives lost
     executors), and the planner sees the real file size when it chooses a join strategy.
+
+    ``partition_by`` writes one folder per value (e.g. per month) so filters on it prune whole
+    folders; rows are first range-partitioned on (partition_by, cluster_by) so each writer task
+    covers a contiguous slice and touches only a few folders (no small-file explosion).
     """
     import uuid
 
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/areascope/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    if partition_by:
+        df.repartitionByRange(*partition_by, *cluster_by).write.mode("overwrite") \
+            .partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     # the schema is known: skip footer inference on read-back
     return spark.read.schema(df.schema).parquet(path)

@@ -79,7 +79,7 @@ def raw_home_values(spark: SparkSession, sf_dir: str, dim: DataFrame | None = No
 
 def _value_cells(lines: DataFrame, key: str) -> DataFrame:
     ship = F.col("l_shipdate")
-    return lines.groupBy(F.col(key).alias("l_suppkey"), F.date_trunc("month", ship).alias("date")).agg(
+    return lines.groupBy(F.col(key).alias("l_suppkey"), F.trunc(ship.cast("date"), "month").alias("date")).agg(
         F.avg(safe_div(F.col("l_extendedprice"), F.col("l_quantity"))).alias("_unit")
     ).select("l_suppkey", "date", tie_safe_round(F.lit(100000.0) + F.lit(3.0) * F.col("_unit"), 2).alias("home_value"))
 
@@ -92,7 +92,7 @@ def sparse_value_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         (ship < _ts(HOME_VALUE_END)) & ~((F.col("l_suppkey") % 9 == 4) & (ship < _ts(SHORT_HISTORY_START)))
     )
     cells = _value_cells(lines, "l_partkey")
-    return cells.select(pad_zip(F.col("l_suppkey")).alias("zip_code"), F.col("date").cast("date").alias("date"), "home_value")
+    return cells.select(pad_zip(F.col("l_suppkey")).alias("zip_code"), "date", "home_value")
 
 
 def raw_rental_prices(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None) -> DataFrame:
@@ -102,7 +102,7 @@ def raw_rental_prices(spark: SparkSession, sf_dir: str, dim: DataFrame | None =
     lines = read_table(spark, sf_dir, "lineitem").where(
         (F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 4 != 1) & (ship < _ts(RENT_END))
     )
-    cells = lines.groupBy("l_suppkey", F.date_trunc("month", ship).alias("date")).agg(
+    cells = lines.groupBy("l_suppkey", F.trunc(ship.cast("date"), "month").alias("date")).agg(
         F.avg("l_tax").alias("_tax")
     ).select("l_suppkey", "date", tie_safe_round(F.lit(100.0) + F.lit(10000.0) * F.col("_tax"), 2).alias("rental_price"))
     return _panel(cells, dim, "rental_price")

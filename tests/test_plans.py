@@ -70,3 +70,12 @@ def test_global_window_detector(spark):
     g = spark.range(5).select(F.percent_rank().over(Window.orderBy("id")))
     p = spark.range(5).select(F.rank().over(Window.partitionBy(F.col("id") % 2).orderBy("id")))
     assert has_global_window(_plan(g)) and not has_global_window(_plan(p))
+
+
+def test_lookback_prunes_month_partitions(spark):
+    from areascope.plans.intermediate import price_trends
+
+    p = pipeline(spark, SF)
+    plan = price_trends(p.stg_home_values)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "raw_home_values" in line)
+    assert "PartitionFilters: [" in scan and " IN (" in scan.split("PartitionFilters: [")[1]
