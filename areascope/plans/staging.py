@@ -15,15 +15,29 @@ from areascope.functions.labels import school_level_name
 PANEL_TEXT = ("zip_code", "city", "state", "state_name", "metro", "county")
 
 
-def _t(c: str, t: str) -> Column:
-    return F.col(c).try_cast(t)
+_INTEGRAL = ("int", "bigint", "smallint", "tinyint")
 
 
-def _num(c: str, t: str = "double") -> Column:
-    """try_cast to double, NaN -> null, then try_cast to the target type."""
-    d = F.col(c).try_cast("double")
-    d = F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
-    return d if t == "double" else d.try_cast(t)
+class _Caster:
+    """Casts for one raw table: ``try_cast`` for dirty input, the bare column when it already has
+    the target type (a bare column keeps partition pruning and filter pushdown working)."""
+
+    def __init__(self, df: DataFrame):
+        self.types = dict(df.dtypes)
+
+    def t(self, c: str, t: str) -> Column:
+        if self.types.get(c) == t and t != "double":
+            return F.col(c)
+        return F.col(c).try_cast(t)
+
+    def num(self, c: str, t: str = "double") -> Column:
+        """try_cast to double, NaN -> null, then to the target type; integer columns carry no NaN
+        and pass through."""
+        if self.types.get(c) in _INTEGRAL:
+            return F.col(c) if self.types[c] == t else F.col(c).try_cast(t)
+        d = F.col(c).try_cast("double")
+        d = F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+        return d if t == "double" else d.try_cast(t)
 
 
 def _cols(df: DataFrame) -> set[str]:
@@ -31,17 +45,18 @@ def _cols(df: DataFrame) -> set[str]:
 
 
 def _opt(df: DataFrame, c: str, t: str) -> Column:
-    return (_t(c, t) if c in _cols(df) else F.lit(None).cast(t)).alias(c)
+    return (_Caster(df).t(c, t) if c in _cols(df) else F.lit(None).cast(t)).alias(c)
 
 
 def stage_panel(raw: DataFrame, value: str) -> DataFrame:
     """Typed monthly panel; keeps rows with a positive value and a key."""
-    v = _num(value)
+    cx = _Caster(raw)
+    v = cx.num(value)
     kept = raw.where(v.isNotNull() & (v > 0) & F.col("zip_code").isNotNull())
     return kept.select(
         *[_opt(raw, c, "string") for c in PANEL_TEXT],
-        F.col("date").try_cast("date").alias("date"),
-        _num(value).alias(value),
+        cx.t("date", "date").alias("date"),
+        cx.num(value).alias(value),
         _opt(raw, "region_id", "int"),
         _opt(raw, "size_rank", "int"),
     )
@@ -56,42 +71,44 @@ def stage_rental_prices(raw: DataFrame) -> DataFrame:
 
 
 def stage_amenities(raw: DataFrame) -> DataFrame:
+    cx = _Caster(raw)
     kept = raw.where(F.col("zip_code").isNotNull() & F.col("amenity_category").isNotNull())
     return kept.select(
-        _t("zip_code", "string").alias("zip_code"),
-        _t("amenity_name", "string").alias("amenity_name"),
-        _t("amenity_type", "string").alias("amenity_type"),
-        _t("amenity_category", "string").alias("amenity_category"),
-        _num("latitude").alias("latitude"),
-        _num("longitude").alias("longitude"),
-        _t("city", "string").alias("city"),
-        _t("state_name", "string").alias("state_name"),
+        cx.t("zip_code", "string").alias("zip_code"),
+        cx.t("amenity_name", "string").alias("amenity_name"),
+        cx.t("amenity_type", "string").alias("amenity_type"),
+        cx.t("amenity_category", "string").alias("amenity_category"),
+        cx.num("latitude").alias("latitude"),
+        cx.num("longitude").alias("longitude"),
+        cx.t("city", "string").alias("city"),
+        cx.t("state_name", "string").alias("state_name"),
     )
 
 
 def stage_schools(raw: DataFrame) -> DataFrame:
     """Typed school records with a level label. The filter reads the raw enrollment (after NaN
     normalisation), before the integer cast, as the reference's WHERE does."""
-    enrollment = _num("enrollment")
+    cx = _Caster(raw)
+    enrollment = cx.num("enrollment")
     kept = raw.where(F.col("zip_code").isNotNull() & enrollment.isNotNull() & (enrollment > 0))
-    level = _num("school_level", "int")
+    level = cx.num("school_level", "int")
     return kept.select(
-        _t("nces_school_id", "string").alias("nces_school_id"),
-        _t("school_name", "string").alias("school_name"),
-        _t("zip_code", "string").alias("zip_code"),
-        _t("city", "string").alias("city"),
-        _t("state", "string").alias("state"),
+        cx.t("nces_school_id", "string").alias("nces_school_id"),
+        cx.t("school_name", "string").alias("school_name"),
+        cx.t("zip_code", "string").alias("zip_code"),
+        cx.t("city", "string").alias("city"),
+        cx.t("state", "string").alias("state"),
         level.alias("school_level"),
-        _num("enrollment", "int").alias("enrollment"),
-        _num("teachers_fte").alias("teachers_fte"),
-        _num("free_lunch", "int").alias("free_lunch"),
-        _num("charter", "int").alias("charter"),
-        _num("magnet", "int").alias("magnet"),
-        _num("title_i", "int").alias("title_i"),
-        _num("latitude").alias("latitude"),
-        _num("longitude").alias("longitude"),
-        _num("year", "int").alias("year"),
-        _num("student_teacher_ratio").alias("student_teacher_ratio"),
-        _num("free_lunch_pct").alias("free_lunch_pct"),
+        cx.num("enrollment", "int").alias("enrollment"),
+        cx.num("teachers_fte").alias("teachers_fte"),
+        cx.num("free_lunch", "int").alias("free_lunch"),
+        cx.num("charter", "int").alias("charter"),
+        cx.num("magnet", "int").alias("magnet"),
+        cx.num("title_i", "int").alias("title_i"),
+        cx.num("latitude").alias("latitude"),
+        cx.num("longitude").alias("longitude"),
+        cx.num("year", "int").alias("year"),
+        cx.num("student_teacher_ratio").alias("student_teacher_ratio"),
+        cx.num("free_lunch_pct").alias("free_lunch_pct"),
         school_level_name(level).alias("school_level_name"),
     )
