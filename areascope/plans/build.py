@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from areascope.plans.pipeline import Pipeline
+from areascope.plans.layers import Layers
 
 STAGING_VIEWS = ("stg_home_values", "stg_rental_prices", "stg_amenities", "stg_schools")
 INTERMEDIATE_VIEWS = {"int_price_trends": "price_trends", "int_rental_yield": "rental_yield",
@@ -20,28 +20,28 @@ MARTS = ("market_intelligence", "investment_hotspots", "area_comparison")
 RAW = ("raw_home_values", "raw_rental_prices", "raw_amenities", "raw_schools")
 
 
-def build_raw_layer(pipeline: Pipeline, parallelism: int = 4) -> None:
+def build_raw_layer(layers: Layers, parallelism: int = 4) -> None:
     """Write the four raw tables with concurrent jobs (they share no work)."""
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        list(pool.map(lambda name: getattr(pipeline, name), RAW))
+        list(pool.map(lambda name: getattr(layers, name), RAW))
 
 
-def register_views(pipeline: Pipeline) -> None:
+def register_views(layers: Layers) -> None:
     """Staging and intermediate layers as temp views (``spark.sql`` can query them by name)."""
     for name in STAGING_VIEWS:
-        getattr(pipeline, name).createOrReplaceTempView(name)
+        getattr(layers, name).createOrReplaceTempView(name)
     for view, attr in INTERMEDIATE_VIEWS.items():
-        getattr(pipeline, attr).createOrReplaceTempView(view)
+        getattr(layers, attr).createOrReplaceTempView(view)
 
 
-def build(pipeline: Pipeline, output_dir: str | None = None) -> dict[str, DataFrame]:
+def build(layers: Layers, output_dir: str | None = None) -> dict[str, DataFrame]:
     """Build every layer: raw tables, views, then marts in dependency order. With ``output_dir``
     each mart is also written there as ``<output_dir>/<mart>`` (parquet, overwrite)."""
-    build_raw_layer(pipeline)
-    register_views(pipeline)
+    build_raw_layer(layers)
+    register_views(layers)
     marts = {}
     for name in MARTS:
-        df = getattr(pipeline, name)
+        df = getattr(layers, name)
         if output_dir:
             df.write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/{name}")
         df.createOrReplaceTempView(name)

@@ -19,7 +19,7 @@ from areascope.sources import adapter
 
 
 @dataclass
-class Pipeline:
+class Layers:
     spark: SparkSession
     raw_home_values: DataFrame
     raw_rental_prices: DataFrame
@@ -27,10 +27,10 @@ class Pipeline:
     raw_schools: DataFrame
 
     @classmethod
-    def from_benchmark(cls, spark: SparkSession, sf_dir: str) -> "Pipeline":
+    def from_benchmark(cls, spark: SparkSession, sf_dir: str) -> "Layers":
         """Raw tables derived from the benchmark tables. They are the stored raw layer (the
         reference lands them as tables too); each is written once, on first use."""
-        return LazyRawPipeline(spark, sf_dir)
+        return BenchmarkLayers(spark, sf_dir)
 
     # staging
     @cached_property
@@ -49,7 +49,7 @@ class Pipeline:
     def stg_schools(self) -> DataFrame:
         return S.stage_schools(self.raw_schools)
 
-    # intermediate: one row per area each; written once per pipeline so the market mart, the
+    # intermediate: one row per area each; written once per Layers object so the market mart, the
     # reports and the quality checks reuse them instead of re-deriving them from the raw layer
     @cached_property
     def price_trends(self) -> DataFrame:
@@ -82,8 +82,8 @@ class Pipeline:
         return materialize(M.area_comparison(self.market_intelligence), "area_comparison")
 
 
-class LazyRawPipeline(Pipeline):
-    """A Pipeline whose raw tables are derived from the benchmark tables and materialised on
+class BenchmarkLayers(Layers):
+    """Layers whose raw tables are derived from the benchmark tables and materialised on
     first use, so a query touching only the value panel never builds the school table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):

@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areascope import oracle as O
-from areascope.plans.pipeline import Pipeline
+from areascope.plans.layers import Layers
 
-_PIPELINES: dict[tuple[int, str], Pipeline] = {}
+_LAYERS: dict[tuple[int, str], Layers] = {}
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
+def layers(spark: SparkSession, sf_dir: str) -> Layers:
     key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _PIPELINES:
-        _PIPELINES[key] = Pipeline.from_benchmark(spark, sf_dir)
-    return _PIPELINES[key]
+    if key not in _LAYERS:
+        _LAYERS[key] = Layers.from_benchmark(spark, sf_dir)
+    return _LAYERS[key]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,58 +45,58 @@ def _sel(table: str) -> str:
 # ------------------------------------------------------------------ staging (P-01..P-07, C-16)
 @register("stage_home_values", _sel("stg_home_values"))
 def q_stage_home_values(spark, sf_dir):
-    return pipeline(spark, sf_dir).stg_home_values
+    return layers(spark, sf_dir).stg_home_values
 
 
 @register("stage_rental_prices", _sel("stg_rental_prices"))
 def q_stage_rental_prices(spark, sf_dir):
-    return pipeline(spark, sf_dir).stg_rental_prices
+    return layers(spark, sf_dir).stg_rental_prices
 
 
 @register("stage_amenities", _sel("stg_amenities"))
 def q_stage_amenities(spark, sf_dir):
-    return pipeline(spark, sf_dir).stg_amenities
+    return layers(spark, sf_dir).stg_amenities
 
 
 @register("stage_schools", _sel("stg_schools"))
 def q_stage_schools(spark, sf_dir):
-    return pipeline(spark, sf_dir).stg_schools
+    return layers(spark, sf_dir).stg_schools
 
 
 # ------------------------------------------------------------------ intermediate and marts
 @register("price_trends", _sel("int_price_trends"))
 def q_price_trends(spark, sf_dir):
-    return pipeline(spark, sf_dir).price_trends
+    return layers(spark, sf_dir).price_trends
 
 
 @register("rental_yield", _sel("int_rental_yield"))
 def q_rental_yield(spark, sf_dir):
-    return pipeline(spark, sf_dir).rental_yield
+    return layers(spark, sf_dir).rental_yield
 
 
 @register("neighborhood_score", _sel("int_neighborhood_score"))
 def q_neighborhood_score(spark, sf_dir):
-    return pipeline(spark, sf_dir).neighborhood_score
+    return layers(spark, sf_dir).neighborhood_score
 
 
 @register("school_score", _sel("int_school_score"))
 def q_school_score(spark, sf_dir):
-    return pipeline(spark, sf_dir).school_score
+    return layers(spark, sf_dir).school_score
 
 
 @register("livability", _sel("market_intelligence"))
 def q_livability(spark, sf_dir):
-    return pipeline(spark, sf_dir).market_intelligence
+    return layers(spark, sf_dir).market_intelligence
 
 
 @register("investment", _sel("investment_hotspots"))
 def q_investment(spark, sf_dir):
-    return pipeline(spark, sf_dir).investment_hotspots
+    return layers(spark, sf_dir).investment_hotspots
 
 
 @register("area_comparison", _sel("area_comparison"))
 def q_area_comparison(spark, sf_dir):
-    return pipeline(spark, sf_dir).area_comparison
+    return layers(spark, sf_dir).area_comparison
 
 
 # ------------------------------------------------------------------ ingestion (S-01..S-16, C-17, C-18)
@@ -117,7 +117,7 @@ SELECT region_id, size_rank, zip_code, region_type, state_name, state, city, met
        CAST(date AS DATE) AS date, home_value FROM raw_home_values"""))
 def q_unpivot_panel(spark, sf_dir):
     """Wide panel (one column per month header) rebuilt from the long panel, then melted back."""
-    raw = pipeline(spark, sf_dir).raw_home_values
+    raw = layers(spark, sf_dir).raw_home_values
     ids = [_PANEL_WIDE_NAMES[c] for c in ("region_id", "size_rank", "zip_code", "region_type", "state_name", "state",
                                          "city", "metro", "county")]
     named = raw.select(*[F.col(k).alias(v) for k, v in _PANEL_WIDE_NAMES.items()],
@@ -136,8 +136,9 @@ SELECT CASE WHEN l.l_linenumber % 3 <> 0 THEN p.p_name ELSE 'unnamed' END AS ame
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppkey = d.s_suppkey
 WHERE l.l_linestatus = 'F' AND p.p_type <> 'STANDARD'"""))
 def q_amenity_json_flatten(spark, sf_dir):
-    """Overpass-shaped JSON pages -> parsed -> one classified row per element."""
-    return ING.flatten_amenity_json(LD.parse_amenity_documents(LD.amenity_documents(spark, sf_dir)))
+    """Overpass-shaped JSON pages landed as files -> read by executors -> one classified row per element."""
+    landed = LD.land_documents(LD.amenity_documents(spark, sf_dir), "amenities")
+    return ING.flatten_amenity_json(ING.read_amenity_responses(spark, landed, multi_line=False))
 
 
 @register("school_json_flatten", O.with_models("""
@@ -152,7 +153,8 @@ FROM lineitem l JOIN dim d ON l.l_suppkey = d.s_suppkey
 WHERE l.l_linestatus = 'O' AND year(l.l_shipdate) IN (1996, 2001) AND l.l_quantity > 0"""))
 def q_school_json_flatten(spark, sf_dir):
     """Education-portal-shaped JSON pages -> records -> regular schools -> ratios -> staged."""
-    recs = ING.flatten_school_json(LD.parse_school_documents(LD.school_documents(spark, sf_dir)))
+    landed = LD.land_documents(LD.school_documents(spark, sf_dir), "schools")
+    recs = ING.flatten_school_json(ING.read_school_pages(spark, landed, multi_line=False))
     staged = STG.stage_schools(ING.derive_school_ratios(ING.filter_regular_schools(recs)))
     return staged.select("nces_school_id", "zip_code", "state", "year", "school_level", "enrollment",
                          "student_teacher_ratio", "free_lunch_pct", "school_level_name")
@@ -163,7 +165,7 @@ SELECT s.nces_school_id, s.zip_code, s.state, s.year, n.n_nationkey AS fips_code
 FROM stg_schools s JOIN nation n ON s.state = n.n_name"""))
 def q_fips_lookup(spark, sf_dir):
     """State -> code lookup as a broadcast inner join (states without a code drop)."""
-    schools = pipeline(spark, sf_dir).stg_schools.select("nces_school_id", "zip_code", "state", "year")
+    schools = layers(spark, sf_dir).stg_schools.select("nces_school_id", "zip_code", "state", "year")
     return ING.with_fips(schools, LD.nation_codes(spark, sf_dir))
 
 
@@ -189,21 +191,21 @@ def q_school_zip_keys(spark, sf_dir):
 SELECT count(*) AS row_count, count(DISTINCT zip_code) AS zip_count, min(date) AS earliest_date, max(date) AS latest_date
 FROM stg_home_values"""))
 def q_profile_home_values(spark, sf_dir):
-    return ING.profile_panel(pipeline(spark, sf_dir).stg_home_values)
+    return ING.profile_panel(layers(spark, sf_dir).stg_home_values)
 
 
 @register("profile_rental_prices", O.with_models("""
 SELECT count(*) AS row_count, count(DISTINCT zip_code) AS zip_count, min(date) AS earliest_date, max(date) AS latest_date
 FROM stg_rental_prices"""))
 def q_profile_rental_prices(spark, sf_dir):
-    return ING.profile_panel(pipeline(spark, sf_dir).stg_rental_prices)
+    return ING.profile_panel(layers(spark, sf_dir).stg_rental_prices)
 
 
 @register("profile_category", O.with_models("""
 SELECT amenity_category, count(*) AS count, count(DISTINCT zip_code) AS zips_covered
 FROM stg_amenities GROUP BY amenity_category"""))
 def q_profile_category(spark, sf_dir):
-    return ING.profile_by_category(pipeline(spark, sf_dir).stg_amenities)
+    return ING.profile_by_category(layers(spark, sf_dir).stg_amenities)
 
 
 @register("profile_year", O.with_models("""
@@ -212,13 +214,13 @@ SELECT year, count(*) AS school_count, count(DISTINCT zip_code) AS zip_count,
        round(avg(student_teacher_ratio) + 1e-9, 1) + 0.0 AS avg_student_teacher_ratio
 FROM stg_schools GROUP BY year"""))
 def q_profile_year(spark, sf_dir):
-    return ING.profile_by_year(pipeline(spark, sf_dir).stg_schools)
+    return ING.profile_by_year(layers(spark, sf_dir).stg_schools)
 
 
 @register("school_level_counts", O.with_models("""
 SELECT school_level_name, count(*) AS count FROM stg_schools GROUP BY school_level_name"""))
 def q_school_level_counts(spark, sf_dir):
-    return ING.value_counts(pipeline(spark, sf_dir).stg_schools, "school_level_name")
+    return ING.value_counts(layers(spark, sf_dir).stg_schools, "school_level_name")
 
 
 @register("city_zip_sets", O.with_models("""
@@ -226,7 +228,7 @@ SELECT city, state, state_name, array_to_string(list_sort(list(DISTINCT zip_code
        count(DISTINCT zip_code) AS zip_count
 FROM raw_home_values WHERE city IS NOT NULL AND state IS NOT NULL GROUP BY city, state, state_name"""))
 def q_city_zip_sets(spark, sf_dir):
-    sets = ING.city_zip_sets(pipeline(spark, sf_dir).raw_home_values)
+    sets = ING.city_zip_sets(layers(spark, sf_dir).raw_home_values)
     return sets.select("city", "state", "state_name", F.array_join("zip_codes", ",").alias("zip_codes"), "zip_count")
 
 
@@ -235,7 +237,7 @@ SELECT city, state, state_name, count(DISTINCT zip_code) AS zip_count
 FROM raw_home_values WHERE city IS NOT NULL AND state IS NOT NULL GROUP BY city, state, state_name
 ORDER BY zip_count DESC, city, state LIMIT 100"""))
 def q_top_cities(spark, sf_dir):
-    sets = ING.city_zip_sets(pipeline(spark, sf_dir).raw_home_values)
+    sets = ING.city_zip_sets(layers(spark, sf_dir).raw_home_values)
     return ING.top_cities(sets, 100).select("city", "state", "state_name", "zip_count")
 
 
@@ -251,28 +253,28 @@ JOIN (SELECT DISTINCT zip_code, city, state_name FROM raw_home_values WHERE city
   ON x.city = a.city AND x.state_name = a.state_name"""))
 def q_map_to_zip(spark, sf_dir):
     """City-level amenities copied to every postal code of their city (many-to-many equi-join)."""
-    raw = pipeline(spark, sf_dir).raw_amenities
+    raw = layers(spark, sf_dir).raw_amenities
     city_level = raw.drop("zip_code")
-    return ING.map_to_zip(city_level, ING.zip_city_map(pipeline(spark, sf_dir).raw_home_values))
+    return ING.map_to_zip(city_level, ING.zip_city_map(layers(spark, sf_dir).raw_home_values))
 
 
 @register("amenity_zip_coverage", O.with_models("SELECT count(DISTINCT zip_code) AS n FROM raw_amenities"))
 def q_amenity_zip_coverage(spark, sf_dir):
-    return AG.nunique(pipeline(spark, sf_dir).raw_amenities, "zip_code")
+    return AG.nunique(layers(spark, sf_dir).raw_amenities, "zip_code")
 
 
 # ------------------------------------------------------------------ panel operators (J-01..J-05, A-01, A-02, U-01)
 @register("rows_at_latest", O.with_models("""
 SELECT * FROM stg_home_values WHERE date = (SELECT max(date) FROM stg_home_values)"""))
 def q_rows_at_latest(spark, sf_dir):
-    return at_latest(pipeline(spark, sf_dir).stg_home_values)
+    return at_latest(layers(spark, sf_dir).stg_home_values)
 
 
 @register("common_latest", O.with_models("""
 SELECT min(max_date) AS ref_date FROM (SELECT max(date) AS max_date FROM stg_rental_prices
                                        UNION ALL SELECT max(date) AS max_date FROM stg_home_values)"""))
 def q_common_latest(spark, sf_dir):
-    p = pipeline(spark, sf_dir)
+    p = layers(spark, sf_dir)
     maxes = p.stg_rental_prices.agg(F.max("date").alias("max_date")).unionByName(
         p.stg_home_values.agg(F.max("date").alias("max_date")))
     return maxes.agg(F.min("max_date").alias("ref_date"))
@@ -304,7 +306,7 @@ _LOOKBACK_NAMES = {"value_30d_ago": 1, "value_6m_ago": 6, "value_1yr_ago": 12}
 
 @register("lookback_1_6_12", O.with_models(_LOOKBACK_SQL.format(panel="stg_home_values")))
 def q_lookback(spark, sf_dir):
-    hv = pipeline(spark, sf_dir).stg_home_values
+    hv = layers(spark, sf_dir).stg_home_values
     return lookback(hv, "zip_code", "home_value", hv.select(F.max("date")).scalar(), _LOOKBACK_NAMES)
 
 
@@ -341,7 +343,7 @@ SELECT zip_code, date, home_value,
 FROM stg_home_values"""))
 def q_value_rank_by_month(spark, sf_dir):
     """rank() within every month of the panel (thousands rounded, so ties are common)."""
-    hv = pipeline(spark, sf_dir).stg_home_values.select("zip_code", "date", "home_value")
+    hv = layers(spark, sf_dir).stg_home_values.select("zip_code", "date", "home_value")
     keyed = hv.withColumn("_k", F.round(F.col("home_value") + F.lit(1e-9), -3))
     return rank_within(keyed, "date", "_k", out="value_rank").drop("_k")
 
@@ -355,15 +357,15 @@ COMPARE_PATTERNS = ("%AMERICA%", "%ASIA%")
 
 
 def _mi(spark, sf_dir):
-    return pipeline(spark, sf_dir).market_intelligence
+    return layers(spark, sf_dir).market_intelligence
 
 
 def _ih(spark, sf_dir):
-    return pipeline(spark, sf_dir).investment_hotspots
+    return layers(spark, sf_dir).investment_hotspots
 
 
 def _ac(spark, sf_dir):
-    return pipeline(spark, sf_dir).area_comparison
+    return layers(spark, sf_dir).area_comparison
 
 
 _SEARCH_WHERE = """home_value BETWEEN 100000 AND 150000 AND livability_score >= 40 AND neighborhood_score >= 30
@@ -609,7 +611,7 @@ def _check(spec):
 
 
 def _dq(spark, sf_dir, test):
-    p = pipeline(spark, sf_dir)
+    p = layers(spark, sf_dir)
     parts = []
     for model, specs in CHECKS.items():
         checks = [_check(s) for s in specs if s[1] == test]

@@ -104,8 +104,9 @@ def wide_to_long(df: DataFrame, value_name: str, meta_cols: Sequence[str] = PANE
 
 # ---------------------------------------------------------------- landed API JSON (S-04..S-07)
 
-def read_amenity_responses(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return spark.read.schema(AMENITY_RESPONSE_SCHEMA).option("multiLine", True).json(path)
+def read_amenity_responses(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    """One response per file (``multi_line``) or one response per line (JSON Lines)."""
+    return spark.read.schema(AMENITY_RESPONSE_SCHEMA).option("multiLine", multi_line).json(path)
 
 
 def flatten_amenity_json(responses: DataFrame) -> DataFrame:
@@ -125,8 +126,9 @@ def flatten_amenity_json(responses: DataFrame) -> DataFrame:
     return out.where(F.col("amenity_category").isNotNull())
 
 
-def read_school_pages(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return spark.read.schema(SCHOOL_PAGE_SCHEMA).option("multiLine", True).json(path)
+def read_school_pages(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    """One page per file (``multi_line``) or one page per line (JSON Lines)."""
+    return spark.read.schema(SCHOOL_PAGE_SCHEMA).option("multiLine", multi_line).json(path)
 
 
 def flatten_school_json(pages: DataFrame) -> DataFrame:

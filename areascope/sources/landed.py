@@ -61,6 +61,18 @@ def amenity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.to_json(doc).alias("document"))
 
 
+def land_documents(docs: DataFrame, name: str) -> str:
+    """Write the documents as JSON Lines text files under the shared checkpoint folder (as a
+    fetcher would land them) and return the folder."""
+    import uuid
+
+    from areascope.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/areascope/landed-{name}-{uuid.uuid4().hex}"
+    docs.select("document").write.mode("overwrite").text(path)
+    return path
+
+
 def parse_amenity_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.from_json("document", AMENITY_RESPONSE_SCHEMA).alias("r")).select("r.*")
 

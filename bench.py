@@ -34,7 +34,7 @@ def main() -> None:
     times: dict[str, float] = {}
 
     t0 = time.time()
-    p = registry.pipeline(spark, sf_dir)
+    p = registry.layers(spark, sf_dir)
     build_raw_layer(p)   # four independent writes as concurrent jobs
     times["raw_layer"] = round(time.time() - t0, 3)
 

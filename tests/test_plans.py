@@ -1,6 +1,6 @@
 """Plan assertions: the distributed rewrites keep the shapes they promise."""
 
-from areascope.registry import pipeline
+from areascope.registry import layers
 
 
 
@@ -30,7 +30,7 @@ def _plan(df):
 
 
 def test_no_python_udfs_anywhere(spark):
-    p = pipeline(spark, SF)
+    p = layers(spark, SF)
     for df in (p.price_trends, p.rental_yield, p.neighborhood_score, p.school_score, p.market_intelligence,
                p.investment_hotspots, p.area_comparison):
         plan = _plan(df)
@@ -38,7 +38,7 @@ def test_no_python_udfs_anywhere(spark):
 
 
 def test_lookbacks_are_one_pass(spark):
-    p = pipeline(spark, SF)
+    p = layers(spark, SF)
     for df in (p.price_trends, p.rental_yield):
         plan = _plan(df)
         assert "Join" not in plan          # no self-joins; the reference date is a scalar subquery
@@ -46,7 +46,7 @@ def test_lookbacks_are_one_pass(spark):
 
 
 def test_scores_have_no_global_window(spark):
-    p = pipeline(spark, SF)
+    p = layers(spark, SF)
     for df in (p.neighborhood_score, p.school_score, p.market_intelligence, p.investment_hotspots):
         plan = _plan(df)
         assert "Window" in plan or "Scan" in plan
@@ -75,7 +75,7 @@ def test_global_window_detector(spark):
 def test_lookback_prunes_month_partitions(spark):
     from areascope.plans.intermediate import price_trends
 
-    p = pipeline(spark, SF)
+    p = layers(spark, SF)
     plan = price_trends(p.stg_home_values)._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.split("\n") if "raw_home_values" in line)
     assert "PartitionFilters: [" in scan and " IN (" in scan.split("PartitionFilters: [")[1]

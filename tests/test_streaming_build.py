@@ -3,7 +3,7 @@
 import json
 
 from areascope.plans.build import build, load_mart
-from areascope.registry import pipeline
+from areascope.registry import layers
 from areascope.sources import ingest as ING
 from areascope.streaming import amenity_page_stream, append_to_table, school_page_stream
 
@@ -45,7 +45,7 @@ def test_write_raw_and_schema(spark, tmp_path):
 
 
 def test_layered_build(spark, tmp_path):
-    marts = build(pipeline(spark, "/root/testdata/sf0.001"), str(tmp_path / "marts"))
+    marts = build(layers(spark, "/root/testdata/sf0.001"), str(tmp_path / "marts"))
     assert set(marts) == {"market_intelligence", "investment_hotspots", "area_comparison"}
     stored = load_mart(spark, str(tmp_path / "marts"), "market_intelligence")
     assert stored.count() == marts["market_intelligence"].count()

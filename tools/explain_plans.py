@@ -52,7 +52,7 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8)
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    p = registry.pipeline(spark, sf_dir)
+    p = registry.layers(spark, sf_dir)
     plans = {
         "raw_rental_prices (adapter)": adapter.raw_rental_prices(spark, sf_dir),
         "price_trends": I.price_trends(p.stg_home_values),
