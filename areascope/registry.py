@@ -1,650 +1,3 @@
-"""Registered queries: name -> (Spark callable over the benchmark tables, DuckDB oracle SQL or None).
+"""Registered queries and their DuckDB oracles (see ``areascope.queries``)."""
 
-Every query reads the benchmark tables (through the adapter) in full. The raw layer is written
-once per (session, folder) - the reference also lands raw tables before modelling - and the models
-above it stay lazy.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from areascope import oracle as O
-from areascope.plans.layers import Layers
-
-_LAYERS: dict[tuple[int, str], Layers] = {}
-
-
-def layers(spark: SparkSession, sf_dir: str) -> Layers:
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _LAYERS:
-        _LAYERS[key] = Layers.from_benchmark(spark, sf_dir)
-    return _LAYERS[key]
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-def _sel(table: str) -> str:
-    return O.with_models(f"SELECT * FROM {table}")
-
-
-# ------------------------------------------------------------------ staging (P-01..P-07, C-16)
-@register("stage_home_values", _sel("stg_home_values"))
-def q_stage_home_values(spark, sf_dir):
-    return layers(spark, sf_dir).stg_home_values
-
-
-@register("stage_rental_prices", _sel("stg_rental_prices"))
-def q_stage_rental_prices(spark, sf_dir):
-    return layers(spark, sf_dir).stg_rental_prices
-
-
-@register("stage_amenities", _sel("stg_amenities"))
-def q_stage_amenities(spark, sf_dir):
-    return layers(spark, sf_dir).stg_amenities
-
-
-@register("stage_schools", _sel("stg_schools"))
-def q_stage_schools(spark, sf_dir):
-    return layers(spark, sf_dir).stg_schools
-
-
-# ------------------------------------------------------------------ intermediate and marts
-@register("price_trends", _sel("int_price_trends"))
-def q_price_trends(spark, sf_dir):
-    return layers(spark, sf_dir).price_trends
-
-
-@register("rental_yield", _sel("int_rental_yield"))
-def q_rental_yield(spark, sf_dir):
-    return layers(spark, sf_dir).rental_yield
-
-
-@register("neighborhood_score", _sel("int_neighborhood_score"))
-def q_neighborhood_score(spark, sf_dir):
-    return layers(spark, sf_dir).neighborhood_score
-
-
-@register("school_score", _sel("int_school_score"))
-def q_school_score(spark, sf_dir):
-    return layers(spark, sf_dir).school_score
-
-
-@register("livability", _sel("market_intelligence"))
-def q_livability(spark, sf_dir):
-    return layers(spark, sf_dir).market_intelligence
-
-
-@register("investment", _sel("investment_hotspots"))
-def q_investment(spark, sf_dir):
-    return layers(spark, sf_dir).investment_hotspots
-
-
-@register("area_comparison", _sel("area_comparison"))
-def q_area_comparison(spark, sf_dir):
-    return layers(spark, sf_dir).area_comparison
-
-
-# ------------------------------------------------------------------ ingestion (S-01..S-16, C-17, C-18)
-from areascope.functions.keys import school_zip  # noqa: E402
-from areascope.operators import aggregates as AG  # noqa: E402
-from areascope.operators.panel import LOOKBACK_MONTHS, at_latest, common_latest, lookback  # noqa: E402
-from areascope.operators.ranking import percent_rank_scores, rank_within  # noqa: E402
-from areascope.plans import staging as STG  # noqa: E402
-from areascope.sources import adapter as AD  # noqa: E402
-from areascope.sources import ingest as ING  # noqa: E402
-from areascope.sources import landed as LD  # noqa: E402
-
-_PANEL_WIDE_NAMES = {v: k for k, v in ING.PANEL_RENAMES.items()}
-
-
-@register("unpivot_panel", O.with_models("""
-SELECT region_id, size_rank, zip_code, region_type, state_name, state, city, metro, county,
-       CAST(date AS DATE) AS date, home_value FROM raw_home_values"""))
-def q_unpivot_panel(spark, sf_dir):
-    """Wide panel (one column per month header) rebuilt from the long panel, then melted back."""
-    raw = layers(spark, sf_dir).raw_home_values
-    ids = [_PANEL_WIDE_NAMES[c] for c in ("region_id", "size_rank", "zip_code", "region_type", "state_name", "state",
-                                         "city", "metro", "county")]
-    named = raw.select(*[F.col(k).alias(v) for k, v in _PANEL_WIDE_NAMES.items()],
-                       F.date_format("date", "yyyy-MM-dd").alias("_month"), "home_value")
-    wide = named.groupBy(*ids).pivot("_month").agg(F.max("home_value"))
-    return ING.wide_to_long(wide, "home_value")
-
-
-@register("amenity_json_flatten", O.with_models("""
-SELECT CASE WHEN l.l_linenumber % 3 <> 0 THEN p.p_name ELSE 'unnamed' END AS amenity_name,
-       CASE p.p_type WHEN 'ECONOMY' THEN 'park' WHEN 'SMALL' THEN 'supermarket' WHEN 'MEDIUM' THEN 'cinema'
-                     WHEN 'LARGE' THEN 'restaurant' WHEN 'PROMO' THEN 'marketplace' END AS amenity_type,
-       CASE p.p_type WHEN 'ECONOMY' THEN 'parks' WHEN 'SMALL' THEN 'shopping' WHEN 'MEDIUM' THEN 'entertainment'
-                     WHEN 'LARGE' THEN 'dining' WHEN 'PROMO' THEN 'shopping' END AS amenity_category,
-       l.l_discount * 100 AS latitude, l.l_tax * 100 AS longitude, d.city, d.state_name
-FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppkey = d.s_suppkey
-WHERE l.l_linestatus = 'F' AND p.p_type <> 'STANDARD'"""))
-def q_amenity_json_flatten(spark, sf_dir):
-    """Overpass-shaped JSON pages landed as files -> read by executors -> one classified row per element."""
-    landed = LD.land_documents(LD.amenity_documents(spark, sf_dir), "amenities")
-    return ING.flatten_amenity_json(ING.read_amenity_responses(spark, landed, multi_line=False))
-
-
-@register("school_json_flatten", O.with_models("""
-SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS nces_school_id,
-       d.zip_code, d.state, CASE year(l.l_shipdate) WHEN 1996 THEN 2017 ELSE 2022 END AS year,
-       CAST(l.l_linenumber AS INTEGER) AS school_level, CAST(trunc(l.l_quantity) AS INTEGER) AS enrollment,
-       round(coalesce(l.l_quantity, 0) / nullif(l.l_tax * 100, 0) + 1e-9, 1) + 0.0 AS student_teacher_ratio,
-       round(floor(l.l_quantity * l.l_discount) / nullif(l.l_quantity, 0) * 100 + 1e-9, 1) + 0.0 AS free_lunch_pct,
-       CASE WHEN l.l_linenumber = 1 THEN 'Primary' WHEN l.l_linenumber = 2 THEN 'Middle' WHEN l.l_linenumber = 3 THEN 'High'
-            WHEN l.l_linenumber = 4 THEN 'Other' ELSE 'Unknown' END AS school_level_name
-FROM lineitem l JOIN dim d ON l.l_suppkey = d.s_suppkey
-WHERE l.l_linestatus = 'O' AND year(l.l_shipdate) IN (1996, 2001) AND l.l_quantity > 0"""))
-def q_school_json_flatten(spark, sf_dir):
-    """Education-portal-shaped JSON pages -> records -> regular schools -> ratios -> staged."""
-    landed = LD.land_documents(LD.school_documents(spark, sf_dir), "schools")
-    recs = ING.flatten_school_json(ING.read_school_pages(spark, landed, multi_line=False))
-    staged = STG.stage_schools(ING.derive_school_ratios(ING.filter_regular_schools(recs)))
-    return staged.select("nces_school_id", "zip_code", "state", "year", "school_level", "enrollment",
-                         "student_teacher_ratio", "free_lunch_pct", "school_level_name")
-
-
-@register("fips_lookup", O.with_models("""
-SELECT s.nces_school_id, s.zip_code, s.state, s.year, n.n_nationkey AS fips_code
-FROM stg_schools s JOIN nation n ON s.state = n.n_name"""))
-def q_fips_lookup(spark, sf_dir):
-    """State -> code lookup as a broadcast inner join (states without a code drop)."""
-    schools = layers(spark, sf_dir).stg_schools.select("nces_school_id", "zip_code", "state", "year")
-    return ING.with_fips(schools, LD.nation_codes(spark, sf_dir))
-
-
-@register("school_zip_keys", """
-SELECT o_orderkey,
-       CASE WHEN split_part(coalesce(m, loc), '-', 1) = '' THEN NULL
-            WHEN length(split_part(coalesce(m, loc), '-', 1)) < 5 THEN lpad(split_part(coalesce(m, loc), '-', 1), 5, '0')
-            ELSE split_part(coalesce(m, loc), '-', 1) END AS zip_code,
-       cust_zip
-FROM (SELECT o_orderkey,
-             CASE WHEN o_orderstatus = 'F' THEN CAST(o_custkey AS VARCHAR) || '-' || CAST(o_orderkey % 10000 AS VARCHAR) END AS m,
-             CAST(o_orderkey AS VARCHAR) AS loc,
-             CASE WHEN length(CAST(o_custkey AS VARCHAR)) < 5 THEN lpad(CAST(o_custkey AS VARCHAR), 5, '0')
-                  ELSE CAST(o_custkey AS VARCHAR) END AS cust_zip
-      FROM orders)""")
-def q_school_zip_keys(spark, sf_dir):
-    """Key cleaning: mailing code else location code, cut at '-', padded to 5 without truncation."""
-    k = LD.order_keys(spark, sf_dir)
-    return k.select("o_orderkey", school_zip(F.col("mailing"), F.col("location")).alias("zip_code"), "cust_zip")
-
-
-@register("profile_home_values", O.with_models("""
-SELECT count(*) AS row_count, count(DISTINCT zip_code) AS zip_count, min(date) AS earliest_date, max(date) AS latest_date
-FROM stg_home_values"""))
-def q_profile_home_values(spark, sf_dir):
-    return ING.profile_panel(layers(spark, sf_dir).stg_home_values)
-
-
-@register("profile_rental_prices", O.with_models("""
-SELECT count(*) AS row_count, count(DISTINCT zip_code) AS zip_count, min(date) AS earliest_date, max(date) AS latest_date
-FROM stg_rental_prices"""))
-def q_profile_rental_prices(spark, sf_dir):
-    return ING.profile_panel(layers(spark, sf_dir).stg_rental_prices)
-
-
-@register("profile_category", O.with_models("""
-SELECT amenity_category, count(*) AS count, count(DISTINCT zip_code) AS zips_covered
-FROM stg_amenities GROUP BY amenity_category"""))
-def q_profile_category(spark, sf_dir):
-    return ING.profile_by_category(layers(spark, sf_dir).stg_amenities)
-
-
-@register("profile_year", O.with_models("""
-SELECT year, count(*) AS school_count, count(DISTINCT zip_code) AS zip_count,
-       round(avg(enrollment) + 1e-9, 0) + 0.0 AS avg_enrollment,
-       round(avg(student_teacher_ratio) + 1e-9, 1) + 0.0 AS avg_student_teacher_ratio
-FROM stg_schools GROUP BY year"""))
-def q_profile_year(spark, sf_dir):
-    return ING.profile_by_year(layers(spark, sf_dir).stg_schools)
-
-
-@register("school_level_counts", O.with_models("""
-SELECT school_level_name, count(*) AS count FROM stg_schools GROUP BY school_level_name"""))
-def q_school_level_counts(spark, sf_dir):
-    return ING.value_counts(layers(spark, sf_dir).stg_schools, "school_level_name")
-
-
-@register("city_zip_sets", O.with_models("""
-SELECT city, state, state_name, array_to_string(list_sort(list(DISTINCT zip_code)), ',') AS zip_codes,
-       count(DISTINCT zip_code) AS zip_count
-FROM raw_home_values WHERE city IS NOT NULL AND state IS NOT NULL GROUP BY city, state, state_name"""))
-def q_city_zip_sets(spark, sf_dir):
-    sets = ING.city_zip_sets(layers(spark, sf_dir).raw_home_values)
-    return sets.select("city", "state", "state_name", F.array_join("zip_codes", ",").alias("zip_codes"), "zip_count")
-
-
-@register("top_cities", O.with_models("""
-SELECT city, state, state_name, count(DISTINCT zip_code) AS zip_count
-FROM raw_home_values WHERE city IS NOT NULL AND state IS NOT NULL GROUP BY city, state, state_name
-ORDER BY zip_count DESC, city, state LIMIT 100"""))
-def q_top_cities(spark, sf_dir):
-    sets = ING.city_zip_sets(layers(spark, sf_dir).raw_home_values)
-    return ING.top_cities(sets, 100).select("city", "state", "state_name", "zip_count")
-
-
-@register("map_to_zip", O.with_models("""
-SELECT a.zip_code, x.amenity_name, x.amenity_type, x.amenity_category, x.latitude, x.longitude, x.city, x.state_name
-FROM (SELECT p.p_name AS amenity_name, p.p_brand AS amenity_type,
-             CASE p.p_type WHEN 'ECONOMY' THEN 'parks' WHEN 'SMALL' THEN 'shopping'
-                           WHEN 'MEDIUM' THEN 'entertainment' WHEN 'LARGE' THEN 'dining' END AS amenity_category,
-             CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude, d.city, d.state_name
-      FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppkey = d.s_suppkey
-      WHERE l.l_linestatus = 'F' AND l.l_suppkey % 10 <> 3 AND p.p_type IN ('ECONOMY', 'SMALL', 'MEDIUM', 'LARGE')) x
-JOIN (SELECT DISTINCT zip_code, city, state_name FROM raw_home_values WHERE city IS NOT NULL) a
-  ON x.city = a.city AND x.state_name = a.state_name"""))
-def q_map_to_zip(spark, sf_dir):
-    """City-level amenities copied to every postal code of their city (many-to-many equi-join)."""
-    raw = layers(spark, sf_dir).raw_amenities
-    city_level = raw.drop("zip_code")
-    return ING.map_to_zip(city_level, ING.zip_city_map(layers(spark, sf_dir).raw_home_values))
-
-
-@register("amenity_zip_coverage", O.with_models("SELECT count(DISTINCT zip_code) AS n FROM raw_amenities"))
-def q_amenity_zip_coverage(spark, sf_dir):
-    return AG.nunique(layers(spark, sf_dir).raw_amenities, "zip_code")
-
-
-# ------------------------------------------------------------------ panel operators (J-01..J-05, A-01, A-02, U-01)
-@register("rows_at_latest", O.with_models("""
-SELECT * FROM stg_home_values WHERE date = (SELECT max(date) FROM stg_home_values)"""))
-def q_rows_at_latest(spark, sf_dir):
-    return at_latest(layers(spark, sf_dir).stg_home_values)
-
-
-@register("common_latest", O.with_models("""
-SELECT min(max_date) AS ref_date FROM (SELECT max(date) AS max_date FROM stg_rental_prices
-                                       UNION ALL SELECT max(date) AS max_date FROM stg_home_values)"""))
-def q_common_latest(spark, sf_dir):
-    p = layers(spark, sf_dir)
-    maxes = p.stg_rental_prices.agg(F.max("date").alias("max_date")).unionByName(
-        p.stg_home_values.agg(F.max("date").alias("max_date")))
-    return maxes.agg(F.min("max_date").alias("ref_date"))
-
-
-_LOOKBACK_SQL = """
-SELECT c.zip_code, c.home_value AS current_value, h1.home_value AS value_30d_ago, h6.home_value AS value_6m_ago,
-       h12.home_value AS value_1yr_ago
-FROM {panel} c
-LEFT JOIN {panel} h1 ON c.zip_code = h1.zip_code AND h1.date = CAST(c.date - INTERVAL 1 MONTH AS DATE)
-LEFT JOIN {panel} h6 ON c.zip_code = h6.zip_code AND h6.date = CAST(c.date - INTERVAL 6 MONTH AS DATE)
-LEFT JOIN {panel} h12 ON c.zip_code = h12.zip_code AND h12.date = CAST(c.date - INTERVAL 12 MONTH AS DATE)
-WHERE c.date = (SELECT max(date) FROM {panel})"""
-
-_SPARSE_PANEL = """
-sparse_panel AS (
-  SELECT CASE WHEN length(CAST(l_partkey AS VARCHAR)) < 5 THEN lpad(CAST(l_partkey AS VARCHAR), 5, '0')
-              ELSE CAST(l_partkey AS VARCHAR) END AS zip_code,
-         CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-         round(100000.0::DOUBLE + 3.0::DOUBLE * avg(l_extendedprice / nullif(l_quantity, 0)) + 1e-9, 2) + 0.0 AS home_value
-  FROM lineitem
-  WHERE l_shipdate < TIMESTAMP '2001-11-01' AND NOT (l_suppkey % 9 = 4 AND l_shipdate < TIMESTAMP '2001-01-01')
-  GROUP BY 1, 2
-),
-sparse_lookback AS (""" + _LOOKBACK_SQL.format(panel="sparse_panel") + ")"
-
-_LOOKBACK_NAMES = {"value_30d_ago": 1, "value_6m_ago": 6, "value_1yr_ago": 12}
-
-
-@register("lookback_1_6_12", O.with_models(_LOOKBACK_SQL.format(panel="stg_home_values")))
-def q_lookback(spark, sf_dir):
-    hv = layers(spark, sf_dir).stg_home_values
-    return lookback(hv, "zip_code", "home_value", hv.select(F.max("date")).scalar(), _LOOKBACK_NAMES)
-
-
-def _sparse_lookback(spark, sf_dir):
-    p = AD.sparse_value_panel(spark, sf_dir)
-    return lookback(p, "zip_code", "home_value", p.select(F.max("date")).scalar(), _LOOKBACK_NAMES)
-
-
-@register("lookback_sparse", f"WITH {O.ADAPTER}, {_SPARSE_PANEL} SELECT * FROM sparse_lookback")
-def q_lookback_sparse(spark, sf_dir):
-    """Part-keyed panel: most lookbacks find no row and stay null."""
-    return _sparse_lookback(spark, sf_dir)
-
-
-@register("percentile_scores", f"""WITH {O.ADAPTER}, {_SPARSE_PANEL}
-SELECT zip_code, current_value, value_1yr_ago,
-       round(percent_rank() OVER (ORDER BY current_value ASC NULLS FIRST) * 100 + 1e-9, 1) + 0.0 AS current_pct,
-       round(percent_rank() OVER (ORDER BY value_1yr_ago ASC NULLS FIRST) * 100 + 1e-9, 1) + 0.0 AS past_pct_asc,
-       round(percent_rank() OVER (ORDER BY value_1yr_ago DESC NULLS LAST) * 100 + 1e-9, 1) + 0.0 AS past_pct_desc,
-       percent_rank() OVER (ORDER BY value_6m_ago DESC NULLS LAST) AS six_month_fraction
-FROM sparse_lookback""")
-def q_percentile_scores(spark, sf_dir):
-    """Global percent_rank in both directions over a column that is mostly null."""
-    lb = _sparse_lookback(spark, sf_dir).select("zip_code", "current_value", "value_1yr_ago", "value_6m_ago")
-    scored = percent_rank_scores(lb, {"current_pct": ("current_value", True), "past_pct_asc": ("value_1yr_ago", True),
-                                      "past_pct_desc": ("value_1yr_ago", False),
-                                      "six_month_fraction": ("value_6m_ago", False, None)})
-    return scored.drop("value_6m_ago")
-
-
-@register("value_rank_by_month", O.with_models("""
-SELECT zip_code, date, home_value,
-       CAST(rank() OVER (PARTITION BY date ORDER BY round(home_value + 1e-9, -3) + 0.0 DESC NULLS LAST) AS INTEGER) AS value_rank
-FROM stg_home_values"""))
-def q_value_rank_by_month(spark, sf_dir):
-    """rank() within every month of the panel (thousands rounded, so ties are common)."""
-    hv = layers(spark, sf_dir).stg_home_values.select("zip_code", "date", "home_value")
-    keyed = hv.withColumn("_k", F.round(F.col("home_value") + F.lit(1e-9), -3))
-    return rank_within(keyed, "date", "_k", out="value_rank").drop("_k")
-
-
-# ------------------------------------------------------------------ reports (R-02..R-17)
-from areascope.plans import reports as R  # noqa: E402
-
-# The parameters the registered report queries run with.
-SEARCH_PARAMS = dict(price=(100_000, 150_000), min_livability=40, min_neighborhood=30, min_school=30, min_yield=5.0)
-COMPARE_PATTERNS = ("%AMERICA%", "%ASIA%")
-
-
-def _mi(spark, sf_dir):
-    return layers(spark, sf_dir).market_intelligence
-
-
-def _ih(spark, sf_dir):
-    return layers(spark, sf_dir).investment_hotspots
-
-
-def _ac(spark, sf_dir):
-    return layers(spark, sf_dir).area_comparison
-
-
-_SEARCH_WHERE = """home_value BETWEEN 100000 AND 150000 AND livability_score >= 40 AND neighborhood_score >= 30
-  AND school_score >= 30 AND gross_rental_yield >= 5.0"""
-
-
-@register("state_list", O.with_models("SELECT DISTINCT state FROM market_intelligence WHERE state IS NOT NULL"))
-def q_state_list(spark, sf_dir):
-    return R.state_list(_mi(spark, sf_dir))
-
-
-@register("metro_list", O.with_models("""
-SELECT DISTINCT metro FROM market_intelligence WHERE state IN ('NATION_1', 'NATION_2', 'NATION_3') AND metro IS NOT NULL"""))
-def q_metro_list(spark, sf_dir):
-    return R.metro_list(_mi(spark, sf_dir), ["NATION_1", "NATION_2", "NATION_3"])
-
-
-@register("price_bounds", O.with_models("""
-SELECT coalesce(CAST(trunc(min(home_value)) AS BIGINT), 0) AS min_price,
-       least(coalesce(CAST(trunc(max(home_value)) AS BIGINT), 1000000), 2000000) AS slider_max,
-       coalesce(CAST(trunc(min(home_value)) AS BIGINT), 0) AS default_low,
-       least(500000, coalesce(CAST(trunc(max(home_value)) AS BIGINT), 1000000)) AS default_high
-FROM market_intelligence"""))
-def q_price_bounds(spark, sf_dir):
-    return R.price_bounds(_mi(spark, sf_dir))
-
-
-@register("buyer_search", O.with_models(f"SELECT * FROM market_intelligence WHERE {_SEARCH_WHERE}"))
-def q_buyer_search(spark, sf_dir):
-    return R.search(_mi(spark, sf_dir), **SEARCH_PARAMS)
-
-
-@register("kpis", O.with_models(f"""
-SELECT count(*) AS zip_codes, round(avg(home_value) + 1e-9, 0) + 0.0 AS avg_home_value,
-       round(avg(monthly_rent) + 1e-9, 0) + 0.0 AS avg_monthly_rent, round(avg(gross_rental_yield) + 1e-9, 2) + 0.0 AS avg_rental_yield,
-       round(avg(livability_score) + 1e-9, 1) + 0.0 AS avg_livability
-FROM market_intelligence WHERE home_value BETWEEN 100000 AND 150000"""))
-def q_kpis(spark, sf_dir):
-    return R.kpis(R.search(_mi(spark, sf_dir), price=(100_000, 150_000)))
-
-
-@register("top_zips", O.with_models("""
-SELECT zip_code, city, state, metro, home_value, monthly_rent, gross_rental_yield, price_change_1yr_pct,
-       neighborhood_score, school_score, livability_score, livability_tier, metro_rank
-FROM market_intelligence ORDER BY livability_score DESC NULLS LAST, zip_code LIMIT 50"""))
-def q_top_zips(spark, sf_dir):
-    return R.top_zips(R.search(_mi(spark, sf_dir)))
-
-
-@register("livability_histogram", O.with_models("""
-SELECT CAST(CASE WHEN b.hi = b.lo THEN 0 ELSE least(floor((m.livability_score - b.lo) / ((b.hi - b.lo) / 30.0::DOUBLE)), 29) END AS INTEGER) AS bin,
-       m.livability_tier, count(*) AS zip_count, min(m.livability_score) AS bin_min_score, max(m.livability_score) AS bin_max_score
-FROM market_intelligence m, (SELECT min(livability_score) AS lo, max(livability_score) AS hi FROM market_intelligence) b
-WHERE m.livability_score IS NOT NULL GROUP BY 1, 2"""))
-def q_livability_histogram(spark, sf_dir):
-    return R.livability_histogram(_mi(spark, sf_dir))
-
-
-@register("price_yield_sample", O.with_models("""
-SELECT zip_code, city, state, home_value, gross_rental_yield, livability_tier FROM market_intelligence
-WHERE home_value IS NOT NULL AND gross_rental_yield IS NOT NULL ORDER BY zip_code LIMIT 500"""))
-def q_price_yield_sample(spark, sf_dir):
-    return R.sample_rows(_mi(spark, sf_dir), ["home_value", "gross_rental_yield"], 500,
-                         ["zip_code", "city", "state", "home_value", "gross_rental_yield", "livability_tier"])
-
-
-@register("signal_counts", O.with_models("""
-SELECT CAST(sum(CASE WHEN investment_signal = 'STRONG BUY' THEN 1 ELSE 0 END) AS BIGINT) AS strong_buy,
-       CAST(sum(CASE WHEN investment_signal = 'BUY' THEN 1 ELSE 0 END) AS BIGINT) AS buy,
-       CAST(sum(CASE WHEN investment_signal = 'HOLD' THEN 1 ELSE 0 END) AS BIGINT) AS hold,
-       CAST(sum(CASE WHEN investment_signal = 'WATCH' THEN 1 ELSE 0 END) AS BIGINT) AS watch
-FROM investment_hotspots"""))
-def q_signal_counts(spark, sf_dir):
-    return R.signal_counts(_ih(spark, sf_dir))
-
-
-@register("signal_distribution", O.with_models(
-    "SELECT investment_signal, count(*) AS count FROM investment_hotspots GROUP BY investment_signal"))
-def q_signal_distribution(spark, sf_dir):
-    return R.signal_distribution(_ih(spark, sf_dir))
-
-
-@register("top_investments", O.with_models("""
-SELECT zip_code, city, state, metro, home_value, monthly_rent, gross_rental_yield, annual_appreciation_rate,
-       investment_score, cash_on_cash_estimate, investment_signal
-FROM investment_hotspots ORDER BY investment_score DESC NULLS LAST, zip_code LIMIT 30"""))
-def q_top_investments(spark, sf_dir):
-    return R.top_by(_ih(spark, sf_dir), "investment_score", 30, R.TOP_INVESTMENT_COLS)
-
-
-@register("yield_apprec_sample", O.with_models("""
-SELECT zip_code, city, gross_rental_yield, annual_appreciation_rate, investment_signal, investment_score
-FROM investment_hotspots ORDER BY zip_code LIMIT 300"""))
-def q_yield_apprec_sample(spark, sf_dir):
-    return R.sample_rows(_ih(spark, sf_dir), [], 300, ["zip_code", "city", "gross_rental_yield", "annual_appreciation_rate",
-                                                        "investment_signal", "investment_score"])
-
-
-_METRO_COLS_SQL = """metro, zip_count, median_home_value, avg_monthly_rent, avg_rental_yield, avg_appreciation_rate,
-       avg_neighborhood_score, avg_school_score, avg_livability_score, pct_appreciating"""
-
-
-@register("top_metros", O.with_models(f"""
-SELECT {_METRO_COLS_SQL} FROM area_comparison ORDER BY avg_livability_score DESC NULLS LAST, metro LIMIT 20"""))
-def q_top_metros(spark, sf_dir):
-    return R.metro_ranking(_ac(spark, sf_dir), 20)
-
-
-@register("metro_table", O.with_models(f"SELECT {_METRO_COLS_SQL} FROM area_comparison"))
-def q_metro_table(spark, sf_dir):
-    return R.metro_ranking(_ac(spark, sf_dir), None)
-
-
-@register("metro_value_yield", O.with_models("""
-SELECT metro, median_home_value, avg_rental_yield, zip_count FROM area_comparison
-ORDER BY avg_livability_score DESC NULLS LAST, metro LIMIT 50"""))
-def q_metro_value_yield(spark, sf_dir):
-    return R.metro_ranking(_ac(spark, sf_dir), 50, ("metro", "median_home_value", "avg_rental_yield", "zip_count"))
-
-
-@register("top_livable_metros_appreciation", O.with_models("""
-SELECT metro, avg_appreciation_rate FROM area_comparison ORDER BY avg_livability_score DESC NULLS LAST, metro LIMIT 15"""))
-def q_top_livable_metros_appreciation(spark, sf_dir):
-    """The dashboard's 'top 15 by appreciation' chart: actually the 15 most livable metros."""
-    return R.metro_ranking(_ac(spark, sf_dir), 15, ("metro", "avg_appreciation_rate"))
-
-
-@register("trend_counts", O.with_models("SELECT price_trend, count(*) AS count FROM market_intelligence GROUP BY price_trend"))
-def q_trend_counts(spark, sf_dir):
-    return R.trend_counts(_mi(spark, sf_dir))
-
-
-@register("yield_tier_counts", O.with_models(
-    "SELECT yield_tier, count(*) AS count FROM market_intelligence WHERE yield_tier IS NOT NULL GROUP BY yield_tier"))
-def q_yield_tier_counts(spark, sf_dir):
-    return R.yield_tier_counts(_mi(spark, sf_dir))
-
-
-@register("score_overlap_sample", O.with_models("""
-SELECT zip_code, city, state, neighborhood_score, school_score, livability_tier FROM market_intelligence
-WHERE neighborhood_score IS NOT NULL AND school_score IS NOT NULL ORDER BY zip_code LIMIT 500"""))
-def q_score_overlap_sample(spark, sf_dir):
-    return R.sample_rows(_mi(spark, sf_dir), ["neighborhood_score", "school_score"], 500,
-                         ["zip_code", "city", "state", "neighborhood_score", "school_score", "livability_tier"])
-
-
-@register("doc_q1_top_livable", O.with_models("""
-SELECT zip_code, city, state, metro, home_value, monthly_rent, gross_rental_yield, neighborhood_score, school_score,
-       livability_score, livability_tier, metro_rank
-FROM market_intelligence ORDER BY livability_score DESC NULLS LAST, zip_code LIMIT 10"""))
-def q_doc_q1(spark, sf_dir):
-    return R.doc_top_livable(_mi(spark, sf_dir))
-
-
-@register("doc_q2_strong_buys", O.with_models("""
-SELECT zip_code, city, state, metro, home_value, monthly_rent, gross_rental_yield, annual_appreciation_rate,
-       investment_score, cash_on_cash_estimate, investment_signal
-FROM investment_hotspots WHERE investment_signal = 'STRONG BUY'
-ORDER BY investment_score DESC NULLS LAST, zip_code LIMIT 10"""))
-def q_doc_q2(spark, sf_dir):
-    return R.doc_strong_buys(_ih(spark, sf_dir))
-
-
-@register("doc_q3_compare_metros", O.with_models(f"""
-SELECT {_METRO_COLS_SQL} FROM area_comparison WHERE metro LIKE '%AMERICA%' OR metro LIKE '%ASIA%'"""))
-def q_doc_q3(spark, sf_dir):
-    return R.doc_compare_metros(_ac(spark, sf_dir), COMPARE_PATTERNS)
-
-
-@register("doc_q4_affordable_schools", O.with_models("""
-SELECT zip_code, city, state, metro, home_value, school_score, school_tier, livability_score
-FROM market_intelligence WHERE home_value < 300000 AND school_score >= 70
-ORDER BY livability_score DESC NULLS LAST, zip_code LIMIT 20"""))
-def q_doc_q4(spark, sf_dir):
-    return R.doc_affordable_good_schools(_mi(spark, sf_dir))
-
-
-@register("doc_q5_high_yield", O.with_models("""
-SELECT zip_code, city, state, home_value, gross_rental_yield, price_change_1yr_pct, investment_signal
-FROM investment_hotspots WHERE gross_rental_yield >= 8 AND annual_appreciation_rate > 3"""))
-def q_doc_q5(spark, sf_dir):
-    return R.doc_high_yield_appreciating(_ih(spark, sf_dir))
-
-
-@register("widget_zip_count", O.with_models("SELECT count(*) AS zip_codes FROM market_intelligence"))
-def q_widget_zip_count(spark, sf_dir):
-    return _mi(spark, sf_dir).agg(F.count(F.lit(1)).alias("zip_codes"))
-
-
-@register("widget_yield_by_metro", O.with_models("""
-SELECT metro, round(avg(gross_rental_yield) + 1e-9, 2) + 0.0 AS avg_rental_yield FROM market_intelligence
-WHERE metro IS NOT NULL GROUP BY metro"""))
-def q_widget_yield_by_metro(spark, sf_dir):
-    return R.metro_averages(_mi(spark, sf_dir), "gross_rental_yield", "avg_rental_yield", 2)
-
-
-@register("widget_livability_by_metro", O.with_models("""
-SELECT metro, round(avg(livability_score) + 1e-9, 1) + 0.0 AS avg_livability_score FROM market_intelligence
-WHERE metro IS NOT NULL GROUP BY metro"""))
-def q_widget_livability_by_metro(spark, sf_dir):
-    return R.metro_averages(_mi(spark, sf_dir), "livability_score", "avg_livability_score", 1)
-
-
-@register("widget_zips_by_tier", O.with_models(
-    "SELECT livability_tier, count(*) AS count FROM market_intelligence GROUP BY livability_tier"))
-def q_widget_zips_by_tier(spark, sf_dir):
-    return R.zips_by_tier(_mi(spark, sf_dir))
-
-
-# ------------------------------------------------------------------ data quality (Q-01..Q-03)
-from areascope.operators import quality as Q  # noqa: E402
-from areascope.functions import labels as L  # noqa: E402
-
-# The 35 declared checks, per model: (model, [(column, test, accepted values)]).
-CHECKS = {
-    "stg_home_values": [("zip_code", "not_null"), ("date", "not_null"), ("home_value", "not_null")],
-    "stg_rental_prices": [("zip_code", "not_null"), ("date", "not_null"), ("rental_price", "not_null")],
-    "stg_amenities": [("zip_code", "not_null"), ("amenity_category", "not_null"),
-                      ("amenity_category", "accepted_values", L.AMENITY_CATEGORIES)],
-    "stg_schools": [("nces_school_id", "not_null"), ("zip_code", "not_null"), ("year", "not_null"),
-                    ("year", "accepted_values", (2017, 2022))],
-    "int_price_trends": [("zip_code", "unique"), ("zip_code", "not_null"), ("price_trend", "accepted_values", L.PRICE_TRENDS)],
-    "int_rental_yield": [("zip_code", "unique"), ("zip_code", "not_null"), ("yield_tier", "accepted_values", L.YIELD_TIERS)],
-    "int_neighborhood_score": [("zip_code", "unique"), ("zip_code", "not_null"),
-                               ("neighborhood_tier", "accepted_values", L.QUALITY_TIERS)],
-    "int_school_score": [("zip_code", "unique"), ("zip_code", "not_null"), ("school_tier", "accepted_values", L.QUALITY_TIERS)],
-    "market_intelligence": [("zip_code", "unique"), ("zip_code", "not_null"), ("livability_score", "not_null"),
-                            ("livability_tier", "accepted_values", L.LIVABILITY_TIERS)],
-    "investment_hotspots": [("zip_code", "unique"), ("zip_code", "not_null"),
-                            ("investment_signal", "accepted_values", L.SIGNALS)],
-    "area_comparison": [("metro", "unique"), ("metro", "not_null"), ("avg_livability_score", "not_null")],
-}
-_MODEL_ATTR = {"stg_home_values": "stg_home_values", "stg_rental_prices": "stg_rental_prices", "stg_amenities": "stg_amenities",
-               "stg_schools": "stg_schools", "int_price_trends": "price_trends", "int_rental_yield": "rental_yield",
-               "int_neighborhood_score": "neighborhood_score", "int_school_score": "school_score",
-               "market_intelligence": "market_intelligence", "investment_hotspots": "investment_hotspots",
-               "area_comparison": "area_comparison"}
-
-
-def _check(spec):
-    col, test = spec[0], spec[1]
-    return Q.Check(col, test, tuple(spec[2]) if len(spec) > 2 else ())
-
-
-def _dq(spark, sf_dir, test):
-    p = layers(spark, sf_dir)
-    parts = []
-    for model, specs in CHECKS.items():
-        checks = [_check(s) for s in specs if s[1] == test]
-        if checks:
-            parts.append(Q.run_checks(model, getattr(p, _MODEL_ATTR[model]), checks))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _dq_sql(test):
-    selects = []
-    for model, specs in CHECKS.items():
-        for s in specs:
-            if s[1] != test:
-                continue
-            col = s[0]
-            if test == "not_null":
-                cond = f"SELECT count(*) FROM {model} WHERE {col} IS NULL"
-            elif test == "unique":
-                cond = f"SELECT count(*) FROM (SELECT {col} FROM {model} WHERE {col} IS NOT NULL GROUP BY {col} HAVING count(*) > 1)"
-            else:
-                vals = ", ".join(repr(v) if isinstance(v, str) else str(v) for v in s[2])
-                cond = f"SELECT count(*) FROM {model} WHERE {col} IS NOT NULL AND {col} NOT IN ({vals})"
-            selects.append(f"SELECT '{model}' AS model, '{col}' AS column_name, '{test}' AS test, ({cond}) AS violations")
-    return O.with_models("\nUNION ALL\n".join(selects))
-
-
-for _t in ("not_null", "unique", "accepted_values"):
-    def _make(test):
-        def q(spark, sf_dir):
-            return _dq(spark, sf_dir, test)
-        q.__name__ = f"q_dq_{test}"
-        return q
-    register(f"dq_{_t}", _dq_sql(_t))(_make(_t))
+from areascope.queries import _LAYERS, ORACLE, QUERIES, Layers, layers, register  # noqa: F401
