@@ -109,7 +109,7 @@ def level_diversity(primary, middle, high) -> Column:
 
 
 def classify_amenity(tags) -> tuple[Column, Column]:
-    """(category, amenity_type) from an OSM tag map, first matching rule wins; null when no rule fits."""
+    """(category, amenity_type) from a map-tag dictionary, first matching rule wins; null when no rule fits."""
     t = _col(tags)
     leisure, shop, amenity, tourism = t["leisure"], t["shop"], t["amenity"], t["tourism"]
     is_park = leisure.isin(*PARK_LEISURE)

@@ -41,7 +41,7 @@ SELECT CASE WHEN l.l_linenumber % 3 <> 0 THEN p.p_name ELSE 'unnamed' END AS ame
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppkey = d.s_suppkey
 WHERE l.l_linestatus = 'F' AND p.p_type <> 'STANDARD'"""))
 def q_amenity_json_flatten(spark, sf_dir):
-    """Overpass-shaped JSON pages landed as files -> read by executors -> one classified row per element."""
+    """Points-of-interest API pages landed as files -> read by executors -> one classified row per element."""
     landed = LD.land_documents(LD.amenity_documents(spark, sf_dir), "amenities")
     return ING.flatten_amenity_json(ING.read_amenity_responses(spark, landed, multi_line=False))
 
@@ -57,7 +57,7 @@ SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) A
 FROM lineitem l JOIN dim d ON l.l_suppkey = d.s_suppkey
 WHERE l.l_linestatus = 'O' AND year(l.l_shipdate) IN (1996, 2001) AND l.l_quantity > 0"""))
 def q_school_json_flatten(spark, sf_dir):
-    """Education-portal-shaped JSON pages -> records -> regular schools -> ratios -> staged."""
+    """School-directory API pages -> records -> regular schools -> ratios -> staged."""
     landed = LD.land_documents(LD.school_documents(spark, sf_dir), "schools")
     recs = ING.flatten_school_json(ING.read_school_pages(spark, landed, multi_line=False))
     staged = STG.stage_schools(ING.derive_school_ratios(ING.filter_regular_schools(recs)))

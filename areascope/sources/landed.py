@@ -15,7 +15,7 @@ from areascope.sources.adapter import dimension
 from areascope.sources.ingest import AMENITY_RESPONSE_SCHEMA, SCHOOL_PAGE_SCHEMA
 from areascope.sources.tables import read_table
 
-# OSM-style tag (key, value) given to each part type; STANDARD gets a tag that no
+# Map-tag (key, value) given to each part type; STANDARD gets a tag that no
 # rule classifies, so those elements are dropped.
 PART_TYPE_TAGS = {
     "ECONOMY": ("leisure", "park"),
@@ -36,7 +36,7 @@ def _case(col, mapping: dict, pick: int):
 
 
 def amenity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON strings shaped like an Overpass response: {city, state_name, elements: [...]}.
+    """JSON strings shaped like a points-of-interest API response: {city, state_name, elements: [...]}.
     Odd line numbers carry lat/lon on the element, even ones only in ``center``; every third line
     has no ``name`` tag."""
     dim = dimension(spark, sf_dir).select("s_suppkey", "city", "state_name")
@@ -78,7 +78,7 @@ def parse_amenity_documents(docs: DataFrame) -> DataFrame:
 
 
 def school_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON strings shaped like Education Data Portal pages: {state, year, next, results: [...]}.
+    """JSON strings shaped like school-directory API pages: {state, year, next, results: [...]}.
     Odd lines give a ZIP+4 mailing code, even ones only the location code."""
     dim = dimension(spark, sf_dir).select("s_suppkey", "zip_code", "city", "state")
     ship_year = F.year("l_shipdate")

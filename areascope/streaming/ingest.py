@@ -17,14 +17,14 @@ from areascope.sources import ingest as ING
 
 
 def amenity_page_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """New Overpass-style pages in ``landing_dir`` -> classified amenity rows."""
+    """New points-of-interest API pages in ``landing_dir`` -> classified amenity rows."""
     pages = (spark.readStream.schema(ING.AMENITY_RESPONSE_SCHEMA).option("multiLine", True)
              .option("maxFilesPerTrigger", max_files_per_trigger).json(landing_dir))
     return ING.flatten_amenity_json(pages)
 
 
 def school_page_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """New Education-portal-style pages -> regular-school records with derived ratios."""
+    """New school-directory API pages -> regular-school records with derived ratios."""
     pages = (spark.readStream.schema(ING.SCHOOL_PAGE_SCHEMA).option("multiLine", True)
              .option("maxFilesPerTrigger", max_files_per_trigger).json(landing_dir))
     records = ING.filter_regular_schools(ING.flatten_school_json(pages))

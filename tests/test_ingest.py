@@ -11,7 +11,7 @@ from areascope.sources import ingest as ING
 
 
 def test_wide_csv_to_long(spark, tmp_path):
-    path = tmp_path / "zhvi.csv"
+    path = tmp_path / "values_wide.csv"
     path.write_text(
         "RegionID,SizeRank,RegionName,RegionType,StateName,State,City,Metro,CountyName,2024-01-31,2024-02-29,2024-03-31\n"
         "1,0,601,zip,PR,PR,Adjuntas,,Adjuntas,100.5,,101.25\n"
