@@ -33,6 +33,10 @@ from areascope.functions.numeric import tie_safe_round
 from areascope.session import materialize
 
 DEFAULT_BUCKETS = 512
+# Size check for the short path: when the number of distinct (partition, value) rows is at most
+# this, one window over those rows (checked small, so one task may hold them) replaces the bucketed
+# prefix sums. Beyond it the bucketed path runs. Tests force both paths.
+SMALL_DISTINCT_ROWS = 200_000
 # Accuracy of the quantile sketch used for bucket cut points (balance only, not exactness).
 CUT_ACCURACY = 2000
 
@@ -64,13 +68,28 @@ def _percentages(buckets: int) -> str:
     return "array(" + ", ".join(repr(k / buckets) for k in range(1, buckets)) + ")"
 
 
-def _ranks_from_counts(counts: DataFrame, partition_by: Sequence[str], cut_by: Sequence[str], buckets: int) -> DataFrame:
+def _ranks_small(counts: DataFrame, parts: list[str]) -> DataFrame:
+    """The checked-small path: running sums over the distinct values of each partition."""
+    null_pos = F.when(F.col("_v").isNull(), F.when(F.col("_nf"), F.lit(0)).otherwise(F.lit(2))).otherwise(F.lit(1))
+    ordered = Window.partitionBy(*parts).orderBy(null_pos, F.col("_v"))
+    ranks = counts.select(
+        *parts, "_v",
+        F.coalesce(F.sum("_rows").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy(*parts)).alias("_n"),
+        *[c for c in counts.columns if c.startswith("_k_")])
+    return materialize(ranks, "ranks")
+
+
+def _ranks_from_counts(counts: DataFrame, partition_by: Sequence[str], cut_by: Sequence[str], buckets: int,
+                       small_rows: int = SMALL_DISTINCT_ROWS) -> DataFrame:
     """``counts`` has ``partition_by`` + ``_v`` (ascending sort key, unique per partition),
     ``_rows`` (long) and ``_nf`` (nulls first?), optionally ``_k_*`` payload columns.
     Returns one row per input row with ``_before`` (rows strictly ahead) and ``_n`` (partition rows)."""
     parts = list(partition_by)
     if buckets < 2 or buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two >= 2")
+    if small_rows and counts.count() <= small_rows:
+        return _ranks_small(counts, parts)
     key_d = F.col("_v").cast("double")
     cut_by = list(cut_by)
     if not cut_by:
@@ -113,6 +132,7 @@ def percent_rank_scores(
     scale: int | None = 1,
     buckets: int = DEFAULT_BUCKETS,
     reuse_input: bool = True,
+    small_rows: int = SMALL_DISTINCT_ROWS,
 ) -> DataFrame:
     """Add ``round(percent_rank() OVER (ORDER BY col [DESC]) * 100, scale)`` for each
     ``{out: (col, ascending[, scale])}``, over the whole DataFrame, without a global window.
@@ -135,7 +155,7 @@ def percent_rank_scores(
         for i in range(len(names))
     ])).alias("_s")).select("_s.*")
     counts = stacked.groupBy("_m", "_v", "_nf").agg(F.count(F.lit(1)).alias("_rows"))
-    ranks = _ranks_from_counts(counts, ["_m"], ["_m"], buckets)
+    ranks = _ranks_from_counts(counts, ["_m"], ["_m"], buckets, small_rows)
     ranks = ranks.select("_m", "_v", _pct(F.col("_before"), F.col("_n")).alias("_pr"))
 
     out = df
@@ -158,6 +178,7 @@ def rank_within(
     descending: bool = True,
     buckets: int = DEFAULT_BUCKETS,
     reuse_input: bool = True,
+    small_rows: int = SMALL_DISTINCT_ROWS,
 ) -> DataFrame:
     """Add ``rank() OVER (PARTITION BY p ORDER BY order_col [DESC])`` as ``out`` (int).
 
@@ -171,7 +192,7 @@ def rank_within(
               .withColumn("_v", -F.col(order_col) if descending else F.col(order_col))
               .withColumn("_nf", F.lit(not descending))
               .withColumnRenamed(order_col, "_k_order"))
-    ranks = _ranks_from_counts(counts, parts, [], buckets)
+    ranks = _ranks_from_counts(counts, parts, [], buckets, small_rows)
     ranks = ranks.select(*[F.col(p).alias(f"_r_{p}") for p in parts], F.col("_k_order").alias("_r_order"),
                          (F.col("_before") + 1).cast("int").alias(out))
     cond = _null_safe_on(df, ranks, [*parts, order_col], [*[f"_r_{p}" for p in parts], "_r_order"])

@@ -18,11 +18,11 @@ def _rows(n, seed, null_share=0.1, distinct=50):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 500])
-@pytest.mark.parametrize("buckets", [2, 4, 512])
-def test_percent_rank_matches_window(spark, n, buckets):
+@pytest.mark.parametrize("buckets,small_rows", [(2, 0), (4, 0), (512, 0), (512, 200_000)])
+def test_percent_rank_matches_window(spark, n, buckets, small_rows):
     df = spark.createDataFrame(_rows(n, n), "id long, v double, g string")
     got = percent_rank_scores(df, {"asc_s": ("v", True), "desc_s": ("v", False), "raw": ("v", True, None)},
-                              buckets=buckets)
+                              buckets=buckets, small_rows=small_rows)
     exp = df.select(
         "id",
         tie_safe_round(F.percent_rank().over(Window.orderBy(F.col("v").asc())) * 100, 1).alias("asc_s"),
@@ -32,14 +32,16 @@ def test_percent_rank_matches_window(spark, n, buckets):
     assert sorted(got.select("id", "asc_s", "desc_s", "raw").collect()) == sorted(exp.collect())
 
 
-def test_percent_rank_all_null(spark):
+@pytest.mark.parametrize("small_rows", [0, 200_000])
+def test_percent_rank_all_null(spark, small_rows):
     df = spark.createDataFrame([(1, None), (2, None)], "id long, v double")
-    got = percent_rank_scores(df, {"s": ("v", True), "d": ("v", False)})
+    got = percent_rank_scores(df, {"s": ("v", True), "d": ("v", False)}, small_rows=small_rows)
     assert sorted(tuple(r) for r in got.select("id", "s", "d").collect()) == [(1, 0.0, 0.0), (2, 0.0, 0.0)]
 
 
 @pytest.mark.parametrize("descending", [True, False])
-def test_rank_within_matches_window_with_hot_and_null_partitions(spark, descending):
+@pytest.mark.parametrize("small_rows", [0, 200_000])
+def test_rank_within_matches_window_with_hot_and_null_partitions(spark, descending, small_rows):
     rnd = random.Random(7)
     rows = []
     for i in range(900):
@@ -47,23 +49,24 @@ def test_rank_within_matches_window_with_hot_and_null_partitions(spark, descendi
         v = None if rnd.random() < 0.05 else rnd.randint(0, 40) / 2
         rows.append((i, g, v))
     df = spark.createDataFrame(rows, "id long, g string, v double")
-    got = rank_within(df, "g", "v", out="r", descending=descending, buckets=8)
+    got = rank_within(df, "g", "v", out="r", descending=descending, buckets=8, small_rows=small_rows)
     order = F.col("v").desc() if descending else F.col("v").asc()
     exp = df.select("id", F.rank().over(Window.partitionBy("g").orderBy(order)).alias("r"))
     assert sorted(got.select("id", "r").collect()) == sorted(exp.collect())
     assert dict(got.dtypes)["r"] == "int"
 
 
-def test_rank_within_decimal_order_key(spark):
+@pytest.mark.parametrize("small_rows", [0, 200_000])
+def test_rank_within_decimal_order_key(spark, small_rows):
     df = spark.createDataFrame([(1, "m", "10.05"), (2, "m", "10.050"), (3, "m", "10.049"), (4, "n", "1")],
                                "id long, g string, v string").withColumn("v", F.col("v").cast("decimal(10,3)"))
-    got = {r.id: r.r for r in rank_within(df, "g", "v", out="r").collect()}
+    got = {r.id: r.r for r in rank_within(df, "g", "v", out="r", small_rows=small_rows).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
 def test_no_single_partition_exchange(spark):
     df = spark.createDataFrame(_rows(200, 3), "id long, v double, g string")
-    plan = percent_rank_scores(df, {"s": ("v", True)})._jdf.queryExecution().executedPlan().toString()
+    plan = percent_rank_scores(df, {"s": ("v", True)}, small_rows=0)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
-    plan = rank_within(df, "g", "v")._jdf.queryExecution().executedPlan().toString()
+    plan = rank_within(df, "g", "v", small_rows=0)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
