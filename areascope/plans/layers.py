@@ -92,7 +92,8 @@ class BenchmarkLayers(Layers):
 
     @cached_property
     def _dim(self) -> DataFrame:
-        return adapter.dimension(self.spark, self.sf_dir)
+        # one row per area, read by all four raw tables: written once
+        return materialize(adapter.dimension(self.spark, self.sf_dir), "dim_area")
 
     @cached_property
     def raw_home_values(self) -> DataFrame:
