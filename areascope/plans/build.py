@@ -23,7 +23,7 @@ RAW = ("raw_home_values", "raw_rental_prices", "raw_amenities", "raw_schools")
 def build_raw_layer(layers: Layers, parallelism: int = 4) -> None:
     """Write the four raw tables with concurrent jobs (they share only the area dimension, which is
     built first)."""
-    getattr(layers, "_dim", None)
+    getattr(layers, "area_dimension", None)
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         list(pool.map(lambda name: getattr(layers, name), RAW))
 

@@ -91,25 +91,25 @@ class BenchmarkLayers(Layers):
         self.sf_dir = sf_dir
 
     @cached_property
-    def _dim(self) -> DataFrame:
-        # one row per area, read by all four raw tables: written once
+    def area_dimension(self) -> DataFrame:
+        """One row per area, read by all four raw tables: written once."""
         return materialize(adapter.dimension(self.spark, self.sf_dir), "dim_area")
 
     @cached_property
     def raw_home_values(self) -> DataFrame:
-        return materialize(adapter.raw_home_values(self.spark, self.sf_dir, self._dim), "raw_home_values",
+        return materialize(adapter.raw_home_values(self.spark, self.sf_dir, self.area_dimension), "raw_home_values",
                            partition_by=("date",), cluster_by=("zip_code",))
 
     @cached_property
     def raw_rental_prices(self) -> DataFrame:
-        return materialize(adapter.raw_rental_prices(self.spark, self.sf_dir, self._dim), "raw_rental_prices",
+        return materialize(adapter.raw_rental_prices(self.spark, self.sf_dir, self.area_dimension), "raw_rental_prices",
                            partition_by=("date",), cluster_by=("zip_code",))
 
     @cached_property
     def raw_amenities(self) -> DataFrame:
-        return materialize(adapter.raw_amenities(self.spark, self.sf_dir, self._dim), "raw_amenities")
+        return materialize(adapter.raw_amenities(self.spark, self.sf_dir, self.area_dimension), "raw_amenities")
 
     @cached_property
     def raw_schools(self) -> DataFrame:
-        return materialize(adapter.raw_schools(self.spark, self.sf_dir, self._dim), "raw_schools",
+        return materialize(adapter.raw_schools(self.spark, self.sf_dir, self.area_dimension), "raw_schools",
                            partition_by=("year",), cluster_by=("zip_code",))

@@ -42,7 +42,7 @@ FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppk
 WHERE l.l_linestatus = 'F' AND p.p_type <> 'STANDARD'"""))
 def q_amenity_json_flatten(spark, sf_dir):
     """Points-of-interest API pages landed as files -> read by executors -> one classified row per element."""
-    landed = LD.land_documents(LD.amenity_documents(spark, sf_dir), "amenities")
+    landed = LD.land_documents(LD.amenity_documents(spark, sf_dir, layers(spark, sf_dir).area_dimension), "amenities")
     return ING.flatten_amenity_json(ING.read_amenity_responses(spark, landed, multi_line=False))
 
 
@@ -58,7 +58,7 @@ FROM lineitem l JOIN dim d ON l.l_suppkey = d.s_suppkey
 WHERE l.l_linestatus = 'O' AND year(l.l_shipdate) IN (1996, 2001) AND l.l_quantity > 0"""))
 def q_school_json_flatten(spark, sf_dir):
     """School-directory API pages -> records -> regular schools -> ratios -> staged."""
-    landed = LD.land_documents(LD.school_documents(spark, sf_dir), "schools")
+    landed = LD.land_documents(LD.school_documents(spark, sf_dir, layers(spark, sf_dir).area_dimension), "schools")
     recs = ING.flatten_school_json(ING.read_school_pages(spark, landed, multi_line=False))
     staged = STG.stage_schools(ING.derive_school_ratios(ING.filter_regular_schools(recs)))
     return staged.select("nces_school_id", "zip_code", "state", "year", "school_level", "enrollment",

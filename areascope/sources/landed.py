@@ -35,11 +35,11 @@ def _case(col, mapping: dict, pick: int):
     return expr
 
 
-def amenity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def amenity_documents(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None) -> DataFrame:
     """JSON strings shaped like a points-of-interest API response: {city, state_name, elements: [...]}.
     Odd line numbers carry lat/lon on the element, even ones only in ``center``; every third line
     has no ``name`` tag."""
-    dim = dimension(spark, sf_dir).select("s_suppkey", "city", "state_name")
+    dim = (dimension(spark, sf_dir) if dim is None else dim).select("s_suppkey", "city", "state_name")
     lines = read_table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
@@ -77,10 +77,10 @@ def parse_amenity_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.from_json("document", AMENITY_RESPONSE_SCHEMA).alias("r")).select("r.*")
 
 
-def school_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def school_documents(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None) -> DataFrame:
     """JSON strings shaped like school-directory API pages: {state, year, next, results: [...]}.
     Odd lines give a ZIP+4 mailing code, even ones only the location code."""
-    dim = dimension(spark, sf_dir).select("s_suppkey", "zip_code", "city", "state")
+    dim = (dimension(spark, sf_dir) if dim is None else dim).select("s_suppkey", "zip_code", "city", "state")
     ship_year = F.year("l_shipdate")
     lines = read_table(spark, sf_dir, "lineitem").where(
         (F.col("l_linestatus") == "O") & ship_year.isin(1996, 2001))
