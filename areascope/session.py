@@ -42,19 +42,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster sets it to a shared filesystem; only when it is unset (local tests) do we create a
-    private scratch folder.
+    private scratch folder. Works on classic and Connect sessions (no SparkContext on Connect).
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: configuration only
+        sc = None
+    configured = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
+        if sc is not None and sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster; "
                            "intermediate tables are written there")
     local = tempfile.mkdtemp(prefix="areascope-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # a core setting some versions refuse at runtime; the context keeps it below
+        pass
+    if sc is not None:
+        sc.setCheckpointDir(local)
     return local
 
 
