@@ -23,9 +23,10 @@ ORACLE: dict[str, str] = {}
 def layers(spark: SparkSession, sf_dir: str) -> Layers:
     """The model layers over one benchmark folder, shared by every query of a session."""
     key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _LAYERS:
-        _LAYERS[key] = Layers.from_benchmark(spark, sf_dir)
-    return _LAYERS[key]
+    cached = _LAYERS.get(key)
+    if cached is None or cached.spark is not spark:   # ids can be reused after a session is gone
+        cached = _LAYERS[key] = Layers.from_benchmark(spark, sf_dir)
+    return cached
 
 
 def register(name: str, sql: str | None = None):
