@@ -15,7 +15,9 @@ from areascope.operators.panel import (
     LOOKBACK_MONTHS,
     at_latest,
     common_latest,
+    common_latest_value,
     latest_date,
+    latest_date_value,
     lookback,
     multi_series_lookback,
 )
