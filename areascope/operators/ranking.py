@@ -81,13 +81,14 @@ def _ranks_small(counts: DataFrame, parts: list[str]) -> DataFrame:
 
 
 def _ranks_from_counts(counts: DataFrame, partition_by: Sequence[str], cut_by: Sequence[str], buckets: int,
-                       small_rows: int = SMALL_DISTINCT_ROWS) -> DataFrame:
+                       small_rows: int | None = None) -> DataFrame:
     """``counts`` has ``partition_by`` + ``_v`` (ascending sort key, unique per partition),
     ``_rows`` (long) and ``_nf`` (nulls first?), optionally ``_k_*`` payload columns.
     Returns one row per input row with ``_before`` (rows strictly ahead) and ``_n`` (partition rows)."""
     parts = list(partition_by)
     if buckets < 2 or buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two >= 2")
+    small_rows = SMALL_DISTINCT_ROWS if small_rows is None else small_rows
     if small_rows and counts.count() <= small_rows:
         return _ranks_small(counts, parts)
     key_d = F.col("_v").cast("double")
@@ -132,7 +133,7 @@ def percent_rank_scores(
     scale: int | None = 1,
     buckets: int = DEFAULT_BUCKETS,
     reuse_input: bool = True,
-    small_rows: int = SMALL_DISTINCT_ROWS,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Add ``round(percent_rank() OVER (ORDER BY col [DESC]) * 100, scale)`` for each
     ``{out: (col, ascending[, scale])}``, over the whole DataFrame, without a global window.
@@ -178,7 +179,7 @@ def rank_within(
     descending: bool = True,
     buckets: int = DEFAULT_BUCKETS,
     reuse_input: bool = True,
-    small_rows: int = SMALL_DISTINCT_ROWS,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Add ``rank() OVER (PARTITION BY p ORDER BY order_col [DESC])`` as ``out`` (int).
 
