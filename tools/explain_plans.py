@@ -22,8 +22,10 @@ NOTES = {
     "price_trends": "One shuffle (partial + final aggregate by area); no join; the scan reads only the 4 month "
                     "partitions named in PartitionFilters.",
     "rental_yield": "Both panels are stacked (Union) and grouped once; no self-joins.",
-    "neighborhood_score": "Distinct-value counts, quantile cut points (broadcast, one row per metric), windows "
-                          "partitioned by (metric, bucket), join-back per metric; no window without PARTITION BY.",
+    "neighborhood_score": "Distinct-value counts per metric; the size check found few distinct values, so the "
+                          "rank table comes from one window per metric (the bucketed path takes over beyond the "
+                          "threshold); join-back per metric reads the stored rank table; no window without "
+                          "PARTITION BY.",
     "market_intelligence": "Four per-area tables joined (strategy chosen by AQE from their measured size), then "
                            "rank within metro from distinct (metro, score) counts.",
     "area_comparison": "One grouped aggregation (distinct count via Expand, percentile sketch).",
