@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from areascope import oracle as O
-from areascope.functions.keys import school_zip
+from areascope.functions import labels as L
+from areascope.functions.keys import school_zip, tag
 from areascope.operators import aggregates as AG
 from areascope.plans import staging as STG
 from areascope.queries.base import layers, register
 from areascope.sources import ingest as ING
 from areascope.sources import landed as LD
+from areascope.sources.tables import read_table
 
 
 
@@ -166,3 +168,22 @@ def q_map_to_zip(spark, sf_dir):
 @register("amenity_zip_coverage", O.with_models("SELECT count(DISTINCT zip_code) AS n FROM raw_amenities"))
 def q_amenity_zip_coverage(spark, sf_dir):
     return AG.nunique(layers(spark, sf_dir).raw_amenities, "zip_code")
+
+
+@register("json_props_category", """
+SELECT event_id, event_type,
+       CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+       coalesce(json_extract_string(props, '$.name'), 'unnamed') AS name,
+       CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 80 THEN 'excellent'
+            WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 60 THEN 'good'
+            WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 40 THEN 'average'
+            WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 20 THEN 'below_average'
+            ELSE 'poor' END AS category
+FROM events""")
+def q_json_props_category(spark, sf_dir):
+    """JSON property strings -> map -> keyed lookups with a default -> tier label (events table)."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    props = F.from_json("props", "map<string,string>")
+    k = tag(props, "k").cast("int")
+    return ev.select("event_id", "event_type", k.alias("k"), tag(props, "name", "unnamed").alias("name"),
+                     L.tier(k).alias("category"))
