@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from areascope import oracle as O
-from areascope.operators.panel import at_latest, lookback
+from areascope.operators.panel import at_latest, latest_date_value, lookback
 from areascope.operators.ranking import percent_rank_scores, rank_within
 from areascope.queries.base import layers, register
 from areascope.sources import adapter as AD
@@ -59,7 +59,8 @@ def q_lookback(spark, sf_dir):
 
 def _sparse_lookback(spark, sf_dir):
     p = AD.sparse_value_panel(spark, sf_dir)
-    return lookback(p, "zip_code", "home_value", p.select(F.max("date")).scalar(), _LOOKBACK_NAMES)
+    # a literal reference date lets the date filter sink below the lineitem aggregation
+    return lookback(p, "zip_code", "home_value", latest_date_value(p), _LOOKBACK_NAMES)
 
 
 @register("lookback_sparse", f"WITH {O.ADAPTER}, {_SPARSE_PANEL} SELECT * FROM sparse_lookback")
