@@ -7,7 +7,6 @@ Library code never hard-codes a master or a scratch folder: on a cluster the ses
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -39,32 +38,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder for intermediate tables and checkpoints.
 
-    A cluster sets it to a shared filesystem; only when it is unset (local tests) do we create a
-    private scratch folder. Works on classic and Connect sessions (no SparkContext on Connect).
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, local runs) a folder
+    under ``spark.sql.warehouse.dir`` is used: the warehouse is shared by driver and executors too,
+    unlike a machine's temporary folder.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: configuration only
         sc = None
     configured = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
-    if configured:
-        if sc is not None and sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster; "
-                           "intermediate tables are written there")
-    local = tempfile.mkdtemp(prefix="areascope-ckpt-")
-    try:
-        spark.conf.set("spark.checkpoint.dir", local)
-    except Exception:  # a core setting some versions refuse at runtime; the context keeps it below
-        pass
-    if sc is not None:
-        sc.setCheckpointDir(local)
-    return local
+    folder = configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_areascope"
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df):

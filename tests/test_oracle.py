@@ -10,8 +10,8 @@ from areascope.verify import compare, duckdb_connection
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables not present")
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+ORACLE = {k: v for k, v in entry.oracle_sql().items() if k not in entry.LLM_QUERIES}
+QUERIES = {k: v for k, v in entry.queries().items() if k not in entry.LLM_QUERIES}
 
 
 @pytest.fixture(scope="module")
