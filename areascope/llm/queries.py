@@ -100,3 +100,24 @@ def op10(spark, sf_dir):
         F.array_min(F.expr("transform(license.places, p -> p.word)")).alias("first_word"),
         F.array_max(F.expr("transform(license.places, p -> p.word)")).alias("last_word"),
         "license.base_labels", "license.labels", "license.score")
+
+
+@register("op3_ngram_quality")
+def op3(spark, sf_dir):
+    """Base counts and verdict of every document."""
+    from areascope.llm import quality
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id", *[f"quality_rules.{f.name}" for f in quality.RULE_FIELDS], "quality_rules.base_failed",
+        "quality_rules.kept", "quality_rules.probability")
+
+
+@register("op5_tensored_minhash")
+def op5(spark, sf_dir):
+    """Near-duplicate component of every document."""
+    from areascope.llm import neardup
+
+    out = neardup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
