@@ -196,7 +196,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     result = T.StructType([*RULE_FIELDS, T.StructField("base_failed", T.BooleanType()), T.StructField("probability", T.DoubleType()),
                            T.StructField("kept", T.BooleanType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_rules", result)])
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,6 +211,6 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 out["kept"] = ~out["base_failed"] & (out["probability"] >= THRESHOLD)
                 columns = [pa.array(v) for v in out.values()]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.StructArray.from_arrays(columns, list(out))],
-                                                 [*docs.columns, "quality_rules"])
+                                                 [*names, "quality_rules"])
 
     return map_arrow(docs, run, schema)
