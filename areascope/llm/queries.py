@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from areascope.llm.common import read
@@ -121,3 +123,36 @@ def op5(spark, sf_dir):
 
     out = neardup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@register("op6_pigeonhole_edit_match")
+def op6(spark, sf_dir):
+    """Benchmark items that each document holds within the edit budget."""
+    from areascope.llm import decontaminate
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.scan(docs, read(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.array_distinct(F.expr("transform(benchmark_hits, h -> h.item_id)")))
+    return hits.select("doc_id", (F.size("benchmark_hits") > 0).alias("contaminated"), F.size(ids).alias("n_items"), ids.alias("item_ids"),
+                       F.array_min(F.expr("transform(benchmark_hits, h -> h.distance)")).alias("least_distance"))
+
+
+@register("op7_warc_revisits", """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, row_number() OVER () AS rn FROM pages),
+d AS (SELECT page_id, rn, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, url FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST, rn) AS k,
+             first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST, rn) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND k > 1 THEN top END AS refers_to
+FROM r""")
+def op7(spark, sf_dir):
+    """Pages written as WARC archives with revisit records, then read back."""
+    from areascope.llm import warc
+    from areascope.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/areascope/warc-{uuid.uuid4().hex}"
+    warc.write_archives(warc.classify(read(spark, sf_dir, "pages")), path)
+    records = warc.resolve(warc.read_archives(spark, path))
+    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+                          F.sha1("payload").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
