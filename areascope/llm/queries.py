@@ -156,3 +156,12 @@ def op7(spark, sf_dir):
     records = warc.resolve(warc.read_archives(spark, path))
     return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
                           F.sha1("payload").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+@register("op9_suffix_automata")
+def op9(spark, sf_dir):
+    """Words removed from each document as parts of repeated windows."""
+    from areascope.llm import substrings
+
+    out = substrings.remove(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "removal.n_words", "removal.n_removed", "removal.kept_sha256")
