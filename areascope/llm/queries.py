@@ -165,3 +165,16 @@ def op9(spark, sf_dir):
 
     out = substrings.remove(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "removal.n_words", "removal.n_removed", "removal.kept_sha256")
+
+
+@register("op1_repair_token_shards")
+def op1(spark, sf_dir):
+    """Token ids of all documents, written as Re-Pair shards and read back."""
+    import public_tokenizers
+
+    from areascope.llm import repair
+    from areascope.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/areascope/repair-{uuid.uuid4().hex}"
+    repair.write_table(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return repair.read_table(spark, path)
