@@ -178,3 +178,11 @@ def op1(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/areascope/repair-{uuid.uuid4().hex}"
     repair.write_table(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return repair.read_table(spark, path)
+
+
+@register("op4_gated_recurrent_lm")
+def op4(spark, sf_dir):
+    """Unigram base score and recurrent model score of every document."""
+    from areascope.llm import recurrent
+
+    return recurrent.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
