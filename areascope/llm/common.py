@@ -29,6 +29,18 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named by position (c0, c1, ...), so that none clashes with an operator's own."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def renamed(df: DataFrame, names: Sequence[str], *new: str) -> DataFrame:
+    """The numbered columns of ``df`` under their names again, and ``new`` ones; a new one replaces an
+    input column of its name."""
+    keep = [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n not in new]
+    return df.select(*keep, *new)
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

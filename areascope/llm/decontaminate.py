@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areascope.llm.common import map_arrow
+from areascope.llm.common import map_arrow, numbered, renamed
 from areascope.llm.textops import as_bytes
 
 #: One edit is allowed for each so many characters; characters of items in one scan.
@@ -152,19 +152,18 @@ def item_blocks(items: DataFrame, item_id: str, text: str, max_chars: int = MAX_
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``benchmark_hits``: for each item found the best occurrence (positions in the normal form)."""
-    out = None
-    for b, block in enumerate(item_blocks(items, item_id, item_text)):
-        if out is None:
-            out = _scan(docs, text, block, "benchmark_hits")
-        else:
-            out = _scan(out, text, block, "_more")
-            out = out.withColumn("benchmark_hits", F.concat("benchmark_hits", "_more")).drop("_more")
-    return out
+    out = numbered(docs).withColumn("benchmark_hits", F.array().cast(T.ArrayType(HIT)))
+    at = docs.columns.index(text)
+    for block in item_blocks(items, item_id, item_text):
+        out = _scan(out, f"c{at}", block, "more").withColumn("benchmark_hits", F.concat("benchmark_hits", "more")).drop("more")
+    return renamed(out, docs.columns, "benchmark_hits")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    return scan(docs, items, text).where(F.size("benchmark_hits") == 0).drop("benchmark_hits")
+    names = docs.columns
+    marked = scan(numbered(docs), items, f"c{names.index(text)}")
+    return renamed(marked.where(F.size("benchmark_hits") == 0), names)
 
 
 __all__ = ["scan", "clean_documents", "occurrences", "nearest", "Pattern", "automaton", "normal_form"]

@@ -34,7 +34,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areascope.llm.common import LOWER, UPPER, text_or_empty
+from areascope.llm.common import LOWER, UPPER, numbered, renamed, text_or_empty
 
 #: Characters that are no word characters; base phrases and their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -126,7 +126,9 @@ def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, str] = TEM
     places = (f"transform(filter(sequence(0, size(ws) - 1), i -> {at}),"
               f" i -> named_struct('word', cast(i as bigint), 'label', {label}))")
 
-    inner = docs.select(*[F.col(f"`{c}`") for c in docs.columns], _lower(text_or_empty(text)).alias("_low"))
+    inner = numbered(docs)
+    columns = inner.columns
+    inner = inner.withColumn("_low", _lower(text_or_empty(f"c{docs.columns.index(text)}")))
     inner = inner.withColumn("_ws", _words(F.col("_low")))
     n = F.size("_ws").cast("long")
     empty_places = "cast(array() as array<struct<word: bigint, label: string>>)"
@@ -145,9 +147,9 @@ def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, str] = TEM
     empty_blocks = "cast(array() as array<struct<line: int, label: string, containment: double>>)"
     blocks = F.when(F.arrays_overlap(F.col("_ws"), F.expr(_strings(prefix))), F.expr(verified)).otherwise(F.expr(empty_blocks))
 
-    out = inner.select(*[F.col(f"`{c}`") for c in docs.columns], n.alias("_n"), found.alias("_places"), blocks.alias("_blocks"))
+    out = inner.select(*columns, n.alias("_n"), found.alias("_places"), blocks.alias("_blocks"))
     lic = F.expr("""named_struct('n_words', _n, 'places', _places, 'blocks', _blocks,
         'base_labels', array_join(array_sort(array_distinct(transform(_places, p -> p.label))), ','),
         'labels', array_join(array_sort(array_distinct(concat(transform(_places, p -> p.label), transform(_blocks, b -> b.label)))), ','),
         'score', if(size(_places) > 0, 1.0D, coalesce(array_max(transform(_blocks, b -> b.containment)), 0.0D)))""")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], lic.alias("license"))
+    return renamed(out.withColumn("license", lic), docs.columns, "license")

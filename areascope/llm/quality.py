@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areascope.llm.common import hashed_key, map_arrow
+from areascope.llm.common import hashed_key, map_arrow, numbered, renamed
 from areascope.llm.textops import Chunk, as_bytes, by_document, chunks, mix64, seen_twice, window_hash
 
 #: Fixed rules: fewest words, words of a repeat window, largest share of repeated words in percent, symbols.
@@ -195,9 +195,9 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     """``docs`` with a struct column ``quality_rules``: the five counts, ``base_failed``, ``probability``, ``kept``."""
     result = T.StructType([*RULE_FIELDS, T.StructField("base_failed", T.BooleanType()), T.StructField("probability", T.DoubleType()),
                            T.StructField("kept", T.BooleanType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_rules", result)])
-    names = docs.columns
-    at = names.index(text)
+    at, rows = docs.columns.index(text), numbered(docs)
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("quality_rules", result)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,4 +213,10 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.StructArray.from_arrays(columns, list(out))],
                                                  [*names, "quality_rules"])
 
-    return map_arrow(docs, run, schema)
+    return renamed(map_arrow(rows, run, schema), docs.columns, "quality_rules")
+
+
+def kept_documents(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``docs`` without the documents that the rules reject."""
+    names = docs.columns
+    return renamed(score(numbered(docs), model, f"c{names.index(text)}").where("quality_rules.kept"), names)

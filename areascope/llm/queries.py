@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from areascope.llm.common import read
 
 LLM_QUERIES, LLM_ORACLE = {}, {}
@@ -186,3 +187,6 @@ def op4(spark, sf_dir):
     from areascope.llm import recurrent
 
     return recurrent.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -114,9 +114,16 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
                       "home")
 
 
+def sharded_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``, which replace input columns of these names."""
+    placed = shard(docs, doc_id, text, **options)
+    keep = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return placed.select(*keep, "shard", "slot")
+
+
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", **options) -> None:
     """Write the documents as one folder for each shard, files in slot order; a shard is spread over
     several tasks by ranges of slots."""
-    placed = shard(docs, doc_id, text, **options).select("row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    placed.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot") \
-        .write.mode("overwrite").partitionBy("_shard").parquet(path)
+    placed = sharded_documents(docs, doc_id, text, **options)
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot") \
+        .write.mode("overwrite").partitionBy("shard").parquet(path)

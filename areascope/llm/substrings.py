@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from areascope.llm.common import map_arrow, text_or_empty
+from areascope.llm.common import map_arrow, numbered, renamed, text_or_empty
 from areascope.llm.textops import Chunk, as_bytes, chunks, mix64, window_hash
 from areascope.session import materialize
 
@@ -324,13 +324,16 @@ def repeated_word_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with ``removal``: n_words, n_removed, kept_text (the kept words, joined by one space) and its SHA-256."""
     spans = repeated_word_spans(docs, doc_id, text, window)
-    names = docs.columns
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text_or_empty(text)).alias("_h"))
-    joined = keyed.join(spans, keyed[doc_id].eqNullSafe(spans["id"]) & (keyed["_h"] == spans["text_hash"]), "left") \
-        .select(*[F.col(f"`{c}`") for c in names], F.col("spans").alias("_spans"))
+    names, rows = docs.columns, numbered(docs)
+    own_id, own_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    rows = rows.withColumn("own_hash", F.xxhash64(text_or_empty(own_text)))
+    joined = rows.join(spans, rows[own_id].eqNullSafe(spans["id"]) & (rows["own_hash"] == spans["text_hash"]), "left") \
+        .drop("own_hash", "id", "text_hash")
     result = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
     at, n = names.index(text), len(names)
+    columns = [*joined.columns[:n], "removal"]
+    fields = result.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,6 +350,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
             cols = list(zip(*out)) or [[], [], [], []]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             arrays = [pa.array([x.decode("utf-8", "replace") for x in c] if i == 2 else c, k) for i, (c, k) in enumerate(zip(cols, kinds))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.StructArray.from_arrays(arrays, result.names)], [*names, "removal"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.StructArray.from_arrays(arrays, fields)], columns)
 
-    return map_arrow(joined, run, T.StructType([*docs.schema.fields, T.StructField("removal", result)]))
+    out = map_arrow(joined, run, T.StructType([*numbered(docs).schema.fields, T.StructField("removal", result)]))
+    return renamed(out, names, "removal")

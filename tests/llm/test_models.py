@@ -1,0 +1,228 @@
+"""Token shards, language model, archives, the pipeline."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from helpers import MESSY, SF, base_counts, messy, near_components, prose, words
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from areascope.llm import decontaminate, neardup, quality, recurrent, repair, sharding, warc
+from areascope.llm.common import read
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def encode(text):
+    return [*repair.encoder(TOKENIZER).tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+
+
+def expected_tokens(rows):
+    out, start = [], 0
+    for d, t in rows:
+        ids = encode(t)
+        out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_token_shards_on_table(spark):
+    rows = sorted((r.doc_id, r.text) for r in read(spark, SF, "documents").select("doc_id", "text").collect())
+    got = [tuple(r) for r in entry.queries()["op1_repair_token_shards"](spark, SF).orderBy("start").collect()]
+    assert got == expected_tokens(rows)
+
+
+def test_token_shards_messy(spark, tmp_path):
+    repair.write_table(messy(spark), str(tmp_path / "t"), TOKENIZER, shard_ids=500)
+    got = [tuple(r) for r in repair.read_table(spark, str(tmp_path / "t")).orderBy("start").collect()]
+    rows = sorted(((d, t) for d, t, _ in MESSY), key=lambda x: (x[0] is not None, x[0] or 0))
+    assert sorted((d is not None, d or 0, n, c) for d, _, n, c in got) == sorted((d is not None, d or 0, n, c) for d, _, n, c in expected_tokens(rows))
+    assert [x[0] for x in got] == [d for d, _ in rows]
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:])) and got[0][1] == 0
+    repair.write_table(messy(spark, []), str(tmp_path / "e"), TOKENIZER)
+    assert repair.read_table(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_word_table_gives_the_ids_of_whole_texts():
+    r = random.Random(0)
+    chars = ["a", " ", "\n", "'s", "1", "é", "!", " ", "\x1c", "​", "日", "'", "\t", "Zz"]
+    texts = ["".join(r.choice(chars) for _ in range(r.randrange(14))) for _ in range(3000)]
+    texts += ["<|endoftext|> a", " a b", "a  b", "don't  do", "x 's y 'll", prose(1, 300)]
+    for t, ids in zip(texts, repair.Encoder(TOKENIZER).encode(texts)):
+        assert [*ids.tolist(), 0] == encode(t), repr(t)
+
+
+def test_repair_round_trip_and_random_access():
+    r = np.random.default_rng(3)
+    phrase = r.integers(0, 50000, 40)
+    docs = []
+    for i in range(60):
+        parts = [phrase[r.integers(0, 20):r.integers(20, 40)] for _ in range(r.integers(0, 30))] + [r.integers(0, 300, r.integers(0, 50))]
+        docs.append(np.append(np.concatenate(parts), 0).astype(np.uint32))
+    docs += [np.zeros(1, np.uint32), np.array([5] * 4000 + [0], np.uint32), np.array([0, 0, 7, 0, 0], np.uint32)]
+    data = repair.write_shard(docs)
+    shard = repair.Shard(data)
+    assert len(data) < 0.8 * 4 * sum(map(len, docs)) and len(shard.rules) > 10
+    assert all(np.array_equal(a, b) for a, b in zip(docs, shard.documents())) and shard.n_documents == len(docs)
+    assert np.array_equal(shard.starts(), np.cumsum([0] + [len(d) for d in docs[:-1]]))
+    for k, d in enumerate(docs):
+        assert np.array_equal(shard.document(k), d)
+        lo = int(r.integers(0, len(d) + 1))
+        hi = int(r.integers(lo, len(d) + 1))
+        assert np.array_equal(shard.decode_range(k, lo, hi), d[lo:hi])
+
+
+def check_base(rows, got):
+    counts, texts, held = Counter(), {}, {}
+    for k, (d, t) in enumerate(rows):
+        held[k] = zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+        texts[k] = [w.encode() for w in words(t, True)] + [b"\n"]
+        if not held[k]:
+            counts.update(texts[k])
+    n, v = sum(counts.values()), len(counts)
+    expected = []
+    for k, (d, _) in enumerate(rows):
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in texts[k])
+        expected.append((d is None, d or 0, held[k], len(texts[k]), sum(counts[w] > 0 for w in texts[k]), n, round(base, 4)))
+    assert sorted(expected) == sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got)
+
+
+def test_language_model_on_table(spark, monkeypatch):
+    monkeypatch.setattr(recurrent, "HEAVY", 3000)   # most words take the join
+    rows = [(r.doc_id, r.text) for r in read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    got = entry.queries()["op4_gated_recurrent_lm"](spark, "/root/testdata/sf0.01").collect()
+    check_base(rows, got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)   # better than the unigram model on held-out text
+
+
+def test_language_model_messy(spark):
+    got = recurrent.score(messy(spark)).collect()
+    check_base([(d, t) for d, t, _ in MESSY], got)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert recurrent.score(messy(spark, [])).count() == 0
+    none = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id bigint, text string")
+    assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in recurrent.score(none).collect())
+
+
+def network():
+    net = recurrent.Network(np.random.default_rng(0).integers(1, 100, recurrent.SYMBOLS).astype(float))
+    rng = np.random.default_rng(1)
+    net.p = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in net.p.items()}
+    return net, rng
+
+
+def test_network_is_a_distribution_and_gradients_are_right():
+    net, rng = network()
+    state = rng.normal(size=(1, recurrent.STATE))
+    logs, _ = net.log_probability(np.repeat(state, recurrent.SYMBOLS, axis=0), np.arange(recurrent.SYMBOLS))
+    assert abs(np.exp(logs).sum() - 1) < 1e-6
+    x, y = rng.integers(0, 256, (2, 5, 3))
+    live = np.arange(5)[:, None] < np.array([5, 4, 2])[None, :]
+    h = rng.normal(size=(3, recurrent.STATE)) * 0.1
+
+    def loss():
+        states = net.steps(x, h).reshape(-1, recurrent.STATE)[live.ravel()]
+        return -net.log_probability(states.astype(np.float64), y.ravel()[live.ravel()])[0].mean()
+
+    _, grad = net.train_window(x, y, live, h)
+    for name in net.NAMES:
+        g = grad[name]
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        old = net.p[name][at]
+        net.p[name][at] = old + 1e-2
+        up = loss()
+        net.p[name][at] = old - 1e-2
+        down = loss()
+        net.p[name][at] = old
+        assert abs((up - down) / 2e-2 - g[at]) < 2e-2 * abs(g[at]) + 1e-4, name
+
+
+def test_state_is_carried_across_windows(monkeypatch):
+    net, rng = network()
+    docs = [rng.integers(0, 256, n).astype(np.uint8) for n in (1, 70, 200, 64, 65)]
+    long = recurrent.log10_probabilities(net, docs)
+    monkeypatch.setattr(recurrent, "SCORE_WINDOW", 7)
+    monkeypatch.setattr(recurrent, "SCORE_BATCH", 2)
+    assert np.allclose(long, recurrent.log10_probabilities(net, docs), rtol=1e-5)
+
+
+def pages(spark):
+    long = "p" * 1200
+    rows = [(1, "u1", long), (5, "u5", long), (3, "u3", long), (7, "u7", "short"), (8, "u8", "short"), (9, None, None),
+            (10, "u10", "q" * 999), (11, "u11", "q" * 999), (12, "u12", "é" * 500), (13, "u13", "é" * 500), (14, "bad\r\nurl", "a\r\n\r\nWARC/1.1\r\nb" * 90),
+            (20, "v", "r" * 2000), (20, "v", "r" * 2000), (None, "n", "s" * 1500), (None, "n", "s" * 1500)]
+    return rows, spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id bigint, url string, html string, digest string, payload string")
+
+
+def test_warc(spark, tmp_path):
+    rows, df = pages(spark)
+    path = str(tmp_path / "w")
+    warc.write_archives(warc.classify(df), path, file_records=2)
+    got = warc.resolve(warc.read_archives(spark, path)).collect()
+    assert len(got) == len(rows)
+    payloads = sorted((r[0] is None, r[0] or 0, hashlib.sha1((r[2] or "").encode()).hexdigest()) for r in rows)
+    assert payloads == sorted((r.page_id is None, r.page_id or 0, hashlib.sha1(bytes(r.payload)).hexdigest()) for r in got)
+    assert all(hashlib.sha1(bytes(r.payload)).hexdigest() == r.digest and len(r.payload) == r.payload_bytes for r in got)
+    kinds = sorted((r.page_id or 0, r.type, r.refers_to) for r in got if r.type == "revisit")
+    assert kinds == [(0, "revisit", None), (1, "revisit", 5), (3, "revisit", 5), (12, "revisit", 13), (20, "revisit", 20)]
+    raw = b"".join(open(f, "rb").read() for f in map(str, (tmp_path / "w").glob("part-*.txt")))
+    assert raw.count(b"p" * 1200) == 1 and raw.startswith(b"WARC/1.1\r\n")
+    warc.write_archives(warc.classify(df.limit(0)), str(tmp_path / "e"))
+    assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_pipeline_stage_by_stage(spark):
+    docs = read(spark, SF, "documents")
+    rows = [tuple(r) for r in docs.collect()]
+    columns = docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality rules", "MinHash near-dedup", "benchmark decontamination", "mixing to target weights", "sharding"]
+    # quality: what it keeps passes the base rules, what it drops fails them or the threshold
+    model = quality.train(docs, read(spark, SF, "labels"))
+    verdict = {r.doc_id: r.quality_rules.kept for r in quality.score(docs, model).collect()}
+    kept = stages["quality rules"](spark, docs, SF)
+    assert kept.columns == columns
+    first = sorted(tuple(r) for r in kept.collect())
+    assert first == sorted(r for r in rows if verdict[r[0]])
+    assert all(base_counts(r[1])[0] >= 20 for r in first)
+    # near-duplicates: the smallest id of each group
+    comp, _ = near_components([(r[0], r[1]) for r in first])
+    kept = stages["MinHash near-dedup"](spark, kept, SF)
+    second = sorted(tuple(r) for r in kept.collect())
+    assert kept.columns == columns and second == [r for r, c in zip(first, comp) if r[0] == c]
+    # decontamination
+    items = [decontaminate.normal_form(r.text.encode()) for r in read(spark, SF, "benchmark").collect()]
+    patterns = [decontaminate.Pattern(0, t) for t in items]
+    def dirty(t):
+        t = decontaminate.normal_form(t.encode())
+        return any(p.text in t or decontaminate.nearest(p.forward, p.size, t)[0] <= p.budget for p in patterns)
+    kept = stages["benchmark decontamination"](spark, kept, SF)
+    third = sorted(tuple(r) for r in kept.collect())
+    assert kept.columns == columns and third == [r for r in second if not dirty(r[1])]
+    # mixing
+    kept = stages["mixing to target weights"](spark, kept, SF)
+    fourth = [tuple(r) for r in kept.collect()]
+    total = sum(len(words(r[1])) for r in third)
+    assert kept.columns == columns and abs(sum(len(words(r[1])) for r in fourth) - 1.5 * total) <= len({r[3] for r in third})
+    by_id = {r[0]: r for r in third}
+    assert all(by_id[r[0]][1].startswith(r[1]) and by_id[r[0]][2:] == r[2:] for r in fourth)
+    assert max(Counter(r[0] for r in fourth).values()) <= 2
+    # shards
+    last = stages["sharding"](spark, kept, SF)
+    out = last.collect()
+    sizes = Counter(r.shard for r in out)
+    assert last.columns == [*columns, "shard", "slot"] and len(out) == len(fourth) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in out) == [(s, i) for s in sorted(sizes) for i in range(sizes[s])]
+    assert Counter(tuple(r)[:len(columns)] for r in out) == Counter(fourth)
+
+
+def test_pipeline_is_registered():
+    assert entry.queries()["pipeline"] and corpus_pipeline.ORACLE_SQL is None
+    assert sorted(int(q[2:].split("_")[0]) for q in entry.queries() if q.startswith("op")) == list(range(1, 11))
+    assert neardup and sharding
