@@ -15,9 +15,10 @@ similarity (nearly exactly for sets smaller than ``BINS``); a pair is a candidat
 five standard errors below 0.75. Candidates are found and verified in rounds:
 
 1. star: each class with the smallest classes of its buckets (``STARS`` of them);
-2. in 20 of the tables, each class with its best partner in another component, within blocks of ``BLOCK`` classes of a bucket;
-3. in all tables, all candidates in different components; buckets of more than ``BLOCK`` classes are dealt
-   to tasks as pairs of blocks.
+2. each class with its best partner in another component, within blocks of ``BLOCK`` classes of a bucket;
+3. all candidates in different components; buckets of more than ``BLOCK`` classes are dealt to tasks as pairs of blocks.
+
+In steps 2 and 3 the second half of a table key is made in the task (see ``_cross_pairs``).
 
 So a large group of near copies is tied together by its stars and best partners and is not expanded into pairs, and no
 candidate is dropped.
@@ -39,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from areascope.llm.common import map_arrow, text_or_empty
+from areascope.llm.common import map_arrow, numbered, renamed, text_or_empty
 from areascope.llm.graph import components
 from areascope.llm.textops import Chunk, as_bytes, chunks, mix64, window_hash
 from areascope.session import materialize
@@ -51,8 +52,8 @@ from areascope.session import materialize
 SHINGLE, PERCENT = 5, 75
 #: Small hashes of each collection, minhash values of each, stars, block size.
 BANDS, ROWS, STARS, BLOCK = 20, 3, 2, 2000
-#: Sketch bins (a power of two), bins of the first look, standard errors of the gate.
-BINS, FIRST_LOOK, ERRORS = 512, 128, 5.0
+#: Sketch bins (a power of two), standard errors of the gate.
+BINS, ERRORS = 512, 5.0
 _RNG = np.random.default_rng(5)
 _MULTIPLY = _RNG.integers(1, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -146,18 +147,21 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return map_arrow(rows, run, f"id {id_type}, text_hash bigint, n bigint, digest binary, small array<bigint>, sketch binary")
 
 
-def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, digest, diagonal, least): the tensored keys of every class, from small hashes that at least two classes share."""
+def table_keys(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, digest, least): the tensored keys that several classes have; (h, place, digest): their small
+    hashes of the first collection."""
     each = classes.select("digest", F.posexplode("small").alias("place", "h"))  # the place is part of h
     shared = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     live = each.join(shared, "h").groupBy("digest").agg(
         F.collect_list(F.when(F.col("place") < BANDS, F.struct("place", "h"))).alias("left"),
-        F.collect_list(F.when(F.col("place") >= BANDS, F.struct("place", "h"))).alias("right"))
+        F.collect_list(F.when(F.col("place") >= BANDS, F.col("h"))).alias("right")).where("size(left) > 0 and size(right) > 0")
+    live = materialize(live, "live")
     keys = live.select("digest", F.explode("left").alias("l"), "right").select("digest", "l", F.explode("right").alias("r")) \
-        .select("digest", F.xxhash64("l.h", "r.h").alias("key"), (F.col("l.place") + BANDS == F.col("r.place")).alias("diagonal"))
-    keys = materialize(keys, "keys")
+        .select("digest", F.xxhash64("l.h", "r").alias("key"))
     several = keys.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most")
-    return materialize(keys.join(several.select("key", "least"), "key"), "keys")
+    keys = materialize(keys.join(several.select("key", "least"), "key"), "keys")
+    met = live.join(keys.select("digest").distinct(), "digest", "left_semi")
+    return keys, met.select("digest", F.explode("left").alias("l")).select("l.h", "l.place", "digest")
 
 
 def _gated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -194,17 +198,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both, run, "x binary, y binary")
 
 
-def _cross_pairs(keys: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
-    """Candidates (x, y) of the buckets in different components: all, or (``best_only``) each class's best
-    within its block of a bucket."""
-    rows = keys.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left") \
-        .select("key", "digest", F.coalesce("comp", "digest").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).where("a <> b")
-    rows = rows.join(mixed.select("key", "c"), "key").join(classes.select("digest", "sketch", "n"), "digest")
+def _cross_pairs(firsts: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
+    """Candidates (x, y) in different components that share a table key: all, or (``best_only``) each class's best
+    within its block of a bucket.
+
+    Rows meet by their small hash of the first collection (``firsts``), and bring those of the second, which makes the
+    table keys in the task: 20 rows for a class, not 400. A pair is looked at where it first meets.
+    """
+    rows = firsts.join(labels.withColumnRenamed("node", "digest"), "digest", "left") \
+        .select("h", "place", "digest", F.coalesce("comp", "digest").alias("comp"))
+    mixed = rows.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).where("a <> b")
+    rows = rows.join(mixed.select("h", "c"), "h").join(classes.select("digest", "small", "sketch", "n"), "digest")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
     rows = rows.withColumn("other", F.col("own") if best_only else F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "digest", "comp", "sketch", "n")
+    rows = rows.select("h", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "place", "digest", "comp",
+                       F.expr("transform(small, x -> cast(x & 2147483647 as int))").alias("small"), "sketch", "n")
 
     def emit(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(group)
@@ -213,25 +222,24 @@ def _cross_pairs(keys: DataFrame, labels: DataFrame, classes: DataFrame, best_on
         if len(size) < 2:
             return None
         sketch, own, n = _rows(t.column("sketch").to_pylist()), t.column("own").to_numpy(), t.column("n").to_numpy()
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        small = t.column("small").combine_chunks().flatten().to_numpy().reshape(len(t), 2 * BANDS)
+        p, q, place = (t.column(c)[0].as_py() for c in ("p", "q", "place"))
         # in one block, the largest component comes last: its members are compared with the others only
         order = np.argsort(comp == size.argmax(), kind="stable") if p == q else np.argsort(own != p, kind="stable")
         n_left = len(t) - size.max() if p == q else int((own == p).sum())
-        digest, comp, sketch, n = digest[order], comp[order], sketch[order], n[order]
-        # the first look: bins by column; an empty bin is 0 on the left and 255 on the right
-        look = np.ascontiguousarray(sketch[:, :FIRST_LOOK].T)
-        against = np.where(look == 0, np.uint8(255), look)
-        filled = (look > 0).sum(axis=0)
-        needed = 0.5 * filled - 1.4 * np.sqrt(filled)
+        digest, comp, sketch, n, small = digest[order], comp[order], sketch[order], n[order], np.ascontiguousarray(small[order].T)
         best, partner = np.zeros(len(t)), np.zeros(len(t), np.int64)
         xs, ys = [], []
         for s in range(0, n_left, 64):
             left = np.arange(s, min(s + 64, n_left))
             right = np.arange(s if p == q else n_left, len(t))
-            agree = np.zeros((len(left), len(right)), np.uint8)
-            for k in range(FIRST_LOOK):
-                agree += look[k, left][:, None] == against[k, right][None, :]
-            i, j = np.nonzero((agree >= np.minimum(needed[left][:, None], needed[right][None, :])) & (comp[left][:, None] != comp[right][None, :]))
+            meet = np.zeros((len(left), len(right)), bool)
+            for k in range(BANDS, 2 * BANDS):
+                meet |= small[k, left][:, None] == small[k, right][None, :]
+            meet &= comp[left][:, None] != comp[right][None, :]
+            for k in range(place):
+                meet &= small[k, left][:, None] != small[k, right][None, :]
+            i, j = np.nonzero(meet)
             x, y = left[i], right[j]
             score, ok = np.zeros(len(x)), np.zeros(len(x), bool)
             for u in range(0, len(x), 4096):
@@ -269,7 +277,7 @@ def _cross_pairs(keys: DataFrame, labels: DataFrame, classes: DataFrame, best_on
         if held and (out := emit(held)) is not None:
             yield out
 
-    dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    dealt = rows.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q")
     found = map_arrow(dealt, run, "x binary, y binary, score double")
     if best_only:
         found = found.groupBy("x").agg(F.max(F.struct("score", "y")).alias("m")).select("x", "m.y")
@@ -281,7 +289,7 @@ def class_components(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -
     classes = materialize(rows.where("n > 0").groupBy("digest").agg(
         F.min(F.struct("id", "text_hash")).alias("rep"), F.first("small").alias("small"),
         F.first("sketch").alias("sketch"), F.first("n").alias("n")), "classes")
-    keys = table_keys(classes)
+    keys, firsts = table_keys(classes)
     # the full sets of the classes that share a key with another
     needed = keys.select("digest").distinct().join(classes, "digest").select("digest", "rep.id", "rep.text_hash")
     found = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), text_or_empty(text).alias("text"))
@@ -305,8 +313,8 @@ def class_components(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -
         .select("x", F.explode("ys").alias("y"))
     links = materialize(verified(stars, sets), "links")
     labels = components(links)
-    for tables, best_only in ((keys.where("diagonal"), True), (keys, False)):
-        pairs = materialize(_cross_pairs(tables, labels, classes, best_only), "pairs")
+    for best_only in (True, False):
+        pairs = materialize(_cross_pairs(firsts, labels, classes, best_only), "pairs")
         more = materialize(verified(pairs, sets), "links")
         if not more.isEmpty():
             links = links.unionAll(more)
@@ -331,10 +339,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row for each group; rows without words all stay."""
-    from pyspark.sql import Window
-
     verdict = near_duplicates(docs, doc_id, text).where("kept").groupBy("id", "text_hash").agg(F.max("n_shingles").alias("n"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64(text_or_empty(text)).alias("_h"))
-    kept = keyed.join(verdict, keyed[doc_id].eqNullSafe(verdict["id"]) & (keyed["_h"] == verdict["text_hash"]))
+    names, rows = docs.columns, numbered(docs)
+    own_id, own_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    rows = rows.withColumn("own_hash", F.xxhash64(text_or_empty(own_text)))
+    kept = rows.join(verdict, rows[own_id].eqNullSafe(verdict["id"]) & (rows["own_hash"] == verdict["text_hash"]))
+    # of a row repeated with its id and text, one stays; equal to the join's key, so nothing moves again
     copy = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("n"))
-    return kept.withColumn("_copy", copy).where("_copy = 1 or n = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return renamed(kept.withColumn("copy", copy).where("copy = 1 or n = 0"), names)
