@@ -59,12 +59,12 @@ THRESHOLD = 0.8
 MAX_TEMPLATE_WORDS = 5000
 
 
-def _lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+#: Runs of characters that separate words, in text of both cases.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _lower(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
 
 
 def _strings(values) -> str:
@@ -84,8 +84,9 @@ def template_words(templates: Mapping[str, str]) -> dict[str, list[str]]:
 
 def global_order(docs: DataFrame, text: str, words: list[str]) -> list[str]:
     """``words`` by the number of documents that hold them, rare first (ties by the word); a word in
-    no document comes first. One row for each template word comes to the driver."""
-    held = docs.select(F.explode(F.array_intersect(_words(_lower(text_or_empty(text))), F.expr(_strings(words)))).alias("w"))
+    no document comes first. One row for each template word comes to the driver. (Any order gives the same matches, so
+    the fast lower(), which also changes other letters, will do here.)"""
+    held = docs.select(F.explode(F.array_intersect(F.split(F.lower(text_or_empty(text)), GAP), F.expr(_strings(words)))).alias("w"))
     counts = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
 
@@ -115,28 +116,32 @@ def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, str] = TEM
     names = _strings(sets)
     ordered_sets = "array(" + ", ".join(_strings(sorted(v, key=order.index)) for v in sets.values()) + ")"
 
-    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # on lower-cased text
-    start = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-    pattern = start + "(?:" + "|".join(gap.join(p.split(" ")) for p in phrases) + ")" + r"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-    at = " or ".join("(" + " and ".join(f"ws[i + {j}] = '{w}'" if j == 0 else f"get(ws, i + {j}) = '{w}'"
-                                        for j, w in enumerate(p.split(" "))) + ")" for p in phrases)
+    # flags by which most documents are done: any base phrase, any word of the prefix index; lower() keeps
+    # every A-Z match, so the flag is wide enough
+    word_char = "[^" + GAP[1:-1]
+    phrase = f"(?i)(?<!{word_char})(?:" + "|".join(GAP.join(p.split(" ")) for p in phrases) + f")(?!{word_char})"
+    raw = text_or_empty(f"c{docs.columns.index(text)}")
+    inner = numbered(docs)
+    columns = inner.columns
+    inner = inner.select(
+        *columns, F.size(F.array_remove(F.split(raw, GAP), "")).cast("long").alias("_n"), raw.rlike(phrase).alias("_phrase"),
+        F.arrays_overlap(F.split(F.lower(raw), GAP), F.expr(_strings(prefix))).alias("_prefix"), raw.alias("_raw"))
+
+    # what is used more than once is bound to a name by a transform over an array of one
+    gap = GAP.replace("\\", "\\\\")
+    low = f"translate(_raw, '{UPPER}', '{LOWER}')"
+    at = " or ".join("(" + " and ".join(f"get(ws, i + {j}) = '{w}'" for j, w in enumerate(p.split(" "))) + ")" for p in phrases)
     label = "case " + " ".join(
         "when " + " and ".join(f"get(ws, i + {j}) = '{w}'" for j, w in enumerate(p.split(" "))) + f" then '{v}'"
         for p, v in phrases.items()) + " end"
-    places = (f"transform(filter(sequence(0, size(ws) - 1), i -> {at}),"
-              f" i -> named_struct('word', cast(i as bigint), 'label', {label}))")
-
-    inner = numbered(docs)
-    columns = inner.columns
-    inner = inner.withColumn("_low", _lower(text_or_empty(f"c{docs.columns.index(text)}")))
-    inner = inner.withColumn("_ws", _words(F.col("_low")))
-    n = F.size("_ws").cast("long")
+    places = (f"transform(array(array_remove(split({low}, '{gap}'), '')), ws -> transform(filter(sequence(0, size(ws) - 1), i -> {at}),"
+              f" i -> named_struct('word', cast(i as bigint), 'label', {label})))[0]")
     empty_places = "cast(array() as array<struct<word: bigint, label: string>>)"
-    found = F.when(F.col("_low").rlike(pattern), F.expr(places.replace("ws", "_ws"))).otherwise(F.expr(empty_places))
+    found = F.when(F.col("_phrase"), F.expr(places)).otherwise(F.expr(empty_places))
 
     # candidates of a block: probe the index with each of its template words, in the global order
-    block = f"""filter(transform(split(_low, '\\n'), (l, n) -> named_struct('line', n, 'b',
-        filter({by_rank}, w -> array_contains(array_intersect(regexp_extract_all(l, '{WORD.replace(chr(92), chr(92) * 2)}', 0), {by_rank}), w)))),
+    block = f"""filter(transform(split({low}, '\\n'), (l, n) -> named_struct('line', n, 'b',
+        transform(array(array_intersect(split(l, '{gap}'), {by_rank})), h -> filter({by_rank}, w -> array_contains(h, w)))[0])),
         x -> arrays_overlap(x.b, {_strings(prefix)}))"""
     probe = f"""flatten(transform({block}, x -> transform(array_distinct(flatten(transform(x.b, (w, j) ->
             transform(filter(coalesce(try_element_at({postings}, w), array()), p -> size(x.b) >= p.need
@@ -145,9 +150,9 @@ def scan(docs: DataFrame, text: str = "text", templates: Mapping[str, str] = TEM
     verified = (f"transform(filter({probe}, m -> m.common >= m.need), m -> named_struct('line', m.line,"
                 f" 'label', {names}[m.t], 'containment', m.common / cast(size({ordered_sets}[m.t]) as double)))")
     empty_blocks = "cast(array() as array<struct<line: int, label: string, containment: double>>)"
-    blocks = F.when(F.arrays_overlap(F.col("_ws"), F.expr(_strings(prefix))), F.expr(verified)).otherwise(F.expr(empty_blocks))
+    blocks = F.when(F.col("_prefix"), F.expr(verified)).otherwise(F.expr(empty_blocks))
 
-    out = inner.select(*columns, n.alias("_n"), found.alias("_places"), blocks.alias("_blocks"))
+    out = inner.select(*columns, "_n", found.alias("_places"), blocks.alias("_blocks"))
     lic = F.expr("""named_struct('n_words', _n, 'places', _places, 'blocks', _blocks,
         'base_labels', array_join(array_sort(array_distinct(transform(_places, p -> p.label))), ','),
         'labels', array_join(array_sort(array_distinct(concat(transform(_places, p -> p.label), transform(_blocks, b -> b.label)))), ','),
