@@ -22,9 +22,17 @@ def _col(c) -> Column:
 
 
 def tie_safe_round(c, n: int = 0) -> Column:
-    """``round(c + 1e-9, n)`` for doubles: half-up rounding that does not depend on how the
-    double was summed. Differs from plain ``round`` only within 1e-9 below a tie."""
-    return F.round(_col(c) + F.lit(TIE_EPSILON), n)
+    """``round`` half away from zero for computed doubles: the value is moved 1e-9 away from zero
+    first, so a decimal tie rounds the same however the double was summed. Differs from plain
+    ``round`` only within 1e-9 of a tie."""
+    c = _col(c)
+    return F.round(c + F.lit(TIE_EPSILON) * F.signum(c), n)
+
+
+def money_change(current, past, n: int = 0) -> Column:
+    """Rounded difference of two amounts with two decimals, in exact decimal arithmetic (ties round
+    half away from zero), as double."""
+    return F.round(_col(current).cast(PCT_DECIMAL) - _col(past).cast(PCT_DECIMAL), n).cast("double")
 
 
 def round_half_even(c, n: int = 0) -> Column:

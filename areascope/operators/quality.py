@@ -43,14 +43,6 @@ def violation_expr(check: Check) -> Column:
     raise ValueError(check.test)
 
 
-def not_null_violations(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).isNull())
-
-
-def accepted_values_violations(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    return df.where(violation_expr(accepted_values(column, values)))
-
-
 def unique_violations(df: DataFrame, cols: str | Sequence[str]) -> DataFrame:
     """Key values that occur more than once (null keys ignored)."""
     cols = [cols] if isinstance(cols, str) else list(cols)

@@ -3,23 +3,25 @@
 ``percent_rank() OVER (ORDER BY x)`` with no PARTITION BY sends every row to one task
 (``SinglePartition``), and ``rank() OVER (PARTITION BY metro ...)`` sorts a whole metro in one task,
 so one hot metro holding a third of the rows becomes one giant task. Both are rebuilt here from
-distributed pieces that only ever see *distinct values*:
+distributed pieces that only ever see *distinct values*; there is one path for every size:
 
 1. ``groupBy(partition, value).count()`` - partial aggregation map-side, so a value repeated a
-   billion times is one row (this also removes key skew).
+   billion times is one row (this also removes key skew). Nulls are counted apart.
 2. Approximate quantiles of the distinct values give up to ``buckets - 1`` cut points. A value's
    bucket is the number of cut points below it, a monotone function of the value, so buckets are
    ordered and equal values always share one. The cuts only balance the work; results are exact.
+   Buckets use a double key; the order inside a bucket is that of the value's own type, so long
+   integers, dates, strings and NaN (the largest value, as in Spark) rank as in a window.
 3. Within a (partition, bucket): a running sum of counts over the ordered distinct values gives the
    rows strictly before each value inside its bucket (window partitioned by bucket, never global).
-4. Per partition: a running sum over the (at most ``buckets + 2``) bucket totals gives each
+4. Per partition: a running sum over the (at most ``buckets + 1``) bucket totals gives each
    bucket's offset and the partition's row count.
 5. rows_before = offset + in-bucket running sum; ``rank = rows_before + 1`` and
-   ``percent_rank = rows_before / (n - 1)`` (0 when n = 1), exactly SQL's tie semantics.
-
-Nulls sort first or last per ranking (Spark's defaults: first for ascending, last for descending)
-by giving them bucket -1 or ``buckets``. Partition keys may be null: they group together, and every
-join here is null-safe.
+   ``percent_rank = rows_before / (n - 1)`` (0 when n = 1), exactly SQL's tie semantics. Nulls come
+   first when ascending and last when descending (Spark's and the reference's order).
+6. One join brings the ranks back to the rows, on (partition, value, salt): rows get one of
+   ``SALTS`` salts and the ranks are repeated for each, so no value is one task. Rows with a null
+   value carry a salted null key of their own.
 """
 
 from __future__ import annotations
@@ -33,32 +35,42 @@ from areascope.functions.numeric import tie_safe_round
 from areascope.session import materialize
 
 DEFAULT_BUCKETS = 512
-# Size check for the short path: when the number of distinct (partition, value) rows is at most
-# this, one window over those rows (checked small, so one task may hold them) replaces the bucketed
-# prefix sums. Beyond it the bucketed path runs. Tests force both paths.
-SMALL_DISTINCT_ROWS = 200_000
 # Accuracy of the quantile sketch used for bucket cut points (balance only, not exactness).
 CUT_ACCURACY = 2000
+# Copies of the ranks for the join back: a value's rows are spread over so many keys.
+SALTS = 16
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str], right_cols: Sequence[str] | None = None) -> Column:
-    right_cols = list(right_cols or cols)
+def _equal(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Null-safe equality of column pairs."""
     cond = None
-    for lc, rc in zip(cols, right_cols):
+    for lc, rc in pairs:
         term = left[lc].eqNullSafe(right[rc])
         cond = term if cond is None else (cond & term)
     return cond
 
 
-def _with_bucket(counts: DataFrame, cuts: Column, key: Column, buckets: int) -> DataFrame:
-    """``_b`` = number of cut points below ``key``: binary search over the sorted cuts
-    (``buckets - 1`` of them) in log2(buckets) steps - O(log B) comparisons per value. The steps are
-    lateral column aliases of one projection."""
+def _bucket_key(value: Column, dtype: str) -> Column:
+    """A double that never falls when the value rises; only used to place values in buckets."""
+    if dtype == "date":
+        return F.unix_date(value).cast("double")
+    if dtype.startswith("timestamp"):
+        return F.unix_micros(value.cast("timestamp")).cast("double")
+    if dtype == "string" or dtype.startswith(("varchar", "char")):
+        head = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return value.cast("double")
+
+
+def _with_bucket(counts: DataFrame, buckets: int) -> DataFrame:
+    """``_b`` = number of cut points in ``_cuts`` below ``_key``: binary search over the sorted cuts
+    (``buckets - 1`` of them) in log2(buckets) steps. The steps are lateral column aliases of one
+    projection."""
     steps, prev, step, i = [F.lit(0).alias("_s0")], "_s0", buckets // 2, 0
     while step >= 1:
         i += 1
         probe = F.col(prev) + F.lit(step)
-        below = F.coalesce(F.element_at(cuts, probe) < key, F.lit(False))
+        below = F.coalesce(F.element_at("_cuts", probe) < F.col("_key"), F.lit(False))
         steps.append(F.when(below, probe).otherwise(F.col(prev)).alias(f"_s{i}"))
         prev, step = f"_s{i}", step // 2
     return counts.select("*", *steps).withColumnRenamed(prev, "_b").drop(*[f"_s{j}" for j in range(i)])
@@ -68,59 +80,40 @@ def _percentages(buckets: int) -> str:
     return "array(" + ", ".join(repr(k / buckets) for k in range(1, buckets)) + ")"
 
 
-def _ranks_small(counts: DataFrame, parts: list[str]) -> DataFrame:
-    """The checked-small path: running sums over the distinct values of each partition."""
-    null_pos = F.when(F.col("_v").isNull(), F.when(F.col("_nf"), F.lit(0)).otherwise(F.lit(2))).otherwise(F.lit(1))
-    ordered = Window.partitionBy(*parts).orderBy(null_pos, F.col("_v"))
-    ranks = counts.select(
-        *parts, "_v",
-        F.coalesce(F.sum("_rows").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(*parts)).alias("_n"),
-        *[c for c in counts.columns if c.startswith("_k_")])
-    return materialize(ranks, "ranks")
-
-
-def _ranks_from_counts(counts: DataFrame, partition_by: Sequence[str], cut_by: Sequence[str], buckets: int,
-                       small_rows: int | None = None) -> DataFrame:
-    """``counts`` has ``partition_by`` + ``_v`` (ascending sort key, unique per partition),
-    ``_rows`` (long) and ``_nf`` (nulls first?), optionally ``_k_*`` payload columns.
-    Returns one row per input row with ``_before`` (rows strictly ahead) and ``_n`` (partition rows)."""
-    parts = list(partition_by)
+def _ranks(counts: DataFrame, parts: list[str], cut_by: list[str], dtype: str, ascending: bool, buckets: int) -> DataFrame:
+    """``counts`` has ``parts``, ``_v`` (unique in its partition, null allowed) and ``_rows``.
+    Returns it with ``_before`` (rows strictly ahead) and ``_n`` (rows of the partition)."""
     if buckets < 2 or buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two >= 2")
-    small_rows = SMALL_DISTINCT_ROWS if small_rows is None else small_rows
-    if small_rows and counts.count() <= small_rows:
-        return _ranks_small(counts, parts)
-    key_d = F.col("_v").cast("double")
-    cut_by = list(cut_by)
-    if not cut_by:
-        # one global set of cuts, joined on a constant key (an equi-join with a one-row side)
-        counts = counts.withColumn("_cg", F.lit(0))
-        cut_by = ["_cg"]
+    counts = counts.withColumn("_key", _bucket_key(F.col("_v"), dtype)).withColumn("_cg", F.lit(0))
+    cut_by = cut_by or ["_cg"]
     # the percentages go in as one SQL array literal (one call, not one literal column each)
-    sketch = F.expr(f"percentile_approx(CAST(_v AS DOUBLE), {_percentages(buckets)}, {CUT_ACCURACY})")
-    cuts = counts.where(F.col("_v").isNotNull()).groupBy(*cut_by).agg(sketch.alias("_cuts"))
+    sketch = F.expr(f"percentile_approx(_key, {_percentages(buckets)}, {CUT_ACCURACY})")
+    cuts = counts.where(F.col("_key").isNotNull() & ~F.isnan("_key")).groupBy(*cut_by).agg(sketch.alias("_cuts"))
     # one row per ranked metric (or one row in all): a proven small bound, safe to broadcast
-    counts = counts.join(F.broadcast(cuts), cut_by, "left")
-    null_bucket = F.when(F.col("_nf"), F.lit(-1)).otherwise(F.lit(buckets))
-    keep = [c for c in counts.columns if c not in ("_cuts", "_cg")]
-    counts = _with_bucket(counts, F.col("_cuts"), key_d, buckets)
-    in_bucket = Window.partitionBy(*parts, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    bucket = F.when(F.col("_v").isNull(), null_bucket).otherwise(F.col("_b"))
-    counts = counts.select(*keep, bucket.alias("_b")) \
-        .withColumn("_in_b", F.coalesce(F.sum("_rows").over(in_bucket), F.lit(0)))
-
+    counts = _with_bucket(counts.join(F.broadcast(cuts), cut_by, "left"), buckets).drop("_cuts", "_key", "_cg")
+    # buckets and values in rank order, nulls at their end
+    place = F.col("_b") if ascending else -F.col("_b")
+    counts = counts.withColumn("_b", F.when(F.col("_v").isNull(), F.lit(-1 if ascending else 1)).otherwise(place))
+    order = F.col("_v").asc() if ascending else F.col("_v").desc()
+    in_bucket = Window.partitionBy(*parts, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_in_b", F.coalesce(F.sum("_rows").over(in_bucket), F.lit(0)))
     by_part = Window.partitionBy(*parts)
     ahead = by_part.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy(*parts, "_b").agg(F.sum("_rows").alias("_b_rows")).select(
         *[F.col(p).alias(f"_t_{p}") for p in parts], F.col("_b").alias("_t_b"),
         F.coalesce(F.sum("_b_rows").over(ahead), F.lit(0)).alias("_offset"),
         F.sum("_b_rows").over(by_part).alias("_n"))
-    joined = counts.join(totals, _null_safe_on(counts, totals, [*parts, "_b"], [*[f"_t_{p}" for p in parts], "_t_b"]))
-    ranks = joined.select(*parts, "_v", (F.col("_offset") + F.col("_in_b")).alias("_before"), "_n",
-                          *[c for c in keep if c.startswith("_k_")])
-    # one row per distinct value; read back by every join-back
-    return materialize(ranks, "ranks")
+    joined = counts.join(totals, _equal(counts, totals, [*[(p, f"_t_{p}") for p in parts], ("_b", "_t_b")]))
+    return joined.select(*parts, "_v", (F.col("_offset") + F.col("_in_b")).alias("_before"), "_n")
+
+
+def _salted(ranks: DataFrame) -> DataFrame:
+    return ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt() -> Column:
+    return F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
 
 
 def _pct(before: Column, n: Column) -> Column:
@@ -133,42 +126,43 @@ def percent_rank_scores(
     scale: int | None = 1,
     buckets: int = DEFAULT_BUCKETS,
     reuse_input: bool = True,
-    small_rows: int | None = None,
 ) -> DataFrame:
     """Add ``round(percent_rank() OVER (ORDER BY col [DESC]) * 100, scale)`` for each
     ``{out: (col, ascending[, scale])}``, over the whole DataFrame, without a global window.
 
-    All specs share one stacked count (one shuffle). A scale of None returns the raw 0-1 fraction.
-    ``reuse_input`` writes ``df`` once first, since it is read by both the count and the join-back.
+    Columns of one type and direction share one stacked count and one join back. A scale of None
+    returns the raw 0-1 fraction. ``reuse_input`` writes ``df`` once first, since it is read by
+    the counts and the joins back.
     """
     specs = dict(specs)
     names = list(specs)
     if reuse_input:
         df = materialize(df, "rank-input")
-
-    def key(i: int) -> Column:
-        col, asc = specs[names[i]][:2]
-        v = F.col(col).cast("double")
-        return v if asc else -v
-
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_m"), key(i).alias("_v"), F.lit(bool(specs[names[i]][1])).alias("_nf"))
-        for i in range(len(names))
-    ])).alias("_s")).select("_s.*")
-    counts = stacked.groupBy("_m", "_v", "_nf").agg(F.count(F.lit(1)).alias("_rows"))
-    ranks = _ranks_from_counts(counts, ["_m"], ["_m"], buckets, small_rows)
-    ranks = ranks.select("_m", "_v", _pct(F.col("_before"), F.col("_n")).alias("_pr"))
-
-    out = df
-    for i in range(len(names)):
-        r = ranks.where(F.col("_m") == i).select(F.col("_v").alias(f"_rv{i}"), F.col("_pr").alias(f"_rp{i}"))
-        out = out.join(r, key(i).eqNullSafe(r[f"_rv{i}"]), "left")
+    types = dict(df.dtypes)
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for name in names:
+        col, asc = specs[name][:2]
+        groups.setdefault((types[col], bool(asc)), []).append(name)
+
+    keyed = [c for c in df.columns if c not in specs]
+    rows = df.select(*keyed, F.monotonically_increasing_id().alias("_row"))
+    out = rows
+    for (dtype, asc), members in groups.items():
+        stacked = rows.select("_row", F.posexplode(F.array(*[F.col(specs[n][0]) for n in members])).alias("_m", "_v"))
+        counts = stacked.groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_rows"))
+        ranks = _ranks(counts, ["_m"], ["_m"], dtype, asc, buckets)
+        ranks = _salted(ranks.select("_m", "_v", _pct(F.col("_before"), F.col("_n")).alias("_pr")).toDF("_rm", "_rv", "_pr")).withColumnRenamed("_salt", "_r_salt")
+        stacked = stacked.withColumn("_salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int"))
+        found = stacked.join(ranks, _equal(stacked, ranks, [("_m", "_rm"), ("_v", "_rv"), ("_salt", "_r_salt")]))
+        found = found.groupBy(F.col("_row").alias("_found")).agg(
+            *[F.max(F.when(F.col("_m") == i, F.col("_pr"))).alias(f"_p_{n}") for i, n in enumerate(members)])
+        out = out.join(found, out["_row"] == found["_found"]).drop("_found")
     scores = []
-    for i, name in enumerate(names):
-        pr = F.col(f"_rp{i}")
+    for name in names:
+        pr = F.col(f"_p_{name}")
         spec_scale = specs[name][2] if len(specs[name]) > 2 else scale
         scores.append((pr if spec_scale is None else tie_safe_round(pr * 100, spec_scale)).alias(name))
-    return out.select(*[c for c in df.columns if c not in specs], *scores)
+    return out.select(*keyed, *scores)
 
 
 def rank_within(
@@ -179,7 +173,6 @@ def rank_within(
     descending: bool = True,
     buckets: int = DEFAULT_BUCKETS,
     reuse_input: bool = True,
-    small_rows: int | None = None,
 ) -> DataFrame:
     """Add ``rank() OVER (PARTITION BY p ORDER BY order_col [DESC])`` as ``out`` (int).
 
@@ -189,18 +182,10 @@ def rank_within(
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     if reuse_input:
         df = materialize(df, "rank-input")
-    counts = (df.groupBy(*parts, order_col).agg(F.count(F.lit(1)).alias("_rows"))
-              .withColumn("_v", -F.col(order_col) if descending else F.col(order_col))
-              .withColumn("_nf", F.lit(not descending))
-              .withColumnRenamed(order_col, "_k_order"))
-    ranks = _ranks_from_counts(counts, parts, [], buckets, small_rows)
-    ranks = ranks.select(*[F.col(p).alias(f"_r_{p}") for p in parts], F.col("_k_order").alias("_r_order"),
-                         (F.col("_before") + 1).cast("int").alias(out))
-    cond = _null_safe_on(df, ranks, [*parts, order_col], [*[f"_r_{p}" for p in parts], "_r_order"])
-    return df.join(ranks, cond, "left").drop(*[f"_r_{p}" for p in parts], "_r_order")
-
-
-def window_percent_rank(df: DataFrame, col: str, ascending: bool = True) -> Column:
-    """The single-task form (``percent_rank`` over a global window). Only for equivalence tests."""
-    order = F.col(col).asc() if ascending else F.col(col).desc()
-    return F.percent_rank().over(Window.orderBy(order))
+    counts = df.groupBy(*parts, F.col(order_col).alias("_v")).agg(F.count(F.lit(1)).alias("_rows"))
+    ranks = _ranks(counts, parts, [], dict(df.dtypes)[order_col], not descending, buckets)
+    ranks = _salted(ranks.select(*[F.col(p).alias(f"_r_{p}") for p in parts], F.col("_v").alias("_r_order"),
+                                 (F.col("_before") + 1).cast("int").alias(out))).withColumnRenamed("_salt", "_r_salt")
+    rows = df.withColumn("_salt", _salt())
+    cond = _equal(rows, ranks, [*[(p, f"_r_{p}") for p in parts], (order_col, "_r_order"), ("_salt", "_r_salt")])
+    return rows.join(ranks, cond, "left").select(*df.columns, out)

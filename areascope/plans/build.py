@@ -1,7 +1,7 @@
 """Layer materialisation (the project build) and loading stored marts.
 
 Staging and intermediate models are registered as temp views (lazy; Catalyst inlines them); marts
-are written as parquet tables under an output folder, in dependency order. Independent raw tables
+and raw tables are catalog tables of a schema, built in dependency order. Independent raw tables
 are written by concurrent jobs so the cluster is not idle while one scan finishes.
 """
 
@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from areascope.plans.layers import Layers
+from areascope.sources.ingest import ensure_schema
 
 STAGING_VIEWS = ("stg_home_values", "stg_rental_prices", "stg_amenities", "stg_schools")
 INTERMEDIATE_VIEWS = {"int_price_trends": "price_trends", "int_rental_yield": "rental_yield",
@@ -36,21 +37,32 @@ def register_views(layers: Layers) -> None:
         getattr(layers, attr).createOrReplaceTempView(view)
 
 
-def build(layers: Layers, output_dir: str | None = None) -> dict[str, DataFrame]:
-    """Build every layer: raw tables, views, then marts in dependency order. With ``output_dir``
-    each mart is also written there as ``<output_dir>/<mart>`` (parquet, overwrite)."""
+def build(layers: Layers, schema: str) -> dict[str, DataFrame]:
+    """Build every layer: raw tables, views, then marts in dependency order. Raw tables and marts are
+    catalog tables ``<schema>.<name>`` over the files that the layers have stored, so nothing is
+    written twice. Returns the marts, read back by name."""
+    spark = layers.spark
+    ensure_schema(spark, schema)
     build_raw_layer(layers)
     register_views(layers)
-    marts = {}
-    for name in MARTS:
-        df = getattr(layers, name)
-        if output_dir:
-            df.write.mode("overwrite").parquet(f"{output_dir.rstrip('/')}/{name}")
-        df.createOrReplaceTempView(name)
-        marts[name] = df
-    return marts
-
-
-def load_mart(spark: SparkSession, output_dir: str, name: str) -> DataFrame:
-    """Read a stored mart (filters on it are pushed into the parquet scan)."""
-    return spark.read.parquet(f"{output_dir.rstrip('/')}/{name}")
+    for name in (*RAW, *MARTS):
+        register_table(getattr(layers, name), f"{schema}.{name}")
+    return {name: load_mart(spark, schema, name) for name in MARTS}
+
+
+def register_table(stored: DataFrame, name: str) -> None:
+    """Make the files of a stored table a catalog table of this name (replacing an earlier one)."""
+    spark = stored.sparkSession
+    path = stored.inputFiles()[0]
+    folders = stored.schema.names
+    while path.rsplit("/", 1)[-1].startswith("part-") or path.rsplit("/", 1)[-1].split("=")[0] in folders:
+        path = path.rsplit("/", 1)[0]
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.catalog.createTable(name, path=path, source="parquet")
+    if "=" in stored.inputFiles()[0].rsplit("/", 2)[-2]:
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+
+
+def load_mart(spark: SparkSession, schema: str, name: str) -> DataFrame:
+    """Read a stored mart by name (filters on it are pushed into the parquet scan)."""
+    return spark.table(f"{schema}.{name}")

@@ -9,6 +9,7 @@ from areascope.functions import labels as L
 from areascope.functions.numeric import (
     as_score,
     change_ratio,
+    money_change,
     pct_change,
     safe_div,
     tie_safe_round,
@@ -42,9 +43,9 @@ def price_trends(home_values: DataFrame, align: str = "exact") -> DataFrame:
         pct_change(cur, v30).alias("pct_change_30d"),
         pct_change(cur, v6).alias("pct_change_6m"),
         pct_change(cur, v1y).alias("pct_change_1yr"),
-        tie_safe_round(cur - v30, 0).alias("dollar_change_30d"),
-        tie_safe_round(cur - v6, 0).alias("dollar_change_6m"),
-        tie_safe_round(cur - v1y, 0).alias("dollar_change_1yr"),
+        money_change(cur, v30).alias("dollar_change_30d"),
+        money_change(cur, v6).alias("dollar_change_6m"),
+        money_change(cur, v1y).alias("dollar_change_1yr"),
         pct_change(cur, v1y).alias("annual_appreciation_rate"),
         L.price_trend(change_ratio(cur, v1y)).alias("price_trend"),
         L.price_momentum(tie_safe_round(change_ratio(cur, v30) * 100 * 12, 2), pct_change(cur, v1y)).alias("price_momentum"),

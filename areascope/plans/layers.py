@@ -15,7 +15,7 @@ from areascope.plans import intermediate as I
 from areascope.plans import marts as M
 from areascope.plans import staging as S
 from areascope.session import materialize
-from areascope.sources import adapter
+from areascope.sources import adapter, landed
 
 
 @dataclass
@@ -95,15 +95,20 @@ class BenchmarkLayers(Layers):
         """One row per area, read by all four raw tables: written once."""
         return materialize(adapter.dimension(self.spark, self.sf_dir), "dim_area")
 
+    @cached_property
+    def monthly_cells(self) -> DataFrame:
+        """Value and rent of each (area, month), read by both panels: one scan of the lines."""
+        return materialize(adapter.monthly_cells(self.spark, self.sf_dir), "monthly_cells")
+
     @cached_property
     def raw_home_values(self) -> DataFrame:
-        return materialize(adapter.raw_home_values(self.spark, self.sf_dir, self.area_dimension), "raw_home_values",
-                           partition_by=("date",), cluster_by=("zip_code",))
+        raw = adapter.raw_home_values(self.spark, self.sf_dir, self.area_dimension, self.monthly_cells)
+        return materialize(raw, "raw_home_values", partition_by=("date",))
 
     @cached_property
     def raw_rental_prices(self) -> DataFrame:
-        return materialize(adapter.raw_rental_prices(self.spark, self.sf_dir, self.area_dimension), "raw_rental_prices",
-                           partition_by=("date",), cluster_by=("zip_code",))
+        raw = adapter.raw_rental_prices(self.spark, self.sf_dir, self.area_dimension, self.monthly_cells)
+        return materialize(raw, "raw_rental_prices", partition_by=("date",))
 
     @cached_property
     def raw_amenities(self) -> DataFrame:
@@ -112,4 +117,17 @@ class BenchmarkLayers(Layers):
     @cached_property
     def raw_schools(self) -> DataFrame:
         return materialize(adapter.raw_schools(self.spark, self.sf_dir, self.area_dimension), "raw_schools",
-                           partition_by=("year",), cluster_by=("zip_code",))
+                           partition_by=("year",))
+
+    # landed files, written once as a fetcher would
+    @cached_property
+    def landed_wide_csv(self) -> str:
+        return landed.land_wide_csv(self.raw_home_values, "home_value", "wide")
+
+    @cached_property
+    def landed_amenities(self) -> str:
+        return landed.land_documents(landed.amenity_documents(self.spark, self.sf_dir, self.area_dimension), "amenities")
+
+    @cached_property
+    def landed_schools(self) -> str:
+        return landed.land_documents(landed.school_documents(self.spark, self.sf_dir, self.area_dimension), "schools")

@@ -51,12 +51,13 @@ def _opt(df: DataFrame, c: str, t: str) -> Column:
 def stage_panel(raw: DataFrame, value: str) -> DataFrame:
     """Typed monthly panel; keeps rows with a positive value and a key."""
     cx = _Caster(raw)
-    v = cx.num(value)
-    kept = raw.where(v.isNotNull() & (v > 0) & F.col("zip_code").isNotNull())
+    # a double is compared as it is, so that "> 0" reaches the scan; NaN counts as larger than 0
+    positive = (F.col(value) > 0) & ~F.isnan(value) if cx.types.get(value) == "double" else cx.num(value) > 0
+    kept = raw.where(positive & F.col("zip_code").isNotNull())
     return kept.select(
         *[_opt(raw, c, "string") for c in PANEL_TEXT],
         cx.t("date", "date").alias("date"),
-        cx.num(value).alias(value),
+        (F.col(value) if cx.types.get(value) == "double" else cx.num(value)).alias(value),
         _opt(raw, "region_id", "int"),
         _opt(raw, "size_rank", "int"),
     )

@@ -16,21 +16,35 @@ from areascope.sources.tables import read_table
 
 
 
-_PANEL_WIDE_NAMES = {v: k for k, v in ING.PANEL_RENAMES.items()}
-
-
 @register("unpivot_panel", O.with_models("""
-SELECT region_id, size_rank, zip_code, region_type, state_name, state, city, metro, county,
-       CAST(date AS DATE) AS date, home_value FROM raw_home_values"""))
+SELECT region_id, size_rank, zip_code, region_type, state_name, state, city, metro, county, date, home_value
+FROM raw_home_values"""))
 def q_unpivot_panel(spark, sf_dir):
-    """Wide panel (one column per month header) rebuilt from the long panel, then melted back."""
-    raw = layers(spark, sf_dir).raw_home_values
-    ids = [_PANEL_WIDE_NAMES[c] for c in ("region_id", "size_rank", "zip_code", "region_type", "state_name", "state",
-                                         "city", "metro", "county")]
-    named = raw.select(*[F.col(k).alias(v) for k, v in _PANEL_WIDE_NAMES.items()],
-                       F.date_format("date", "yyyy-MM-dd").alias("_month"), "home_value")
-    wide = named.groupBy(*ids).pivot("_month").agg(F.max("home_value"))
-    return ING.wide_to_long(wide, "home_value")
+    """The landed wide CSV (one column per month) melted to the long panel, ids typed."""
+    long = ING.wide_to_long(ING.read_wide_csv(spark, layers(spark, sf_dir).landed_wide_csv), "home_value")
+    return long.withColumns({"region_id": F.col("region_id").cast("int"), "size_rank": F.col("size_rank").cast("int")})
+
+
+@register("wide_csv_panel", O.with_models("""
+SELECT CAST(region_id AS VARCHAR) AS region_id, zip_code, metro, count(*) AS months, min(date) AS first_month, max(home_value) AS top_value
+FROM raw_home_values GROUP BY ALL"""))
+def q_wide_csv_panel(spark, sf_dir):
+    """Each row of the wide CSV as read (ids are text): its months with a value, the first and the largest value."""
+    long = ING.wide_to_long(ING.read_wide_csv(spark, layers(spark, sf_dir).landed_wide_csv), "home_value")
+    return long.groupBy("region_id", "zip_code", "metro").agg(
+        F.count(F.lit(1)).alias("months"), F.min("date").alias("first_month"), F.max("home_value").alias("top_value"))
+
+
+@register("union_school_years", O.with_models("""
+SELECT year, count(*) AS schools, CAST(sum(enrollment) AS BIGINT) AS pupils, count(DISTINCT zip_code) AS areas
+FROM raw_schools WHERE school_level <> 5 GROUP BY year"""))
+def q_union_school_years(spark, sf_dir):
+    """Regular schools of the landed pages, year by year as they are fetched, in one table."""
+    recs = ING.flatten_school_json(ING.read_school_pages(spark, layers(spark, sf_dir).landed_schools, multi_line=False))
+    first, last = recs.agg(F.min("year"), F.max("year")).first()
+    frames = [ING.filter_regular_schools(recs, year=y) for y in range(first, last + 1)]
+    return ING.union_years(*frames).groupBy("year").agg(
+        F.count(F.lit(1)).alias("schools"), F.sum(F.col("enrollment").cast("int")).alias("pupils"), F.countDistinct("zip_code").alias("areas"))
 
 
 @register("amenity_json_flatten", O.with_models("""
@@ -41,26 +55,26 @@ SELECT CASE WHEN l.l_linenumber % 3 <> 0 THEN p.p_name ELSE 'unnamed' END AS ame
                      WHEN 'LARGE' THEN 'dining' WHEN 'PROMO' THEN 'shopping' END AS amenity_category,
        l.l_discount * 100 AS latitude, l.l_tax * 100 AS longitude, d.city, d.state_name
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppkey = d.s_suppkey
-WHERE l.l_linestatus = 'F' AND p.p_type <> 'STANDARD'"""))
+WHERE p.p_type <> 'STANDARD'"""))
 def q_amenity_json_flatten(spark, sf_dir):
     """Points-of-interest API pages landed as files -> read by executors -> one classified row per element."""
-    landed = LD.land_documents(LD.amenity_documents(spark, sf_dir, layers(spark, sf_dir).area_dimension), "amenities")
+    landed = layers(spark, sf_dir).landed_amenities
     return ING.flatten_amenity_json(ING.read_amenity_responses(spark, landed, multi_line=False))
 
 
 @register("school_json_flatten", O.with_models("""
 SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS nces_school_id,
-       d.zip_code, d.state, CASE year(l.l_shipdate) WHEN 1996 THEN 2017 ELSE 2022 END AS year,
+       d.zip_code, d.state, CAST(year(l.l_shipdate) + 21 AS INTEGER) AS year,
        CAST(l.l_linenumber AS INTEGER) AS school_level, CAST(trunc(l.l_quantity) AS INTEGER) AS enrollment,
-       round(coalesce(l.l_quantity, 0) / nullif(l.l_tax * 100, 0) + 1e-9, 1) + 0.0 AS student_teacher_ratio,
-       round(floor(l.l_quantity * l.l_discount) / nullif(l.l_quantity, 0) * 100 + 1e-9, 1) + 0.0 AS free_lunch_pct,
+       round_even(coalesce(l.l_quantity, 0) / nullif(l.l_tax * 100, 0), 1) AS student_teacher_ratio,
+       round_even(floor(l.l_quantity * l.l_discount) / nullif(l.l_quantity, 0) * 100, 1) AS free_lunch_pct,
        CASE WHEN l.l_linenumber = 1 THEN 'Primary' WHEN l.l_linenumber = 2 THEN 'Middle' WHEN l.l_linenumber = 3 THEN 'High'
             WHEN l.l_linenumber = 4 THEN 'Other' ELSE 'Unknown' END AS school_level_name
 FROM lineitem l JOIN dim d ON l.l_suppkey = d.s_suppkey
-WHERE l.l_linestatus = 'O' AND year(l.l_shipdate) IN (1996, 2001) AND l.l_quantity > 0"""))
+WHERE l.l_linenumber <> 5 AND l.l_quantity > 0"""))
 def q_school_json_flatten(spark, sf_dir):
     """School-directory API pages -> records -> regular schools -> ratios -> staged."""
-    landed = LD.land_documents(LD.school_documents(spark, sf_dir, layers(spark, sf_dir).area_dimension), "schools")
+    landed = layers(spark, sf_dir).landed_schools
     recs = ING.flatten_school_json(ING.read_school_pages(spark, landed, multi_line=False))
     staged = STG.stage_schools(ING.derive_school_ratios(ING.filter_regular_schools(recs)))
     return staged.select("nces_school_id", "zip_code", "state", "year", "school_level", "enrollment",
@@ -150,12 +164,7 @@ def q_top_cities(spark, sf_dir):
 
 @register("map_to_zip", O.with_models("""
 SELECT a.zip_code, x.amenity_name, x.amenity_type, x.amenity_category, x.latitude, x.longitude, x.city, x.state_name
-FROM (SELECT p.p_name AS amenity_name, p.p_brand AS amenity_type,
-             CASE p.p_type WHEN 'ECONOMY' THEN 'parks' WHEN 'SMALL' THEN 'shopping'
-                           WHEN 'MEDIUM' THEN 'entertainment' WHEN 'LARGE' THEN 'dining' END AS amenity_category,
-             CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude, d.city, d.state_name
-      FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppkey = d.s_suppkey
-      WHERE l.l_linestatus = 'F' AND l.l_suppkey % 10 <> 3 AND p.p_type IN ('ECONOMY', 'SMALL', 'MEDIUM', 'LARGE')) x
+FROM raw_amenities x
 JOIN (SELECT DISTINCT zip_code, city, state_name FROM raw_home_values WHERE city IS NOT NULL) a
   ON x.city = a.city AND x.state_name = a.state_name"""))
 def q_map_to_zip(spark, sf_dir):

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
+from areascope import oracle as O
+from areascope.plans.build import build
 from areascope.queries.base import layers, register, select_all
 
 
@@ -60,3 +64,16 @@ def q_investment(spark, sf_dir):
 @register("area_comparison", select_all("area_comparison"))
 def q_area_comparison(spark, sf_dir):
     return layers(spark, sf_dir).area_comparison
+
+
+@register("build_marts", O.with_models("""
+SELECT 'market_intelligence' AS mart, count(*) AS n, round(sum(livability_score), 1) AS total FROM market_intelligence
+UNION ALL SELECT 'investment_hotspots', count(*), round(sum(investment_score), 1) FROM investment_hotspots
+UNION ALL SELECT 'area_comparison', count(*), round(sum(avg_livability_score), 1) FROM area_comparison"""))
+def q_build_marts(spark, sf_dir):
+    """All layers built as catalog tables of a schema, the marts read back by name."""
+    marts = build(layers(spark, sf_dir), "areascope_build")
+    scores = {"market_intelligence": "livability_score", "investment_hotspots": "investment_score", "area_comparison": "avg_livability_score"}
+    parts = [marts[m].agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(c), 1).alias("total")).select(F.lit(m).alias("mart"), "n", "total")
+             for m, c in scores.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

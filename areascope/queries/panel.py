@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from areascope import oracle as O
-from areascope.operators.panel import at_latest, latest_date_value, lookback
+from areascope.operators.panel import at_latest, common_latest, lookback
 from areascope.operators.ranking import percent_rank_scores, rank_within
 from areascope.queries.base import layers, register
 from areascope.sources import adapter as AD
@@ -22,36 +22,17 @@ SELECT min(max_date) AS ref_date FROM (SELECT max(date) AS max_date FROM stg_ren
                                        UNION ALL SELECT max(date) AS max_date FROM stg_home_values)"""))
 def q_common_latest(spark, sf_dir):
     p = layers(spark, sf_dir)
-    maxes = p.stg_rental_prices.agg(F.max("date").alias("max_date")).unionByName(
-        p.stg_home_values.agg(F.max("date").alias("max_date")))
-    return maxes.agg(F.min("max_date").alias("ref_date"))
-
-
-_LOOKBACK_SQL = """
-SELECT c.zip_code, c.home_value AS current_value, h1.home_value AS value_30d_ago, h6.home_value AS value_6m_ago,
-       h12.home_value AS value_1yr_ago
-FROM {panel} c
-LEFT JOIN {panel} h1 ON c.zip_code = h1.zip_code AND h1.date = CAST(c.date - INTERVAL 1 MONTH AS DATE)
-LEFT JOIN {panel} h6 ON c.zip_code = h6.zip_code AND h6.date = CAST(c.date - INTERVAL 6 MONTH AS DATE)
-LEFT JOIN {panel} h12 ON c.zip_code = h12.zip_code AND h12.date = CAST(c.date - INTERVAL 12 MONTH AS DATE)
-WHERE c.date = (SELECT max(date) FROM {panel})"""
-
-_SPARSE_PANEL = """
-sparse_panel AS (
-  SELECT CASE WHEN length(CAST(l_partkey AS VARCHAR)) < 5 THEN lpad(CAST(l_partkey AS VARCHAR), 5, '0')
-              ELSE CAST(l_partkey AS VARCHAR) END AS zip_code,
-         CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
-         round(100000.0::DOUBLE + 3.0::DOUBLE * avg(l_extendedprice / nullif(l_quantity, 0)) + 1e-9, 2) + 0.0 AS home_value
-  FROM lineitem
-  WHERE l_shipdate < TIMESTAMP '2001-11-01' AND NOT (l_suppkey % 9 = 4 AND l_shipdate < TIMESTAMP '2001-01-01')
-  GROUP BY 1, 2
-),
-sparse_lookback AS (""" + _LOOKBACK_SQL.format(panel="sparse_panel") + ")"
+    return spark.range(1).select(common_latest([p.stg_rental_prices, p.stg_home_values]).alias("ref_date"))
+
+
+_SPARSE_PANEL = f"""
+sparse_panel AS (SELECT {O.zip5("area")} AS zip_code, date, home_value FROM ({O.cells("l_partkey")})),
+sparse_lookback AS ({O.lookbacks("sparse_panel")})"""
 
 _LOOKBACK_NAMES = {"value_30d_ago": 1, "value_6m_ago": 6, "value_1yr_ago": 12}
 
 
-@register("lookback_1_6_12", O.with_models(_LOOKBACK_SQL.format(panel="stg_home_values")))
+@register("lookback_1_6_12", O.with_models(O.lookbacks("stg_home_values")))
 def q_lookback(spark, sf_dir):
     hv = layers(spark, sf_dir).stg_home_values
     return lookback(hv, "zip_code", "home_value", hv.select(F.max("date")).scalar(), _LOOKBACK_NAMES)
@@ -59,21 +40,20 @@ def q_lookback(spark, sf_dir):
 
 def _sparse_lookback(spark, sf_dir):
     p = AD.sparse_value_panel(spark, sf_dir)
-    # a literal reference date lets the date filter sink below the lineitem aggregation
-    return lookback(p, "zip_code", "home_value", latest_date_value(p), _LOOKBACK_NAMES)
+    # a literal reference date, read from the ship dates alone, lets the date filter sink below the
+    # lineitem aggregation, which then runs once
+    return lookback(p, "zip_code", "home_value", AD.last_month(spark, sf_dir), _LOOKBACK_NAMES)
 
 
-@register("lookback_sparse", f"WITH {O.ADAPTER}, {_SPARSE_PANEL} SELECT * FROM sparse_lookback")
+@register("lookback_sparse", f"WITH {_SPARSE_PANEL} SELECT * FROM sparse_lookback")
 def q_lookback_sparse(spark, sf_dir):
     """Part-keyed panel: most lookbacks find no row and stay null."""
     return _sparse_lookback(spark, sf_dir)
 
 
-@register("percentile_scores", f"""WITH {O.ADAPTER}, {_SPARSE_PANEL}
-SELECT zip_code, current_value, value_1yr_ago,
-       round(percent_rank() OVER (ORDER BY current_value ASC NULLS FIRST) * 100 + 1e-9, 1) + 0.0 AS current_pct,
-       round(percent_rank() OVER (ORDER BY value_1yr_ago ASC NULLS FIRST) * 100 + 1e-9, 1) + 0.0 AS past_pct_asc,
-       round(percent_rank() OVER (ORDER BY value_1yr_ago DESC NULLS LAST) * 100 + 1e-9, 1) + 0.0 AS past_pct_desc,
+@register("percentile_scores", f"""WITH {_SPARSE_PANEL}
+SELECT zip_code, current_value, value_1yr_ago, {O.percentile("current_value", "current_pct")},
+       {O.percentile("value_1yr_ago", "past_pct_asc")}, {O.percentile("value_1yr_ago", "past_pct_desc", True)},
        percent_rank() OVER (ORDER BY value_6m_ago DESC NULLS LAST) AS six_month_fraction
 FROM sparse_lookback""")
 def q_percentile_scores(spark, sf_dir):
@@ -86,9 +66,8 @@ def q_percentile_scores(spark, sf_dir):
 
 
 @register("value_rank_by_month", O.with_models("""
-SELECT zip_code, date, home_value,
-       CAST(rank() OVER (PARTITION BY date ORDER BY round(home_value + 1e-9, -3) + 0.0 DESC NULLS LAST) AS INTEGER) AS value_rank
-FROM stg_home_values"""))
+SELECT zip_code, date, home_value, CAST(rank() OVER (PARTITION BY date ORDER BY thousands DESC NULLS LAST) AS INTEGER) AS value_rank
+FROM (SELECT *, round(home_value + 1e-9, -3) + 0.0 AS thousands FROM stg_home_values)"""))
 def q_value_rank_by_month(spark, sf_dir):
     """rank() within every month of the panel (thousands rounded, so ties are common)."""
     hv = layers(spark, sf_dir).stg_home_values.select("zip_code", "date", "home_value")

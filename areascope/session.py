@@ -56,13 +56,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df):
-    """Materialise ``df`` into the shared checkpoint folder (reliable checkpoint, never local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def materialize(df, name: str = "table", partition_by: tuple[str, ...] = (), cluster_by: tuple[str, ...] = ()):
+def materialize(df, name: str = "table", partition_by: tuple[str, ...] = ()):
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Used at layer boundaries (raw tables, per-area aggregates that feed several branches, marts):
@@ -70,24 +64,17 @@ def materialize(df, name: str = "table", partition_by: tuple[str, ...] = (), clu
     executors), and the planner sees the real file size when it chooses a join strategy.
 
     ``partition_by`` writes one folder per value (e.g. per month) so filters on it prune whole
-    folders. Rows are hash-partitioned on the partition columns plus a small spread of
-    ``cluster_by`` (about one spread slot per 32 shuffle partitions), so each folder is written by
-    a few tasks - no file per (task, folder) explosion, and unlike range partitioning no sampling
-    pass that would run the whole upstream lineage twice.
+    folders. The rows are rebalanced on those columns: adaptive execution gives a large folder
+    several tasks of the advisory size and puts small ones together, so two school years are not
+    two tasks and a hundred months are not a file per task and folder.
     """
     import uuid
 
-    from pyspark.sql import functions as F
-
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/areascope/{name}-{uuid.uuid4().hex}"
     if partition_by:
-        keys = [F.col(c) for c in partition_by]
-        spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 32)
-        if cluster_by and spread > 1:
-            keys.append(F.pmod(F.xxhash64(*cluster_by), F.lit(spread)))
-        df.repartition(*keys).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     # the schema is known: skip footer inference on read-back

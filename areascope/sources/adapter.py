@@ -4,14 +4,14 @@ Entity = supplier (one postal area per supplier); common dimension = supplier x
 Every panel is aggregated from ``lineitem`` *before* it meets the dimension, so the big side is
 pre-aggregated (partial + final hash aggregate) and only (area, month) cells are joined.
 
-The ``% n`` predicates below are not sampling: they remove whole series or whole years for some
-areas so the models see missing history, missing rent and missing schools, as real panels do.
+Every line takes part in every table; the models' own filters drop what they should. A month without
+a returned line has a null rent, a part type without a category a null category, and school years run
+over all ship years, so the staging filters and the year slice of the school model have work to do.
+The last month is incomplete, so some areas have no current value.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,36 +20,23 @@ from areascope.functions.numeric import safe_div, tie_safe_round
 from areascope.sources.ingest import derive_school_ratios
 from areascope.sources.tables import read_table
 
-# Adapter cut-off dates, category mapping and year mapping.
-HOME_VALUE_END = "2001-11-01"
-RENT_END = "2001-10-01"
-SHORT_HISTORY_START = "2001-01-01"
+# Category of a part type, school year of a ship year (1996 is 2017, 2001 is 2022),
+# cities of a nation.
 PART_TYPE_CATEGORY = {"ECONOMY": "parks", "SMALL": "shopping", "MEDIUM": "entertainment", "LARGE": "dining"}
-SHIP_YEAR_TO_SCHOOL_YEAR = {1996: 2017, 2001: 2022}
-
-
-def _ts(value: str) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
-
-
-@dataclass
-class DomainTables:
-    raw_home_values: DataFrame
-    raw_rental_prices: DataFrame
-    raw_amenities: DataFrame
-    raw_schools: DataFrame
+SCHOOL_YEAR_SHIFT = 21
+CITIES_PER_NATION = 3
 
 
 def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per supplier with its area attributes (postal code, city, state, metro...)."""
-    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = n.join(r, n.n_regionkey == r.r_regionkey)
     return s.join(geo, s.s_nationkey == geo.n_nationkey).select(
         F.col("s_suppkey"),
         pad_zip(F.col("s_suppkey")).alias("zip_code"),
-        F.col("s_name").alias("city"),
+        F.concat_ws(" ", F.col("n_name"), (F.col("s_suppkey") % CITIES_PER_NATION).cast("string")).alias("city"),
         F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("county"),
         F.col("n_name").alias("state"),
         F.col("n_name").alias("state_name"),
@@ -66,57 +53,51 @@ def _panel(cells: DataFrame, dim: DataFrame, value_name: str) -> DataFrame:
     )
 
 
-def raw_home_values(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None) -> DataFrame:
-    """Monthly value panel: (area, month start) -> round(100000 + 3 * avg unit price, 2)."""
-    dim = dimension(spark, sf_dir) if dim is None else dim
-    ship = F.col("l_shipdate")
-    lines = read_table(spark, sf_dir, "lineitem").where(
-        (ship < _ts(HOME_VALUE_END)) & ~((F.col("l_suppkey") % 9 == 4) & (ship < _ts(SHORT_HISTORY_START)))
-    )
-    cells = _value_cells(lines, "l_suppkey")
-    return _panel(cells, dim, "home_value")
+def monthly_cells(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> DataFrame:
+    """(area, month): value = 100000 + 3 * avg unit price, rent = 100 + 10000 * avg tax of the returned
+    lines (null without one), both to cents. One scan and one aggregate serve both panels."""
+    lines = read_table(spark, sf_dir, "lineitem")
+    month = F.trunc(F.col("l_shipdate").cast("date"), "month")
+    return lines.groupBy(F.col(key).alias("l_suppkey"), month.alias("date")).agg(
+        F.avg(safe_div(F.col("l_extendedprice"), F.col("l_quantity"))).alias("_unit"),
+        F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_tax"))).alias("_tax"),
+    ).select("l_suppkey", "date",
+             tie_safe_round(F.lit(100000.0) + F.lit(3.0) * F.col("_unit"), 2).alias("home_value"),
+             tie_safe_round(F.lit(100.0) + F.lit(10000.0) * F.col("_tax"), 2).alias("rental_price"))
 
 
-def _value_cells(lines: DataFrame, key: str) -> DataFrame:
-    ship = F.col("l_shipdate")
-    return lines.groupBy(F.col(key).alias("l_suppkey"), F.trunc(ship.cast("date"), "month").alias("date")).agg(
-        F.avg(safe_div(F.col("l_extendedprice"), F.col("l_quantity"))).alias("_unit")
-    ).select("l_suppkey", "date", tie_safe_round(F.lit(100000.0) + F.lit(3.0) * F.col("_unit"), 2).alias("home_value"))
+def raw_home_values(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """Monthly value panel, one row per (area, month)."""
+    dim = dimension(spark, sf_dir) if dim is None else dim
+    cells = monthly_cells(spark, sf_dir) if cells is None else cells
+    return _panel(cells, dim, "home_value")
 
 
 def sparse_value_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value panel keyed by part instead of supplier: few lines per (area, month), so most
     lookbacks find nothing. Columns: zip_code, date (date), home_value."""
-    ship = F.col("l_shipdate")
-    lines = read_table(spark, sf_dir, "lineitem").where(
-        (ship < _ts(HOME_VALUE_END)) & ~((F.col("l_suppkey") % 9 == 4) & (ship < _ts(SHORT_HISTORY_START)))
-    )
-    cells = _value_cells(lines, "l_partkey")
+    cells = monthly_cells(spark, sf_dir, "l_partkey")
     return cells.select(pad_zip(F.col("l_suppkey")).alias("zip_code"), "date", "home_value")
 
 
-def raw_rental_prices(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None) -> DataFrame:
-    """Monthly rent panel for returned lines: (area, month) -> round(100 + 10000 * avg tax, 2)."""
+def last_month(spark: SparkSession, sf_dir: str) -> Column:
+    """The latest month of the panels as a literal, from the ship dates alone (no aggregation by area)."""
+    value = read_table(spark, sf_dir, "lineitem").agg(F.trunc(F.max(F.col("l_shipdate").cast("date")), "month")).first()[0]
+    return F.lit(value).cast("date")
+
+
+def raw_rental_prices(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """Monthly rent panel; the rent is null in a month without a returned line."""
     dim = dimension(spark, sf_dir) if dim is None else dim
-    ship = F.col("l_shipdate")
-    lines = read_table(spark, sf_dir, "lineitem").where(
-        (F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 4 != 1) & (ship < _ts(RENT_END))
-    )
-    cells = lines.groupBy("l_suppkey", F.trunc(ship.cast("date"), "month").alias("date")).agg(
-        F.avg("l_tax").alias("_tax")
-    ).select("l_suppkey", "date", tie_safe_round(F.lit(100.0) + F.lit(10000.0) * F.col("_tax"), 2).alias("rental_price"))
+    cells = monthly_cells(spark, sf_dir) if cells is None else cells
     return _panel(cells, dim, "rental_price")
 
 
 def raw_amenities(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None) -> DataFrame:
-    """One amenity per finished line; the category comes from the part type."""
+    """One amenity per line; the category comes from the part type (null for the other types)."""
     dim = dimension(spark, sf_dir) if dim is None else dim
-    lines = read_table(spark, sf_dir, "lineitem").where(
-        (F.col("l_linestatus") == "F") & (F.col("l_suppkey") % 10 != 3)
-    ).select("l_partkey", "l_suppkey")
-    part = read_table(spark, sf_dir, "part").where(F.col("p_type").isin(*PART_TYPE_CATEGORY)).select(
-        "p_partkey", "p_name", "p_brand", "p_type"
-    )
+    lines = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     category = None
     for ptype, cat in PART_TYPE_CATEGORY.items():
         cond = F.col("p_type") == ptype
@@ -135,16 +116,10 @@ def raw_amenities(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None
 
 
 def raw_schools(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None) -> DataFrame:
-    """One school per open line shipped in 1996 (school year 2017) or 2001 (2022)."""
+    """One school per line, in the school year of its ship year."""
     dim = dimension(spark, sf_dir) if dim is None else dim
-    ship_year = F.year("l_shipdate")
-    year = None
-    for ship, school in SHIP_YEAR_TO_SCHOOL_YEAR.items():
-        cond = ship_year == ship
-        year = F.when(cond, F.lit(school)) if year is None else year.when(cond, F.lit(school))
-    lines = read_table(spark, sf_dir, "lineitem").where(
-        (F.col("l_linestatus") == "O") & ship_year.isin(*SHIP_YEAR_TO_SCHOOL_YEAR) & (F.col("l_suppkey") % 10 != 7)
-    )
+    lines = read_table(spark, sf_dir, "lineitem")
+    year = (F.year("l_shipdate") + SCHOOL_YEAR_SHIFT).cast("int")
     joined = lines.join(dim, lines.l_suppkey == dim.s_suppkey)
     school_id = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     raw = joined.select(
@@ -165,13 +140,3 @@ def raw_schools(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None)
         year.alias("year"),
     )
     return derive_school_ratios(raw)
-
-
-def domain_tables(spark: SparkSession, sf_dir: str) -> DomainTables:
-    dim = dimension(spark, sf_dir)
-    return DomainTables(
-        raw_home_values=raw_home_values(spark, sf_dir, dim),
-        raw_rental_prices=raw_rental_prices(spark, sf_dir, dim),
-        raw_amenities=raw_amenities(spark, sf_dir, dim),
-        raw_schools=raw_schools(spark, sf_dir, dim),
-    )

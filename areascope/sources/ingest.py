@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from areascope.functions.keys import header_date, pad_zip, school_zip, tag
 from areascope.functions.labels import classify_amenity
-from areascope.functions.numeric import tie_safe_round
+from areascope.functions.numeric import round_half_even, tie_safe_round
 from areascope.operators.aggregates import count_by
 from areascope.operators.reshape import rename_snake, split_columns, unpivot_panel
 
@@ -169,11 +169,11 @@ def fips_table(spark: SparkSession) -> DataFrame:
 
 
 def with_fips(df: DataFrame, lookup: DataFrame, state_col: str = "state") -> DataFrame:
-    """Inner join to a (state, code) lookup; states without a code yield no rows. The lookup is a
-    dimension with one row per state (51 for the FIPS table), a fixed bound, so it is broadcast."""
+    """Inner join to a (state, code) lookup; states without a code yield no rows. The lookup is any
+    table, so the join strategy is left to the planner, which broadcasts it below its size limit."""
     key, code = lookup.columns[:2]
     lk = lookup.select(F.col(key).alias("_lookup_state"), F.col(code))
-    return df.join(F.broadcast(lk), df[state_col] == lk["_lookup_state"], "inner").drop("_lookup_state")
+    return df.join(lk, df[state_col] == lk["_lookup_state"], "inner").drop("_lookup_state")
 
 
 def filter_regular_schools(df: DataFrame, fips: int | None = None, year: int | None = None) -> DataFrame:
@@ -188,11 +188,11 @@ def filter_regular_schools(df: DataFrame, fips: int | None = None, year: int | N
 
 def derive_school_ratios(df: DataFrame) -> DataFrame:
     """student_teacher_ratio = enrollment (null as 0) / teachers (0 as null); free_lunch_pct =
-    free_lunch (null as 0) / enrollment (0 as null) * 100; both rounded to 1 decimal (half-up)."""
+    free_lunch (null as 0) / enrollment (0 as null) * 100; both rounded to 1 decimal, half to even."""
     enrollment = F.coalesce(F.col("enrollment").cast("double"), F.lit(0.0))
     ratio = enrollment / F.nullif(F.col("teachers_fte").cast("double"), F.lit(0.0))
     lunch = F.coalesce(F.col("free_lunch").cast("double"), F.lit(0.0)) / F.nullif(F.col("enrollment").cast("double"), F.lit(0.0)) * 100
-    return df.withColumn("student_teacher_ratio", tie_safe_round(ratio, 1)).withColumn("free_lunch_pct", tie_safe_round(lunch, 1))
+    return df.withColumn("student_teacher_ratio", round_half_even(ratio, 1)).withColumn("free_lunch_pct", round_half_even(lunch, 1))
 
 
 # ---------------------------------------------------------------- city/zip mapping (A-08, O-01, J-09)

@@ -7,12 +7,15 @@ no group ever grows with the data.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areascope.functions.keys import pad_zip
-from areascope.sources.adapter import dimension
-from areascope.sources.ingest import AMENITY_RESPONSE_SCHEMA, SCHOOL_PAGE_SCHEMA
+from areascope.session import ensure_checkpoint_dir
+from areascope.sources.ingest import PANEL_RENAMES
+from areascope.sources.adapter import SCHOOL_YEAR_SHIFT, dimension
 from areascope.sources.tables import read_table
 
 # Map-tag (key, value) given to each part type; STANDARD gets a tag that no
@@ -40,7 +43,7 @@ def amenity_documents(spark: SparkSession, sf_dir: str, dim: DataFrame | None =
     Odd line numbers carry lat/lon on the element, even ones only in ``center``; every third line
     has no ``name`` tag."""
     dim = (dimension(spark, sf_dir) if dim is None else dim).select("s_suppkey", "city", "state_name")
-    lines = read_table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == "F").select(
+    lines = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     j = lines.join(part, lines.l_partkey == part.p_partkey).join(dim, F.col("l_suppkey") == dim.s_suppkey)
@@ -64,26 +67,30 @@ def amenity_documents(spark: SparkSession, sf_dir: str, dim: DataFrame | None =
 def land_documents(docs: DataFrame, name: str) -> str:
     """Write the documents as JSON Lines text files under the shared checkpoint folder (as a
     fetcher would land them) and return the folder."""
-    import uuid
-
-    from areascope.session import ensure_checkpoint_dir
-
     path = f"{ensure_checkpoint_dir(docs.sparkSession).rstrip('/')}/areascope/landed-{name}-{uuid.uuid4().hex}"
     docs.select("document").write.mode("overwrite").text(path)
     return path
 
 
-def parse_amenity_documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.from_json("document", AMENITY_RESPONSE_SCHEMA).alias("r")).select("r.*")
+def land_wide_csv(panel: DataFrame, value: str, name: str) -> str:
+    """Write a long panel as the wide CSV that a publisher would land: one row per area, one column per
+    month. The month columns run from the first to the last month of the panel (two scalars)."""
+    first, last = panel.agg(F.min("date"), F.max("date")).first()
+    months = [f"{y:04d}-{m:02d}-01" for y in range(first.year, last.year + 1) for m in range(1, 13)
+              if (first.year, first.month) <= (y, m) <= (last.year, last.month)]
+    names = {v: k for k, v in PANEL_RENAMES.items()}
+    long = panel.select(*[F.col(k).alias(v) for k, v in names.items()], F.date_format("date", "yyyy-MM-dd").alias("_month"), value)
+    wide = long.groupBy(*names.values()).pivot("_month", months).agg(F.max(value))
+    path = f"{ensure_checkpoint_dir(panel.sparkSession).rstrip('/')}/areascope/landed-{name}-{uuid.uuid4().hex}"
+    wide.write.mode("overwrite").option("header", True).csv(path)
+    return path
 
 
 def school_documents(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None) -> DataFrame:
     """JSON strings shaped like school-directory API pages: {state, year, next, results: [...]}.
-    Odd lines give a ZIP+4 mailing code, even ones only the location code."""
+    Odd lines give a ZIP+4 mailing code, even ones only the location code; line 5 is no regular school."""
     dim = (dimension(spark, sf_dir) if dim is None else dim).select("s_suppkey", "zip_code", "city", "state")
-    ship_year = F.year("l_shipdate")
-    lines = read_table(spark, sf_dir, "lineitem").where(
-        (F.col("l_linestatus") == "O") & ship_year.isin(1996, 2001))
+    lines = read_table(spark, sf_dir, "lineitem")
     j = lines.join(dim, lines.l_suppkey == dim.s_suppkey)
     odd = F.col("l_linenumber") % 2 == 1
     rec = F.struct(
@@ -93,23 +100,19 @@ def school_documents(spark: SparkSession, sf_dir: str, dim: DataFrame | None = N
         F.col("zip_code").alias("zip_location"),
         F.col("city").alias("city_location"),
         F.col("l_linenumber").cast("string").alias("school_level"),
-        F.lit(1).alias("school_type"),
+        F.when(F.col("l_linenumber") == 5, F.lit(2)).otherwise(F.lit(1)).alias("school_type"),
         F.col("l_quantity").alias("enrollment"),
         (F.col("l_tax") * 100).alias("teachers_fte"),
         F.floor(F.col("l_quantity") * F.col("l_discount")).cast("double").alias("free_or_reduced_price_lunch"),
         (F.col("l_returnflag") == "A").cast("int").alias("charter"),
         (F.col("l_returnflag") == "R").cast("int").alias("magnet"),
     )
-    year = F.when(ship_year == 1996, F.lit(2017)).otherwise(F.lit(2022))
+    year = (F.year("l_shipdate") + SCHOOL_YEAR_SHIFT).cast("int")
     pages = j.groupBy(F.col("state"), year.alias("year"), F.col("l_orderkey")).agg(F.collect_list(rec).alias("results"))
     doc = F.struct("state", "year", F.lit(None).cast("string").alias("next"), F.col("results"))
     return pages.select(F.to_json(doc).alias("document"))
 
 
-def parse_school_documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.from_json("document", SCHOOL_PAGE_SCHEMA).alias("p")).select("p.*")
-
-
 def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A (state, code) lookup from the nation table, one row per nation."""
     return read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("state"), F.col("n_nationkey").alias("fips_code"))

@@ -11,10 +11,11 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def norm(v):
-    if v is None:
+    if v is None or type(v).__name__ in ("NAType", "NaTType"):
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 9))
+        # a whole column of numbers with nulls is float in pandas: 9.0 is 9
+        return "nan" if math.isnan(v) else str(int(v)) if v.is_integer() else repr(round(v, 9))
     if hasattr(v, "to_pydatetime"):
         v = v.to_pydatetime()
     if isinstance(v, datetime.datetime):

@@ -6,17 +6,29 @@ from pyspark.sql import functions as F
 
 from areascope.functions import labels as L
 from areascope.functions.keys import pad_zip, school_zip, zip5
-from areascope.functions.numeric import tie_safe_round
-from areascope.functions.numeric import scale_clip, weighted_score
+from areascope.functions.numeric import money_change, scale_clip, tie_safe_round, weighted_score
+from areascope.sources.ingest import derive_school_ratios
 
 
 def one(spark, expr, schema, rows):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
 
 
-def test_tie_safe_round_rounds_ties_up(spark):
-    out = one(spark, tie_safe_round(F.col("x"), 2), "x double", [(1.005,), (2.675,), (0.125,), (-1.015,), (None,)])
-    assert out == [1.01, 2.68, 0.13, -1.01, None]
+def test_tie_safe_round_rounds_ties_away_from_zero(spark):
+    out = one(spark, tie_safe_round(F.col("x"), 2), "x double", [(1.005,), (2.675,), (0.125,), (-1.015,), (-0.125,), (None,)])
+    assert out == [1.01, 2.68, 0.13, -1.02, -0.13, None]
+    assert one(spark, tie_safe_round(F.col("x"), 0), "x double", [(-1234.5,), (1234.5,), (0.0,)]) == [-1235.0, 1235.0, 0.0]
+
+
+def test_money_change_is_exact(spark):
+    rows = [(100000.25, 101094.75), (101094.75, 100000.25), (None, 1.0)]
+    assert one(spark, money_change(F.col("a"), F.col("b")), "a double, b double", rows) == [-1095.0, 1095.0, None]
+
+
+def test_school_ratios_round_half_to_even(spark):
+    df = spark.createDataFrame([(49, 4.0, 0), (47, 4.0, 0), (8, 0.0, 1), (None, 2.0, 3)], "enrollment int, teachers_fte double, free_lunch int")
+    out = derive_school_ratios(df).select("student_teacher_ratio", "free_lunch_pct").collect()
+    assert [r[0] for r in out] == [12.2, 11.8, None, 0.0] and out[2][1] == 12.5 and out[3][1] is None
 
 
 def test_pad_zip_never_truncates(spark):

@@ -34,19 +34,3 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() >= 0 and "livability_score" in df.columns
-
-
-RANKED = ["neighborhood_score", "school_score", "livability", "investment", "percentile_scores", "value_rank_by_month"]
-
-
-@pytest.mark.parametrize("name", RANKED)
-def test_bucketed_rank_path_matches_oracle(spark, con, monkeypatch, name):
-    """Force the bucketed (large-data) rank path through the real models."""
-    from areascope.operators import ranking
-    from areascope.queries import base
-
-    monkeypatch.setattr(ranking, "SMALL_DISTINCT_ROWS", 0)
-    monkeypatch.setattr(base, "_LAYERS", {})
-    got = QUERIES[name](spark, SF).toPandas()
-    ok, why = compare(got, con.execute(ORACLE[name]).df())
-    assert ok, f"{name} (bucketed path): {why}"

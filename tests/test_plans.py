@@ -1,6 +1,9 @@
 """Plan assertions: the distributed rewrites keep the shapes they promise."""
 
+from areascope.operators import ranking
+from areascope.plans import intermediate, marts
 from areascope.registry import layers
+from areascope.session import materialize
 
 
 
@@ -29,38 +32,65 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_python_udfs_anywhere(spark):
+def _unstored(spark, monkeypatch):
+    """The models as plans in which nothing has been written yet."""
+    monkeypatch.setattr(ranking, "materialize", lambda df, *a, **k: df)
     p = layers(spark, SF)
-    for df in (p.price_trends, p.rental_yield, p.neighborhood_score, p.school_score, p.market_intelligence,
-               p.investment_hotspots, p.area_comparison):
-        plan = _plan(df)
-        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    market = marts.market_intelligence(p.price_trends, p.rental_yield, p.neighborhood_score, p.school_score)
+    return {
+        "price_trends": intermediate.price_trends(p.stg_home_values),
+        "rental_yield": intermediate.rental_yield(p.stg_rental_prices, p.stg_home_values),
+        "neighborhood_score": intermediate.neighborhood_score(p.stg_amenities),
+        "school_score": intermediate.school_score(p.stg_schools),
+        "market_intelligence": market,
+        "investment_hotspots": marts.investment_hotspots(p.market_intelligence),
+        "area_comparison": marts.area_comparison(p.market_intelligence),
+    }
+
+
+def _text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_lookbacks_are_one_pass(spark):
-    p = layers(spark, SF)
-    for df in (p.price_trends, p.rental_yield):
-        plan = _plan(df)
-        assert "Join" not in plan          # no self-joins; the reference date is a scalar subquery
-        assert "Window" not in plan
+def test_model_plans(spark, monkeypatch):
+    plans = {name: _text(df) for name, df in _unstored(spark, monkeypatch).items()}
+    for name, plan in plans.items():
+        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+    for name in ("price_trends", "rental_yield"):   # one grouped pass: no self-joins, no windows
+        assert "Aggregate" in plans[name] and "Join" not in plans[name] and "Window" not in plans[name]
+    for name in ("neighborhood_score", "school_score", "market_intelligence", "investment_hotspots"):
+        assert "Window [" in plans[name] and not has_global_window(plans[name]), "a window without PARTITION BY runs in one task"
+    # distinct areas are counted beside the sketches, not inside them
+    assert "Expand" not in plans["area_comparison"]
 
 
-def test_scores_have_no_global_window(spark):
-    p = layers(spark, SF)
-    for df in (p.neighborhood_score, p.school_score, p.market_intelligence, p.investment_hotspots):
-        plan = _plan(df)
-        assert "Window" in plan or "Scan" in plan
-        assert not has_global_window(plan), "a window without PARTITION BY runs in one task"
+def test_staging_filter_reaches_the_scan(spark):
+    for df, value in ((layers(spark, SF).stg_home_values, "home_value"), (layers(spark, SF).stg_rental_prices, "rental_price")):
+        scan = next(line for line in _text(df).split("\n") if "FileScan" in line)
+        assert f"GreaterThan({value},0.0)" in scan and "IsNotNull(zip_code)" in scan
+
+
+def test_panels_share_one_scan_of_the_lines(spark):
+    from areascope.sources.adapter import monthly_cells
+
+    scans = [line for line in _text(monthly_cells(spark, SF)).split("\n") if "FileScan" in line]
+    assert len(scans) == 1 and "l_comment" not in scans[0] and "l_partkey" not in scans[0]
 
 
-def test_adapter_scan_prunes_and_pushes(spark):
-    from areascope.sources.adapter import raw_rental_prices
+def test_partitioned_write_has_several_tasks_for_each_folder(spark, tmp_path):
+    """Two school years: a folder is written by more than one task when it is larger than the advisory size."""
+    import glob
 
-    df = raw_rental_prices(spark, SF)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    scan = next(line for line in plan.split("\n") if "lineitem.parquet" in line)
-    assert "EqualTo(l_returnflag,R)" in scan
-    assert "ReadSchema: struct<l_suppkey:bigint,l_tax:double,l_returnflag:string,l_shipdate:timestamp_ntz>" in scan
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(60000).selectExpr("uuid() AS x", "cast(2017 + 5 * (id % 2) AS int) AS year")
+        stored = materialize(df, "two-years", partition_by=("year",))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    path = stored.inputFiles()[0].removeprefix("file:").lstrip("/")
+    root = "/" + path.rsplit("/year=", 1)[0]
+    assert all(len(glob.glob(f"{root}/year={y}/*.parquet")) >= 2 for y in (2017, 2022))
 
 
 def test_global_window_detector(spark):

@@ -18,11 +18,11 @@ rows = st.lists(st.tuples(groups, values), min_size=1, max_size=40)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(rows, st.sampled_from([0, 200_000]))
-def test_rank_and_percent_rank_match_windows(spark, data, small_rows):
+@given(rows)
+def test_rank_and_percent_rank_match_windows(spark, data):
     df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(data)], "id long, g string, v int")
-    got = rank_within(percent_rank_scores(df, {"pr": ("v", False, None)}, buckets=4, small_rows=small_rows),
-                      "g", "v", out="r", descending=False, buckets=4, small_rows=small_rows)
+    got = rank_within(percent_rank_scores(df, {"pr": ("v", False, None)}, buckets=4),
+                      "g", "v", out="r", descending=False, buckets=4)
     exp = df.select("id",
                     F.percent_rank().over(Window.orderBy(F.col("v").desc())).alias("pr"),
                     F.rank().over(Window.partitionBy("g").orderBy(F.col("v").asc())).alias("r"))
