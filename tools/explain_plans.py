@@ -17,18 +17,16 @@ from areascope.session import local_session  # noqa: E402
 from areascope.sources import adapter  # noqa: E402
 
 NOTES = {
-    "raw_rental_prices (adapter)": "Lineitem is pruned to 4 columns with the flag filter pushed into the scan, "
-                                   "aggregated per (supplier, month) before it meets the dimension.",
+    "monthly_cells (adapter)": "One scan of lineitem, pruned to 6 columns, and one aggregate per (supplier, month) "
+                               "serve both panels, before they meet the dimension.",
     "price_trends": "One shuffle (partial + final aggregate by area); no join; the scan reads only the 4 month "
                     "partitions named in PartitionFilters.",
     "rental_yield": "Both panels are stacked (Union) and grouped once; no self-joins.",
-    "neighborhood_score": "Distinct-value counts per metric; the size check found few distinct values, so the "
-                          "rank table comes from one window per metric (the bucketed path takes over beyond the "
-                          "threshold); join-back per metric reads the stored rank table; no window without "
-                          "PARTITION BY.",
+    "neighborhood_score": "Distinct-value counts of all metrics in one stacked aggregate, ranked in buckets; one salted "
+                          "join back; no window without PARTITION BY.",
     "market_intelligence": "Four per-area tables joined (strategy chosen by AQE from their measured size), then "
                            "rank within metro from distinct (metro, score) counts.",
-    "area_comparison": "One grouped aggregation (distinct count via Expand, percentile sketch).",
+    "area_comparison": "One grouped aggregation with a percentile sketch; distinct areas are counted beside it.",
 }
 
 
@@ -56,7 +54,7 @@ def main() -> None:
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     p = registry.layers(spark, sf_dir)
     plans = {
-        "raw_rental_prices (adapter)": adapter.raw_rental_prices(spark, sf_dir),
+        "monthly_cells (adapter)": adapter.monthly_cells(spark, sf_dir),
         "price_trends": I.price_trends(p.stg_home_values),
         "rental_yield": I.rental_yield(p.stg_rental_prices, p.stg_home_values),
         "neighborhood_score": I.neighborhood_score(p.stg_amenities),
