@@ -54,9 +54,11 @@ def tier(score, labels=QUALITY_TIERS) -> Column:
     return threshold_label(score, TIER_BOUNDS, labels)
 
 
-def price_trend(ratio) -> Column:
-    """Trend from the unrounded 1-year ratio; a null ratio lands in the last label."""
-    return threshold_label(ratio, PRICE_TREND_BOUNDS, PRICE_TRENDS, strict=True)
+def price_trend(ratio, null_label: str | None = None) -> Column:
+    """Trend from the unrounded 1-year ratio; a null ratio gets ``null_label``, or lands in the last
+    label as in the reference."""
+    label = threshold_label(ratio, PRICE_TREND_BOUNDS, PRICE_TRENDS, strict=True)
+    return label if null_label is None else F.when(_col(ratio).isNull(), F.lit(null_label)).otherwise(label)
 
 
 def price_momentum(annualised_short, long) -> Column:

@@ -12,8 +12,8 @@ from areascope.functions.numeric import tie_safe_round
 
 
 def count_when(cond: Column) -> Column:
-    """``sum(case when cond then 1 else 0 end)``: 0 (not null) when nothing matches; bigint."""
-    return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0)))
+    """Rows for which ``cond`` holds: 0 (not null) when nothing matches or there is no row; bigint."""
+    return F.count(F.when(cond, F.lit(1)))
 
 
 def category_counts(col: str, values: Mapping[str, object]) -> list[Column]:

@@ -28,9 +28,10 @@ SCHOOL_WEIGHTS = (("str_score", "0.40"), ("choice_score", "0.30"), ("level_diver
 CURRENT_SCHOOL_YEAR, BASE_SCHOOL_YEAR = 2022, 2017
 
 
-def price_trends(home_values: DataFrame, align: str = "exact") -> DataFrame:
+def price_trends(home_values: DataFrame, align: str = "exact", null_label: str | None = None) -> DataFrame:
     """One row per area at the latest date: value now, 1/6/12 months back, % and $ changes,
-    trend and momentum. One shuffle (conditional aggregate), no self-joins."""
+    trend and momentum. One shuffle (conditional aggregate), no self-joins. ``align="month"`` takes
+    any day of a month; ``null_label`` names the trend of an area without history."""
     ref = latest_date_value(home_values)
     lb = lookback(home_values, "zip_code", "home_value", ref, PRICE_LOOKBACKS,
                   current="current_value", carry=("city", "state", "state_name", "metro", "county"), align=align)
@@ -47,7 +48,7 @@ def price_trends(home_values: DataFrame, align: str = "exact") -> DataFrame:
         money_change(cur, v6).alias("dollar_change_6m"),
         money_change(cur, v1y).alias("dollar_change_1yr"),
         pct_change(cur, v1y).alias("annual_appreciation_rate"),
-        L.price_trend(change_ratio(cur, v1y)).alias("price_trend"),
+        L.price_trend(change_ratio(cur, v1y), null_label).alias("price_trend"),
         L.price_momentum(tie_safe_round(change_ratio(cur, v30) * 100 * 12, 2), pct_change(cur, v1y)).alias("price_momentum"),
     )
 
@@ -111,11 +112,18 @@ def neighborhood_score(amenities: DataFrame, grain: str = "reference") -> DataFr
     ).withColumn("neighborhood_tier", L.tier(F.col("neighborhood_score")))
 
 
-def school_score(schools: DataFrame, current_year: int = CURRENT_SCHOOL_YEAR, base_year: int = BASE_SCHOOL_YEAR) -> DataFrame:
+def school_score(schools: DataFrame, current_year: int = CURRENT_SCHOOL_YEAR, base_year: int = BASE_SCHOOL_YEAR,
+                 grain: str = "reference") -> DataFrame:
     """Current-year aggregates per area, 5-year change against the base year, percentile
-    components, level diversity, weighted score, tier and trend."""
+    components, level diversity, weighted score, tier and trend. ``grain="reference"`` groups by
+    (zip_code, city, state); ``grain="zip"`` by zip_code with ``max`` of the names, so zip_code is unique."""
     yr = F.col("year")
-    cur = schools.where(yr == current_year).groupBy("zip_code", "city", "state").agg(
+    if grain not in ("reference", "zip"):
+        raise ValueError(grain)
+    keys = ["zip_code", "city", "state"] if grain == "reference" else ["zip_code"]
+    names = [] if grain == "reference" else [F.max("city").alias("city"), F.max("state").alias("state")]
+    cur = schools.where(yr == current_year).groupBy(*keys).agg(
+        *names,
         F.count(F.lit(1)).alias("school_count"),
         F.sum("enrollment").alias("total_enrollment"),
         rounded_avg("student_teacher_ratio", 1).alias("avg_student_teacher_ratio"),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from areascope import oracle as O
+from areascope.plans import intermediate
 from areascope.plans.build import build
 from areascope.queries.base import layers, register, select_all
 
@@ -77,3 +79,31 @@ def q_build_marts(spark, sf_dir):
     parts = [marts[m].agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(c), 1).alias("total")).select(F.lit(m).alias("mart"), "n", "total")
              for m, c in scores.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("school_score_zip", O.with_models("""
+SELECT zip_code, city || ' 1' AS city, state, school_count, total_enrollment, school_score, school_tier, school_trend FROM (
+  SELECT * EXCLUDE (city), max(city) OVER (PARTITION BY zip_code) AS city FROM int_school_score)"""))
+def q_school_score_zip(spark, sf_dir):
+    """School scores at zip grain, where a zip has two spellings of its city."""
+    schools = layers(spark, sf_dir).stg_schools
+    current = Window.partitionBy("zip_code", "year")
+    spelled = F.when(F.col("nces_school_id") == F.max("nces_school_id").over(current), "1").otherwise("0")
+    schools = schools.withColumn("city", F.concat_ws(" ", "city", spelled))
+    scored = intermediate.school_score(schools, grain="zip")
+    return scored.select("zip_code", "city", "state", "school_count", "total_enrollment", "school_score", "school_tier", "school_trend")
+
+
+@register("price_trends_month_end", O.with_models(f"""
+SELECT zip_code, as_of_date, now AS current_value, v1yr AS value_1yr_ago, {O.cents("now", "v1yr")} + 0.0 AS dollar_change_1yr,
+       CASE WHEN v1yr IS NULL THEN 'no_history' ELSE {O.ladder(O.growth("now", "v1yr"), [
+           ("> 0.05::DOUBLE", "strong_appreciation"), ("> 0.01::DOUBLE", "moderate_appreciation"),
+           ("> -0.01::DOUBLE", "stable"), ("> -0.05::DOUBLE", "moderate_decline")], "strong_decline")} END AS price_trend
+FROM (SELECT zip_code, any_value(latest) AS as_of_date, {O.at("home_value", 0)} AS now, {O.at("home_value", 12)} AS v1yr
+      FROM ({O.back_by_month("(SELECT * REPLACE (last_day(date) AS date) FROM stg_home_values)",
+                             "(SELECT max(last_day(date)) FROM stg_home_values)")}) GROUP BY zip_code HAVING now IS NOT NULL)"""))
+def q_price_trends_month_end(spark, sf_dir):
+    """Month-end panel: lookbacks by month, and a label of its own for areas without history."""
+    panel = layers(spark, sf_dir).stg_home_values.withColumn("date", F.last_day("date"))
+    trends = intermediate.price_trends(panel, align="month", null_label="no_history")
+    return trends.select("zip_code", "as_of_date", "current_value", "value_1yr_ago", "dollar_change_1yr", "price_trend")

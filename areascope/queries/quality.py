@@ -54,22 +54,20 @@ def _dq(spark, sf_dir, test):
     return out
 
 
+def _check_sql(model, spec):
+    col, test = spec[0], spec[1]
+    if test == "not_null":
+        cond = f"SELECT count(*) FROM {model} WHERE {col} IS NULL"
+    elif test == "unique":
+        cond = f"SELECT count(*) FROM (SELECT {col} FROM {model} WHERE {col} IS NOT NULL GROUP BY {col} HAVING count(*) > 1)"
+    else:
+        vals = ", ".join(repr(v) if isinstance(v, str) else str(v) for v in spec[2])
+        cond = f"SELECT count(*) FROM {model} WHERE {col} IS NOT NULL AND {col} NOT IN ({vals})"
+    return f"SELECT '{model}' AS model, '{col}' AS column_name, '{test}' AS test, ({cond}) AS violations"
+
+
 def _dq_sql(test):
-    selects = []
-    for model, specs in CHECKS.items():
-        for s in specs:
-            if s[1] != test:
-                continue
-            col = s[0]
-            if test == "not_null":
-                cond = f"SELECT count(*) FROM {model} WHERE {col} IS NULL"
-            elif test == "unique":
-                cond = f"SELECT count(*) FROM (SELECT {col} FROM {model} WHERE {col} IS NOT NULL GROUP BY {col} HAVING count(*) > 1)"
-            else:
-                vals = ", ".join(repr(v) if isinstance(v, str) else str(v) for v in s[2])
-                cond = f"SELECT count(*) FROM {model} WHERE {col} IS NOT NULL AND {col} NOT IN ({vals})"
-            selects.append(f"SELECT '{model}' AS model, '{col}' AS column_name, '{test}' AS test, ({cond}) AS violations")
-    return O.with_models("\nUNION ALL\n".join(selects))
+    return O.with_models("\nUNION ALL\n".join(_check_sql(m, s) for m, specs in CHECKS.items() for s in specs if s[1] == test))
 
 
 for _t in ("not_null", "unique", "accepted_values"):
@@ -79,3 +77,20 @@ for _t in ("not_null", "unique", "accepted_values"):
         q.__name__ = f"q_dq_{test}"
         return q
     register(f"dq_{_t}", _dq_sql(_t))(_make(_t))
+
+
+# Raw tables hold real violations: months without rent, part types without a category, other school
+# years, one area with many amenities.
+RAW_CHECKS = {
+    "raw_rental_prices": [("rental_price", "not_null"), ("zip_code", "unique")],
+    "raw_amenities": [("amenity_category", "not_null"), ("zip_code", "unique"), ("amenity_category", "accepted_values", ("parks", "dining"))],
+    "raw_schools": [("student_teacher_ratio", "not_null"), ("year", "accepted_values", (2017, 2022)), ("nces_school_id", "unique")],
+}
+
+
+@register("dq_raw", O.with_models("\nUNION ALL\n".join(_check_sql(m, s) for m, specs in RAW_CHECKS.items() for s in specs)))
+def q_dq_raw(spark, sf_dir):
+    """The declared kinds of checks on the raw tables, where they find something."""
+    p = layers(spark, sf_dir)
+    parts = [Q.run_checks(m, getattr(p, m), [_check(s) for s in specs]) for m, specs in RAW_CHECKS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from areascope import oracle as O
 from areascope.plans import reports as R
 from areascope.queries.base import layers, register
+from areascope.sources import ingest as ING
 
 
 
@@ -232,3 +233,41 @@ def q_widget_livability_by_metro(spark, sf_dir):
     "SELECT livability_tier, count(*) AS count FROM market_intelligence GROUP BY livability_tier"))
 def q_widget_zips_by_tier(spark, sf_dir):
     return R.zips_by_tier(_mi(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ selections and limits that cut
+_PLACES = dict(states=["NATION_1", "NATION_4", "NATION_9"], metros=["AMERICA", "ASIA", "AFRICA"])
+_PLACES_SQL = "state IN ('NATION_1', 'NATION_4', 'NATION_9') AND metro IN ('AMERICA', 'ASIA', 'AFRICA')"
+
+
+@register("search_places", O.with_models(f"SELECT zip_code, state, metro, livability_score FROM market_intelligence WHERE {_PLACES_SQL}"))
+def q_search_places(spark, sf_dir):
+    return R.search(_mi(spark, sf_dir), **_PLACES).select("zip_code", "state", "metro", "livability_score")
+
+
+@register("signal_counts_places", O.with_models(f"""
+SELECT {", ".join(O.hits(f"investment_signal = '{s}'", n) for s, n in (("STRONG BUY", "strong_buy"), ("BUY", "buy"), ("HOLD", "hold"), ("WATCH", "watch")))}
+FROM investment_hotspots WHERE {_PLACES_SQL}"""))
+def q_signal_counts_places(spark, sf_dir):
+    return R.signal_counts(_ih(spark, sf_dir), **_PLACES)
+
+
+@register("top_two_metros", O.with_models("""
+SELECT metro, avg_livability_score FROM area_comparison ORDER BY avg_livability_score DESC NULLS LAST, metro LIMIT 2"""))
+def q_top_two_metros(spark, sf_dir):
+    return R.metro_ranking(_ac(spark, sf_dir), 2, ["metro", "avg_livability_score"])
+
+
+@register("price_yield_head", O.with_models("""
+SELECT zip_code, home_value, gross_rental_yield FROM market_intelligence
+WHERE home_value IS NOT NULL AND gross_rental_yield IS NOT NULL ORDER BY zip_code LIMIT 3"""))
+def q_price_yield_head(spark, sf_dir):
+    return R.sample_rows(_mi(spark, sf_dir), ["home_value", "gross_rental_yield"], 3, ["zip_code", "home_value", "gross_rental_yield"])
+
+
+@register("top_five_cities", O.with_models("""
+SELECT city, state, state_name, count(DISTINCT zip_code) AS zip_count
+FROM raw_home_values WHERE city IS NOT NULL AND state IS NOT NULL GROUP BY city, state, state_name
+ORDER BY zip_count DESC, city, state LIMIT 5"""))
+def q_top_five_cities(spark, sf_dir):
+    return ING.top_cities(ING.city_zip_sets(layers(spark, sf_dir).raw_home_values), 5).select("city", "state", "state_name", "zip_count")
