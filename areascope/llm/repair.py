@@ -40,9 +40,9 @@ from areascope.llm.common import map_arrow, text_or_empty
 from areascope.llm.textops import as_bytes
 
 #: Ids of a shard, fewest occurrences of a replaced pair, pairs replaced in a round, rounds at most.
-SHARD_IDS, MIN_COUNT, PAIRS, ROUNDS = 1 << 20, 16, 8192, 5
-#: The id after each document; ids from here on are nonterminals; pieces kept by a task.
-END_ID, TERMINALS, TABLE = 0, 1 << 16, 700_000
+SHARD_IDS, MIN_COUNT, PAIRS, ROUNDS = 1 << 20, 16, 8192, 4
+#: The id after each document; ids from here on are nonterminals; words of a table generation; words learned in one text.
+END_ID, TERMINALS, TABLE, WORDS_AT_ONCE = 0, 1 << 16, 500_000, 200
 MAGIC = b"RPR1"
 #: A space next to white space (in a wider sense than the pre-tokenizer's).
 _RUN = re.compile(r" (?:(?=\s)|(?<=\s ))")
@@ -52,32 +52,46 @@ _HASHES = np.random.default_rng(1).integers(1, 2**63, 7, dtype=np.uint64) | np.u
 
 
 class Encoder:
-    """Encodes texts by a tokenizer file, with a bounded table of the ids of words with their leading space."""
+    """Encodes texts by a byte-level tokenizer file, with a bounded table of the ids of words with their
+    leading space. The table has two generations: words that are met again move to the younger one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each id: a byte-level vocabulary writes every byte as one character.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words in one text, and take it apart by the places where ids begin."""
-        for lo in range(0, len(words), 2000):
-            part = words[lo:lo + 2000]
-            got = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)   # each word and its space
-            first = np.fromiter((x for x, _ in got.offsets), np.int64, len(got))
-            cut = (4 * np.searchsorted(first, ends)).tolist()
-            ids = np.array(got.ids, "<u4").tobytes()
-            self.table.update(zip(part, (ids[x:y] for x, y in zip([0, *cut], cut))))
+        """Encode new words, many in one text, and take the ids apart by their widths."""
+        parts = [words[lo:lo + WORDS_AT_ONCE] for lo in range(0, len(words), WORDS_AT_ONCE)]
+        got = self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
+        for part, one in zip(parts, got):
+            ids = np.array(one.ids, "<u4")
+            reach = np.cumsum(self.width[ids])
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)) + 1)   # each word and its space
+            last = np.searchsorted(reach, ends)
+            if not np.array_equal(reach[np.minimum(last, len(reach) - 1)], ends):
+                raise ValueError("the tokenizer is not byte-level: ids do not end where words do")
+            cut = (4 * (last + 1)).tolist()
+            data = ids.tobytes()
+            self.table.update(zip(part, (data[x:y] for x, y in zip([0, *cut], cut))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         words = [None if t[:1].isspace() or t[-1:].isspace() or _RUN.search(t) else t.split(" ") for t in texts]
         seen = set(chain.from_iterable(w for w in words if w))
         if len(self.table) + len(seen) > TABLE:
-            self.table = {}
-        self._learn(list(seen.difference(self.table)))
+            self.table, self.older = {}, self.table
+        new = seen.difference(self.table)
+        again = new.intersection(self.older)
+        self.table.update(zip(again, map(self.older.__getitem__, again)))
+        self._learn(list(new - again))
         # what the table cannot give: whole texts, and the first word of a text, which has no space before it
         asked = [t if w is None else w[0] for t, w in zip(texts, words)]
         direct = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
@@ -262,8 +276,8 @@ def write_table(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_i
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for lo in range(0, len(texts), 64):
-                for i, got in zip(names[lo:lo + 64], encode([t.decode("utf-8", "replace") for t in texts[lo:lo + 64]])):
+            for lo in range(0, len(texts), 256):
+                for i, got in zip(names[lo:lo + 256], encode([t.decode("utf-8", "replace") for t in texts[lo:lo + 256]])):
                     if held and size + len(got) + 1 > shard_ids:
                         yield flush()
                         held, ids, size, shard = [], [], 0, shard + 1
