@@ -9,22 +9,22 @@ Tensored banding. Two collections of ``BANDS`` small hashes, each of ``ROWS`` mi
 with probability below 2 * (1 - 0.75 ** 3) ** 20 = 4e-5, less above.
 
 Equal sets are one class (by a 128-bit digest), so copies are never compared. Only small hashes
-that two classes share are combined into keys, so most classes make no key at all. A class also keeps a sketch: of each of
+that two classes share go on, so most classes are done at once. A class also keeps a sketch: of each of
 ``BINS`` ranges of the shingle hashes one byte of the smallest hash there. The share of agreeing among occupied bins estimates the
 similarity (nearly exactly for sets smaller than ``BINS``); a pair is a candidate unless the estimate is more than
 five standard errors below 0.75. Candidates are found and verified in rounds:
 
-1. star: each class with the smallest classes of its buckets (``STARS`` of them);
-2. each class with its best partner in another component, within blocks of ``BLOCK`` classes of a bucket;
-3. all candidates in different components; buckets of more than ``BLOCK`` classes are dealt to tasks as pairs of blocks.
+1. star: each class with the smallest classes that share a small hash of the first collection with it (``STARS`` of them), and
+   best: each class with its best partner within blocks of ``BLOCK`` classes of such a bucket;
+2. all candidates in different components; buckets of more than ``BLOCK`` classes are dealt to tasks as pairs of blocks.
 
-In steps 2 and 3 the second half of a table key is made in the task (see ``_cross_pairs``).
+Classes meet by the first half of a table key, and the second half is looked at in the task (see ``_cross_pairs``).
 
 So a large group of near copies is tied together by its stars and best partners and is not expanded into pairs, and no
 candidate is dropped.
 Verification computes the two full sets (64-bit shingle hashes) and compares their sizes and intersection.
 
-Scale: the text is read twice and moved once (for classes with candidates); keys and edges are 8 to 16 byte hashes; hot keys
+Scale: the text is read twice and moved once (for classes with candidates); edges are pairs of 16-byte digests; hot keys
 are met by joins that adaptive execution can split, and by combining before the shuffle. Every step is written
 to the shared checkpoint folder.
 
@@ -147,21 +147,12 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return map_arrow(rows, run, f"id {id_type}, text_hash bigint, n bigint, digest binary, small array<bigint>, sketch binary")
 
 
-def table_keys(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, digest, least): the tensored keys that several classes have; (h, place, digest): their small
-    hashes of the first collection."""
-    each = classes.select("digest", F.posexplode("small").alias("place", "h"))  # the place is part of h
-    shared = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    live = each.join(shared, "h").groupBy("digest").agg(
-        F.collect_list(F.when(F.col("place") < BANDS, F.struct("place", "h"))).alias("left"),
-        F.collect_list(F.when(F.col("place") >= BANDS, F.col("h"))).alias("right")).where("size(left) > 0 and size(right) > 0")
-    live = materialize(live, "live")
-    keys = live.select("digest", F.explode("left").alias("l"), "right").select("digest", "l", F.explode("right").alias("r")) \
-        .select("digest", F.xxhash64("l.h", "r").alias("key"))
-    several = keys.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most")
-    keys = materialize(keys.join(several.select("key", "least"), "key"), "keys")
-    met = live.join(keys.select("digest").distinct(), "digest", "left_semi")
-    return keys, met.select("digest", F.explode("left").alias("l")).select("l.h", "l.place", "digest")
+def meeting_places(classes: DataFrame) -> DataFrame:
+    """(h, place, digest, c, least): the small hashes of the first collection that several classes have, with the
+    number of classes and the smallest."""
+    each = classes.select("digest", F.posexplode(F.slice("small", 1, BANDS)).alias("place", "h"))  # the place is part of h
+    shared = each.groupBy("h").agg(F.count("*").alias("c"), F.min("digest").alias("least")).where("c > 1")
+    return each.join(shared, "h").select("h", "place", "digest", "c", "least")
 
 
 def _gated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -198,17 +189,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both, run, "x binary, y binary")
 
 
-def _cross_pairs(firsts: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
+def _cross_pairs(firsts: DataFrame, labels: DataFrame | None, classes: DataFrame, best_only: bool) -> DataFrame:
     """Candidates (x, y) in different components that share a table key: all, or (``best_only``) each class's best
-    within its block of a bucket.
+    within its block of a bucket. Without ``labels`` each class is its own component.
 
     Rows meet by their small hash of the first collection (``firsts``), and bring those of the second, which makes the
     table keys in the task: 20 rows for a class, not 400. A pair is looked at where it first meets.
     """
-    rows = firsts.join(labels.withColumnRenamed("node", "digest"), "digest", "left") \
-        .select("h", "place", "digest", F.coalesce("comp", "digest").alias("comp"))
-    mixed = rows.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).where("a <> b")
-    rows = rows.join(mixed.select("h", "c"), "h").join(classes.select("digest", "small", "sketch", "n"), "digest")
+    if labels is None:
+        rows = firsts.select("h", "place", "digest", F.col("digest").alias("comp"), "c")
+    else:
+        rows = firsts.join(labels.withColumnRenamed("node", "digest"), "digest", "left") \
+            .select("h", "place", "digest", F.coalesce("comp", "digest").alias("comp"), "c")
+        mixed = rows.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
+        rows = rows.join(mixed.select("h"), "h")
+    rows = rows.join(classes.select("digest", "small", "sketch", "n"), "digest")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
     rows = rows.withColumn("other", F.col("own") if best_only else F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -284,14 +279,9 @@ def _cross_pairs(firsts: DataFrame, labels: DataFrame, classes: DataFrame, best_
     return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def class_components(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, comp) for the classes that link with another class; ``rows`` are the signatures of ``docs``."""
-    classes = materialize(rows.where("n > 0").groupBy("digest").agg(
-        F.min(F.struct("id", "text_hash")).alias("rep"), F.first("small").alias("small"),
-        F.first("sketch").alias("sketch"), F.first("n").alias("n")), "classes")
-    keys, firsts = table_keys(classes)
-    # the full sets of the classes that share a key with another
-    needed = keys.select("digest").distinct().join(classes, "digest").select("digest", "rep.id", "rep.text_hash")
+def full_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, doc_id: str, text: str, repeated: bool) -> DataFrame:
+    """(digest, hashes): the full sets of classes ``nodes``, from the text of one document each."""
+    needed = nodes.join(classes, "digest").select("digest", "rep.id", "rep.text_hash")
     found = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text_or_empty(text)).alias("text_hash"), text_or_empty(text).alias("text"))
     found = found.join(needed, found["id"].eqNullSafe(needed["id"]) & (found["text_hash"] == needed["text_hash"])).select("digest", "text")
 
@@ -304,22 +294,49 @@ def class_components(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -
                     [batch.column(0).slice(lo, hi - lo), pa.array([sets[s:e].tobytes() for s, e in zip(np.concatenate(([0], ends[:-1])), ends)], pa.binary())],
                     ["digest", "hashes"])
 
-    sets = materialize(map_arrow(found, full, "digest binary, hashes binary"), "sets")
-    # a row repeated with its id and text would come more than once
-    sets = sets.groupBy("digest").agg(F.first("hashes").alias("hashes")) if rows.groupBy("id", "text_hash").count().where("count > 1").limit(1).count() else sets
+    sets = map_arrow(found, full, "digest binary, hashes binary")
+    # a row repeated with its id and text comes more than once
+    return materialize(sets.groupBy("digest").agg(F.first("hashes").alias("hashes")) if repeated else sets, "sets")
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("digest")).distinct()
 
-    stars = keys.where("digest <> least").select(F.col("digest").alias("x"), F.col("least").alias("y")).distinct()
+
+def class_components(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, comp) for the classes that link with another class; ``rows`` are the signatures of ``docs``."""
+    classes = materialize(rows.where("n > 0").groupBy("digest").agg(
+        F.min(F.struct("id", "text_hash")).alias("rep"), F.first("small").alias("small"),
+        F.first("sketch").alias("sketch"), F.first("n").alias("n"), (F.count("*") > 1).alias("copied")), "classes")
+    # a class of one row cannot hold a repeated row, so this looks at copies only
+    repeated = not rows.join(classes.where("copied").select("digest"), "digest", "left_semi") \
+        .groupBy("id", "text_hash").count().where("count > 1").isEmpty()
+    firsts = materialize(meeting_places(classes), "places")
+    stars = firsts.where("digest <> least").select(F.col("digest").alias("x"), F.col("least").alias("y")).distinct()
     stars = _gated(stars, classes).groupBy("x").agg(F.slice(F.array_sort(F.collect_set("y")), 1, STARS).alias("ys")) \
-        .select("x", F.explode("ys").alias("y"))
-    links = materialize(verified(stars, sets), "links")
-    labels = components(links)
-    for best_only in (True, False):
-        pairs = materialize(_cross_pairs(firsts, labels, classes, best_only), "pairs")
-        more = materialize(verified(pairs, sets), "links")
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            labels = components(links)
-    return labels
+        .select("x", F.explode("ys").alias("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = materialize(stars.unionAll(_cross_pairs(firsts, None, classes, True)).distinct(), "pairs")
+    nodes = materialize(_nodes(pairs), "nodes")
+    sets = full_sets(docs, nodes, classes, doc_id, text, repeated)
+    labels = components(materialize(verified(pairs, sets), "links"))
+    pairs = materialize(_cross_pairs(firsts, labels, classes, False), "pairs")
+    missing = _nodes(pairs).join(nodes, "digest", "left_anti")
+    if not missing.isEmpty():
+        sets = sets.unionAll(full_sets(docs, missing, classes, doc_id, text, repeated))
+    more = materialize(verified(pairs, sets), "links")
+    if more.isEmpty():
+        return labels
+    # the new links join components: components of the small graph of their labels
+    def labelled(df: DataFrame, side: str) -> DataFrame:
+        return df.join(labels.select(F.col("node").alias(side), F.col("comp").alias(f"{side}c")), side, "left") \
+            .withColumn(f"{side}c", F.coalesce(f"{side}c", side))
+
+    merged = components(labelled(labelled(more, "x"), "y").select(F.col("xc").alias("x"), F.col("yc").alias("y")))
+    merged = merged.toDF("old", "new")
+    labels = labels.join(merged, labels["comp"] == merged["old"], "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    # classes that had no label yet are labels of the small graph themselves
+    alone = merged.join(labels, merged["old"] == labels["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
+    return materialize(labels.unionAll(alone), "labels")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
