@@ -46,7 +46,7 @@ HELD_OUT, HEAVY, SMOOTH = 10, 200_000, 0.1
 CLASSES, BUCKETS, STATE = 16, 63, 16
 SYMBOLS = CLASSES * CLASSES
 #: Rounds, documents side by side, words of a window, and step size in training; the same in scoring.
-ROUNDS, BATCH, WINDOW, RATE = 3, 128, 24, 0.004
+ROUNDS, BATCH, WINDOW, RATE = 3, 256, 24, 0.006
 SCORE_BATCH, SCORE_WINDOW = 512, 64
 #: The end token (white space, so no word) and its symbol.
 END, END_SYMBOL = b"\n", 0
@@ -284,6 +284,7 @@ class Lexicon:
         self.symbols = np.array([symbol_of.get(w) or (END_SYMBOL if w == END else bucket(w)) for w in words], np.uint8)
         c = np.array(counts, np.float64)
         self.log_count = np.log10(c + SMOOTH)
+        self.symbol = dict(zip(words, self.symbols.tolist()))
         # buckets hold what has no symbol of its own
         tokens_, kinds = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
         for b, (n, v) in totals.items():
@@ -299,6 +300,15 @@ class Lexicon:
                     self.frequency[bucket(w)] -= n
         self.log_bucket = np.log10(tokens_ + SMOOTH * (kinds + 1))
 
+    def read_symbols(self, text: bytes) -> np.ndarray:
+        """Symbols of a text."""
+        words = tokens(text)
+        get = self.symbol.get
+        symbols = np.array([get(w, -1) for w in words], np.int16)
+        for i in np.flatnonzero(symbols < 0).tolist():
+            symbols[i] = bucket(words[i]) if words[i] != END else END_SYMBOL
+        return symbols.astype(np.uint8)
+
     def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
         """Symbols of a text, numbers of its frequent words, and its other words with their counts."""
         words = tokens(text)
@@ -354,7 +364,7 @@ def _train_round(rows: DataFrame, known, flat: np.ndarray, turn: int) -> np.ndar
         adam, seen, held, size = Adam(net), 0, [], 0
         for batch in batches:
             for text in as_bytes(batch.column(0)):
-                held.append(lexicon.read(text)[0])
+                held.append(lexicon.read_symbols(text))
                 size += len(held[-1])
                 if size > 1_000_000:
                     seen, held, size = seen + train(net, held, adam), [], 0
