@@ -8,22 +8,24 @@ from areascope.session import materialize
 
 
 def has_global_window(plan: str) -> bool:
-    """True when a Window operator has no partition spec (Spark prints 2 bracket groups, not 3)."""
+    """True when a Window operator has no partition spec. Spark prints its expressions, its partition
+    keys and its order, each in brackets, and leaves out an empty one; an order says ASC or DESC."""
     for line in plan.split("\n"):
         if "Window [" not in line:
             continue
-        rest, groups, depth = line[line.index("Window [") + len("Window "):], 0, 0
-        for ch in rest:
+        groups, depth, start = [], 0, 0
+        for i, ch in enumerate(line):
             if ch == "[":
-                depth += 1
+                start, depth = (i if depth == 0 else start), depth + 1
             elif ch == "]":
                 depth -= 1
                 if depth == 0:
-                    groups += 1
-        if groups == 2:
+                    groups.append(line[start:i])
+        if len(groups) == 1 or " ASC" in groups[1] or " DESC" in groups[1]:
             return True
     return False
 
+
 SF = "/root/testdata/sf0.001"
 
 
