@@ -34,7 +34,7 @@ PROSE = ("the river ran past the old mill and the miller watched the water turn
 def prose(seed, n):
     import random
 
-    r = random.Random(seed)
+    r = random.Random(repr(seed))
     return " ".join(r.choice(PROSE) + (str(r.randrange(30)) if r.random() < 0.4 else "") for _ in range(n))
 
 
