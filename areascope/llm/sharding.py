@@ -84,7 +84,7 @@ def place(counts: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, load_fa
     if load_factor == 1.0:
         room = f"transform(sequence(0, {shards - 1}), s -> total div {shards} + if(s < total % {shards}, 1L, 0L))"
     else:
-        room = f"array_repeat(cast(ceil({float(load_factor)}D * total / {shards}) as bigint), {shards})"
+        room = f"array_repeat(cast(ceil(cast({load_factor} as decimal(10,6)) * total / {shards}) as bigint), {shards})"
     one = per_arc.agg(F.map_from_entries(F.collect_list(F.struct("arc", "rows"))).alias("m"), F.sum("rows").alias("total"))
     one = one.where("total is not null").select(
         F.expr(f"transform(sequence(0, {len(arcs) - 1}), a -> coalesce(m[a], 0L))").alias("n"),
