@@ -4,7 +4,7 @@ Writing. Headers (id, address, digest, length), not payloads, are grouped by pay
 of at least ``MIN_BYTES`` bytes the one with the largest id is the response, and the others become revisit
 records that name it (ties: the largest address, then any one). The verdict is joined back to the pages by digest, and every page becomes a WARC/1.1 record with
 fresh headers; a revisit has no payload. Archives are written by Spark's own text writer: a record is the string of its
-header block, an empty line and the payload, and the line separator is the CR LF CR LF that ends a WARC record. So archives go wherever
+header block, an empty line and the payload, and the line separator is the CR LF CR LF that ends a WARC record. Files are gzip streams. So archives go wherever
 Spark can write, by the commit protocol that survives lost executors.
 
 Reading. Archive files are read whole by the binary file source, a file of at most ``FILE_RECORDS`` records a time, and
@@ -22,6 +22,7 @@ an empty table gives no archive file and an empty result; other columns are not
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -89,7 +90,7 @@ def write_archives(records: DataFrame, path: str, date: str = DATE, file_records
         _line("X-Page", F.col("page_id")), _line("X-Payload-Length", F.col("payload_bytes")),
         F.lit("Content-Type: text/html" + EOL), _line("Content-Length", F.octet_length(body)))
     records.select(F.concat(head, F.lit(EOL), body).alias("value")).write.mode("overwrite") \
-        .option("lineSep", EOL + EOL).option("maxRecordsPerFile", file_records).text(path)
+        .option("lineSep", EOL + EOL).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple]:
@@ -115,7 +116,7 @@ def parse(data: bytes) -> Iterator[tuple]:
 
 def read_archives(spark, path: str) -> DataFrame:
     """The records of all archives, as in READ_SCHEMA; revisits without payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     names = [c.split()[0] for c in READ_SCHEMA.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -123,7 +124,7 @@ def read_archives(spark, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 held, size = [], 0
-                for record in parse(content.as_py()):
+                for record in parse(gzip.decompress(content.as_py())):
                     held.append(record)
                     size += len(record[-1] or b"")
                     if size > 8_000_000:

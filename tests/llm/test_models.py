@@ -1,5 +1,6 @@
 """Token shards, language model, archives, the pipeline."""
 
+import gzip
 import hashlib
 import math
 import random
@@ -171,7 +172,7 @@ def test_warc(spark, tmp_path):
     assert all(hashlib.sha1(bytes(r.payload)).hexdigest() == r.digest and len(r.payload) == r.payload_bytes for r in got)
     kinds = sorted((r.page_id or 0, r.type, r.refers_to) for r in got if r.type == "revisit")
     assert kinds == [(0, "revisit", None), (1, "revisit", 5), (3, "revisit", 5), (12, "revisit", 13), (20, "revisit", 20)]
-    raw = b"".join(open(f, "rb").read() for f in map(str, (tmp_path / "w").glob("part-*.txt")))
+    raw = b"".join(gzip.open(f).read() for f in map(str, (tmp_path / "w").glob("part-*.gz")))
     assert raw.count(b"p" * 1200) == 1 and raw.startswith(b"WARC/1.1\r\n")
     warc.write_archives(warc.classify(df.limit(0)), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
