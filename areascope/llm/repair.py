@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from areascope.llm.common import map_arrow, text_or_empty
 from areascope.llm.textops import as_bytes
 
-#: Ids of a shard, fewest occurrences of a replaced pair, pairs replaced in a round, rounds at most.
-SHARD_IDS, MIN_COUNT, PAIRS, ROUNDS = 1 << 20, 16, 8192, 4
+#: Ids of a shard, fewest occurrences of a replaced pair, pairs replaced in a round.
+SHARD_IDS, MIN_COUNT, PAIRS = 1 << 20, 16, 8192
 #: The id after each document; ids from here on are nonterminals; words of a table generation; words learned in one text.
 END_ID, TERMINALS, TABLE, WORDS_AT_ONCE = 0, 1 << 16, 500_000, 200
 MAGIC = b"RPR1"
@@ -109,52 +109,67 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (n x 2) of an id sequence; rules refer to ids and to earlier rules.
+def _frequent(s: np.ndarray, at: np.ndarray, turn: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs that start at the places ``at``: those that occur ``min_count`` times (the ``PAIRS`` most frequent, in this order), the
+    places of these with the number of the pair, and all places whose pair may occur ``min_count`` times.
 
-    Pairs are counted in a hash table of ``SLOTS`` places, which belongs to one pair for each place; a pair that loses its
-    place to another waits for the next round, which hashes otherwise.
+    Pairs are counted in a hash table of ``2 ** SLOT_BITS`` places, which belongs to one pair for each place. Only when no owner
+    of a place is frequent are the pairs that lost theirs counted too, by sorting, so none is overlooked.
+    """
+    key = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
+    slot = ((key * _HASHES[turn % len(_HASHES)]) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    may = np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= min_count
+    at, key, slot = at[may], key[may], slot[may]
+    pairs = np.zeros(1 << SLOT_BITS, np.uint64)
+    pairs[slot] = key
+    owned = pairs[slot] == key
+    number, where = slot[owned], at[owned]
+    count = np.bincount(number, minlength=len(pairs))
+    if not (count >= min_count).any():
+        pairs, number, count = np.unique(key[~owned], return_inverse=True, return_counts=True)
+        where = at[~owned]
+    top = np.flatnonzero(count >= min_count)
+    if len(top) > PAIRS:
+        top = top[np.argpartition(-count[top], PAIRS)[:PAIRS]]
+    top = top[np.lexsort((pairs[top], -count[top]))]             # the most frequent pair first
+    rank = np.full(len(pairs), len(top), np.uint16)
+    rank[top] = np.arange(len(top))
+    level = rank[number]
+    return pairs[top], where[level < len(top)], level[level < len(top)], at
+
+
+def compress(ids: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and rules (n x 2) of an id sequence; rules refer to ids and to earlier rules. Ends when no pair occurs ``min_count`` times:
+    each round replaces at least half the places of its most frequent pair.
+
+    A pair that was not frequent can only become so next to a new symbol, so later rounds count at few places.
     """
     s = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for turn in range(rounds):
-        if len(s) < 2:
-            break
-        left, right = s[:-1], s[1:]
-        key = left.astype(np.uint64) << np.uint64(32) | right
-        slot = ((key * _HASHES[turn % len(_HASHES)]) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-        slot[(left == END_ID) | (right == END_ID)] = 0
-        owner = np.zeros(1 << SLOT_BITS, np.uint64)
-        owner[slot] = key
-        owned = owner[slot] == key
-        owned &= slot > 0
-        count = np.bincount(slot[owned], minlength=1 << SLOT_BITS)
-        top = np.flatnonzero(count >= min_count)
-        if not len(top):
-            break
-        if len(top) > PAIRS:
-            top = top[np.argpartition(-count[top], PAIRS)[:PAIRS]]
-        top = top[np.lexsort((owner[top], -count[top]))]        # the most frequent pair first
-        rank = np.full(1 << SLOT_BITS, len(top), np.uint16)
-        rank[top] = np.arange(len(top))
-        level = rank[slot]                                       # of the pair that starts at each place
-        level[~owned] = len(top)
-        # a place is replaced if no neighbouring place holds a more frequent pair (of equal ones the left wins)
-        far = np.full(1, len(top), np.uint16)
-        take = (level < len(top)) & (level < np.concatenate((far, level[:-1]))) & (level <= np.concatenate((level[1:], far)))
-        take[1:] &= ~take[:-1]
-        places = np.flatnonzero(take)
+    n_rules, turn = 0, 0
+    at = np.arange(len(s) - 1)
+    while len(at := at[(s[at] != END_ID) & (s[at + 1] != END_ID)]):
+        pair, where, number, at = _frequent(s, at, turn, min_count)
+        turn += 1
+        level = np.full(len(s) + 1, len(pair), np.uint16)        # of the pair that starts at each place; the last one is before the first
+        level[where] = number
+        # a place is replaced if no neighbouring place holds a more frequent pair; of a run of one pair (of one id) every second place
+        free = where[(number <= level[where - 1]) & (number <= level[where + 1])]
+        first = np.flatnonzero(np.diff(free, prepend=-2) != 1)
+        nth = np.arange(len(free)) - np.repeat(first, np.diff(first, append=len(free)))
+        places = free[nth % 2 == 0]
         number = level[places]
-        keep = np.bincount(number, minlength=len(top)) >= 2
+        keep = np.bincount(number, minlength=len(pair)) >= 2
         places, number = places[keep[number]], (np.cumsum(keep) - 1)[number[keep[number]]]
-        pair = owner[top][keep]
+        pair = pair[keep]
         if not len(pair):
             break
         s[places] = TERMINALS + n_rules + number
-        stay = np.ones(len(s), bool)
+        stay, look = np.ones(len(s), bool), np.zeros(len(s), bool)
         stay[places + 1] = False
-        s = s[stay]
+        look[at] = look[places] = look[places[places > 0] - 1] = True
+        s, look = s[stay], look[stay]
+        at = np.flatnonzero(look[:-1])
         rules.append(np.stack((pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)), axis=1))
         n_rules += len(pair)
     return s, (np.concatenate(rules) if rules else np.empty((0, 2))).astype(np.uint32)
@@ -190,6 +205,8 @@ def write_shard(documents: list[np.ndarray]) -> bytes:
     """The file of a shard, from the ids of each document with the end id."""
     ids = np.concatenate(documents)
     symbols, rules = compress(ids)
+    if len(rules) > (1 << 24) - TERMINALS:
+        raise ValueError("a symbol of the file has 24 bits")
     ends = np.flatnonzero(symbols == END_ID) if END_ID in ids else np.empty(0, np.int64)
     # an id equal to the end id inside a document is never part of a pair, so it is counted through
     at_end = np.cumsum([len(d) for d in documents])

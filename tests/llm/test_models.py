@@ -78,6 +78,30 @@ def test_repair_round_trip_and_random_access():
         assert np.array_equal(shard.decode_range(k, lo, hi), d[lo:hi])
 
 
+def most_frequent_pair(symbols):
+    """Places of the most frequent pair that do not overlap."""
+    count, last = Counter(), {}
+    for i, pair in enumerate(zip(symbols.tolist(), symbols[1:].tolist())):
+        if 0 not in pair and last.get(pair, -2) < i - 1:
+            count[pair], last[pair] = count[pair] + 1, i
+    return max(count.values(), default=0)
+
+
+def test_repair_ends_when_no_pair_is_frequent(monkeypatch):
+    r = np.random.default_rng(4)
+    document = np.append(r.integers(1, 50000, 1000), 0)
+    cases = [np.tile(document, 300), np.full(50_000, 7), np.append(np.full(9000, 7), [8, *[7] * 9001, 0]), r.integers(1, 4, 30_000),
+             np.minimum(r.zipf(1.3, 60_000), 50000)]
+    for bits in (repair.SLOT_BITS, 4):   # pairs that lose their places too
+        monkeypatch.setattr(repair, "SLOT_BITS", bits)
+        for ids in cases:
+            symbols, rules = repair.compress(ids.astype(np.uint32))
+            assert most_frequent_pair(symbols) < repair.MIN_COUNT
+            assert np.array_equal(repair.expand(symbols, repair.expansions(rules)), ids)
+    monkeypatch.undo()
+    assert len(repair.compress(cases[0].astype(np.uint32))[0]) <= 2 * 300
+
+
 def check_base(rows, got):
     counts, texts, held = Counter(), {}, {}
     for k, (d, t) in enumerate(rows):
