@@ -20,8 +20,9 @@ routed, without losing a window:
 An automaton is thus not broadcast to all documents (it would grow with the corpus) but sent to where the strings
 that can match it are. Before the automaton, the strings of an anchor with more than ``TRIM`` of them lose ends that
 no other string of the anchor has, so a passage with thousands of contexts stays a few strings. An anchor with more
-than ``MAX_STRINGS`` distinct runs is split to its single windows, each its own string of ``WINDOW`` words, dealt by their own hash: every case
-has an exact way, and a task holds ``MAX_STRINGS`` strings at most. Equality of words is by 64-bit hashes.
+than ``MAX_STRINGS`` distinct runs is split to its single windows, which need no automaton: a window is repeated if its hash
+is met twice, which is combined before the shuffle. So every case has an exact way, and a task holds ``MAX_STRINGS`` strings of an anchor at most.
+Equality of words is by 64-bit hashes.
 
 Defined results: null and empty texts have no words; repeated rows are occurrences of their own, so they remove each
 other's windows; shorter documents are never touched; an empty table gives an empty result; other
@@ -234,64 +235,95 @@ def _runs(keyed: DataFrame, window: int) -> DataFrame:
     return map_arrow(keyed, run, f"id {kind}, text_hash bigint, first int, n int, offset int, anchor bigint, content bigint")
 
 
-def _strings(keyed: DataFrame, live: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, copies, offset, words): the reference strings, an oversize anchor's as single windows
-    (``offset`` null; ``content`` and ``part`` name the window)."""
+def _references(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(anchor, content, copies, rep): the reference strings by a place each, and those of oversize anchors."""
     strings = live.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("id", "text_hash", "first", "n", "offset")).alias("rep"))
     strings = materialize(strings, "strings")
     oversize = strings.groupBy("anchor").count().where(F.col("count") > MAX_STRINGS).select(F.col("anchor").alias("big"))
     strings = strings.join(oversize, strings["anchor"] == F.col("big"), "left")
+    return strings.where("big is null").drop("big"), strings.where("big is not null").drop("big")
+
+
+def _texts(keyed: DataFrame, strings: DataFrame) -> DataFrame:
+    """(text, wanted): the documents that the strings are read from, with the strings of each."""
     wanted = strings.groupBy(F.col("rep.id").alias("i"), F.col("rep.text_hash").alias("h")).agg(F.collect_list(F.struct(
-        "anchor", "content", "copies", F.col("rep.first").alias("first"), F.col("rep.n").alias("n"), F.col("rep.offset").alias("offset"),
-        F.col("big").isNotNull().alias("split"))).alias("wanted"))
-    cols = ["anchor", "content", "copies", "offset", "part", "words"]
+        "anchor", "content", "copies", F.col("rep.first").alias("first"), F.col("rep.n").alias("n"), F.col("rep.offset").alias("offset"))).alias("wanted"))
+    return keyed.join(wanted, keyed["id"].eqNullSafe(wanted["i"]) & (keyed["text_hash"] == wanted["h"])).select("text", "wanted")
+
+
+def _strings(keyed: DataFrame, strings: DataFrame, window: int) -> DataFrame:
+    """(anchor, content, copies, offset, words): the reference strings with their words."""
+    cols = ["anchor", "content", "copies", "offset", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             texts = as_bytes(batch.column(0))
             for lo, hi in chunks(texts):
                 c, rows = Chunk(texts[lo:hi]), []
                 words = c.word_hash()
-                singles, at = window_hash(words, c.doc, window)
                 for d in range(lo, hi):
                     base = c.first[d - lo]
                     for w in batch.column(1)[d].as_py():
                         begin = base + w["first"]
-                        if not w["split"]:
-                            rows.append((w["anchor"], w["content"], w["copies"], w["offset"], -1, words[begin:begin + w["n"] + window - 1].tobytes()))
-                            continue
-                        k = np.searchsorted(at, begin)
-                        for x in range(w["n"]):
-                            rows.append((int(singles[k + x].view(np.int64)), w["content"], w["copies"], w["offset"], x,
-                                         words[begin + x:begin + x + window].tobytes()))
+                        rows.append((w["anchor"], w["content"], w["copies"], w["offset"], words[begin:begin + w["n"] + window - 1].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], cols)
 
-    texts = keyed.join(wanted, keyed["id"].eqNullSafe(wanted["i"]) & (keyed["text_hash"] == wanted["h"])).select("text", "wanted")
-    return map_arrow(texts, run, "anchor bigint, content bigint, copies bigint, offset int, part int, words binary")
+    return map_arrow(_texts(keyed, strings), run, "anchor bigint, content bigint, copies bigint, offset int, words binary")
+
+
+def _windows(keyed: DataFrame, strings: DataFrame, window: int) -> DataFrame:
+    """(window, content, part, copies): the single windows of the reference strings, by hash."""
+    cols = ["window", "content", "part", "copies"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for lo, hi in chunks(texts):
+                c = Chunk(texts[lo:hi])
+                singles, at = window_hash(c.word_hash(), c.doc, window)
+                wanted = [(c.first[d - lo] + w["first"], w["n"], w["content"], w["copies"]) for d in range(lo, hi) for w in batch.column(1)[d].as_py()]
+                if not wanted:
+                    continue
+                begin, n, content, copies = (np.array(x, np.int64) for x in zip(*wanted))
+                part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hashes = singles[np.repeat(np.searchsorted(at, begin), n) + part]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.repeat(content, n)), pa.array(part.astype(np.int32)),
+                                                  pa.array(np.repeat(copies, n))], cols)
+
+    return map_arrow(_texts(keyed, strings), run, "window bigint, content bigint, part int, copies bigint")
+
+
+def _window_spans(windows: DataFrame, window: int) -> DataFrame:
+    """(content, spans): the windows that occur at least twice, as one span each. A row that comes again, as its document is
+    repeated, is no other place: it has the same content and part."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("content", "part")]
+    repeated = windows.groupBy("window").agg(F.max("copies").alias("most"), *ends) \
+        .where("most > 1 or min_content <> max_content or min_part <> max_part").select("window")
+    return windows.join(repeated, "window").select("content", F.array(F.struct(
+        F.col("part").alias("lo"), (F.col("part") + window).alias("hi"))).alias("spans"))
 
 
 def _spans(strings: DataFrame, window: int) -> DataFrame:
-    """(content, offset, spans): the repeated word ranges of every reference string."""
+    """(content, spans): the repeated word ranges of every reference string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(groups):
             held = []
             for group in groups:
-                # copies of a window inside one oversize anchor add up; a repeated row of a run does not
-                held.append([(c, o, w) for (_, _), (c, o, w, _) in group.items()])
+                held.append(list(group.values()))
             found = repeated_spans(held, window)
-            rows = [(key[0], held_[3], [{"lo": a + max(key[1], 0), "hi": b + max(key[1], 0)} for a, b in s])
-                    for group, spans in zip(groups, found) for (key, held_), s in zip(group.items(), spans) if s]
+            rows = [(content, [{"lo": a, "hi": b} for a, b in s])
+                    for group, spans in zip(groups, found) for content, s in zip(group, spans) if s]
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                     pa.array([r[2] for r in rows], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], ["content", "anchor", "spans"])
+                    [pa.array([r[0] for r in rows], pa.int64()),
+                     pa.array([r[1] for r in rows], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], ["content", "spans"])
 
         groups, size, last = [], 0, None
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for anchor, content, copies, offset, part, words in zip(*columns):
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for anchor, content, copies, offset, words in zip(*columns):
                 if anchor != last:
                     if size >= SHARD_WORDS:
                         yield from flush(groups)
@@ -299,13 +331,13 @@ def _spans(strings: DataFrame, window: int) -> DataFrame:
                     groups.append({})
                     last = anchor
                 words = np.frombuffer(words, np.uint64)
-                groups[-1].setdefault((content, part), (copies, 0 if part >= 0 else offset, words, anchor))
+                groups[-1].setdefault(content, (copies, offset, words))   # a repeated row of a run does not add up
                 size += len(words)
         if groups:
             yield from flush(groups)
 
     dealt = strings.repartition("anchor").sortWithinPartitions("anchor")
-    return map_arrow(dealt, run, "content bigint, anchor bigint, spans array<struct<lo: int, hi: int>>")
+    return map_arrow(dealt, run, "content bigint, spans array<struct<lo: int, hi: int>>")
 
 
 def repeated_word_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -314,8 +346,12 @@ def repeated_word_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     runs = _runs(keyed, window)
     repeated = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     live = materialize(runs.join(repeated, "anchor"), "runs")
-    spans = materialize(_spans(_strings(keyed, live, window), window), "spans") \
-        .groupBy("content").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    strings, oversize = _references(live)
+    spans = materialize(_spans(_strings(keyed, strings, window), window), "spans")
+    if not oversize.isEmpty():
+        windows = materialize(_windows(keyed, oversize, window), "windows")
+        spans = spans.unionAll(materialize(_window_spans(windows, window), "spans"))
+    spans = spans.groupBy("content").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     hits = live.select("id", "text_hash", "first", "content").join(spans, "content")
     moved = hits.select("id", "text_hash", F.expr("transform(spans, s -> named_struct('lo', s.lo + first, 'hi', s.hi + first))").alias("spans"))
     return moved.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))

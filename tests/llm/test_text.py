@@ -211,6 +211,23 @@ def test_substrings_planted(spark, monkeypatch, most):
     assert removal(messy(spark, rows)) == expected_removal(rows)
 
 
+def test_substrings_of_an_oversize_anchor_meet_in_no_task(spark, monkeypatch):
+    """A passage in many contexts: its windows do not go to the automata, whose anchors have ``MAX_STRINGS`` strings at most."""
+    monkeypatch.setattr(substrings, "MAX_STRINGS", 5)
+    most, spans = [], substrings._spans
+
+    def counted(strings, window):
+        most.extend(r["count"] for r in strings.groupBy("anchor").count().collect())
+        return spans(strings, window)
+
+    monkeypatch.setattr(substrings, "_spans", counted)
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(i, f"{prose(('l', i), 40)} {passage} {prose(('r', i), 40)}", "s") for i in range(60)]
+    rows += [rows[0], rows[0], (100, prose("alone", 200), "s"), (101, "a b " * 40, "s")]
+    assert removal(messy(spark, rows)) == expected_removal(rows)
+    assert max(most, default=0) <= 5
+
+
 def test_substrings_messy(spark):
     assert removal(messy(spark)) == expected_removal(MESSY)
     assert substrings.remove(messy(spark, [])).count() == 0
