@@ -30,7 +30,7 @@ to the shared checkpoint folder.
 
 Defined results: a null text, or one without words, has an empty set, links with nothing and is its own component;
 a null id is never the smallest unless all of the component's are null; rows that repeat an id belong to the components
-of their texts; an empty table gives an empty result; other columns are carried by ``deduplicate``.
+of their texts, and of those in one component the one with the smallest text hash is kept; an empty table gives an empty result; other columns are carried by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -340,18 +340,19 @@ def class_components(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_hash, n_shingles, component_id, kept): one row for each document."""
+    """(id, text_hash, n_shingles, component_id, kept): one row for each document. ``kept`` is one (id, text_hash) of each component."""
     rows = materialize(signatures(docs, doc_id, text), "signatures")
     labels = class_components(docs, rows, doc_id, text)
-    per_class = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
+    first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
+    per_class = rows.where("n > 0").groupBy("digest").agg(F.min(first).alias("first"))
     named = per_class.join(labels, per_class["digest"] == labels["node"], "left") \
-        .select("digest", F.coalesce("comp", "digest").alias("comp"), "id")
-    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = named.select("digest", "comp").join(least, "comp").select("digest", "component_id")
+        .select("digest", F.coalesce("comp", "digest").alias("comp"), "first")
+    least = named.groupBy("comp").agg(F.min("first").alias("first"))
+    named = named.select("digest", "comp").join(least, "comp").select("digest", F.col("first.id").alias("component_id"), F.col("first.text_hash").alias("kept_hash"))
     light = rows.select("id", "text_hash", "n", "digest")
-    out = light.where("n > 0").join(named, "digest").select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
-    out = out.unionAll(light.where("n = 0").select("id", "text_hash", "n", F.col("id").alias("component_id")))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    kept = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    out = light.where("n > 0").join(named, "digest").select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return out.unionAll(light.where("n = 0").select("id", "text_hash", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

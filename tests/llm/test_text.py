@@ -112,6 +112,21 @@ def test_near_duplicates_messy(spark):
     assert neardup.near_duplicates(messy(spark, [])).count() == 0 and neardup.deduplicate(messy(spark, [])).count() == 0
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    """Near copies (no equal texts) whose ids are null, or one repeated id, or some of both."""
+    def copies(name, ids):
+        base = prose(name, 80).split()
+        return [(d, " ".join([*base[:4 * i], f"{name}{i}", *base[4 * i + 1:]]), name) for i, d in enumerate(ids)]
+
+    rows = copies("none", [None] * 5) + copies("one", [7] * 5) + copies("some", [None, 9, 9, 12, None]) + copies("exact", [3, 3])[:1] * 3
+    rows += [(None, None, "empty"), (None, "", "empty")]
+    assert len(set(near_components([(i, t) for i, (_, t, _) in enumerate(rows) if t])[0])) == 4
+    kept = sorted((r.source, r.doc_id is None, r.doc_id or 0) for r in neardup.deduplicate(messy(spark, rows)).collect())
+    assert kept == [("empty", True, 0), ("empty", True, 0), ("exact", False, 3), ("none", True, 0), ("one", False, 7), ("some", False, 9)]
+    verdict = neardup.near_duplicates(messy(spark, [r for r in rows if r[2] != "exact"])).where("n_shingles > 0")
+    assert sorted((r.component_id is None, r.component_id or 0) for r in verdict.where("kept").collect()) == [(False, 7), (False, 9), (True, 0)]
+
+
 def test_sketch_gate_never_rejects_a_link():
     r = random.Random(2)
     for n in (3, 10, 40, 150, 600, 3000):
