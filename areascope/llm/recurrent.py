@@ -331,6 +331,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     counts = materialize(token_counts(rows), "counts")
     frequent = counts.orderBy(F.desc("c"), "word").limit(HEAVY).toArrow()          # HEAVY rows at most
     words, numbers = frequent.column("word").to_pylist(), frequent.column("c").to_pylist()
+    if END not in words:   # known to all tasks besides the limit
+        for r in counts.where(F.col("word") == F.lit(bytearray(END))).collect():
+            words.append(END)
+            numbers.append(r["c"])
     in_bucket = (F.crc32(F.expr("substring(word, greatest(length(word) - 1, 1), 2)")) % BUCKETS + 1).cast("int")
     sums = counts.groupBy(F.when(F.col("word") == F.lit(bytearray(END)), END_SYMBOL).otherwise(in_bucket).alias("b")) \
         .agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()             # one row for each bucket

@@ -135,6 +135,17 @@ def test_language_model_messy(spark):
     assert all(r.train_tokens == 0 and math.isfinite(r.score) for r in recurrent.score(none).collect())
 
 
+def test_end_token_is_known_besides_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(recurrent, "HEAVY", 3)   # words more frequent than the documents are many
+    starts = []
+    network = recurrent.Network
+    monkeypatch.setattr(recurrent, "Network", lambda frequency: starts.append(frequency[recurrent.END_SYMBOL]) or network(frequency))
+    rows = [(i, prose(("book", i), 400)) for i in range(12)]
+    got = recurrent.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    check_base(rows, got)
+    assert starts == [sum(not r.held_out for r in got)]
+
+
 def network():
     net = recurrent.Network(np.random.default_rng(0).integers(1, 100, recurrent.SYMBOLS).astype(float))
     rng = np.random.default_rng(1)
