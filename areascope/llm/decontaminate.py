@@ -12,27 +12,33 @@ The items are a stated query set: their number of characters is checked, and a s
 ``MAX_CHARS`` is scanned for in several blocks of at most about that size, each broadcast in turn. Documents are
 neither joined nor shuffled. A hit costs time in proportion to the item, not to the document.
 
-Defined results: null or empty texts hold nothing; null or empty items are never found; equal items are all
-found; repeated documents are judged alike; an empty table gives an empty result, an empty benchmark leaves all
+Defined results: null or empty texts hold nothing; items with a null or empty text are never found; ``scan`` has no name for an item with a null id
+and leaves it out, ``clean_documents`` looks at texts alone; equal items are all found; repeated documents are judged alike; an empty table gives an empty result, an empty benchmark leaves all
 documents clean; all other columns are carried.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from areascope.llm.common import map_arrow, numbered, renamed
 from areascope.llm.textops import as_bytes
 
 #: One edit is allowed for each so many characters; characters of items in one scan.
 CHARS_PER_ERROR, MAX_CHARS = 25, 4_000_000
-HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()),
-                    T.StructField("end", T.LongType()), T.StructField("distance", T.IntegerType())])
+
+
+def hit_type(item_id: T.DataType) -> T.StructType:
+    """A hit of an item whose id is of the given type."""
+    return T.StructType([T.StructField("item_id", item_id), T.StructField("start", T.LongType()),
+                         T.StructField("end", T.LongType()), T.StructField("distance", T.IntegerType())])
 
 
 def normal_form(text: bytes) -> str:
@@ -43,7 +49,7 @@ def normal_form(text: bytes) -> str:
 class Pattern:
     """An item with its budget and the bit masks of its characters, forwards and backwards."""
 
-    def __init__(self, item_id: int, text: str):
+    def __init__(self, item_id: Any, text: str):
         self.item_id, self.text, self.size = item_id, text, len(text)
         self.budget = self.size // CHARS_PER_ERROR
         self.forward, self.backward = {}, {}
@@ -91,7 +97,7 @@ def automaton(patterns: list[Pattern]):
     return out if places else None
 
 
-def occurrences(text: str, patterns: list[Pattern], pieces) -> list[tuple[int, int, int, int]]:
+def occurrences(text: str, patterns: list[Pattern], pieces) -> list[tuple[Any, int, int, int]]:
     """(item, start, end, distance) of the best occurrence of each item that a document holds."""
     windows: dict[int, list[tuple[int, int]]] = {}
     for last, (length, where) in pieces.iter(text):
@@ -122,11 +128,11 @@ def occurrences(text: str, patterns: list[Pattern], pieces) -> list[tuple[int, i
     return sorted(found)
 
 
-def _scan(docs: DataFrame, text: str, items: list[tuple[int, str]], column: str) -> DataFrame:
+def _scan(docs: DataFrame, text: str, items: list[tuple[Any, str]], hit: T.StructType, column: str) -> DataFrame:
     names = docs.columns
     at = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())]))
+    kind = to_arrow_type(T.ArrayType(hit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = [Pattern(i, t) for i, t in shared.value]
@@ -136,12 +142,12 @@ def _scan(docs: DataFrame, text: str, items: list[tuple[int, str]], column: str)
                     if pieces else [] for t in as_bytes(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], [*names, column])
 
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(HIT))]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(hit))]))
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, max_chars: int = MAX_CHARS) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, item_id: str, text: str, max_chars: int = MAX_CHARS) -> Iterator[list[tuple[Any, str]]]:
     """The items in normal form, in blocks of about ``max_chars`` characters, one block on the driver at a time."""
-    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
+    rows = items.select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = 1 if total <= max_chars else -(-2 * total // max_chars)
     for b in range(blocks):
@@ -152,16 +158,18 @@ def item_blocks(items: DataFrame, item_id: str, text: str, max_chars: int = MAX_
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``benchmark_hits``: for each item found the best occurrence (positions in the normal form)."""
-    out = numbered(docs).withColumn("benchmark_hits", F.array().cast(T.ArrayType(HIT)))
+    hit = hit_type(items.schema[item_id].dataType)
+    out = numbered(docs).withColumn("benchmark_hits", F.array().cast(T.ArrayType(hit)))
     at = docs.columns.index(text)
     for block in item_blocks(items, item_id, item_text):
-        out = _scan(out, f"c{at}", block, "more").withColumn("benchmark_hits", F.concat("benchmark_hits", "more")).drop("more")
+        out = _scan(out, f"c{at}", block, hit, "more").withColumn("benchmark_hits", F.concat("benchmark_hits", "more")).drop("more")
     return renamed(out, docs.columns, "benchmark_hits")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold an item."""
+    """``docs`` without the documents that hold an item, whatever its id."""
     names = docs.columns
+    items = items.select(F.xxhash64("text").alias("item_id"), "text")
     marked = scan(numbered(docs), items, f"c{names.index(text)}")
     return renamed(marked.where(F.size("benchmark_hits") == 0), names)
 

@@ -189,6 +189,15 @@ def test_decontamination_of_tables_and_messy(spark):
     assert decontaminate.clean_documents(messy(spark, []), bench).count() == 0
 
 
+def test_decontamination_with_any_item_id(spark):
+    docs = messy(spark, [(1, "the quick brown fox jumps", "s"), (2, "nothing of it", "s"), (3, "a lazy dog sleeps", "s")])
+    for kind, ids in (("bigint", [None, 4]), ("string", [None, "mmlu/4"]), ("void", [None, None])):
+        bench = spark.createDataFrame([(ids[0], "quick brown"), (ids[1], "lazy dog"), (ids[0], None)], f"item_id {kind}, text string")
+        assert [r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()] == [2]
+    named = spark.createDataFrame([("mmlu/4", "lazy dog")], "item_id string, text string")
+    assert {r.doc_id: [h.item_id for h in r.benchmark_hits] for r in decontaminate.scan(docs, named).collect()} == {1: [], 2: [], 3: ["mmlu/4"]}
+
+
 def removal(df):
     return sorted((r.doc_id is None, r.doc_id or 0, r.removal.n_words, r.removal.n_removed, r.removal.kept_sha256)
                   for r in substrings.remove(df).collect())
