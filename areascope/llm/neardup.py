@@ -16,7 +16,8 @@ five standard errors below 0.75. Candidates are found and verified in rounds:
 
 1. star: each class with the smallest classes that share a small hash of the first collection with it (``STARS`` of them), and
    best: each class with its best partner within blocks of ``BLOCK`` classes of such a bucket;
-2. all candidates in different components; buckets of more than ``BLOCK`` classes are dealt to tasks as pairs of blocks.
+2. all candidates in different components; buckets of more than ``BLOCK`` classes are dealt to tasks as pairs of blocks, without
+   those of two blocks of the largest component.
 
 Classes meet by the first half of a table key, and the second half is looked at in the task (see ``_cross_pairs``).
 
@@ -189,6 +190,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(both, run, "x binary, y binary")
 
 
+def _with_blocks(rows: DataFrame) -> DataFrame:
+    """The rows (h, digest, comp, c) of buckets with ``own``, a row's block, and ``last``: it meets the blocks up to this one.
+
+    The members of a bucket's largest component never pair, so they have blocks of their own, after those of the other rows, and
+    meet these only: a large component and a few other classes are not copied to many blocks.
+    """
+    large = rows.where(F.col("c") > BLOCK).groupBy("h", "comp").agg(F.count("*").alias("m")) \
+        .groupBy("h").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"))
+    large = large.select("h", F.col("top.comp").alias("largest"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("few"),
+                         F.ceil(F.col("top.m") / BLOCK).cast("int").alias("many"))
+    rows = rows.join(large, "h", "left")
+    hashed, inside = F.xxhash64("digest"), F.col("comp") == F.col("largest")
+    own = F.when(F.col("largest").isNull(), F.lit(0)).when(inside, F.col("few") + F.pmod(hashed, "many")).otherwise(F.pmod(hashed, "few"))
+    last = F.when(F.col("largest").isNull(), F.lit(0)).when(inside, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+    return rows.withColumn("own", own.cast("int")).withColumn("last", last.cast("int")).drop("largest", "few", "many")
+
+
 def _cross_pairs(firsts: DataFrame, labels: DataFrame | None, classes: DataFrame, best_only: bool) -> DataFrame:
     """Candidates (x, y) in different components that share a table key: all, or (``best_only``) each class's best
     within its block of a bucket. Without ``labels`` each class is its own component.
@@ -203,10 +221,12 @@ def _cross_pairs(firsts: DataFrame, labels: DataFrame | None, classes: DataFrame
             .select("h", "place", "digest", F.coalesce("comp", "digest").alias("comp"), "c")
         mixed = rows.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
         rows = rows.join(mixed.select("h"), "h")
+    if best_only:
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("digest"), F.ceil(F.col("c") / BLOCK)).cast("int"))
+    else:
+        rows = _with_blocks(rows)
     rows = rows.join(classes.select("digest", "small", "sketch", "n"), "digest")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("digest"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.col("own") if best_only else F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("other", F.col("own") if best_only else F.explode(F.sequence(F.lit(0), F.col("last"))))
     rows = rows.select("h", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "place", "digest", "comp",
                        F.expr("transform(small, x -> cast(x & 2147483647 as int))").alias("small"), "sketch", "n")
 

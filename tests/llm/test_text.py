@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from helpers import MESSY, SF, base_counts, distance, messy, near_components, prose, repeated_words, shingles, words
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from areascope.llm import decontaminate, neardup, quality, substrings
@@ -100,6 +101,23 @@ def test_near_duplicates_split_buckets(spark, monkeypatch):
     assert [got[d] for d, _ in rows] == expected
 
 
+def test_largest_component_of_a_bucket_is_not_copied_to_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    comps = ["a"] * 200 + ["b"] * 3 + ["c"] * 14
+    rows = [(1, f"{i}".encode(), k, len(comps)) for i, k in enumerate(comps)] + [(2, b"x", "a", 2), (2, b"y", "b", 2)]
+    out = neardup._with_blocks(spark.createDataFrame(rows, "h bigint, digest binary, comp string, c bigint")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).collect()
+    meet = {}
+    for r in out:
+        meet.setdefault((r.h, *sorted((r.own, r.other))), []).append((r.digest, r.comp, r.own))
+    for x, y in ((x, y) for i, x in enumerate(rows) for y in rows[:i]):
+        if x[0] == y[0] and x[2] != y[2]:   # each pair of different components meets once
+            groups = [g for (h, p, q), g in meet.items() if h == x[0] and {x[1], y[1]} <= {d for d, _, _ in g}
+                      and (p == q or len({o for d, _, o in g if d in (x[1], y[1])}) == 2)]
+            assert len(groups) == 1
+    assert sum(r.comp == "a" and r.h == 1 for r in out) == 2 * 200   # two blocks of other rows; all blocks were 22
+
+
 def test_near_duplicates_messy(spark):
     rows = [(d, t) for d, t, _ in MESSY]
     expected, sizes = near_components(rows)
