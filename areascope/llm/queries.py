@@ -189,4 +189,39 @@ def op4(spark, sf_dir):
     return recurrent.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _op11_sql() -> str:
+    """The same rounds as full scans, one pair of common tables for each."""
+    from areascope.llm import centroids as C
+
+    parts = [f"""
+v AS MATERIALIZED (SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda e: CAST(floor({C.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {C.DIM} AND len(embedding) = {C.DIM}),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS BIGINT) AS j, x AS c
+  FROM (SELECT sha256('{C.SALT}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT {C.K}))"""]
+    near = """
+a{t} AS MATERIALIZED (SELECT rn, min(list_sum(list_transform(range(1, {dim} + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) * {k} + j) AS key
+  FROM v, c{t} GROUP BY rn)"""
+    move = """
+m{t} AS MATERIALIZED (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+  SELECT key % {k} AS j, i, sum(e) AS s, count(*) AS n
+  FROM (SELECT a.key, unnest(range(1, {dim} + 1)) AS i, unnest(v.x) AS e FROM v JOIN a{t} a USING (rn)) GROUP BY ALL) GROUP BY j),
+c{u} AS MATERIALIZED (SELECT j, CAST(coalesce(m.c, o.c) AS BIGINT[]) AS c FROM c{t} o LEFT JOIN m{t} m USING (j))"""
+    for t in range(C.ROUNDS):
+        parts += [near.format(t=t, k=C.K, dim=C.DIM), move.format(t=t, u=t + 1, k=C.K, dim=C.DIM)]
+    parts.append(near.format(t=C.ROUNDS, k=C.K, dim=C.DIM))
+    return "WITH" + ",".join(parts) + f"""
+SELECT v.vec_id, CAST(a.key % {C.K} AS INTEGER) AS cluster, CAST(a.key // {C.K} AS BIGINT) AS distance,
+       CAST(sum(a.key // {C.K}) OVER (PARTITION BY a.key % {C.K}) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.key // {C.K}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM v JOIN a{C.ROUNDS} a USING (rn) JOIN c{C.ROUNDS} c ON a.key % {C.K} = c.j"""
+
+
+@register("op11_ns_bounds", _op11_sql())
+def op11(spark, sf_dir):
+    """Cluster of every sound vector after ten rounds."""
+    from areascope.llm import centroids
+
+    return centroids.digest(centroids.cluster(read(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
