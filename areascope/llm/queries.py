@@ -224,4 +224,12 @@ def op11(spark, sf_dir):
     return centroids.digest(centroids.cluster(read(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
 
 
+@register("op12_reduced_alphabet")
+def op12(spark, sf_dir):
+    """Words of the corpus with their variants' form and root."""
+    from areascope.llm import spelling
+
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
