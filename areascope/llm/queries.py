@@ -232,4 +232,20 @@ def op12(spark, sf_dir):
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+@register("op13_recurrent_blocks", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS body FROM a),
+c AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+             '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS body FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""")
+def op13(spark, sf_dir):
+    """Main text of every page. The SQL cuts out the article element, which all given pages have."""
+    from areascope.llm import maintext
+
+    pages = read(spark, sf_dir, "pages")
+    found = maintext.extract(pages, maintext.train(pages))
+    return found.select("page_id", "url", "main_text.text", "main_text.n_chars")
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
