@@ -7,7 +7,7 @@ returns one row per check: (model, column_name, test, violations).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -76,3 +76,30 @@ def run_checks(model: str, df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------------- checks while a table is written
+class CheckFailed(RuntimeError):
+    """Checks of a model that found violations: ``found`` is a list of (model, column, test, violations)."""
+
+    def __init__(self, found: Sequence[tuple[str, str, str, int]]):
+        self.found = list(found)
+        super().__init__("; ".join(f"{m}.{c}: {t} fails on {n} rows" for m, c, t, n in self.found))
+
+
+def observed_checks(checks: Sequence[Check]) -> dict[str, Column]:
+    """Violation counts of the row checks as aggregates to observe while the table is written."""
+    return {f"{c.test}:{c.column}:{i}": F.count(F.when(violation_expr(c), F.lit(1))) for i, c in enumerate(checks) if c.test != "unique"}
+
+
+def observed_violations(model: str, checks: Sequence[Check], metrics: Mapping[str, int], stored: DataFrame) -> list[tuple[str, str, str, int]]:
+    """(model, column, test, violations) of each check: row checks from the metrics, unique checks by one count of the stored keys
+    (which reads that column alone)."""
+    out = []
+    for i, c in enumerate(checks):
+        if c.test == "unique":
+            n = unique_violations(stored, c.column).count()
+        else:
+            n = int(metrics.get(f"{c.test}:{c.column}:{i}") or 0)
+        out.append((model, c.column, c.test, n))
+    return out

@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from areascope.plans.layers import Layers
+from areascope.session import Stored, store
 from areascope.sources.ingest import ensure_schema
 
 STAGING_VIEWS = ("stg_home_values", "stg_rental_prices", "stg_amenities", "stg_schools")
@@ -46,21 +47,18 @@ def build(layers: Layers, schema: str) -> dict[str, DataFrame]:
     build_raw_layer(layers)
     register_views(layers)
     for name in (*RAW, *MARTS):
-        register_table(getattr(layers, name), f"{schema}.{name}")
+        df = getattr(layers, name)
+        kept = layers.stored.get(name) or store(df, name)      # raw tables that were handed in are not stored yet
+        register_table(spark, kept, f"{schema}.{name}")
     return {name: load_mart(spark, schema, name) for name in MARTS}
 
 
-def register_table(stored: DataFrame, name: str) -> None:
+def register_table(spark: SparkSession, kept: Stored, name: str) -> None:
     """Make the files of a stored table a catalog table of this name (replacing an earlier one)."""
-    spark = stored.sparkSession
-    path = stored.inputFiles()[0]
-    folders = stored.schema.names
-    while path.rsplit("/", 1)[-1].startswith("part-") or path.rsplit("/", 1)[-1].split("=")[0] in folders:
-        path = path.rsplit("/", 1)[0]
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.catalog.createTable(name, path=path, source="parquet")
-    if "=" in stored.inputFiles()[0].rsplit("/", 2)[-2]:
-        spark.sql(f"MSCK REPAIR TABLE {name}")
+    spark.catalog.createTable(name, path=kept.path, source="parquet")
+    if spark.catalog.listColumns(name) and any(c.isPartition for c in spark.catalog.listColumns(name)):
+        spark.catalog.recoverPartitions(name)
 
 
 def load_mart(spark: SparkSession, schema: str, name: str) -> DataFrame:

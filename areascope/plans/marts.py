@@ -29,12 +29,12 @@ def _livability_sum(apprec, gross_yield, nbhd, school):
     ])
 
 
-def market_intelligence(trends: DataFrame, yields: DataFrame, neighborhood: DataFrame, schools: DataFrame) -> DataFrame:
-    """One scored row per area: price trend (required) left-joined with yield, neighborhood and
-    school scores; livability composite, tier and rank within metro.
+def assemble(trends: DataFrame, yields: DataFrame, neighborhood: DataFrame, schools: DataFrame) -> DataFrame:
+    """Price trends (required) left-joined with yields and the neighborhood and school scores, whose columns get the
+    prefixes ``_ns_`` and ``_sc_``.
 
-    The three right sides are per-area aggregates; AQE picks broadcast or sort-merge for each
-    join from their measured size."""
+    All four are per-area tables. Stored in buckets of ``zip_code`` they are joined without a shuffle whatever their size;
+    otherwise AQE picks broadcast or sort-merge for each join from their measured size."""
     ry = yields.select(
         "zip_code",
         F.col("current_rent").alias("monthly_rent"), "annual_rent",
@@ -54,7 +54,12 @@ def market_intelligence(trends: DataFrame, yields: DataFrame, neighborhood: Data
             "school_count", "total_enrollment", "avg_student_teacher_ratio", "primary_schools", "middle_schools",
             "high_schools", "enrollment_change_5yr_pct", "school_score", "school_tier", "school_trend")],
     )
-    m = trends.join(ry, "zip_code", "left").join(ns, "zip_code", "left").join(sc, "zip_code", "left")
+    return trends.join(ry, "zip_code", "left").join(ns, "zip_code", "left").join(sc, "zip_code", "left")
+
+
+def market_intelligence(trends: DataFrame, yields: DataFrame, neighborhood: DataFrame, schools: DataFrame) -> DataFrame:
+    """One scored row per area: the four assembled sources, livability composite, tier and rank within metro."""
+    m = assemble(trends, yields, neighborhood, schools)
     livability = F.round(_livability_sum(F.col("annual_appreciation_rate"), F.col("gross_rental_yield"),
                                          F.col("_ns_neighborhood_score"), F.col("_sc_school_score")), 1).cast("double")
     out = m.select(
@@ -142,3 +147,12 @@ def area_comparison(market: DataFrame) -> DataFrame:
         share_pct(count_when(trend.isin(L.PRICE_TRENDS[0], L.PRICE_TRENDS[1])), F.count(F.lit(1))).alias("pct_appreciating"),
         share_pct(count_when(trend.isin(L.PRICE_TRENDS[4], L.PRICE_TRENDS[3])), F.count(F.lit(1))).alias("pct_declining"),
     ).join(areas, "metro")
+
+
+def source_coverage(trends: DataFrame, yields: DataFrame, neighborhood: DataFrame, schools: DataFrame) -> DataFrame:
+    """For each area of the market mart, which of the optional sources it has; the mart's defaults stand in for the others."""
+    m = assemble(trends, yields, neighborhood, schools)
+    has = {"has_yield": "yield_tier", "has_neighborhood": "_ns_neighborhood_tier", "has_school": "_sc_school_tier"}
+    flags = m.select("zip_code", "metro", *[F.col(c).isNotNull().alias(k) for k, c in has.items()])
+    n = sum((F.col(k).cast("int") for k in has), F.lit(1))
+    return flags.withColumn("n_sources", n)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from areascope import oracle as O
-from areascope.plans import intermediate
+from areascope.plans import intermediate, marts
 from areascope.plans.build import build
 from areascope.queries.base import layers, register, select_all
 
@@ -58,6 +58,17 @@ def q_livability(spark, sf_dir):
     return layers(spark, sf_dir).market_intelligence
 
 
+@register("source_coverage", O.with_models("""
+SELECT t.zip_code, t.metro, y.zip_code IS NOT NULL AS has_yield, n.zip_code IS NOT NULL AS has_neighborhood, s.zip_code IS NOT NULL AS has_school,
+       1 + CAST(y.zip_code IS NOT NULL AS INTEGER) + CAST(n.zip_code IS NOT NULL AS INTEGER) + CAST(s.zip_code IS NOT NULL AS INTEGER) AS n_sources
+FROM int_price_trends t LEFT JOIN int_rental_yield y USING (zip_code) LEFT JOIN int_neighborhood_score n USING (zip_code)
+     LEFT JOIN int_school_score s USING (zip_code)"""))
+def q_source_coverage(spark, sf_dir):
+    """Which sources each area of the market mart has, from the bucketed layers."""
+    p = layers(spark, sf_dir)
+    return marts.source_coverage(p.price_trends, p.rental_yield, p.neighborhood_score, p.school_score)
+
+
 @register("investment", select_all("investment_hotspots"))
 def q_investment(spark, sf_dir):
     return layers(spark, sf_dir).investment_hotspots
@@ -74,9 +85,9 @@ UNION ALL SELECT 'investment_hotspots', count(*), round(sum(investment_score), 1
 UNION ALL SELECT 'area_comparison', count(*), round(sum(avg_livability_score), 1) FROM area_comparison"""))
 def q_build_marts(spark, sf_dir):
     """All layers built as catalog tables of a schema, the marts read back by name."""
-    marts = build(layers(spark, sf_dir), "areascope_build")
+    built = build(layers(spark, sf_dir), "areascope_build")
     scores = {"market_intelligence": "livability_score", "investment_hotspots": "investment_score", "area_comparison": "avg_livability_score"}
-    parts = [marts[m].agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(c), 1).alias("total")).select(F.lit(m).alias("mart"), "n", "total")
+    parts = [built[m].agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(c), 1).alias("total")).select(F.lit(m).alias("mart"), "n", "total")
              for m, c in scores.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

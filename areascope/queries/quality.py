@@ -4,31 +4,13 @@ from __future__ import annotations
 
 
 from areascope import oracle as O
-from areascope.functions import labels as L
 from areascope.operators import quality as Q
+from areascope.plans.checks import CHECKS, RAW_CHECKS, declared, stored_checks
+from areascope.plans.layers import Layers
 from areascope.queries.base import layers, register
 
 
 
-# The 35 declared checks, per model: (model, [(column, test, accepted values)]).
-CHECKS = {
-    "stg_home_values": [("zip_code", "not_null"), ("date", "not_null"), ("home_value", "not_null")],
-    "stg_rental_prices": [("zip_code", "not_null"), ("date", "not_null"), ("rental_price", "not_null")],
-    "stg_amenities": [("zip_code", "not_null"), ("amenity_category", "not_null"),
-                      ("amenity_category", "accepted_values", L.AMENITY_CATEGORIES)],
-    "stg_schools": [("nces_school_id", "not_null"), ("zip_code", "not_null"), ("year", "not_null"),
-                    ("year", "accepted_values", (2017, 2022))],
-    "int_price_trends": [("zip_code", "unique"), ("zip_code", "not_null"), ("price_trend", "accepted_values", L.PRICE_TRENDS)],
-    "int_rental_yield": [("zip_code", "unique"), ("zip_code", "not_null"), ("yield_tier", "accepted_values", L.YIELD_TIERS)],
-    "int_neighborhood_score": [("zip_code", "unique"), ("zip_code", "not_null"),
-                               ("neighborhood_tier", "accepted_values", L.QUALITY_TIERS)],
-    "int_school_score": [("zip_code", "unique"), ("zip_code", "not_null"), ("school_tier", "accepted_values", L.QUALITY_TIERS)],
-    "market_intelligence": [("zip_code", "unique"), ("zip_code", "not_null"), ("livability_score", "not_null"),
-                            ("livability_tier", "accepted_values", L.LIVABILITY_TIERS)],
-    "investment_hotspots": [("zip_code", "unique"), ("zip_code", "not_null"),
-                            ("investment_signal", "accepted_values", L.SIGNALS)],
-    "area_comparison": [("metro", "unique"), ("metro", "not_null"), ("avg_livability_score", "not_null")],
-}
 _MODEL_ATTR = {"stg_home_values": "stg_home_values", "stg_rental_prices": "stg_rental_prices", "stg_amenities": "stg_amenities",
                "stg_schools": "stg_schools", "int_price_trends": "price_trends", "int_rental_yield": "rental_yield",
                "int_neighborhood_score": "neighborhood_score", "int_school_score": "school_score",
@@ -36,16 +18,11 @@ _MODEL_ATTR = {"stg_home_values": "stg_home_values", "stg_rental_prices": "stg_r
                "area_comparison": "area_comparison"}
 
 
-def _check(spec):
-    col, test = spec[0], spec[1]
-    return Q.Check(col, test, tuple(spec[2]) if len(spec) > 2 else ())
-
-
 def _dq(spark, sf_dir, test):
     p = layers(spark, sf_dir)
     parts = []
     for model, specs in CHECKS.items():
-        checks = [_check(s) for s in specs if s[1] == test]
+        checks = declared(s for s in specs if s[1] == test)
         if checks:
             parts.append(Q.run_checks(model, getattr(p, _MODEL_ATTR[model]), checks))
     out = parts[0]
@@ -79,18 +56,21 @@ for _t in ("not_null", "unique", "accepted_values"):
     register(f"dq_{_t}", _dq_sql(_t))(_make(_t))
 
 
-# Raw tables hold real violations: months without rent, part types without a category, other school
-# years, one area with many amenities.
-RAW_CHECKS = {
-    "raw_rental_prices": [("rental_price", "not_null"), ("zip_code", "unique")],
-    "raw_amenities": [("amenity_category", "not_null"), ("zip_code", "unique"), ("amenity_category", "accepted_values", ("parks", "dining"))],
-    "raw_schools": [("student_teacher_ratio", "not_null"), ("year", "accepted_values", (2017, 2022)), ("nces_school_id", "unique")],
-}
-
-
 @register("dq_raw", O.with_models("\nUNION ALL\n".join(_check_sql(m, s) for m, specs in RAW_CHECKS.items() for s in specs)))
 def q_dq_raw(spark, sf_dir):
     """The declared kinds of checks on the raw tables, where they find something."""
     p = layers(spark, sf_dir)
-    parts = [Q.run_checks(m, getattr(p, m), [_check(s) for s in specs]) for m, specs in RAW_CHECKS.items()]
+    parts = [Q.run_checks(m, getattr(p, m), declared(specs)) for m, specs in RAW_CHECKS.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_STORED = {**{m: CHECKS[m] for m in CHECKS if not m.startswith("stg_")}, **RAW_CHECKS}
+
+
+@register("dq_build", O.with_models("\nUNION ALL\n".join(_check_sql(m, s) for m, specs in _STORED.items() for s in specs)))
+def q_dq_build(spark, sf_dir):
+    """A build whose checks are counted while its tables are written: one row for each check of each stored model."""
+    p = Layers.from_benchmark(spark, sf_dir, checks=stored_checks())
+    for name in _STORED:
+        getattr(p, _MODEL_ATTR.get(name, name))
+    return spark.createDataFrame([f for m in _STORED for f in p.violations[m]], "model string, column_name string, test string, violations bigint")

@@ -7,8 +7,10 @@ Library code never hard-codes a master or a scratch folder: on a cluster the ses
 from __future__ import annotations
 
 import os
+import uuid
+from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings that are safe on any cluster size; partition counts come from the deployment.
 _DEFAULTS = {
@@ -56,7 +58,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df, name: str = "table", partition_by: tuple[str, ...] = ()):
+@dataclass(frozen=True)
+class Stored:
+    """A written table: its folder, the table read back, and the metrics observed while it was written."""
+
+    path: str
+    df: DataFrame
+    metrics: dict = field(default_factory=dict)
+    table: str | None = None
+
+
+def store(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = (), bucket_by: tuple[str, ...] = (),
+          buckets: int | None = None, metrics: dict[str, Column] | None = None) -> Stored:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Used at layer boundaries (raw tables, per-area aggregates that feed several branches, marts):
@@ -67,15 +80,37 @@ def materialize(df, name: str = "table", partition_by: tuple[str, ...] = ()):
     folders. The rows are rebalanced on those columns: adaptive execution gives a large folder
     several tasks of the advisory size and puts small ones together, so two school years are not
     two tasks and a hundred months are not a file per task and folder.
-    """
-    import uuid
 
+    ``bucket_by`` makes it a catalog table hashed on those columns into ``buckets`` files (the session's
+    shuffle partitions by default), so that tables bucketed alike are joined on them without a shuffle.
+
+    ``metrics`` (name -> aggregate) are observed in the stage that writes, where every task counts
+    exactly once even if it is repeated: they cost no scan of their own.
+    """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/areascope/{name}-{uuid.uuid4().hex}"
-    if partition_by:
-        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    label = f"{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/areascope/{label}"
+    schema, table = df.schema, None
+    if bucket_by:
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(buckets, *bucket_by)
+    elif partition_by:
+        df = df.hint("rebalance", *partition_by)
+    seen = Observation(f"metrics-{label}") if metrics else None
+    if seen is not None:
+        df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
+    writer = df.write.mode("overwrite")
+    if bucket_by:
+        table = label.replace("-", "_")
+        writer.format("parquet").bucketBy(buckets, *bucket_by).option("path", path).saveAsTable(table)
+        back = spark.table(table)
     else:
-        df.write.mode("overwrite").parquet(path)
-    # the schema is known: skip footer inference on read-back
-    return spark.read.schema(df.schema).parquet(path)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        # the schema is known: skip footer inference on read-back
+        back = spark.read.schema(schema).parquet(path)
+    return Stored(path, back, dict(seen.get) if seen is not None else {}, table)
+
+
+def materialize(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """The table of ``store``, read back."""
+    return store(df, name, partition_by).df
