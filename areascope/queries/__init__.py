@@ -2,6 +2,7 @@
 
 models     staging views, intermediate models, marts
 ingestion  wide panels, API pages, lookups, key cleaning, profiles, city/zip mapping
+landing    releases, rewritten months, broken and missing pages, raw profiles
 panel      reference dates, lookbacks, percent_rank, rank within groups
 reports    dashboard and documented queries over the marts
 quality    the declared data-quality checks
@@ -10,6 +11,7 @@ quality    the declared data-quality checks
 # registration happens on import, in this order
 from areascope.queries import models  # noqa: F401  isort: skip
 from areascope.queries import ingestion  # noqa: F401  isort: skip
+from areascope.queries import landing  # noqa: F401  isort: skip
 from areascope.queries import panel  # noqa: F401  isort: skip
 from areascope.queries import reports  # noqa: F401  isort: skip
 from areascope.queries import quality  # noqa: F401  isort: skip

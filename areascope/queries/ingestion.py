@@ -12,6 +12,7 @@ from areascope.plans import staging as STG
 from areascope.queries.base import layers, register
 from areascope.sources import ingest as ING
 from areascope.sources import landed as LD
+from areascope.session import materialize
 from areascope.sources.tables import read_table
 
 
@@ -40,7 +41,8 @@ SELECT year, count(*) AS schools, CAST(sum(enrollment) AS BIGINT) AS pupils, cou
 FROM raw_schools WHERE school_level <> 5 GROUP BY year"""))
 def q_union_school_years(spark, sf_dir):
     """Regular schools of the landed pages, year by year as they are fetched, in one table."""
-    recs = ING.flatten_school_json(ING.read_school_pages(spark, layers(spark, sf_dir).landed_schools, multi_line=False))
+    pages = ING.read_school_pages(spark, layers(spark, sf_dir).landed_schools, multi_line=False)
+    recs = materialize(ING.flatten_school_json(pages), "school_years", ("year",))      # the pages are parsed once; each year reads its folder
     first, last = recs.agg(F.min("year"), F.max("year")).first()
     frames = [ING.filter_regular_schools(recs, year=y) for y in range(first, last + 1)]
     return ING.union_years(*frames).groupBy("year").agg(

@@ -87,8 +87,9 @@ SCHOOL_PAGE_SCHEMA = T.StructType([
 # ---------------------------------------------------------------- wide panels (S-01..S-03, S-08)
 
 def read_wide_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Read a wide panel CSV (header row; every column as string so ids keep leading zeros)."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    """Read a wide panel CSV (header row; every column as string so ids keep leading zeros). All files must have the header of the first;
+    one that differs ends the job (``releases.read_wide_releases`` reads each file by its own)."""
+    return spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
 
 
 def wide_to_long(df: DataFrame, value_name: str, meta_cols: Sequence[str] = PANEL_META_COLS) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from areascope.functions.keys import pad_zip
@@ -29,6 +29,9 @@ PART_TYPE_TAGS = {
     "STANDARD": ("tourism", "hotel"),
 }
 
+#: Order numbers of one request of the chained pages, which bounds its pages.
+CHAIN_ORDERS = 1000
+
 
 def _case(col, mapping: dict, pick: int):
     expr = None
@@ -61,7 +64,14 @@ def amenity_documents(spark: SparkSession, sf_dir: str, dim: DataFrame | None =
     )
     pages = j.groupBy("city", "state_name", "l_orderkey").agg(F.collect_list(element).alias("elements"))
     doc = F.struct(F.col("city"), F.col("state_name"), F.col("elements"))
-    return pages.select(F.to_json(doc).alias("document"))
+    return pages.select(F.to_json(doc).alias("document"), F.col("l_orderkey").alias("page"))
+
+
+def broken_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` as a bad day lands them: pages 3, 13, 23... are cut off, pages 7, 17, 27... are error responses."""
+    cut = F.substring("document", F.lit(1), (F.length("document") / 2).cast("int"))
+    error = F.lit('{"remark": "runtime error: query timed out"}')
+    return docs.withColumn("document", F.when(F.col("page") % 10 == 3, cut).when(F.col("page") % 10 == 7, error).otherwise(F.col("document")))
 
 
 def land_documents(docs: DataFrame, name: str) -> str:
@@ -113,6 +123,23 @@ def school_documents(spark: SparkSession, sf_dir: str, dim: DataFrame | None = N
     return pages.select(F.to_json(doc).alias("document"))
 
 
+def school_chains(spark: SparkSession, sf_dir: str, dim: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(requests, pages): (request, first_url), and (request, url, next) of the pages that landed. A request is a state, a school
+    year and a block of ``CHAIN_ORDERS`` order numbers, a page one of its orders in turn; of every 37 orders one page got lost."""
+    dim = (dimension(spark, sf_dir) if dim is None else dim).select("s_suppkey", "state")
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
+    year = (F.year("l_shipdate") + SCHOOL_YEAR_SHIFT).cast("int")
+    j = lines.join(dim, lines.l_suppkey == dim.s_suppkey)
+    request = F.concat_ws("/", "state", year.cast("string"), F.floor(F.col("l_orderkey") / CHAIN_ORDERS).cast("string"))
+    orders = j.select(request.alias("request"), "l_orderkey").distinct()
+    turn = Window.partitionBy("request").orderBy("l_orderkey")
+    pages = orders.select("request", "l_orderkey", F.row_number().over(turn).alias("k"), F.lead("l_orderkey").over(turn).isNotNull().alias("more"))
+    address = lambda k: F.concat_ws("/", "request", k.cast("string"))
+    pages = pages.select("request", "l_orderkey", address(F.col("k")).alias("url"), F.when(F.col("more"), address(F.col("k") + 1)).alias("next"))
+    requests = orders.select("request", F.concat_ws("/", "request", F.lit("1")).alias("first_url")).distinct()
+    return requests, pages.where(F.col("l_orderkey") % 37 != 5).drop("l_orderkey")
+
+
 def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A (state, code) lookup from the nation table, one row per nation."""
     return read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("state"), F.col("n_nationkey").alias("fips_code"))
