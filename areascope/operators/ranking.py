@@ -19,9 +19,10 @@ distributed pieces that only ever see *distinct values*; there is one path for e
 5. rows_before = offset + in-bucket running sum; ``rank = rows_before + 1`` and
    ``percent_rank = rows_before / (n - 1)`` (0 when n = 1), exactly SQL's tie semantics. Nulls come
    first when ascending and last when descending (Spark's and the reference's order).
-6. One join brings the ranks back to the rows, on (partition, value, salt): rows get one of
-   ``SALTS`` salts and the ranks are repeated for each, so no value is one task. Rows with a null
-   value carry a salted null key of their own.
+6. One join for each ranked column brings the ranks back to the rows, on (partition, value). Values that the
+   counts know to be hot are ranked by a broadcast of at most ``HOT`` values, and their rows are salted.
+
+The counts and the running sums - distinct values only - are stored; cut points and totals are observed while the counts are written.
 """
 
 from __future__ import annotations
@@ -32,13 +33,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areascope.functions.numeric import tie_safe_round
-from areascope.session import materialize
+from areascope.session import materialize, store
 
-DEFAULT_BUCKETS = 512
+# Buckets for each shuffle partition of the session, and the most of them.
+BUCKETS_PER_PARTITION, MOST_BUCKETS = 4, 4096
 # Accuracy of the quantile sketch used for bucket cut points (balance only, not exactness).
 CUT_ACCURACY = 2000
-# Copies of the ranks for the join back: a value's rows are spread over so many keys.
-SALTS = 16
+# A value is hot if one row in so many holds it; its rows, ranked by a broadcast, go on under so many keys.
+HOT, SALTS = 64, 64
 
 
 def _equal(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -63,7 +65,7 @@ def _bucket_key(value: Column, dtype: str) -> Column:
 
 
 def _with_bucket(counts: DataFrame, buckets: int) -> DataFrame:
-    """``_b`` = number of cut points in ``_cuts`` below ``_key``: binary search over the sorted cuts
+    """``_b`` = number of cut points in the array ``_cuts`` below ``_key``: binary search over the sorted cuts
     (``buckets - 1`` of them) in log2(buckets) steps. The steps are lateral column aliases of one
     projection."""
     steps, prev, step, i = [F.lit(0).alias("_s0")], "_s0", buckets // 2, 0
@@ -80,40 +82,63 @@ def _percentages(buckets: int) -> str:
     return "array(" + ", ".join(repr(k / buckets) for k in range(1, buckets)) + ")"
 
 
-def _ranks(counts: DataFrame, parts: list[str], cut_by: list[str], dtype: str, ascending: bool, buckets: int) -> DataFrame:
-    """``counts`` has ``parts``, ``_v`` (unique in its partition, null allowed) and ``_rows``.
-    Returns it with ``_before`` (rows strictly ahead) and ``_n`` (rows of the partition)."""
+def _ranks(counts: DataFrame, parts: list[str], dtype: str, ascending: bool, buckets: int | None, groups: int = 1) -> tuple[DataFrame, int, int]:
+    """``counts`` has ``parts``, ``_v`` (unique in its partition, null allowed), ``_rows`` and, for several ``groups`` that get cut
+    points of their own, their number ``_m``. Returns it with ``_before`` (rows strictly ahead) and ``_n`` (rows of the partition);
+    all rows counted; and the rows of the commonest value.
+
+    Two small tables of distinct values are stored: the counts, whose cut points, sum and maximum are observed while they are
+    written, and the running sums in the buckets."""
+    if buckets is None:
+        wanted = BUCKETS_PER_PARTITION * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(MOST_BUCKETS, 1 << max(1, (wanted - 1).bit_length()))
     if buckets < 2 or buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two >= 2")
-    counts = counts.withColumn("_key", _bucket_key(F.col("_v"), dtype)).withColumn("_cg", F.lit(0))
-    cut_by = cut_by or ["_cg"]
-    # the percentages go in as one SQL array literal (one call, not one literal column each)
-    sketch = F.expr(f"percentile_approx(_key, {_percentages(buckets)}, {CUT_ACCURACY})")
-    cuts = counts.where(F.col("_key").isNotNull() & ~F.isnan("_key")).groupBy(*cut_by).agg(sketch.alias("_cuts"))
-    # one row per ranked metric (or one row in all): a proven small bound, safe to broadcast
-    counts = _with_bucket(counts.join(F.broadcast(cuts), cut_by, "left"), buckets).drop("_cuts", "_key", "_cg")
+    group = F.col("_m") if groups > 1 else F.lit(0)
+    key = F.when(F.col("_key").isNotNull() & ~F.isnan("_key"), F.col("_key"))
+    sketches = {f"cuts{g}": F.percentile_approx(F.when(group == g, key), F.expr(_percentages(buckets)), CUT_ACCURACY) for g in range(groups)}
+    kept = store(counts.withColumn("_key", _bucket_key(F.col("_v"), dtype)), "rank-counts",
+                 metrics={**sketches, "total": F.sum("_rows"), "top": F.max("_rows")})
+    arrays = ["array(" + ", ".join(f"double('{c!r}')" for c in kept.metrics.get(f"cuts{g}") or []) + ")" for g in range(groups)]
+    arrays = [a if a != "array()" else "cast(null as array<double>)" for a in arrays]
+    cuts = F.expr(arrays[0]) if groups == 1 else F.element_at(F.expr(f"array({', '.join(arrays)})"), F.col("_m") + 1)
+    counts = _with_bucket(kept.df.withColumn("_cuts", cuts), buckets).drop("_cuts", "_key")
     # buckets and values in rank order, nulls at their end
     place = F.col("_b") if ascending else -F.col("_b")
     counts = counts.withColumn("_b", F.when(F.col("_v").isNull(), F.lit(-1 if ascending else 1)).otherwise(place))
     order = F.col("_v").asc() if ascending else F.col("_v").desc()
     in_bucket = Window.partitionBy(*parts, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_in_b", F.coalesce(F.sum("_rows").over(in_bucket), F.lit(0)))
+    sums = materialize(counts.withColumn("_in_b", F.coalesce(F.sum("_rows").over(in_bucket), F.lit(0))), "rank-sums")
     by_part = Window.partitionBy(*parts)
     ahead = by_part.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(*parts, "_b").agg(F.sum("_rows").alias("_b_rows")).select(
+    totals = sums.groupBy(*parts, "_b").agg(F.sum("_rows").alias("_b_rows")).select(
         *[F.col(p).alias(f"_t_{p}") for p in parts], F.col("_b").alias("_t_b"),
         F.coalesce(F.sum("_b_rows").over(ahead), F.lit(0)).alias("_offset"),
         F.sum("_b_rows").over(by_part).alias("_n"))
-    joined = counts.join(totals, _equal(counts, totals, [*[(p, f"_t_{p}") for p in parts], ("_b", "_t_b")]))
-    return joined.select(*parts, "_v", (F.col("_offset") + F.col("_in_b")).alias("_before"), "_n")
-
-
-def _salted(ranks: DataFrame) -> DataFrame:
-    return ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _salt() -> Column:
-    return F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    joined = sums.join(totals, _equal(sums, totals, [*[(p, f"_t_{p}") for p in parts], ("_b", "_t_b")]))
+    ranks = joined.select(*parts, "_v", "_rows", (F.col("_offset") + F.col("_in_b")).alias("_before"), "_n")
+    return ranks, int(kept.metrics.get("total") or 0) // groups, int(kept.metrics.get("top") or 0)
+
+
+def _join_back(rows: DataFrame, ranks: DataFrame, pairs: Sequence[tuple[str, str]], total: int, top: int, out: str) -> DataFrame:
+    """``rows`` with the column ``out`` of ``ranks`` (which has ``_rows``), joined on ``pairs``. Its strategy is left to AQE, which
+    broadcasts few ranks and beyond that shuffles the rows once.
+
+    Keys that hold at least one of ``HOT`` rows, if the counts know any, are ranked by a broadcast (at most ``HOT`` keys); their rows
+    pass the main join under a salt, so no key of it is hot."""
+    keys = [r for _, r in pairs]
+    if top * HOT < total:
+        return rows.join(ranks, _equal(rows, ranks, pairs), "left").select(*rows.columns, out)
+    hot_names = {k: f"_hot{k}" for k in [*keys, out]}
+    is_hot = F.col("_rows") * HOT >= total
+    hot = F.broadcast(ranks.where(is_hot).select(*[F.col(k).alias(n) for k, n in hot_names.items()]))
+    marked = rows.join(hot, _equal(rows, hot, [(a, hot_names[b]) for a, b in pairs]), "left")
+    found = F.col(hot_names[out])
+    salt = F.when(found.isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    marked = marked.select(*rows.columns, found.alias("_found"), salt.alias("_salt"))
+    cold = ranks.where(~is_hot).select(*keys, out, F.lit(0).alias("_r_salt"))
+    joined = marked.join(cold, _equal(marked, cold, pairs) & (marked["_salt"] == cold["_r_salt"]), "left")
+    return joined.select(*rows.columns, F.coalesce(F.col(out), F.col("_found")).alias(out))
 
 
 def _pct(before: Column, n: Column) -> Column:
@@ -124,15 +149,14 @@ def percent_rank_scores(
     df: DataFrame,
     specs: Mapping[str, tuple],
     scale: int | None = 1,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
     reuse_input: bool = True,
 ) -> DataFrame:
     """Add ``round(percent_rank() OVER (ORDER BY col [DESC]) * 100, scale)`` for each
     ``{out: (col, ascending[, scale])}``, over the whole DataFrame, without a global window.
 
-    Columns of one type and direction share one stacked count and one join back. A scale of None
-    returns the raw 0-1 fraction. ``reuse_input`` writes ``df`` once first, since it is read by
-    the counts and the joins back.
+    Columns of one type and direction share one stacked count. A scale of None returns the raw 0-1 fraction.
+    ``reuse_input`` writes ``df`` once first, since it is read by the counts and the joins back.
     """
     specs = dict(specs)
     names = list(specs)
@@ -145,18 +169,15 @@ def percent_rank_scores(
         groups.setdefault((types[col], bool(asc)), []).append(name)
 
     keyed = [c for c in df.columns if c not in specs]
-    rows = df.select(*keyed, F.monotonically_increasing_id().alias("_row"))
-    out = rows
+    inputs = {n: f"_in_{n}" for n in names}
+    out = df.select(*keyed, *[F.col(specs[n][0]).alias(inputs[n]) for n in names])
     for (dtype, asc), members in groups.items():
-        stacked = rows.select("_row", F.posexplode(F.array(*[F.col(specs[n][0]) for n in members])).alias("_m", "_v"))
+        stacked = df.select(F.posexplode(F.array(*[F.col(specs[n][0]) for n in members])).alias("_m", "_v"))
         counts = stacked.groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_rows"))
-        ranks = _ranks(counts, ["_m"], ["_m"], dtype, asc, buckets)
-        ranks = _salted(ranks.select("_m", "_v", _pct(F.col("_before"), F.col("_n")).alias("_pr")).toDF("_rm", "_rv", "_pr")).withColumnRenamed("_salt", "_r_salt")
-        stacked = stacked.withColumn("_salt", F.pmod(F.col("_row"), F.lit(SALTS)).cast("int"))
-        found = stacked.join(ranks, _equal(stacked, ranks, [("_m", "_rm"), ("_v", "_rv"), ("_salt", "_r_salt")]))
-        found = found.groupBy(F.col("_row").alias("_found")).agg(
-            *[F.max(F.when(F.col("_m") == i, F.col("_pr"))).alias(f"_p_{n}") for i, n in enumerate(members)])
-        out = out.join(found, out["_row"] == found["_found"]).drop("_found")
+        ranks, total, top = _ranks(counts, ["_m"], dtype, asc, buckets, len(members))
+        for i, name in enumerate(members):
+            own = ranks.where(F.col("_m") == i).select(F.col("_v").alias("_rv"), "_rows", _pct(F.col("_before"), F.col("_n")).alias(f"_p_{name}"))
+            out = _join_back(out, own, [(inputs[name], "_rv")], total, top, f"_p_{name}").drop(inputs[name])
     scores = []
     for name in names:
         pr = F.col(f"_p_{name}")
@@ -171,7 +192,7 @@ def rank_within(
     order_col: str,
     out: str = "rank",
     descending: bool = True,
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
     reuse_input: bool = True,
 ) -> DataFrame:
     """Add ``rank() OVER (PARTITION BY p ORDER BY order_col [DESC])`` as ``out`` (int).
@@ -183,9 +204,7 @@ def rank_within(
     if reuse_input:
         df = materialize(df, "rank-input")
     counts = df.groupBy(*parts, F.col(order_col).alias("_v")).agg(F.count(F.lit(1)).alias("_rows"))
-    ranks = _ranks(counts, parts, [], dict(df.dtypes)[order_col], not descending, buckets)
-    ranks = _salted(ranks.select(*[F.col(p).alias(f"_r_{p}") for p in parts], F.col("_v").alias("_r_order"),
-                                 (F.col("_before") + 1).cast("int").alias(out))).withColumnRenamed("_salt", "_r_salt")
-    rows = df.withColumn("_salt", _salt())
-    cond = _equal(rows, ranks, [*[(p, f"_r_{p}") for p in parts], (order_col, "_r_order"), ("_salt", "_r_salt")])
-    return rows.join(ranks, cond, "left").select(*df.columns, out)
+    ranks, total, top = _ranks(counts, parts, dict(df.dtypes)[order_col], not descending, buckets)
+    ranks = ranks.select(*[F.col(p).alias(f"_r_{p}") for p in parts], F.col("_v").alias("_r_order"), "_rows", (F.col("_before") + 1).cast("int").alias("_rank"))
+    rows = _join_back(df, ranks, [*[(p, f"_r_{p}") for p in parts], (order_col, "_r_order")], total, top, "_rank")
+    return rows.select(*df.columns, F.col("_rank").alias(out))
