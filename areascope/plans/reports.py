@@ -180,3 +180,19 @@ def metro_averages(market: DataFrame, col: str, out: str, scale: int) -> DataFra
 
 def zips_by_tier(market: DataFrame) -> DataFrame:
     return count_by(market, "livability_tier")
+
+
+def levels(mart: DataFrame) -> DataFrame:
+    """KPIs, tier counts and price-trend counts for all areas, for each state and for each (state, metro), in one aggregation
+    (grouping sets: the rows are expanded threefold before the map-side combine, and scanned once). ``level`` tells the rows of all
+    areas from those of a state or metro that is null."""
+    count = lambda cond, name: F.count(F.when(cond, F.lit(1))).alias(name)
+    tiers = [count(F.col("livability_tier") == t, f"tier_{t[0].lower()}") for t in L.LIVABILITY_TIERS]
+    trends = [count(F.col("price_trend") == t, t) for t in L.PRICE_TRENDS]
+    sets = mart.groupingSets([[], ["state"], ["state", "metro"]], "state", "metro")
+    table = sets.agg(F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("areas"), F.count("gross_rental_yield").alias("areas_with_yield"),
+                     tie_safe_round(F.avg("livability_score"), 1).alias("avg_livability"), tie_safe_round(F.avg("home_value"), 0).alias("avg_home_value"),
+                     F.max("livability_score").alias("top_livability"), *tiers, *trends)
+    level = F.when(F.col("_set") == 3, "all").when(F.col("_set") == 1, "state").otherwise("metro")
+    # without an area there is no row, not even of the grand total
+    return table.where("areas > 0").withColumn("level", level).drop("_set")

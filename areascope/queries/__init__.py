@@ -5,6 +5,7 @@ ingestion  wide panels, API pages, lookups, key cleaning, profiles, city/zip map
 landing    releases, rewritten months, broken and missing pages, raw profiles
 panel      reference dates, lookbacks, percent_rank, rank within groups
 reports    dashboard and documented queries over the marts
+scale      distinct counts that add up, exact medians, all levels at once, hot cities
 quality    the declared data-quality checks
 """
 
@@ -15,6 +16,7 @@ from areascope.queries import landing  # noqa: F401  isort: skip
 from areascope.queries import panel  # noqa: F401  isort: skip
 from areascope.queries import reports  # noqa: F401  isort: skip
 from areascope.queries import quality  # noqa: F401  isort: skip
+from areascope.queries import scale  # noqa: F401  isort: skip
 from areascope.queries.base import _LAYERS, ORACLE, QUERIES, Layers, layers, register
 
 __all__ = ["ORACLE", "QUERIES", "Layers", "layers", "register", "_LAYERS"]

@@ -21,10 +21,10 @@ from areascope.sources.ingest import derive_school_ratios
 from areascope.sources.tables import read_table
 
 # Category of a part type, school year of a ship year (1996 is 2017, 2001 is 2022),
-# cities of a nation.
+# supplier numbers that share the cities of all nations, so a city has some areas and cities grow with the suppliers.
 PART_TYPE_CATEGORY = {"ECONOMY": "parks", "SMALL": "shopping", "MEDIUM": "entertainment", "LARGE": "dining"}
 SCHOOL_YEAR_SHIFT = 21
-CITIES_PER_NATION = 3
+SUPPLIERS_PER_CITY = 100
 
 
 def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(geo, s.s_nationkey == geo.n_nationkey).select(
         F.col("s_suppkey"),
         pad_zip(F.col("s_suppkey")).alias("zip_code"),
-        F.concat_ws(" ", F.col("n_name"), (F.col("s_suppkey") % CITIES_PER_NATION).cast("string")).alias("city"),
+        F.concat_ws(" ", F.col("n_name"), F.floor(F.col("s_suppkey") / SUPPLIERS_PER_CITY).cast("string")).alias("city"),
         F.concat(F.lit("C"), F.col("s_nationkey").cast("string")).alias("county"),
         F.col("n_name").alias("state"),
         F.col("n_name").alias("state_name"),

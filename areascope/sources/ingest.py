@@ -18,6 +18,7 @@ from areascope.functions.keys import header_date, pad_zip, school_zip, tag
 from areascope.functions.labels import classify_amenity
 from areascope.functions.numeric import round_half_even, tie_safe_round
 from areascope.operators.aggregates import count_by
+from areascope.operators.hotjoin import expanding_join
 from areascope.operators.reshape import rename_snake, split_columns, unpivot_panel
 
 # Metadata columns of the wide panel files and their snake_case names.
@@ -217,10 +218,12 @@ def zip_city_map(panel: DataFrame) -> DataFrame:
     return panel.where(F.col("city").isNotNull()).select("zip_code", "city", "state_name").distinct()
 
 
-def map_to_zip(city_amenities: DataFrame, zip_map: DataFrame) -> DataFrame:
+def map_to_zip(city_amenities: DataFrame, zip_map: DataFrame, part_rows: int | None = None) -> DataFrame:
     """Copy each city-level amenity to every postal code of its (city, state_name) - a
-    many-to-many equi-join; the join strategy is left to AQE's runtime size check."""
-    joined = city_amenities.join(zip_map, ["city", "state_name"], "inner")
+    many-to-many equi-join; the join strategy is left to AQE's runtime size check. With ``part_rows`` cities
+    whose output is larger are dealt over tasks of about that size (``operators.hotjoin``)."""
+    on = ["city", "state_name"]
+    joined = city_amenities.join(zip_map, on, "inner") if part_rows is None else expanding_join(city_amenities, zip_map, on, part_rows)
     return joined.select("zip_code", "amenity_name", "amenity_type", "amenity_category", "latitude", "longitude",
                          "city", "state_name")
 
