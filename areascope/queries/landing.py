@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from areascope import oracle as O
 from areascope.queries.base import layers, register
+from areascope.session import ensure_checkpoint_dir, materialize
 from areascope.sources import ingest as ING
 from areascope.sources import landed as LD
 from areascope.sources import pages as PG
 from areascope.sources import releases as RL
 from areascope.sources.tables import read_table
+from areascope.streaming import amenity_page_stream, append_to_table
 
 _PANEL = "region_id, size_rank, zip_code, region_type, state_name, state, city, metro, county, date, home_value"
 
@@ -132,3 +134,20 @@ FROM raw_schools GROUP BY year"""))
 def q_profile_raw_year(spark, sf_dir):
     """Profile of the raw schools by year."""
     return ING.profile_by_year(layers(spark, sf_dir).raw_schools)
+
+
+@register("relanded_pages", O.with_models("""
+SELECT d.city, d.state_name, count(*) AS amenities
+FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppkey = d.s_suppkey WHERE p.p_type <> 'STANDARD' GROUP BY ALL"""))
+def q_relanded_pages(spark, sf_dir):
+    """All pages land, are streamed into a table, and land again under other names before the stream goes on: the table stays the same."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/areascope/stream-{uuid.uuid4().hex}"
+    docs = materialize(LD.amenity_documents(spark, sf_dir, layers(spark, sf_dir).area_dimension), "pages")
+    # pages of equal content are one page: an element without a class tells orders apart
+    tagged = docs.withColumn("document", F.regexp_replace("document", '"elements":\\[', F.concat(
+        F.lit('"elements":[{"lat":'), F.col("page").cast("string"), F.lit('.0,"tags":{"note":"page"}},'))))
+    for _ in range(2):
+        tagged.select("document").write.mode("append").text(f"{root}/landing")
+        stream = amenity_page_stream(spark, f"{root}/landing", multi_line=False, once=True)
+        append_to_table(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/table").groupBy("city", "state_name").agg(F.count(F.lit(1)).alias("amenities"))

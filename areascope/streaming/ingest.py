@@ -5,30 +5,52 @@ of scope) lands each response page as a JSON file; a file-source stream picks up
 and flattens them with the same batch code, and appends to the raw table with exactly-once file
 sink semantics. ``availableNow`` processes everything landed so far and stops, so the job can run
 on a schedule; the checkpoint records which files were consumed, so a restarted or retried job
-neither loses nor duplicates pages.
+neither loses nor duplicates pages. A page that lands again as another file is a new file to that
+checkpoint; ``once`` knows it by its content.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from areascope.sources import ingest as ING
 
 
-def amenity_page_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """New points-of-interest API pages in ``landing_dir`` -> classified amenity rows."""
-    pages = (spark.readStream.schema(ING.AMENITY_RESPONSE_SCHEMA).option("multiLine", True)
-             .option("maxFilesPerTrigger", max_files_per_trigger).json(landing_dir))
-    return ING.flatten_amenity_json(pages)
+def distinct_pages(pages: DataFrame, within: str | None = None) -> DataFrame:
+    """A stream of parsed pages with every page once, however often and under whatever names it lands.
 
+    A page is known by the sha256 of its content, kept as keyed state (one row for each page, dealt over the shuffle
+    partitions and checkpointed with the query, so a restarted job still knows it). Without ``within`` pages are known for ever;
+    with it (e.g. '30 days' of file time) the state forgets pages that landed longer ago than that.
+    ``pages`` needs the column ``landed`` (time of the file), which goes."""
+    content = [c for c in pages.columns if c != "landed"]
+    keyed = pages.withColumn("_page", F.sha2(F.to_json(F.struct(*content)), 256))
+    once = keyed.withWatermark("landed", within).dropDuplicatesWithinWatermark(["_page"]) if within else keyed.drop("landed").dropDuplicates(["_page"])
+    return once.select(*content)
 
-def school_page_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """New school-directory API pages -> regular-school records with derived ratios."""
-    pages = (spark.readStream.schema(ING.SCHOOL_PAGE_SCHEMA).option("multiLine", True)
-             .option("maxFilesPerTrigger", max_files_per_trigger).json(landing_dir))
-    records = ING.filter_regular_schools(ING.flatten_school_json(pages))
-    return ING.derive_school_ratios(records)
+
+def _page_stream(spark: SparkSession, landing_dir: str, schema: T.StructType, max_files: int, multi_line: bool, once: bool, within: str | None) -> DataFrame:
+    pages = (spark.readStream.schema(schema).option("multiLine", multi_line).option("maxFilesPerTrigger", max_files).json(landing_dir))
+    if not once:
+        return pages
+    return distinct_pages(pages.select(*schema.names, F.col("_metadata.file_modification_time").alias("landed")), within)
+
+
+def amenity_page_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1000, multi_line: bool = True,
+                        once: bool = False, within: str | None = None) -> DataFrame:
+    """New points-of-interest API pages in ``landing_dir`` -> classified amenity rows; with ``once`` a page that
+    lands again under another name adds nothing."""
+    return ING.flatten_amenity_json(_page_stream(spark, landing_dir, ING.AMENITY_RESPONSE_SCHEMA, max_files_per_trigger, multi_line, once, within))
+
+
+def school_page_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int = 1000, multi_line: bool = True,
+                       once: bool = False, within: str | None = None) -> DataFrame:
+    """New school-directory API pages -> regular-school records with derived ratios; ``once`` as above."""
+    pages = _page_stream(spark, landing_dir, ING.SCHOOL_PAGE_SCHEMA, max_files_per_trigger, multi_line, once, within)
+    return ING.derive_school_ratios(ING.filter_regular_schools(ING.flatten_school_json(pages)))
 
 
 def append_to_table(stream: DataFrame, table_dir: str, checkpoint_dir: str, partition_by: tuple[str, ...] = (),
