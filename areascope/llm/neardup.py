@@ -360,7 +360,8 @@ def class_components(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_hash, n_shingles, component_id, kept): one row for each document. ``kept`` is one (id, text_hash) of each component."""
+    """(id, text_hash, n_shingles, component_id, kept, first): one row for each document. ``kept`` is true where the id is the
+    component's smallest, on each row of that id; ``first`` on one (id, text_hash) of each component alone."""
     rows = materialize(signatures(docs, doc_id, text), "signatures")
     labels = class_components(docs, rows, doc_id, text)
     first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")
@@ -370,14 +371,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = named.groupBy("comp").agg(F.min("first").alias("first"))
     named = named.select("digest", "comp").join(least, "comp").select("digest", F.col("first.id").alias("component_id"), F.col("first.text_hash").alias("kept_hash"))
     light = rows.select("id", "text_hash", "n", "digest")
-    kept = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))
-    out = light.where("n > 0").join(named, "digest").select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
-    return out.unionAll(light.where("n = 0").select("id", "text_hash", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept")))
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    out = light.where("n > 0").join(named, "digest").select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"),
+                                                            (kept & (F.col("text_hash") == F.col("kept_hash"))).alias("first"))
+    alone = [F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("first")]
+    return out.unionAll(light.where("n = 0").select("id", "text_hash", "n", *alone))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row for each group; rows without words all stay."""
-    verdict = near_duplicates(docs, doc_id, text).where("kept").groupBy("id", "text_hash").agg(F.max("n_shingles").alias("n"))
+    verdict = near_duplicates(docs, doc_id, text).where("first").groupBy("id", "text_hash").agg(F.max("n_shingles").alias("n"))
     names, rows = docs.columns, numbered(docs)
     own_id, own_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     rows = rows.withColumn("own_hash", F.xxhash64(text_or_empty(own_text)))

@@ -142,7 +142,9 @@ def test_one_row_of_each_near_duplicate_group_stays(spark):
     kept = sorted((r.source, r.doc_id is None, r.doc_id or 0) for r in neardup.deduplicate(messy(spark, rows)).collect())
     assert kept == [("empty", True, 0), ("empty", True, 0), ("exact", False, 3), ("none", True, 0), ("one", False, 7), ("some", False, 9)]
     verdict = neardup.near_duplicates(messy(spark, [r for r in rows if r[2] != "exact"])).where("n_shingles > 0")
-    assert sorted((r.component_id is None, r.component_id or 0) for r in verdict.where("kept").collect()) == [(False, 7), (False, 9), (True, 0)]
+    assert sorted((r.component_id is None, r.component_id or 0) for r in verdict.where("first").collect()) == [(False, 7), (False, 9), (True, 0)]
+    # by the contract kept is true on every row that has the component's id, repeated or not
+    assert all(r.kept == (r.id == r.component_id) for r in verdict.collect())
 
 
 def test_sketch_gate_never_rejects_a_link():
