@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areascope.llm.common import cell_of, hashed_key, n_words, text_or_empty
+from areascope.session import materialize
 
 #: Fixed values of the mix: weights by source rank, share of all words, most reads of a document.
 WEIGHTS, SHARE, MAX_EPOCHS = (3, 1, 2), 1.5, 2
@@ -74,12 +75,17 @@ def targets(sums: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SH
         .otherwise((F.col("total") - F.col("full_sum")) * F.col("weight") / F.col("open_weight")).alias("target"))
 
 
+def _let(names: dict[str, str], body: str) -> str:
+    """SQL that binds expressions to the fields of ``b`` and evaluates ``body`` with them."""
+    fields = ", ".join(f"'{k}', {v}" for k, v in names.items())
+    return f"transform(array(named_struct({fields})), b -> {body})[0]"
+
+
 def _log_factorial(x: str) -> str:
     """SQL for ln(x!) of x >= 0: Stirling's series at x + 8, stepped down; exact to about 1e-11."""
-    y = f"({x} + 8.0D)"
-    steps = " * ".join(f"({x} + {i}.0D)" for i in range(1, 9))
-    return (f"({y} * ln({y}) - {y} + 0.5D * ln(6.283185307179586D * {y}) + 1.0D / (12.0D * {y})"
-            f" - 1.0D / (360.0D * pow({y}, 3)) + 1.0D / (1260.0D * pow({y}, 5)) - ln({steps}))")
+    steps = " * ".join(["f"] + [f"(f - {i})" for i in range(1, 8)])
+    return (f"transform(array(cast({x} as double) + 8), f -> f * ln(f) - f + 0.5D * ln(6.283185307179586D * f) + 1 / (12 * f)"
+            f" - 1 / (360 * pow(f, 3)) + 1 / (1260 * pow(f, 5)) - ln({steps}))[0]")
 
 
 def _log_choose(n: str, k: str) -> str:
@@ -93,21 +99,17 @@ def _hypergeometric(marked: str, others: str, draws: str, u: str) -> str:
     The sum runs over ten standard deviations around the mean (what lies beyond has less probability
     than a double can show) by the ratio of neighbouring terms.
     """
-    n = f"({marked} + {others})"
-    mean = f"(cast({draws} as double) * {marked} / greatest({n}, 1))"
-    dev = f"sqrt({mean} * greatest({others}, 0) / greatest({n}, 1) + 1.0D)"
-    low = f"greatest(0L, {draws} - {others}, cast(floor({mean} - 10 * {dev}) as bigint) - 2L)"
-    high = f"least({marked}, {draws}, cast(ceil({mean} + 10 * {dev}) as bigint) + 2L)"
-    first = (f"exp({_log_choose(f'cast({marked} as double)', f'cast({low} as double)')}"
-             f" + {_log_choose(f'cast({others} as double)', f'cast(({draws} - {low}) as double)')}"
-             f" - {_log_choose(f'cast({n} as double)', f'cast({draws} as double)')})")
-    step = (f"h.p * cast({marked} - k as double) * cast({draws} - k as double)"
-            f" / (cast(k + 1 as double) * cast({others} - {draws} + k + 1 as double))")
-    return (f"aggregate(sequence({low}, {high}),"
-            f" named_struct('p', {first}, 'sum', 0.0D, 'got', cast(null as bigint)),"
-            f" (h, k) -> named_struct('p', {step}, 'sum', h.sum + h.p,"
-            f" 'got', if(h.got is null and h.sum + h.p >= {u}, k, h.got)),"
-            f" h -> coalesce(h.got, {high}))")
+    step = "h.p * cast(b.a - k as double) * cast(b.d - k as double) / (cast(k + 1 as double) * cast(b.o - b.d + k + 1 as double))"
+    first = f"exp({_log_choose('b.a', 'b.low')} + {_log_choose('b.o', '(b.d - b.low)')} - {_log_choose('(b.a + b.o)', 'b.d')})"
+    search = (f"aggregate(sequence(b.low, b.high), named_struct('p', {first}, 'sum', 0.0D, 'got', cast(null as bigint)),"
+              f" (h, k) -> named_struct('p', {step}, 'sum', h.sum + h.p, 'got', if(h.got is null and h.sum + h.p >= b.u, k, h.got)),"
+              f" h -> coalesce(h.got, b.high))")
+    same = {k: f"b.{k}" for k in ("a", "o", "d", "u")}
+    ends = _let({**same, "low": "greatest(0L, b.d - b.o, cast(floor(b.mean - 10 * b.dev) as bigint) - 2L)",
+                 "high": "least(b.a, b.d, cast(ceil(b.mean + 10 * b.dev) as bigint) + 2L)"}, search)
+    spread = _let({**same, "mean": "b.mean", "dev": "sqrt(b.mean * greatest(b.o, 0) / greatest(b.a + b.o, 1) + 1.0D)"}, ends)
+    middle = _let({**same, "mean": "cast(b.d as double) * b.a / greatest(b.a + b.o, 1)"}, spread)
+    return _let({"a": marked, "o": others, "d": draws, "u": u}, middle)
 
 
 def splitting_tree(sources: DataFrame, shards: int = SHARDS, salt: str = SALT) -> DataFrame:
@@ -137,7 +139,8 @@ def splitting_tree(sources: DataFrame, shards: int = SHARDS, salt: str = SALT) -
                   " 'rooms', slice(rooms, 1, mid - lo)),"
                   " named_struct('lo', mid, 'hi', hi, 'quota', transform(quota, (q, i) -> named_struct('rank', q.rank, 'n', q.n - left[i])),"
                   " 'rooms', slice(rooms, mid - lo + 1, hi - mid)))")
-        node = split.select(F.explode(F.expr(f"filter({halves}, h -> h.hi > h.lo)")).alias("h")).select("h.*")
+        # one row for each node: a small table between levels keeps the plan of a level small
+        node = materialize(split.select(F.explode(F.expr(f"filter({halves}, h -> h.hi > h.lo)")).alias("h")).select("h.*"), "tree")
         width = (width + 1) // 2
     leaves = node.select(F.col("lo").alias("shard"), F.explode("quota").alias("q"))
     bounds = leaves.groupBy(F.col("q.rank").alias("rank")).agg(
@@ -158,14 +161,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = rows.withColumn("key", hashed_key(salt, "doc_id")) \
         .withColumn("key", F.when(F.col("doc_id").isNull(), F.md5(F.concat_ws("|", "key", "size"))).otherwise(F.col("key"))) \
         .withColumn("cell", cell_of(F.col("key"), CELL_DIGITS))
-    cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("words"))
+    cells = materialize(rows.groupBy("source", "cell").agg(F.sum("size").alias("words")), "mix-cells")
     sums = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(sums, weights, share, max_epochs) \
         .withColumn("quota", F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs)) \
         .withColumn("blocks", F.ceil(F.col("quota") / F.lit(block_words)).cast("long")) \
         .withColumn("step", F.lit(STEP_PRIME) % F.greatest(F.col("blocks"), F.lit(1))) \
         .withColumn("shift", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(salt), "rank")), 1, 8), 16, 10).cast("long"))
-    goal = goal.join(splitting_tree(goal, shards, salt), "rank")
+    goal = materialize(goal, "mix-goal")
+    goal = materialize(goal.join(splitting_tree(goal, shards, salt), "rank"), "mix-tree")          # one row for each source
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_start", F.coalesce(F.sum("words").over(before), F.lit(0)))
     info = cells.join(goal, cells["source"].eqNullSafe(goal["source"])).select(
