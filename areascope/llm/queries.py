@@ -69,26 +69,28 @@ p AS (SELECT doc_id, low, ws, list_filter(range(0, len(ws)), lambda i:
         OR (ws[i + 1] = 'all' AND ws[i + 2] = 'rights' AND ws[i + 3] = 'reserved')) AS hits FROM w),
 b AS (SELECT doc_id, ws, hits,
         list_distinct(list_transform(hits, lambda i: CASE ws[i + 1] WHEN 'cc' THEN 'cc-by' WHEN 'general' THEN 'gpl' ELSE 'reserved' END)) AS base,
-        list_transform(string_split(low, chr(10)), lambda l: list_distinct(regexp_extract_all(l, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS lines FROM p),
-m AS (SELECT doc_id, ws, hits, base, list_filter([{templates}], lambda t:
-        len(list_filter(lines, lambda l: len(list_intersect(l, t.words)) >= t.need)) > 0) AS found,
-        list_max(list_transform([{templates}], lambda t: CASE WHEN list_max(list_transform(lines, lambda l: len(list_intersect(l, t.words)))) >= t.need
-            THEN list_max(list_transform(lines, lambda l: len(list_intersect(l, t.words)))) / CAST(len(t.words) AS DOUBLE) ELSE 0.0 END)) AS top FROM b)
+        list_filter([{templates}], lambda t: list_has_all(ws, t.must)) AS near FROM p),
+f AS (SELECT doc_id, ws, hits, base, list_filter(list_transform(near, lambda t: {'label': t.label, 'top': list_max(list_transform(
+        list_filter(range(0, len(ws)), lambda i: list_contains(t.words, ws[i + 1]) AND list_has_all(ws[i + 1:i + t.span], t.must)
+            AND NOT list_has_any(ws[i + 1:i + t.span], t.without) AND len(list_intersect(ws[i + 1:i + t.span], t.words)) >= t.need),
+        lambda i: len(list_intersect(ws[i + 1:i + t.span], t.words)) / CAST(len(t.words) AS DOUBLE)))}), lambda m: m.top IS NOT NULL) AS found FROM b),
+m AS (SELECT *, coalesce(list_max(list_transform(found, lambda m: m.top)), 0.0) AS top FROM f)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(hits) AS BIGINT) AS n_base,
        CAST(list_min(hits) AS BIGINT) AS first_word, CAST(list_max(hits) AS BIGINT) AS last_word,
        array_to_string(list_sort(base), ',') AS base_labels,
-       array_to_string(list_sort(list_distinct(list_concat(base, list_transform(found, lambda t: t.label)))), ',') AS labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, list_transform(found, lambda m: m.label)))), ',') AS labels,
        CAST(CASE WHEN len(hits) > 0 THEN 1.0 ELSE top END AS DOUBLE) AS score
 FROM m"""
 
 
 def _op10_sql() -> str:
-    import math
-
     from areascope.llm import licenses
 
-    rows = [f"{{'label': '{k}', 'words': [{', '.join(repr(w) for w in ws)}], 'need': {math.ceil(licenses.THRESHOLD * len(ws) - 1e-9)}}}"
-            for k, ws in licenses.template_words(licenses.TEMPLATES).items()]
+    def words(ws) -> str:
+        return "CAST([" + ", ".join(map(repr, ws)) + "] AS VARCHAR[])"
+
+    rows = [f"{{'label': '{t.label}', 'words': {words(t.words)}, 'must': {words(t.must)}, 'without': {words(t.without)},"
+            f" 'need': {t.need}, 'span': {t.span}}}" for t in licenses.parsed(licenses.TEMPLATES)]
     return _OP10_SQL.replace("{templates}", ", ".join(rows))
 
 

@@ -1,7 +1,11 @@
 """Sharding, mixing and the license scan."""
 
+import random
+import re
+import textwrap
+
 import pytest
-from helpers import MESSY, SF, crc, duck_rows, messy, spark_rows, words
+from helpers import ASCII, MESSY, SF, crc, duck_rows, messy, spark_rows, words
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -133,20 +137,64 @@ def test_licenses_messy(spark):
     assert got[3].n_words == 0 and got[3].labels == "" and got[3].score == 0.0 and got[3].places == []
 
 
-def test_license_containment_against_all_pairs(spark):
-    import random
+def found_by_hand(text, templates):
+    """(word, label, containment) by looking at every window of every template."""
+    import math
+
+    ws, out = re.findall(licenses.WORD, text.translate(ASCII)), []
+    for label, notice, must, without in templates:
+        whole = re.findall(licenses.WORD, notice.translate(ASCII))
+        own, best = set(whole), None
+        for i, w in enumerate(ws):
+            window = set(ws[i:i + math.ceil(1.25 * len(whole))])
+            share = len(window & own) / len(own)
+            if w in own and share >= licenses.THRESHOLD - 1e-9 and set(must.split()) <= window and not set(without.split()) & window:
+                best = max(best or (0, 0), (share, -i))
+        if best:
+            out.append((-best[1], label, round(best[0], 9)))
+    return sorted(out)
+
 
+@pytest.mark.parametrize("group", [licenses.GROUP_WORDS, 40])
+def test_license_containment_against_all_windows(spark, monkeypatch, group):
+    monkeypatch.setattr(licenses, "GROUP_WORDS", group)
     r = random.Random(7)
-    sets = licenses.template_words(licenses.TEMPLATES)
-    vocabulary = sorted({w for v in sets.values() for w in v}) + ["filler", "cc", "by"]
+    notices = [re.findall(licenses.WORD, t.translate(ASCII)) for _, t, _, _ in licenses.TEMPLATES]
+    vocabulary = sorted({w for v in notices for w in v}) + ["filler", "library"]
     texts = []
     for i in range(150):
-        t = list(r.choice(list(sets.values())))
-        block = [w for w in t if r.random() < 0.85] + r.sample(vocabulary, r.randrange(4))
-        r.shuffle(block)
-        texts.append((i, " ".join(block) + "\n" + " ".join(r.choices(vocabulary, k=8)), "s"))
+        block = [w for w in r.choice(notices) if r.random() < 0.9]
+        for _ in range(r.randrange(4)):
+            block.insert(r.randrange(len(block) + 1), r.choice(vocabulary))
+        if r.random() < 0.3:
+            r.shuffle(block)
+        words_ = r.choices(vocabulary, k=r.randrange(12)) + block + r.choices(vocabulary, k=r.randrange(12))
+        texts.append((i, "".join(w + r.choice([" ", "\n", ", ", "\n * "]) for w in words_), "s"))
     got = {x.doc_id: x.license for x in licenses.scan(messy(spark, texts, extra=False)).collect()}
+    hits = 0
     for i, t, _ in texts:
-        expected = sorted((n, k, round(len(set(line.split()) & set(v)) / len(v), 9)) for n, line in enumerate(t.split("\n")) for k, v in sets.items()
-                          if len(set(line.split()) & set(v)) >= licenses.THRESHOLD * len(v) - 1e-9)
-        assert sorted((b.line, b.label, round(b.containment, 9)) for b in got[i].blocks) == expected
+        expected = found_by_hand(t, licenses.TEMPLATES)
+        hits += len(expected)
+        assert sorted((b.word, b.label, round(b.containment, 9)) for b in got[i].blocks) == expected
+    assert hits > 80
+
+
+def test_wrapped_notices_and_neighbouring_licenses(spark):
+    notices = [(i, "# " + "\n# ".join(textwrap.wrap(t, 40)), label) for i, (label, t, _, _) in enumerate(licenses.TEMPLATES)]
+    other = {
+        "Licensed under CC BY 4.0.": {"cc-by", "cc-by-4.0"}, "Licensed under CC BY-SA 4.0.": {"cc-by", "cc-by-sa-4.0"},
+        "Creative Commons Attribution 4.0 International": {"cc-by-4.0"}, "Released under the BSD License.": {"bsd"},
+        "Creative Commons Attribution-NonCommercial 4.0 International": {"cc-by-nc-4.0"},
+        "This work is licensed under the GNU General Public License, version 2.": {"gpl", "gpl-2.0"},
+        "GNU Lesser General Public License, version 2.1.": {"gpl", "lgpl-2.1"},
+        "Released under the Artistic License.": set(), "a license was released by the mayor under the bridge " * 40: set(),
+        "the mit " + "word " * 9 + "license was released under": set()}
+    rows = notices + [(100 + i, t, "s") for i, t in enumerate(other)]
+    got = {x.doc_id: x.license for x in licenses.scan(messy(spark, rows)).collect()}
+    for i, _, label in notices:
+        assert set(filter(None, got[i].labels.split(","))) - {"cc-by", "gpl"} == {label}
+    for i, labels in enumerate(other.values()):
+        assert set(filter(None, got[100 + i].labels.split(","))) == labels
+    assert licenses.scan(messy(spark), templates=()).count() == len(MESSY)
+    with pytest.raises(ValueError):
+        licenses.parsed([("x", "some words", "other", "")])
