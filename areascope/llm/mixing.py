@@ -187,10 +187,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
                 'from_word', greatest(0L, b * {block_words} - start - e * source_size),
                 'to_word', least(size, (b + 1) * {block_words} - start - e * source_size, quota - start - e * source_size))))),
         x -> x.to_word > x.from_word)"""
-    placed = f"""transform(spans, x -> named_struct('epoch', x.epoch, 'block', x.block,
+    # a block beyond the last shard's range is nobody's, so what is taken follows from the tree
+    placed = f"""filter(transform(spans, x -> named_struct('epoch', x.epoch, 'block', x.block,
         'shard', aggregate(bounds, 0, (n, z) -> n + if(z <= (x.block % blocks * step + shift) % blocks, 1, 0)),
         'from_word', x.from_word, 'to_word', x.to_word,
-        'order_key', md5(concat_ws('|', '{salt}', doc_id, x.epoch, x.block))))"""
+        'order_key', md5(concat_ws('|', '{salt}', doc_id, x.epoch, x.block)))), x -> x.shard < {shards})"""
     out = out.withColumn("spans", F.expr(spans)).withColumn("spans", F.expr(placed))
     return out.select("row", "size", "source_size", "target",
                       F.expr("aggregate(spans, 0L, (t, x) -> t + x.to_word - x.from_word)").alias("taken"), "spans")

@@ -31,33 +31,81 @@ def op2(spark, sf_dir):
                          "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("home").alias("home_shard"))
 
 
-@register("op8_hypergeometric_mix", r"""
-WITH d AS (
-  SELECT doc_id, source,
+_OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rn, doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM s),
-l AS (SELECT *, 2.0 * source_size AS ceiling, 2.0 * source_size / weight AS lvl, 1.5 * sum(source_size) OVER () AS total FROM w),
-f AS (SELECT a.source, a.source_size, a.weight, a.ceiling, a.total,
-             (SELECT sum(least(b.ceiling, a.lvl * b.weight)) FROM l b) <= a.total AS filled FROM l a),
-t AS (SELECT source, source_size, CASE WHEN filled THEN ceiling
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
+l AS (SELECT *, [3.0, 1.0, 2.0][CAST(rank % 3 + 1 AS INT)] AS weight, 2.0 * source_size AS ceiling,
+             1.5 * sum(source_size) OVER () AS total FROM w),
+f AS (SELECT a.*, (SELECT sum(least(b.ceiling, a.ceiling / a.weight * b.weight)) FROM l b) <= a.total AS filled FROM l a),
+t AS (SELECT source, source_size, rank, CASE WHEN filled THEN ceiling
              ELSE (total - coalesce(sum(ceiling) FILTER (filled) OVER (), 0)) * weight / sum(weight) FILTER (NOT filled) OVER () END AS target
       FROM f),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, least(CAST(round(t.target) AS BIGINT), 2 * t.source_size) AS quota,
+g AS MATERIALIZED (SELECT *, least(CAST(round(target) AS BIGINT), 2 * source_size) AS quota,
+             CAST(ceil(least(CAST(round(target) AS BIGINT), 2 * source_size) / {block}) AS BIGINT) AS blocks,
+             CAST('0x' || substr(md5('mix|' || rank), 1, 8) AS BIGINT) AS shift FROM t),
+n0 AS (SELECT 0 AS lo, {shards} AS hi, rank, blocks AS n FROM g),{levels}
+e AS (SELECT rank, list(upto ORDER BY lo) AS bounds
+      FROM (SELECT rank, lo, CAST(sum(n) OVER (PARTITION BY rank ORDER BY lo) AS BIGINT) AS upto FROM n{depth}) GROUP BY rank),
+p AS (SELECT d.rn, d.doc_id, d.size, g.source_size, g.target, g.quota, g.blocks, g.shift, e.bounds,
              CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, CAST(round(target, 3) AS DOUBLE) AS target,
-       CAST(greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)) AS BIGINT) AS taken
-FROM p""")
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN e ON g.rank = e.rank),
+r AS (SELECT *, unnest([start, start + source_size]) AS pos FROM p),
+b AS (SELECT *, unnest(range(pos // {block}, (pos + size) // {block} + 1)) AS block FROM r),
+c AS (SELECT rn, greatest(0, least(size, (block + 1) * {block} - pos, quota - pos) - greatest(0, block * {block} - pos)) AS words,
+             len(list_filter(bounds, lambda z: z <= (block % greatest(blocks, 1) * ({prime} % greatest(blocks, 1)) + shift) % greatest(blocks, 1))) AS shard
+      FROM b),
+k AS (SELECT rn, shard, sum(words) AS words FROM c WHERE words > 0 AND shard < {shards} GROUP BY rn, shard),
+m AS (SELECT rn, map_from_entries(list((shard, CAST(words AS BIGINT)))) AS got, CAST(sum(words) AS BIGINT) AS taken FROM k GROUP BY rn)
+SELECT doc_id, size, source_size, CAST(round(target, 3) AS DOUBLE) AS target, coalesce(taken, 0) AS taken,
+       array_to_string(list_transform(range(0, {shards}), lambda i: CASE WHEN got IS NULL THEN 0 ELSE coalesce(got[i], 0) END), ',') AS shard_words
+FROM p LEFT JOIN m USING (rn)"""
+
+#: One level of the splitting tree: the draws of every node, source by source, then the two halves.
+_OP8_LEVEL = r"""
+d{i}(lo, hi, rank, x, room, rest) AS (
+  SELECT lo, hi, -1, 0, CAST((hi - lo) // 2 * (any_value(t) // {shards})
+         + least((lo + hi) // 2, any_value(t) % {shards}) - least(lo, any_value(t) % {shards}) AS BIGINT), CAST(sum(n) AS BIGINT)
+  FROM n{i}, (SELECT CAST(sum(blocks) AS BIGINT) AS t FROM g) GROUP BY lo, hi
+  UNION ALL
+  SELECT lo, hi, rank, x, room - x, rest FROM (
+    SELECT lo, hi, rank, room, o AS rest, least(a, room, low + len(list_filter(range(low, least(a, room)), lambda k: list_sum(list_transform(
+        range(low, k + 1), lambda j: exp(lgamma(a + 1) - lgamma(j + 1) - lgamma(a - j + 1) + lgamma(o + 1) - lgamma(room - j + 1)
+          - lgamma(o - room + j + 1) - lgamma(a + o + 1) + lgamma(room + 1) + lgamma(a + o - room + 1)))) < u))) AS x
+    FROM (SELECT v.lo, v.hi, q.rank, v.room, q.n AS a, v.rest - q.n AS o, greatest(0, v.room - (v.rest - q.n)) AS low,
+                 (CAST('0x' || substr(md5('mix|' || v.lo || '|' || v.hi || '|' || q.rank), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656 AS u
+          FROM d{i} v JOIN n{i} q ON q.lo = v.lo AND q.hi = v.hi AND q.rank = v.rank + 1))),
+n{j} AS MATERIALIZED (
+  SELECT lo, (lo + hi) // 2 AS hi, rank, x AS n FROM d{i} WHERE rank >= 0
+  UNION ALL
+  SELECT (q.lo + q.hi) // 2, q.hi, q.rank, q.n - v.x FROM n{i} q JOIN d{i} v ON q.lo = v.lo AND q.hi = v.hi AND q.rank = v.rank),"""
+
+
+def _op8_sql() -> str:
+    """The mix with its tree in SQL: the draws by log-gamma sums instead of the operator's ratios of neighbouring terms."""
+    from areascope.llm import mixing
+
+    depth = mixing.SHARDS.bit_length() - 1
+    out = _OP8_SQL.replace("{levels}", "".join(_OP8_LEVEL.replace("{i}", str(i)).replace("{j}", str(i + 1)) for i in range(depth)))
+    for name, value in (("depth", depth), ("shards", mixing.SHARDS), ("block", mixing.BLOCK_WORDS), ("prime", mixing.STEP_PRIME)):
+        out = out.replace("{" + name + "}", str(value))
+    return out
+
+
+@register("op8_hypergeometric_mix", _op8_sql())
 def op8(spark, sf_dir):
-    """Words that the mix takes of each document."""
+    """Words that the mix takes of each document, and how many of them each output shard gets."""
     from areascope.llm import mixing
 
     plan = mixing.mix(read(spark, sf_dir, "documents"), carry=["doc_id"])
-    return plan.select("row.doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    shard_words = F.expr(f"""array_join(transform(sequence(0, {mixing.SHARDS - 1}), s ->
+        aggregate(filter(spans, x -> x.shard = s), 0L, (t, x) -> t + x.to_word - x.from_word)), ',')""")
+    return plan.select("row.doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", shard_words.alias("shard_words"))
 
 
 _OP10_SQL = r"""

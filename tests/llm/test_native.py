@@ -130,6 +130,24 @@ def test_splitting_tree_is_hypergeometric(spark):
     assert abs(mean - 20) < 0.1 and 2.2 < deviation < 4.8
 
 
+def test_mix_follows_its_tree(spark, monkeypatch):
+    query = entry.queries()["op8_hypergeometric_mix"]
+    digest = {r.doc_id: (r.taken, r.shard_words) for r in query(spark, SF).collect()}
+    assert all(sum(map(int, w.split(","))) == n for n, w in digest.values())
+    assert sum(w != "0,0,0,0,0,0,0," + str(n) for n, w in digest.values()) > 100
+    real = mixing.splitting_tree
+    # all blocks on the last shard: the same words, elsewhere
+    monkeypatch.setattr(mixing, "splitting_tree", lambda sources, *a: real(sources, *a).select(
+        "rank", F.expr("transform(bounds, (z, i) -> if(i < 7, 0L, z))").alias("bounds")))
+    assert {r.doc_id: (r.taken, r.shard_words) for r in query(spark, SF).collect()} == {
+        d: (n, "0,0,0,0,0,0,0," + str(n)) for d, (n, _) in digest.items()}
+    # a tree that loses its last shard: fewer words
+    monkeypatch.setattr(mixing, "splitting_tree", lambda sources, *a: real(sources, *a).select(
+        "rank", F.expr("transform(bounds, (z, i) -> if(i < 7, z, bounds[6]))").alias("bounds")))
+    lost = {r.doc_id: (r.taken, r.shard_words) for r in query(spark, SF).collect()}
+    assert lost == {d: (n - int(w.split(",")[7]), w.rsplit(",", 1)[0] + ",0") for d, (n, w) in digest.items()}
+
+
 def test_licenses_messy(spark):
     got = {r.doc_id: r.license for r in licenses.scan(messy(spark)).collect()}
     assert licenses.scan(messy(spark)).count() == len(MESSY) and licenses.scan(messy(spark, [])).count() == 0
