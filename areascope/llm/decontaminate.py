@@ -9,11 +9,11 @@ against the window around the hit that any occurrence through this piece must li
 the budget is missed, and none beyond it is reported.
 
 The items are a stated query set: their number of characters is checked, and a set of more than
-``MAX_CHARS`` is scanned for in several blocks of at most about that size, each broadcast in turn. Documents are
-neither joined nor shuffled. A hit costs time in proportion to the item, not to the document.
+``MAX_CHARS`` is scanned for in several blocks of at most about that size; what a block found is stored before the next
+one is broadcast. Documents are neither joined nor shuffled. A hit costs time in proportion to the item, not to the document.
 
-Defined results: null or empty texts hold nothing; items with a null or empty text are never found; ``scan`` has no name for an item with a null id
-and leaves it out, ``clean_documents`` looks at texts alone; equal items are all found; repeated documents are judged alike; an empty table gives an empty result, an empty benchmark leaves all
+Defined results: null or empty texts hold nothing; items with a null or empty text are never found; an item with a null id is reported under that id;
+``clean_documents`` looks at texts alone; equal items are all found, rows equal in id and text once; repeated documents are judged alike; an empty table gives an empty result, an empty benchmark leaves all
 documents clean; all other columns are carried.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from areascope.llm.common import map_arrow, numbered, renamed
 from areascope.llm.textops import as_bytes
+from areascope.session import materialize
 
 #: One edit is allowed for each so many characters; characters of items in one scan.
 CHARS_PER_ERROR, MAX_CHARS = 25, 4_000_000
@@ -125,7 +126,7 @@ def occurrences(text: str, patterns: list[Pattern], pieces) -> list[tuple[Any, i
                 best = (p.item_id, lo + end - length, lo + end, distance)
         if best:
             found.append(best)
-    return sorted(found)
+    return sorted(found, key=lambda h: (h[0] is None, h))
 
 
 def _scan(docs: DataFrame, text: str, items: list[tuple[Any, str]], hit: T.StructType, column: str) -> DataFrame:
@@ -147,13 +148,13 @@ def _scan(docs: DataFrame, text: str, items: list[tuple[Any, str]], hit: T.Struc
 
 def item_blocks(items: DataFrame, item_id: str, text: str, max_chars: int = MAX_CHARS) -> Iterator[list[tuple[Any, str]]]:
     """The items in normal form, in blocks of about ``max_chars`` characters, one block on the driver at a time."""
-    rows = items.select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null")
+    rows = items.select(F.col(item_id).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = 1 if total <= max_chars else -(-2 * total // max_chars)
     for b in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
         block = [(r["i"], normal_form(r["t"].encode())) for r in part.collect()]
-        yield sorted({x for x in block if x[1]})
+        yield sorted({x for x in block if x[1]}, key=lambda x: (x[0] is None, x))
 
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -161,7 +162,8 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     hit = hit_type(items.schema[item_id].dataType)
     out = numbered(docs).withColumn("benchmark_hits", F.array().cast(T.ArrayType(hit)))
     at = docs.columns.index(text)
-    for block in item_blocks(items, item_id, item_text):
+    for n, block in enumerate(item_blocks(items, item_id, item_text)):
+        out = materialize(out, "scanned") if n else out      # tasks never hold two blocks
         out = _scan(out, f"c{at}", block, hit, "more").withColumn("benchmark_hits", F.concat("benchmark_hits", "more")).drop("more")
     return renamed(out, docs.columns, "benchmark_hits")
 
