@@ -169,14 +169,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
           max_per_class: int = MAX_PER_CLASS) -> Model | None:
     """The model of a bounded sample of labelled rows."""
     rows = labels.where(F.col(quality).isin(0, 1) & F.col(doc_id).isNotNull()) \
-        .select(F.col(doc_id).alias("_id"), F.col(quality).cast("int").alias("_y"), hashed_key("label", doc_id).alias("_k"))
+        .select(F.col(doc_id).alias("_id"), F.col(quality).cast("int").alias("_y"), hashed_key("label", doc_id).alias("_k")) \
+        .groupBy("_id", "_k").agg(F.min("_y").alias("_y"))     # one label for each id
     counts = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
     sample = [rows.where(F.col("_y") == y).orderBy("_k", "_id").limit(max_per_class) for y in (0, 1)]
-    # at most 2 * max_per_class rows of an id and a label
+    # at most 2 * max_per_class rows: an id has one label and one text
     picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text")).where("_text is not null") \
-        .join(F.broadcast(sample[0].unionAll(sample[1])), "_id")
+        .join(F.broadcast(sample[0].unionAll(sample[1])), "_id").groupBy("_id", "_k", "_y").agg(F.min("_text").alias("_text"))
     share = counts[1] / (counts[0] + counts[1])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
