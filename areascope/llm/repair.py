@@ -204,6 +204,8 @@ def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]
 def write_shard(documents: list[np.ndarray]) -> bytes:
     """The file of a shard, from the ids of each document with the end id."""
     ids = np.concatenate(documents)
+    if len(ids) and int(ids.max()) >= TERMINALS:
+        raise ValueError(f"ids from {TERMINALS} on are symbols of the grammar")
     symbols, rules = compress(ids)
     if len(rules) > (1 << 24) - TERMINALS:
         raise ValueError("a symbol of the file has 24 bits")
@@ -263,12 +265,24 @@ class Shard:
         return out
 
     def decode_range(self, k: int, start: int, stop: int) -> np.ndarray:
-        """Ids start..stop of the k-th document, expanding only the symbols that overlap the range."""
+        """Ids start..stop of the k-th document. Walks down the rules by their expansion lengths and expands only what
+        overlaps the range: no more than twice as many symbols as ids wanted, and two paths down the grammar."""
         s = self.symbols[self.first[k]:self.first[k + 1] if k + 1 < self.n_documents else None]
         end = np.cumsum(self._lengths(s))
         lo, hi = np.searchsorted(end, start, side="right"), np.searchsorted(end, stop, side="left") + 1
         before = int(end[lo - 1]) if lo else 0
-        return self._expand(s[lo:hi])[start - before:max(start, stop) - before]
+        skip, left, ids = start - before, max(0, stop - start), []
+        todo = s[lo:hi][::-1].tolist()
+        while todo and len(ids) < left:
+            symbol = todo.pop()
+            size = int(self.rule_lengths[symbol - TERMINALS]) if symbol >= TERMINALS else 1
+            if skip >= size:
+                skip -= size
+            elif symbol >= TERMINALS:
+                todo += self.rules[symbol - TERMINALS][::-1].tolist()
+            else:
+                ids.append(symbol)
+        return np.array(ids, np.uint32)
 
 
 def write_table(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> None:
