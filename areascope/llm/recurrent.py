@@ -329,8 +329,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text"), (held % HELD_OUT == 0).alias("held"),
                        (F.floor(held / HELD_OUT) % ROUNDS).cast("int").alias("round"))
     counts = materialize(token_counts(rows), "counts")
-    frequent = counts.orderBy(F.desc("c"), "word").limit(HEAVY).toArrow()          # HEAVY rows at most
-    words, numbers = frequent.column("word").to_pylist(), frequent.column("c").to_pylist()
+    words, numbers = heavy_words(counts)
     if END not in words:   # known to all tasks besides the limit
         for r in counts.where(F.col("word") == F.lit(bytearray(END))).collect():
             words.append(END)
@@ -360,6 +359,25 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         (F.col("logs_model") + logs).alias("score"))
 
 
+def heavy_words(counts: DataFrame) -> tuple[list[bytes], list[int]]:
+    """The most frequent words and their counts, the most frequent first: all whose count lies above a cut that leaves HEAVY at most, found by
+    a histogram of 64 steps an octave, and in any case those that can have a symbol of their own. No table is sorted in one task."""
+    step = F.floor(F.log2(F.col("c")) * 64)
+    total, cut = 0, None
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True):   # 64 * 63 rows at most
+        total += r["n"]
+        if total > HEAVY:
+            cut = r["s"]
+            break
+    above = counts if cut is None else counts.where(step > cut)
+    rows = {bytes(r["word"]): r["c"] for r in above.collect()}
+    own = min(SYMBOLS, HEAVY)
+    if cut is not None and len(rows) < own:
+        rows |= {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(own).collect()}
+    ranked = sorted(rows.items(), key=lambda x: (-x[1], x[0]))
+    return [w for w, _ in ranked], [c for _, c in ranked]
+
+
 def _train_round(rows: DataFrame, known, flat: np.ndarray, turn: int) -> np.ndarray:
     """The token-weighted mean of the parameters that the tasks reach on the round's documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
