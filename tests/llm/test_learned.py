@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from helpers import MESSY, SF, base_counts, messy, near_components, prose, words
 
 import __spark_entry__ as entry
@@ -78,6 +79,21 @@ def test_repair_round_trip_and_random_access():
         assert np.array_equal(shard.decode_range(k, lo, hi), d[lo:hi])
 
 
+def test_range_expands_only_what_it_overlaps(monkeypatch):
+    r = np.random.default_rng(8)
+    document = np.append(np.tile(r.integers(1, 50000, 3000), 40), 0).astype(np.uint32)
+    shard = repair.Shard(repair.write_shard([document]))
+    assert len(shard.rules) > 1000
+    monkeypatch.setattr(repair, "expansions", None)     # no table of all rules
+    for start, stop in ((0, 2), (60_000, 60_003), (119_999, 120_001), (7, 7), (9, 5), (0, len(document)), (120_000, 130_000)):
+        assert np.array_equal(shard.decode_range(0, start, stop), document[start:stop])
+
+
+def test_ids_of_a_larger_vocabulary_are_refused():
+    with pytest.raises(ValueError):
+        repair.write_shard([np.array([70_000, 70_001, 0], np.uint32)])
+
+
 def most_frequent_pair(symbols):
     """Places of the most frequent pair that do not overlap."""
     count, last = Counter(), {}

@@ -1,5 +1,6 @@
 """Sharding, mixing and the license scan."""
 
+import hashlib
 import random
 import re
 import textwrap
@@ -55,6 +56,37 @@ def test_ring_keeps_keys_at_home_that_have_room(spark):
         assert stays == min(n, 250)
 
 
+def test_ring_key_by_key(spark):
+    """Every key of the table walks the ring by itself: first all keys to their homes, then those refused one shard on, and so on."""
+    from bisect import bisect_left
+
+    shards = sharding.SHARDS
+    # two nodes may share a position: both are met, the smaller shard first
+    nodes = sorted((int(hashlib.md5(f"ring|{s}#{v}".encode()).hexdigest()[:4], 16), s) for s in range(shards) for v in range(sharding.VNODES))
+    docs = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
+    left = []
+    for d in docs:
+        key = hashlib.md5(f"ring|{d}".encode()).hexdigest()
+        first = bisect_left(nodes, (int(key[:4], 16), -1)) % len(nodes)
+        left.append(((first, key), d, list(dict.fromkeys(s for _, s in nodes[first:] + nodes[:first]))))
+    # ring order; the arc of the first node begins behind the last one
+    left.sort()
+    room = [len(docs) // shards + (s < len(docs) % shards) for s in range(shards)]
+    slot, expected = [0] * shards, {}
+    for k in range(shards):
+        still = []
+        for order, d, walk in left:
+            s = walk[k]
+            if slot[s] < room[s]:
+                expected[d] = (s, slot[s], walk[0])
+                slot[s] += 1
+            else:
+                still.append((order, d, walk))
+        left = still
+    got = {r.doc_id: (r.shard, r.slot, r.home_shard) for r in entry.queries()["op2_bounded_load_ring"](spark, SF).collect()}
+    assert not left and got == expected
+
+
 def test_write_shards(spark, tmp_path):
     sharding.write_shards(messy(spark, extra=False), str(tmp_path / "s"), shards=3)
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(MESSY)

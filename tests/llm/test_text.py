@@ -183,7 +183,7 @@ def test_decontamination_against_all_distances(spark, monkeypatch):
             s[at:at + r.randrange(2)] = r.choice([[], [r.choice(chars)]])
         rows.append((i, t[:70] + "".join(s) + t[70:], "s"))
     docs, bench = messy(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
-    normal = {i: decontaminate.normal_form((t or "").encode()) for i, t in items if i is not None}
+    normal = {i: decontaminate.normal_form((t or "").encode()) for i, t in items}
     for limit in (4_000_000, 200):   # one block of items, several blocks
         monkeypatch.setattr(decontaminate, "MAX_CHARS", limit)
         monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (limit,))
@@ -216,6 +216,9 @@ def test_decontamination_with_any_item_id(spark):
         assert [r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()] == [2]
     named = spark.createDataFrame([("mmlu/4", "lazy dog")], "item_id string, text string")
     assert {r.doc_id: [h.item_id for h in r.benchmark_hits] for r in decontaminate.scan(docs, named).collect()} == {1: [], 2: [], 3: ["mmlu/4"]}
+    # items without an id are reported too, after the others
+    named = spark.createDataFrame([("a", "lazy"), (None, "lazy dog"), (None, "dog"), (None, "dog")], "item_id string, text string")
+    assert {r.doc_id: [h.item_id for h in r.benchmark_hits] for r in decontaminate.scan(docs, named).collect()} == {1: [], 2: [], 3: ["a", None, None]}
 
 
 def removal(df):
