@@ -345,15 +345,16 @@ def repeated_word_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     keyed = _keyed(docs, doc_id, text)
     runs = _runs(keyed, window)
     repeated = runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    repeated = materialize(repeated, "repeated")     # an aggregate in the stage of the join would keep AQE from splitting a hot anchor
-    live = materialize(runs.join(repeated, "anchor"), "runs")
+    repeated = materialize(repeated, "repeated")     # an aggregate in the stage of a join would keep AQE from splitting hot keys
+    # merged, not broadcast: both tables grow with the documents, and rows of an anchor stay together, so that copies combine
+    live = materialize(runs.join(repeated.hint("merge"), "anchor"), "runs")
     strings, oversize = _references(live)
     spans = materialize(_spans(_strings(keyed, strings, window), window), "spans")
     if not oversize.isEmpty():
         windows = materialize(_windows(keyed, oversize, window), "windows")
         spans = spans.unionAll(materialize(_window_spans(windows, window), "spans"))
-    spans = spans.groupBy("content").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    hits = live.select("id", "text_hash", "first", "content").join(spans, "content")
+    spans = materialize(spans.groupBy("content").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    hits = live.select("id", "text_hash", "first", "content").join(spans.hint("merge"), "content")
     moved = hits.select("id", "text_hash", F.expr("transform(spans, s -> named_struct('lo', s.lo + first, 'hi', s.hi + first))").alias("spans"))
     return moved.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))     # copies of a row add nothing to a set
 
