@@ -204,9 +204,12 @@ def op7(spark, sf_dir):
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/areascope/warc-{uuid.uuid4().hex}"
     warc.write_archives(warc.classify(read(spark, sf_dir, "pages")), path)
-    records = warc.resolve(warc.read_archives(spark, path))
-    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
-                          F.sha1("payload").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    # length and digest are computed from the payloads as read, where they are read; revisits get those of their response
+    records = warc.read_archives(spark, path).withColumn("read_bytes", F.octet_length("payload").cast("long")) \
+        .withColumn("read_digest", F.sha1("payload")).drop("payload")
+    records = warc.resolve(records, ("read_bytes", "read_digest"))
+    return records.select("page_id", F.col("read_bytes").alias("payload_bytes"), F.col("read_digest").alias("payload_digest"),
+                          F.col("type").alias("record_type"), "refers_to")
 
 
 @register("op9_suffix_automata")

@@ -225,10 +225,46 @@ def test_warc(spark, tmp_path):
     assert kinds == [(0, "revisit", None), (1, "revisit", 5), (3, "revisit", 5), (12, "revisit", 13), (20, "revisit", 20)]
     raw = b"".join(gzip.open(f).read() for f in map(str, (tmp_path / "w").glob("part-*.gz")))
     assert raw.count(b"p" * 1200) == 1 and raw.startswith(b"WARC/1.1\r\n")
+    ids = [r.record_id for r in got]
+    assert len(set(ids)) == len(ids) and {r.refers_to_record for r in got} - {None} <= set(ids)
     warc.write_archives(warc.classify(df.limit(0)), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_rows_in_an_order_that_changes(spark, tmp_path):
+    """Equal pages behind a shuffle, whose rows come in another order for each reader: still one response for each payload."""
+    rows = [(i % 7, f"u{i % 3}", ("r%d" % (i % 5)) * 800) for i in range(420)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)
+    warc.write_archives(warc.classify(df), str(tmp_path / "o"))
+    got = warc.resolve(warc.read_archives(spark, str(tmp_path / "o"))).collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == sorted(rows)
+    top = {p: max(r[:2] for r in rows if r[2] == p) for p in {r[2] for r in rows}}
+    first = [r for r in got if r.type == "response"]
+    assert {bytes(r.payload).decode(): (r.page_id, r.url) for r in first} == top and len(first) == 5
+    assert all(r.refers_to == top[bytes(r.payload).decode()][0] for r in got if r.type == "revisit")
+
+
+def test_warc_payload_ends(tmp_path, spark):
+    """Payloads that begin and end with line ends or hold separators, one file for all of them."""
+    ends = ["", "\r\n", "\r\n\r\n", "\n", "\r", "\r\n\r"]
+    rows = [(i, f"u{i}", a + body + b) for i, (a, body, b) in
+            enumerate((a, body, b) for a in ends for body in ("", "x", "WARC/1.1\r\n\r\nx" * 200) for b in ends)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(warc.classify(df, min_bytes=10**9), str(tmp_path / "p"))
+    got = warc.read_archives(spark, str(tmp_path / "p")).collect()
+    assert sorted((r.page_id, r.url, bytes(r.payload).decode()) for r in got) == rows
+    assert len(list((tmp_path / "p").glob("part-*.gz"))) == 1
+
+
+def test_warc_broken_archives():
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nWARC-Target-URI: u\r\nX-Payload-Length: 3\r\nContent-Length: 3\r\n"
+    digest = b"WARC-Payload-Digest: sha1:" + hashlib.sha1(b"abc").hexdigest().encode()
+    assert next(warc.parse([head + digest, b"abc"]))[-1] == b"abc"
+    for pieces in ([head + digest, b"abd"], [head + digest, b"abcd"], [head + digest], [b"HTTP/1.1", b"abc"]):
+        with pytest.raises(ValueError):
+            list(warc.parse(pieces))
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = read(spark, SF, "documents")
     rows = [tuple(r) for r in docs.collect()]
