@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -305,6 +305,18 @@ def _window_spans(windows: DataFrame, window: int) -> DataFrame:
         F.col("part").alias("lo"), (F.col("part") + window).alias("hi"))).alias("spans"))
 
 
+def _merged(spans: Column) -> Column:
+    """Ranges that touch or overlap as one, in order: the single windows of a passage become the passage. A run has at most about
+    as many windows as a window has words, so a list is short."""
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))
+        return F.when((F.size(done) > 0) & (last["hi"] >= s["lo"]),
+                      F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<struct<lo: int, hi: int>>)"), add)
+
+
 def _spans(strings: DataFrame, window: int) -> DataFrame:
     """(content, spans): the repeated word ranges of every reference string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +365,8 @@ def repeated_word_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     if not oversize.isEmpty():
         windows = materialize(_windows(keyed, oversize, window), "windows")
         spans = spans.unionAll(materialize(_window_spans(windows, window), "spans"))
-    spans = materialize(spans.groupBy("content").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    spans = spans.groupBy("content").agg(_merged(F.flatten(F.collect_list("spans"))).alias("spans"))
+    spans = materialize(spans, "spans")
     hits = live.select("id", "text_hash", "first", "content").join(spans.hint("merge"), "content")
     moved = hits.select("id", "text_hash", F.expr("transform(spans, s -> named_struct('lo', s.lo + first, 'hi', s.hi + first))").alias("spans"))
     return moved.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))     # copies of a row add nothing to a set
