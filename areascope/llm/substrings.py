@@ -296,13 +296,14 @@ def _windows(keyed: DataFrame, strings: DataFrame, window: int) -> DataFrame:
 
 
 def _window_spans(windows: DataFrame, window: int) -> DataFrame:
-    """(content, spans): the windows that occur at least twice, as one span each. A row that comes again, as its document is
-    repeated, is no other place: it has the same content and part."""
+    """(content, spans): the windows that occur at least twice, as one span each; a run that occurs again as a whole is one span by
+    itself. A row that comes again, as its document is repeated, is no other place: it has the same content and part."""
     ends = [f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("content", "part")]
     repeated = windows.groupBy("window").agg(F.max("copies").alias("most"), *ends) \
         .where("most > 1 or min_content <> max_content or min_part <> max_part").select("window")
-    return windows.join(repeated, "window").select("content", F.array(F.struct(
-        F.col("part").alias("lo"), (F.col("part") + window).alias("hi"))).alias("spans"))
+    whole = windows.where("copies > 1").groupBy("content").agg(F.min("part").alias("lo"), (F.max("part") + window).alias("hi"))
+    single = windows.where("copies = 1").join(repeated, "window").select("content", F.col("part").alias("lo"), (F.col("part") + window).alias("hi"))
+    return whole.unionAll(single).select("content", F.array(F.struct("lo", "hi")).alias("spans"))
 
 
 def _merged(spans: Column) -> Column:
@@ -314,7 +315,7 @@ def _merged(spans: Column) -> Column:
         return F.when((F.size(done) > 0) & (last["hi"] >= s["lo"]),
                       F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<struct<lo: int, hi: int>>)"), add)
+    return F.aggregate(F.sort_array(spans), F.expr("cast(array() as array<struct<lo: int, hi: int>>)"), add)
 
 
 def _spans(strings: DataFrame, window: int) -> DataFrame:
@@ -369,7 +370,7 @@ def repeated_word_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     spans = materialize(spans, "spans")
     hits = live.select("id", "text_hash", "first", "content").join(spans.hint("merge"), "content")
     moved = hits.select("id", "text_hash", F.expr("transform(spans, s -> named_struct('lo', s.lo + first, 'hi', s.hi + first))").alias("spans"))
-    return moved.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"))     # copies of a row add nothing to a set
+    return moved.groupBy("id", "text_hash").agg(F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"))     # copies of a row add nothing to a set
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
