@@ -362,10 +362,14 @@ def repeated_word_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     # merged, not broadcast: both tables grow with the documents, and rows of an anchor stay together, so that copies combine
     live = materialize(runs.join(repeated.hint("merge"), "anchor"), "runs")
     strings, oversize = _references(live)
-    spans = materialize(_spans(_strings(keyed, strings, window), window), "spans")
-    if not oversize.isEmpty():
-        windows = materialize(_windows(keyed, oversize, window), "windows")
-        spans = spans.unionAll(materialize(_window_spans(windows, window), "spans"))
+    spans = _spans(_strings(keyed, strings, window), window)
+    if oversize.isEmpty():
+        spans = materialize(spans, "spans")
+    else:
+        # one job for both, in which the texts are shuffled once: the two joins read the same exchange
+        both = materialize(spans.unionByName(_windows(keyed, oversize, window), allowMissingColumns=True), "spans")
+        windows = both.where("window is not null").select("window", "content", "part", "copies")
+        spans = both.where("window is null").select("content", "spans").unionAll(_window_spans(windows, window))
     spans = spans.groupBy("content").agg(_merged(F.flatten(F.collect_list("spans"))).alias("spans"))
     spans = materialize(spans, "spans")
     hits = live.select("id", "text_hash", "first", "content").join(spans.hint("merge"), "content")
