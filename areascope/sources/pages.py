@@ -48,30 +48,29 @@ def follow_chains(requests: DataFrame, pages: DataFrame, first: str = "first_url
     ``complete`` (the chain ends at a page without a link), and ``missing`` (the address that did not land; null for a complete
     chain and for one that runs in a circle).
 
-    The chain is not walked: links are doubled. A round joins every open link with the link of its target, so a chain
-    of n pages takes log2(n) rounds of one join over all pages, each stored, however many requests there are. An address that
+    The chain is not walked: hops are doubled. Landed addresses get numbers first, so a round joins numbers and no text: every open
+    page takes over the hop of the page it points to, and one whose hop came to the end is only looked up from then on. A chain
+    of n pages takes log2(n) rounds of one join, each stored, however many requests there are. An address that
     landed more than once counts once (its smallest link; null, the end, only if no copy has one).
     """
-    links = pages.where(F.col(url).isNotNull()).groupBy(F.col(url).alias("at")).agg(F.min(link).alias("to"))
-    links = materialize(links.select("at", "to", F.lit(1).cast("long").alias("steps"), F.col("to").isNull().alias("ended")), "links")
-    # one for the doublings that a chain over all pages needs
-    rounds = max(1, links.count()).bit_length() + 1
-    for _ in range(rounds):
-        onward = links.select(F.col("at").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("ended").alias("ended2"))
-        joined = links.join(onward, "to", "left")
-        moved = F.col("steps2").isNotNull() & ~F.col("ended")
-        step = store(joined.select(
-            "at", F.when(moved, F.col("to2")).otherwise(F.col("to")).alias("to"),
-            (F.col("steps") + F.when(moved, F.col("steps2")).otherwise(F.lit(0))).alias("steps"),
-            F.when(moved, F.col("ended2")).otherwise(F.col("ended")).alias("ended"),
-            moved.alias("moved")), "links", metrics={"moved": F.count(F.when(F.col("moved"), F.lit(1)))})
-        links = step.df.drop("moved")
-        if not step.metrics.get("moved"):
+    links = pages.where(F.col(url).isNotNull()).groupBy(F.col(url).alias("_at")).agg(F.min(link).alias("_to"))
+    links = materialize(links.withColumn("_id", F.monotonically_increasing_id()), "links")
+    targets = links.select(F.col("_at").alias("_to"), F.col("_id").alias("_hop"))
+    numbered = links.join(targets, "_to", "left")
+    # _hop: the landed page that _steps pages lead to, or null; then _last is the last landed page of the chain
+    open_pages = {"open": F.count("_hop"), "all": F.count(F.lit(1))}
+    step = store(numbered.select("_id", "_hop", F.lit(1).cast("long").alias("_steps"), F.when(F.col("_hop").isNull(), F.col("_id")).alias("_last")),
+                 "hops", metrics=open_pages)
+    # one for the doublings that a chain over all pages needs; a chain that is open after all of them is a circle
+    for _ in range(max(1, step.metrics.get("all") or 0).bit_length() + 1):
+        if not step.metrics.get("open"):
             break
-    landed = links.select(F.col("at").alias("_landed"))
-    # a target that landed and still is one after all rounds lies on a circle
-    ends = links.join(landed, links["to"] == landed["_landed"], "left").select(
-        F.col("at").alias(first), F.col("steps"), "ended", F.when(F.col("_landed").isNull(), F.col("to")).alias("_missing"))
-    out = requests.join(ends, first, "left")
-    return out.select(*requests.columns, F.when(F.col("ended").isNull(), F.lit(0).cast("long")).when(F.col("ended") | F.col("_missing").isNotNull(), F.col("steps")).alias("pages_reached"),
-                      F.coalesce("ended", F.lit(False)).alias("complete"), F.when(F.col("ended").isNull(), F.col(first)).otherwise(F.col("_missing")).alias("missing"))
+        onward = step.df.select(F.col("_id").alias("_hop"), F.col("_hop").alias("_hop2"), F.col("_steps").alias("_steps2"), F.col("_last").alias("_last2"))
+        moved = step.df.where(F.col("_hop").isNotNull()).join(onward, "_hop").select(
+            "_id", F.col("_hop2").alias("_hop"), (F.col("_steps") + F.col("_steps2")).alias("_steps"), F.col("_last2").alias("_last"))
+        step = store(moved.unionByName(step.df.where(F.col("_hop").isNull())), "hops", metrics=open_pages)
+    heads = requests.join(links.select(F.col("_at").alias(first), "_id"), first, "left").join(step.df.select("_id", "_steps", "_last"), "_id", "left")
+    out = heads.join(links.select(F.col("_id").alias("_last"), F.col("_to").alias("_missing")), "_last", "left")
+    landed, closed = F.col("_id").isNotNull(), F.col("_last").isNotNull()
+    return out.select(*requests.columns, F.when(~landed, F.lit(0).cast("long")).when(closed, F.col("_steps")).alias("pages_reached"),
+                      (closed & F.col("_missing").isNull()).alias("complete"), F.when(~landed, F.col(first)).otherwise(F.col("_missing")).alias("missing"))
