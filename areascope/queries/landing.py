@@ -147,7 +147,7 @@ def q_relanded_pages(spark, sf_dir):
     tagged = docs.withColumn("document", F.regexp_replace("document", '"elements":\\[', F.concat(
         F.lit('"elements":[{"lat":'), F.col("page").cast("string"), F.lit('.0,"tags":{"note":"page"}},'))))
     for _ in range(2):
-        tagged.select("document").write.mode("append").text(f"{root}/landing")
+        LD.write_pages(tagged, f"{root}/landing")
         stream = amenity_page_stream(spark, f"{root}/landing", multi_line=False, once=True)
         append_to_table(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/table").groupBy("city", "state_name").agg(F.count(F.lit(1)).alias("amenities"))
