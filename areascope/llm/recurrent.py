@@ -26,18 +26,19 @@ all counts are 0 and the network is untrained; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
+import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areascope.llm.common import map_arrow, text_or_empty
-from areascope.llm.textops import as_bytes
 from areascope.session import materialize
 
 #: Held-out divisor, words that every task knows, smoothing.
@@ -50,13 +51,8 @@ ROUNDS, BATCH, WINDOW, RATE = 3, 256, 24, 0.005
 SCORE_BATCH, SCORE_WINDOW = 512, 64
 #: The end token (white space, so no word) and its symbol.
 END, END_SYMBOL = b"\n", 0
-COUNTER_LIMIT = 400_000
-
-
-def tokens(text: bytes) -> list[bytes]:
-    words = text.lower().split()
-    words.append(END)
-    return words
+#: Bytes of texts whose words are told apart at once (or one longer text).
+READ_BYTES = 16_000_000
 
 
 def bucket(word: bytes) -> int:
@@ -64,6 +60,33 @@ def bucket(word: bytes) -> int:
     return 1 + zlib.crc32(word[-2:]) % BUCKETS
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in parts of about ``READ_BYTES``."""
+    reach = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cut = [0, *np.flatnonzero(np.diff(reach // READ_BYTES, prepend=0)).tolist(), len(texts)]
+    for lo, hi in zip(cut, cut[1:]):
+        if lo < hi:
+            yield texts.slice(lo, hi - lo)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts (bytes), the number of the distinct word at each place, and the words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    blank = pc.equal(pc.binary_length(flat), 0)      # white space at an end of a text leaves an empty part there
+    if blank.true_count:
+        blank = blank.to_numpy(zero_copy_only=False)
+        lengths -= np.bincount(np.repeat(np.arange(len(texts)), lengths)[blank], minlength=len(texts))
+        flat = flat.filter(pa.array(~blank))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy(), lengths
+
+
+def _row_max(x: np.ndarray) -> np.ndarray:
+    """The largest of each row as a column, taken across the transposed array: short rows one by one are slow."""
+    return np.ascontiguousarray(x.T).max(axis=0)[:, None]
+
+
 class Network:
     """A gated recurrent unit with a class-factored softmax. ``order`` places symbols in classes."""
 
@@ -114,7 +137,7 @@ class Network:
         and returns those of the states."""
         c = self.cls[y]
         logits = states @ self.p["c"] + self.p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
+        logits -= _row_max(logits)
         e = np.exp(logits)
         total = e.sum(axis=1)
         rows = np.arange(len(y))
@@ -126,25 +149,27 @@ class Network:
             gradient["c"] += states.T @ d
             gradient["bc"] += d.sum(axis=0)
             back = d @ self.p["c"].T
-        order = np.argsort(c, kind="stable")
-        ends = np.cumsum(np.bincount(c, minlength=CLASSES))
-        for k, (lo, hi) in enumerate(zip(ends - np.bincount(c, minlength=CLASSES), ends)):
-            if lo == hi:
-                continue
-            at = order[lo:hi]
-            s = states[at]
-            inner = s @ self.p["o"][k] + self.p["bo"][k]
-            inner -= inner.max(axis=1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(axis=1)
-            m, rows = self.member[y[at]], np.arange(len(at))
-            out[at] += inner[rows, m] - np.log(total)
-            if gradient is not None:
-                d = e / total[:, None]
-                d[rows, m] -= 1
-                gradient["o"][k] += s.T @ d
-                gradient["bo"][k] += d.sum(axis=0)
-                back[at] += d @ self.p["o"][k].T
+        # rows by class: those of a class are one range
+        order = np.argsort(c.astype(np.uint8), kind="stable")
+        ends = np.cumsum(np.bincount(c, minlength=CLASSES)).tolist()
+        ranges = [(k, slice(lo, hi)) for k, (lo, hi) in enumerate(zip([0, *ends], ends)) if lo < hi]
+        states, m = states[order], self.member[y[order]]
+        inner = np.empty((len(y), CLASSES), np.result_type(states, self.p["o"]))
+        for k, at in ranges:
+            np.add(states[at] @ self.p["o"][k], self.p["bo"][k], out=inner[at])
+        inner -= _row_max(inner)
+        e = np.exp(inner)
+        total = e.sum(axis=1)
+        out[order] += inner[rows, m] - np.log(total)
+        if gradient is not None:
+            d = e / total[:, None]
+            d[rows, m] -= 1
+            more = np.empty_like(back)
+            for k, at in ranges:
+                gradient["o"][k] += states[at].T @ d[at]
+                gradient["bo"][k] += d[at].sum(axis=0)
+                more[at] = d[at] @ self.p["o"][k].T
+            back[order] += more
         return out, back
 
     def train_window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict]:
@@ -158,21 +183,21 @@ class Network:
         down[flat] = back
         down = down.reshape(states.shape)
         u_t = self.p["u"].T
+        before, r, z, n, hn = (np.stack(k) for k in zip(*kept))
+        not_r, not_z, slope, change = 1 - r, 1 - z, 1 - n * n, before - n
         da = np.empty((*x.shape, 3 * STATE), np.float32)
         du = np.empty_like(da)
         dh = np.zeros_like(h)
         for t in range(len(x) - 1, -1, -1):
-            prev, r, z, n, hn = kept[t]
             dh = dh + down[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (prev - n) * z * (1 - z)
-            da[t, :, :STATE] = du[t, :, :STATE] = dn * hn * r * (1 - r)
-            da[t, :, STATE:2 * STATE] = du[t, :, STATE:2 * STATE] = dz
+            dn = dh * not_z[t] * slope[t]
+            du[t, :, :STATE] = dn * hn[t] * r[t] * not_r[t]
+            du[t, :, STATE:2 * STATE] = dh * change[t] * z[t] * not_z[t]
+            du[t, :, 2 * STATE:] = dn * r[t]
             da[t, :, 2 * STATE:] = dn
-            du[t, :, 2 * STATE:] = dn * r
-            dh = dh * z + du[t] @ u_t
-        before = np.stack([k[0] for k in kept]).reshape(-1, STATE)
-        grad["u"] += before.T @ du.reshape(-1, 3 * STATE)
+            dh = dh * z[t] + du[t] @ u_t
+        da[:, :, :2 * STATE] = du[:, :, :2 * STATE]
+        grad["u"] += before.reshape(-1, STATE).T @ du.reshape(-1, 3 * STATE)
         symbols = x.ravel()
         order = np.argsort(symbols, kind="stable")
         edge = np.flatnonzero(np.diff(symbols[order], prepend=-1))
@@ -254,22 +279,14 @@ def log10_probabilities(net: Network, documents: list[np.ndarray]) -> np.ndarray
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """(word, c): counts of all training tokens; a task sends each word about once."""
+    """(word, c): counts of all training tokens; a task sends each word once for each ``READ_BYTES``, combined before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-
         for batch in batches:
-            for text, held in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                if not held:
-                    counts.update(tokens(text))
-                    if len(counts) > COUNTER_LIMIT:
-                        yield out()
-                        counts = Counter()
-        if counts:
-            yield out()
+            for texts in slices(batch.column(1).filter(pc.invert(batch.column(2)))):
+                words, at, _ = words_of(texts)
+                words = pa.concat_arrays([words, pa.array([END], pa.large_binary())]).cast(pa.binary())
+                counts = np.append(np.bincount(at, minlength=len(words) - 1), len(texts))
+                yield pa.RecordBatch.from_arrays([words, pa.array(counts.astype(np.int64))], ["word", "c"])
 
     return map_arrow(rows, run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -279,13 +296,13 @@ class Lexicon:
 
     def __init__(self, words: list[bytes], counts: list[int], totals: dict[int, tuple[int, int]]):
         n_own = SYMBOLS - 1 - BUCKETS
-        self.number = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.large_binary())
+        self.end = words.index(END) if END in words else -1
         own = [w for w in words if w != END][:n_own]
         symbol_of = {w: 1 + BUCKETS + i for i, w in enumerate(own)} | {END: END_SYMBOL}
         self.symbols = np.array([symbol_of.get(w) or (END_SYMBOL if w == END else bucket(w)) for w in words], np.uint8)
         c = np.array(counts, np.float64)
         self.log_count = np.log10(c + SMOOTH)
-        self.symbol = dict(zip(words, self.symbols.tolist()))
         # buckets hold what has no symbol of its own
         tokens_, kinds = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
         for b, (n, v) in totals.items():
@@ -301,25 +318,50 @@ class Lexicon:
                     self.frequency[bucket(w)] -= n
         self.log_bucket = np.log10(tokens_ + SMOOTH * (kinds + 1))
 
-    def read_symbols(self, text: bytes) -> np.ndarray:
-        """Symbols of a text."""
-        words = tokens(text)
-        get = self.symbol.get
-        symbols = np.array([get(w, -1) for w in words], np.int16)
-        for i in np.flatnonzero(symbols < 0).tolist():
-            symbols[i] = bucket(words[i]) if words[i] != END else END_SYMBOL
-        return symbols.astype(np.uint8)
-
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-        """Symbols of a text, numbers of its frequent words, and its other words with their counts."""
-        words = tokens(text)
-        get = self.number.get
-        number = np.array([get(w, -1) for w in words], np.int32)
+    def number(self, words: pa.Array) -> np.ndarray:
+        """The numbers of words, -1 for those that are not frequent."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+
+    def symbols_of(self, words: pa.Array, number: np.ndarray) -> np.ndarray:
+        """The symbols of words with their numbers."""
+        if not len(words):
+            return np.empty(0, np.uint8)
+        end = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        out = self.symbols[number] if len(self.symbols) else np.empty(len(words), np.uint8)
         other = np.flatnonzero(number < 0)
-        symbols = self.symbols[number] if len(self.symbols) else np.zeros(len(words), np.uint8)
-        rest = [words[i] for i in other.tolist()]
-        symbols[other] = [bucket(w) if w != END else END_SYMBOL for w in rest]
-        return symbols, number[number >= 0], Counter(rest)
+        last = data[end[other + 1] - 1].astype(np.int64)
+        first = np.where(np.diff(end)[other] > 1, data[end[other + 1] - 2], 256)   # 256: a word of one byte
+        out[other] = _buckets()[first, last]
+        return out
+
+    def read(self, texts: pa.Array) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of each text, and of all texts the distinct words, their numbers, the number of the distinct word at each place, and the
+        words of each text."""
+        words, at, lengths = words_of(texts)
+        number = self.number(words)
+        ends = np.cumsum(lengths + 1)
+        flat = np.full(len(at) + len(texts), END_SYMBOL, np.uint8)
+        flat[np.arange(len(at)) + np.repeat(np.arange(len(texts)), lengths)] = self.symbols_of(words, number)[at]
+        return [flat[lo:hi] for lo, hi in zip([0, *ends.tolist()], ends.tolist())], words, number, at, lengths
+
+
+@functools.cache
+def _buckets() -> np.ndarray:
+    """The symbols of words by their last byte but one (256: none) and their last byte."""
+    return np.array([[bucket(bytes((a, b)) if a < 256 else bytes((b,))) for b in range(256)] for a in range(257)], np.uint8)
+
+
+_LEXICONS: dict[str, Lexicon] = {}
+
+
+def lexicon_of(known) -> Lexicon:
+    """The lexicon of a name and a broadcast in this Python worker, which may run many tasks; only the last one is kept."""
+    name, value = known
+    if name not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[name] = Lexicon(*value.value)
+    return _LEXICONS[name]
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -339,7 +381,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         .agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()             # one row for each bucket
     n_train, n_kinds = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
     totals = {r["b"]: (r["n"], r["v"]) for r in sums if r["b"] != END_SYMBOL}
-    known = spark.sparkContext.broadcast((words, numbers, totals))
+    known = uuid.uuid4().hex, spark.sparkContext.broadcast((words, numbers, totals))
     net = Network(Lexicon(words, numbers, totals).frequency)
     if n_train:
         for turn in range(ROUNDS):
@@ -381,16 +423,17 @@ def heavy_words(counts: DataFrame) -> tuple[list[bytes], list[int]]:
 def _train_round(rows: DataFrame, known, flat: np.ndarray, turn: int) -> np.ndarray:
     """The token-weighted mean of the parameters that the tasks reach on the round's documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(*known.value)
+        lexicon = lexicon_of(known)
         net = Network(lexicon.frequency)
         net.load(flat)
         adam, seen, held, size = Adam(net), 0, [], 0
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                held.append(lexicon.read_symbols(text))
-                size += len(held[-1])
-                if size > 1_000_000:
-                    seen, held, size = seen + train(net, held, adam), [], 0
+            for texts in slices(batch.column(0)):
+                for symbols in lexicon.read(texts)[0]:
+                    held.append(symbols)
+                    size += len(symbols)
+                    if size > 1_000_000:
+                        seen, held, size = seen + train(net, held, adam), [], 0
         if held:
             seen += train(net, held, adam)
         if seen:
@@ -414,48 +457,41 @@ def _train_round(rows: DataFrame, known, flat: np.ndarray, turn: int) -> np.ndar
 def _score_rows(rows: DataFrame, known, flat: np.ndarray) -> DataFrame:
     """A row for each document: what its frequent words and the network give, and its other words."""
     kind = rows.schema["id"].dataType.simpleString()
-    names = ["key", "id", "held", "n_tokens", "known", "logs_heavy", "logs_model", "words", "times"]
+    names_out = ["key", "id", "held", "n_tokens", "known", "logs_heavy", "logs_model", "words", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lexicon = Lexicon(*known.value)
+        lexicon = lexicon_of(known)
         net = Network(lexicon.frequency)
         net.load(flat)
         key = TaskContext.get().partitionId() << 33
-        unseen_end = math.log10(SMOOTH)
+        end_log = lexicon.log_count[lexicon.end] if lexicon.end >= 0 else math.log10(SMOOTH)   # no training document: the end token has no count
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            sizes = np.cumsum([len(t) for t in texts])
-            cut = [0, *np.flatnonzero(np.diff(sizes // 16_000_000, prepend=0)).tolist(), len(texts)] if len(texts) else [0]
-            for lo, hi in zip(cut, cut[1:]):
-                if lo == hi:
-                    continue
-                symbols, n_known, heavy, model, words, times = [], [], [], [], [], []
-                for t in texts[lo:hi]:
-                    s, number, rest = lexicon.read(t)
-                    if END in rest:   # no training document: the end token has no count
-                        del rest[END]
-                        end_log = unseen_end
-                    else:
-                        end_log = 0.0
-                    logs = lexicon.log_count[number].sum() + end_log
-                    # of a word with a symbol of its own, or the end, the network's probability is all
-                    open_ = (s > 0) & (s <= BUCKETS)
-                    mine = number[(lexicon.symbols[number] > 0) & (lexicon.symbols[number] <= BUCKETS)] if len(number) else number
-                    symbols.append(s)
-                    n_known.append(len(number))
-                    heavy.append(logs)
-                    model.append(lexicon.log_count[mine].sum() - lexicon.log_bucket[s[open_]].sum())
-                    words.append(list(rest))
-                    times.append(list(rest.values()))
-                model = np.array(model) + log10_probabilities(net, symbols)
-                n = hi - lo
+            lo = 0
+            for texts in slices(batch.column(1)):
+                n = len(texts)
+                symbols, names, number, at, lengths = lexicon.read(texts)
+                doc = np.repeat(np.arange(n), lengths)
+                found = number >= 0
+                log_count = np.zeros(len(names))
+                log_count[found] = lexicon.log_count[number[found]]
+                # of a word with a symbol of its own, or the end, the network's probability is all
+                symbol = lexicon.symbols_of(names, number)
+                open_ = (symbol > 0) & (symbol <= BUCKETS)
+                share = np.where(open_, log_count - lexicon.log_bucket[symbol], 0.0)
+                # the other words of each text with their counts
+                rest = np.flatnonzero(~found[at])
+                pair, times = np.unique(doc[rest] * max(len(names), 1) + at[rest], return_counts=True)
+                reach = np.searchsorted(pair, np.arange(n + 1) * max(len(names), 1)).astype(np.int32)
+                words = names.take(pa.array(pair % max(len(names), 1))).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(key, key + n)), batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array([len(s) for s in symbols], pa.int64()),
-                     pa.array(n_known, pa.int64()), pa.array(heavy, pa.float64()), pa.array(model, pa.float64()),
-                     pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))], names)
-                key += n
+                    [pa.array(np.arange(key, key + n)), batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(lengths + 1),
+                     pa.array(np.bincount(doc, found[at], n).astype(np.int64) + (lexicon.end >= 0)),
+                     pa.array(np.bincount(doc, log_count[at], n) + end_log),
+                     pa.array(np.bincount(doc, share[at], n) + log10_probabilities(net, symbols)),
+                     pa.ListArray.from_arrays(reach, words), pa.ListArray.from_arrays(reach, pa.array(times.astype(np.int32)))], names_out)
+                key, lo = key + n, lo + n
 
     return map_arrow(rows.select("id", "text", "held"), run,
                      f"key bigint, id {kind}, held boolean, n_tokens bigint, known bigint, logs_heavy double, logs_model double,"

@@ -162,6 +162,32 @@ def test_end_token_is_known_besides_the_limit(spark, monkeypatch):
     assert starts == [sum(not r.held_out for r in got)]
 
 
+def test_distinct_words_are_looked_up_once(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["The cat  the\tCAT\u00e9 ", "", " ", "x\x1cy z\x0bz", "\u00c9t\u00c9 the dog ran " * 40, "a" * 70]
+    every = [words(t, True) for t in texts]
+    counts = Counter(w.encode() for ws in every for w in ws)
+    own = [b"the", b"\n", b"cat", b"z"]
+    totals = {}
+    for w, n in counts.items():
+        a, b = totals.get(recurrent.bucket(w), (0, 0))
+        totals[recurrent.bucket(w)] = (a + n, b + 1)
+    lexicon = recurrent.Lexicon(own, [counts[w] or len(texts) for w in own], totals)
+    asked, number = [], lexicon.number
+    monkeypatch.setattr(lexicon, "number", lambda w: asked.extend(w.to_pylist()) or number(w))
+    for kind in (pa.string(), pa.large_string()):
+        asked.clear()
+        symbols, names, numbers, at, lengths = lexicon.read(pa.array(["skipped", *texts], kind)[1:])
+        assert sorted(asked) == sorted(counts)     # 240 places, each distinct word once
+        assert [names[i].as_py() for i in at.tolist()] == [w.encode() for ws in every for w in ws] and lengths.tolist() == [len(ws) for ws in every]
+        symbol = {w: 1 + recurrent.BUCKETS + i for i, w in enumerate(w for w in own if w != b"\n")}
+        assert [s.tolist() for s in symbols] == [[symbol.get(w.encode(), recurrent.bucket(w.encode())) for w in ws] + [recurrent.END_SYMBOL] for ws in every]
+    monkeypatch.setattr(recurrent, "READ_BYTES", 10)
+    column = pa.array(["skipped", *texts])[1:]
+    assert pa.concat_arrays(list(recurrent.slices(column))).equals(column)
+
+
 def network():
     net = recurrent.Network(np.random.default_rng(0).integers(1, 100, recurrent.SYMBOLS).astype(float))
     rng = np.random.default_rng(1)
