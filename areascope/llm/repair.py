@@ -2,8 +2,8 @@
 
 Tokenising. Whole texts are encoded by a public tokenizer (its file's path is a parameter) without special tokens, and an end id
 follows each document. The pre-tokenizer begins a new piece at a space that stands alone between other characters, and merges stay in a piece,
-so a text without runs of white space is encoded word by word (with the leading space): the library encodes a word when it is new,
-and a bounded table has the ids of the others. Other texts go to the library whole. The ids equal those of the whole text (tested).
+so a text without runs of white space is encoded word by word (with the leading space): many texts are split at once, each of their distinct
+words is looked up once, the library encodes it when it is new, and a bounded table has the ids of the others. Other texts go to the library whole. The ids equal those of the whole text (tested).
 
 Re-Pair. Documents in ascending id order are packed to shards of about ``SHARD_IDS`` ids. In each shard
 the most frequent pairs of neighbouring ids are replaced by new ids (nonterminals), again and again, until no pair occurs ``MIN_COUNT``
@@ -25,24 +25,26 @@ their text hash; an empty table gives an empty result; other columns are not sto
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areascope.llm.common import map_arrow, text_or_empty
-from areascope.llm.textops import as_bytes
+from areascope.llm.textops import as_bytes, chunks
 
 #: Ids of a shard, fewest occurrences of a replaced pair, pairs replaced in a round.
 SHARD_IDS, MIN_COUNT, PAIRS = 1 << 20, 16, 8192
-#: The id after each document; ids from here on are nonterminals; words of a table generation; words learned in one text.
-END_ID, TERMINALS, TABLE, WORDS_AT_ONCE = 0, 1 << 16, 500_000, 200
+#: The id after each document; ids from here on are nonterminals; words of the table; words learned in one text;
+#: bytes of texts encoded at once (or one longer text).
+END_ID, TERMINALS, TABLE, WORDS_AT_ONCE, TEXT_BYTES = 0, 1 << 16, 1_500_000, 200, 16 << 20
 MAGIC = b"RPR1"
 #: A space next to white space (in a wider sense than the pre-tokenizer's).
 _RUN = re.compile(r" (?:(?=\s)|(?<=\s ))")
@@ -53,7 +55,7 @@ _HASHES = np.random.default_rng(1).integers(1, 2**63, 7, dtype=np.uint64) | np.u
 
 class Encoder:
     """Encodes texts by a byte-level tokenizer file, with a bounded table of the ids of words with their
-    leading space. The table has two generations: words that are met again move to the younger one."""
+    leading space. The table is Arrow and numpy columns; when it is full, the words met longest ago leave it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,39 +66,89 @@ class Encoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-        self.table: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())
+        #: Ids of all words end to end; the number of ids, and the last turn, of each word.
+        self.ids, self.n, self.met, self.turn = np.empty(0, "<u4"), np.empty(0, np.int32), np.empty(0, np.int32), 0
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: pa.Array) -> None:
         """Encode new words, many in one text, and take the ids apart by their widths."""
-        parts = [words[lo:lo + WORDS_AT_ONCE] for lo in range(0, len(words), WORDS_AT_ONCE)]
-        got = self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
-        for part, one in zip(parts, got):
-            ids = np.array(one.ids, "<u4")
-            reach = np.cumsum(self.width[ids])
-            ends = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)) + 1)   # each word and its space
+        wide = np.diff(_offsets(words)) + 1   # each word and its space
+        words_ = words.to_pylist()
+        starts = range(0, len(words_), WORDS_AT_ONCE)
+        got = self.tokenizer.encode_batch_fast([" " + " ".join(words_[lo:lo + WORDS_AT_ONCE]) for lo in starts], add_special_tokens=False)
+        ids, n = [self.ids], [self.n]
+        for lo, one in zip(starts, got):
+            ids.append(np.array(one.ids, "<u4"))
+            reach = np.cumsum(self.width[ids[-1]])
+            ends = np.cumsum(wide[lo:lo + WORDS_AT_ONCE])
             last = np.searchsorted(reach, ends)
             if not np.array_equal(reach[np.minimum(last, len(reach) - 1)], ends):
                 raise ValueError("the tokenizer is not byte-level: ids do not end where words do")
-            cut = (4 * (last + 1)).tolist()
-            data = ids.tobytes()
-            self.table.update(zip(part, (data[x:y] for x, y in zip([0, *cut], cut))))
+            n.append(np.diff(last, prepend=-1).astype(np.int32))
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids, self.n = np.concatenate(ids), np.concatenate(n)
+        self.met = np.concatenate((self.met, np.full(len(words), self.turn, np.int32)))
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Leave only the words at these places in the table."""
+        self.ids = _laid_out(self.ids, (np.cumsum(self.n) - self.n)[at], self.n[at])
+        self.words, self.n, self.met = self.words.take(pa.array(at)), self.n[at], self.met[at]
+
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words with their leading space, end to end, and the number of ids of each word. Each distinct word is looked up once."""
+        coded = words.dictionary_encode()
+        names = coded.dictionary
+        self.turn += 1
+        place = _places(names, self.words)
+        new = int((place < 0).sum())
+        self.met[place[place >= 0]] = self.turn
+        if len(self.words) + new > TABLE and len(self.words):
+            self._keep(np.flatnonzero((self.met > np.median(self.met)) | (self.met == self.turn)))
+            place = _places(names, self.words)
+        if new:
+            unknown = place < 0
+            place[unknown] = len(self.words) + np.arange(new)
+            self._learn(names.filter(pa.array(unknown)))
+        place = place[coded.indices.to_numpy()]
+        n = self.n[place]
+        return _laid_out(self.ids, (np.cumsum(self.n, dtype=np.int64) - self.n)[place], n), n
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        words = [None if t[:1].isspace() or t[-1:].isspace() or _RUN.search(t) else t.split(" ") for t in texts]
-        seen = set(chain.from_iterable(w for w in words if w))
-        if len(self.table) + len(seen) > TABLE:
-            self.table, self.older = {}, self.table
-        new = seen.difference(self.table)
-        again = new.intersection(self.older)
-        self.table.update(zip(again, map(self.older.__getitem__, again)))
-        self._learn(list(new - again))
+        plain = [not (t[:1].isspace() or t[-1:].isspace() or _RUN.search(t)) for t in texts]
         # what the table cannot give: whole texts, and the first word of a text, which has no space before it
-        asked = [t if w is None else w[0] for t, w in zip(texts, words)]
-        direct = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)]
-        get = self.table.__getitem__
-        return [np.frombuffer(d + b"".join(map(get, w[1:])) if w else d, "<u4") for d, w in zip(direct, words)]
+        cut = [t.find(" ") if p else -1 for t, p in zip(texts, plain)]
+        direct = self.tokenizer.encode_batch_fast([t if c < 0 else t[:c] for t, c in zip(texts, cut)], add_special_tokens=False)
+        out = [np.array(e.ids, "<u4") for e in direct]
+        more = [i for i, c in enumerate(cut) if c >= 0]
+        if more:
+            words = pc.split_pattern(pa.array([texts[i][cut[i] + 1:] for i in more], pa.large_string()), " ")
+            ids, n = self._word_ids(words.flatten())
+            reach = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[words.offsets.to_numpy()].tolist()
+            for i, x, y in zip(more, reach, reach[1:]):
+                out[i] = np.concatenate((out[i], ids[x:y]))
+        return out
+
+
+def _offsets(words: pa.Array) -> np.ndarray:
+    """Where each word of the large type begins, and the last one ends, in bytes."""
+    return np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+
+
+def _places(names: pa.Array, words: pa.Array) -> np.ndarray:
+    """Where each name is among the words, -1 if nowhere."""
+    return pc.fill_null(pc.index_in(names, value_set=words), -1).to_numpy().astype(np.int64)
+
+
+def _laid_out(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranges of ``n`` ids from ``start`` on, end to end."""
+    end = np.cumsum(n, dtype=np.int64)
+    out = np.empty(end[-1] if len(end) else 0, ids.dtype)
+    for lo in range(0, len(n), 1 << 17):   # the places of a part at a time, as they take more room than the ids
+        at = slice(lo, lo + (1 << 17))
+        first, last = end[lo] - n[lo], end[at][-1]
+        out[first:last] = ids[np.repeat(start[at] - (end[at] - n[at]) + first, n[at]) + np.arange(last - first)]
+    return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -104,6 +156,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The encoder of this Python worker, which may run many tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # a task has one core
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -196,9 +249,7 @@ def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """The ids of symbols, by the table of ``expansions``."""
     ids, start, length = table
-    n = length[symbols]
-    end = np.cumsum(n)
-    return ids[np.repeat(start[symbols] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+    return _laid_out(ids, start[symbols], length[symbols])
 
 
 def write_shard(documents: list[np.ndarray]) -> bytes:
@@ -307,8 +358,8 @@ def write_table(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_i
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for lo in range(0, len(texts), 256):
-                for i, got in zip(names[lo:lo + 256], encode([t.decode("utf-8", "replace") for t in texts[lo:lo + 256]])):
+            for lo, hi in chunks(texts, TEXT_BYTES):
+                for i, got in zip(names[lo:hi], encode([t.decode("utf-8", "replace") for t in texts[lo:hi]])):
                     if held and size + len(got) + 1 > shard_ids:
                         yield flush()
                         held, ids, size, shard = [], [], 0, shard + 1

@@ -59,6 +59,22 @@ def test_word_table_gives_the_ids_of_whole_texts():
         assert [*ids.tolist(), 0] == encode(t), repr(t)
 
 
+def test_word_table_is_bounded_and_asks_for_a_word_once(monkeypatch):
+    encoder = repair.Encoder(TOKENIZER)
+    asked, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda w: asked.extend(w.to_pylist()) or learn(w))
+    texts = ["start " + prose(("table", i), 60) for i in range(30)]
+    for lo in range(0, 30, 5):
+        for t, ids in zip(texts[lo:lo + 5], encoder.encode(texts[lo:lo + 5])):
+            assert [*ids.tolist(), 0] == encode(t)
+    assert sorted(asked) == sorted({w for t in texts for w in t.split(" ")[1:]})
+    monkeypatch.setattr(repair, "TABLE", 80)
+    small = repair.Encoder(TOKENIZER)
+    for i in [*range(30), *range(30)]:   # words leave the table and come back
+        assert [*small.encode([texts[i]])[0].tolist(), 0] == encode(texts[i])
+        assert len(small.words) == len(small.n) == len(small.met) <= 80 + 60 and len(small.ids) == small.n.sum()
+
+
 def test_repair_round_trip_and_random_access():
     r = np.random.default_rng(3)
     phrase = r.integers(0, 50000, 40)
