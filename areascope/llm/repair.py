@@ -2,8 +2,10 @@
 
 Tokenising. Whole texts are encoded by a public tokenizer (its file's path is a parameter) without special tokens, and an end id
 follows each document. The pre-tokenizer begins a new piece at a space that stands alone between other characters, and merges stay in a piece,
-so a text without runs of white space is encoded word by word (with the leading space): many texts are split at once, each of their distinct
-words is looked up once, the library encodes it when it is new, and a bounded table has the ids of the others. Other texts go to the library whole. The ids equal those of the whole text (tested).
+so a text without runs of white space is encoded word by word (with the leading space). A piece also begins at a mark after an ASCII letter or digit
+and at a single line feed between visible ASCII characters, so words are cut there too. Many texts are cut at once, each of their distinct
+parts is looked up once, the library encodes it when it is new, and a bounded table has the ids of the others. Other texts, and those that hold
+an added token, go to the library whole. The ids equal those of the whole text (tested).
 
 Re-Pair. Documents in ascending id order are packed to shards of about ``SHARD_IDS`` ids. In each shard
 the most frequent pairs of neighbouring ids are replaced by new ids (nonterminals), again and again, until no pair occurs ``MIN_COUNT``
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areascope.llm.common import map_arrow, text_or_empty
-from areascope.llm.textops import as_bytes, chunks
+from areascope.llm.textops import as_bytes, chunks, mix64
 
 #: Ids of a shard, fewest occurrences of a replaced pair, pairs replaced in a round.
 SHARD_IDS, MIN_COUNT, PAIRS = 1 << 20, 16, 8192
@@ -48,14 +50,21 @@ END_ID, TERMINALS, TABLE, WORDS_AT_ONCE, TEXT_BYTES = 0, 1 << 16, 1_500_000, 200
 MAGIC = b"RPR1"
 #: A space next to white space (in a wider sense than the pre-tokenizer's).
 _RUN = re.compile(r" (?:(?=\s)|(?<=\s ))")
+#: Kinds of bytes: an ASCII letter or digit, another visible ASCII character, a line feed, a space, any other.
+_ALNUM, _MARK, _LINE, _SPACE, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = [_ALNUM if chr(i).isalnum() else _MARK for i in range(33, 127)]
+_KIND[10], _KIND[32] = _LINE, _SPACE
+#: Bytes of a word that are hashed.
+HASHED = 64
 #: Places of the pair table, and its hash multipliers by round.
 SLOT_BITS = 18
 _HASHES = np.random.default_rng(1).integers(1, 2**63, 7, dtype=np.uint64) | np.uint64(1)
 
 
 class Encoder:
-    """Encodes texts by a byte-level tokenizer file, with a bounded table of the ids of words with their
-    leading space. The table is Arrow and numpy columns; when it is full, the words met longest ago leave it."""
+    """Encodes texts by a byte-level tokenizer file, with a bounded table of the ids of words, with their
+    leading space, and of other parts of texts. The table is Arrow and numpy columns; when it is full, the words met longest ago leave it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,78 +75,149 @@ class Encoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = pa.array([], pa.large_string())
         #: Ids of all words end to end; the number of ids, and the last turn, of each word.
         self.ids, self.n, self.met, self.turn = np.empty(0, "<u4"), np.empty(0, np.int32), np.empty(0, np.int32), 0
-
-    def _learn(self, words: pa.Array) -> None:
-        """Encode new words, many in one text, and take the ids apart by their widths."""
-        wide = np.diff(_offsets(words)) + 1   # each word and its space
+        #: Hashes of all words in ascending order, and the place of each.
+        self.hashes, self.at = np.empty(0, np.uint64), np.empty(0, np.int32)
+
+    def _encoded(self, words: pa.Array, lead: str) -> None:
+        """Put the ids of new words in the table: many are encoded in one text, ``lead`` before each, and their ids taken apart by the widths."""
+        if not len(words):
+            return
+        wide = np.diff(_offsets(words)) + 1   # each word and its lead
         words_ = words.to_pylist()
         starts = range(0, len(words_), WORDS_AT_ONCE)
-        got = self.tokenizer.encode_batch_fast([" " + " ".join(words_[lo:lo + WORDS_AT_ONCE]) for lo in starts], add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast([lead + lead.join(words_[lo:lo + WORDS_AT_ONCE]) for lo in starts], add_special_tokens=False)
         ids, n = [self.ids], [self.n]
         for lo, one in zip(starts, got):
-            ids.append(np.array(one.ids, "<u4"))
-            reach = np.cumsum(self.width[ids[-1]])
+            some = np.array(one.ids, "<u4")
+            reach = np.cumsum(self.width[some])
             ends = np.cumsum(wide[lo:lo + WORDS_AT_ONCE])
             last = np.searchsorted(reach, ends)
-            if not np.array_equal(reach[np.minimum(last, len(reach) - 1)], ends):
+            first = np.concatenate(([0], last[:-1] + 1))
+            if not np.array_equal(reach[np.minimum(last, len(reach) - 1)], ends) or lead != " " and (self.width[some[first]] != 1).any():
                 raise ValueError("the tokenizer is not byte-level: ids do not end where words do")
-            n.append(np.diff(last, prepend=-1).astype(np.int32))
-        self.words = pa.concat_arrays([self.words, words])
+            ids.append(some if lead == " " else np.delete(some, first))
+            n.append((last - first + (lead == " ")).astype(np.int32))
         self.ids, self.n = np.concatenate(ids), np.concatenate(n)
         self.met = np.concatenate((self.met, np.full(len(words), self.turn, np.int32)))
 
+    def _learn(self, words: pa.Array) -> None:
+        """Encode new words that a space leads (not in ``words``)."""
+        self._encoded(words, " ")
+
+    def _learn_parts(self, parts: pa.Array) -> None:
+        """Encode new parts without a leading space. A line feed before each is a piece of its own."""
+        self._encoded(parts, "\n")
+
     def _keep(self, at: np.ndarray) -> None:
         """Leave only the words at these places in the table."""
         self.ids = _laid_out(self.ids, (np.cumsum(self.n) - self.n)[at], self.n[at])
         self.words, self.n, self.met = self.words.take(pa.array(at)), self.n[at], self.met[at]
+        place = np.full(len(self.at), -1, np.int32)
+        place[at] = np.arange(len(at))
+        moved = place[self.at]
+        self.hashes, self.at = self.hashes[moved >= 0], moved[moved >= 0]
+
+    def _places(self, names: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Where each name is in the table, -1 if nowhere. Words found by their hash are compared; those that share another word's are searched for."""
+        place = np.full(len(names), -1, np.int64)
+        if not len(self.words):
+            return place
+        order = np.argsort(hashes)
+        near = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
+        same = self.hashes[near] == hashes[order]
+        found, at = order[same], self.at[near[same]]
+        place[found] = at
+        wrong = found[pc.not_equal(names.take(pa.array(found)), self.words.take(pa.array(at))).to_numpy(zero_copy_only=False)]
+        if len(wrong):
+            place[wrong] = pc.fill_null(pc.index_in(names.take(pa.array(wrong)), value_set=self.words), -1).to_numpy()
+        return place
+
+    def _add(self, words: pa.Array, hashes: np.ndarray) -> None:
+        """Put new words at the end of the table."""
+        order = np.argsort(hashes)
+        where = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.at = np.insert(self.hashes, where, hashes[order]), np.insert(self.at, where, len(self.words) + order)
+        self.words = pa.concat_arrays([self.words, words])
 
-    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words with their leading space, end to end, and the number of ids of each word. Each distinct word is looked up once."""
-        coded = words.dictionary_encode()
+    def _part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts (words with their leading space among them), end to end, and the number of ids of each part. Each distinct part is
+        looked up once."""
+        coded = parts.dictionary_encode()
         names = coded.dictionary
+        hashes = _hashes(names)
         self.turn += 1
-        place = _places(names, self.words)
+        place = self._places(names, hashes)
         new = int((place < 0).sum())
         self.met[place[place >= 0]] = self.turn
         if len(self.words) + new > TABLE and len(self.words):
             self._keep(np.flatnonzero((self.met > np.median(self.met)) | (self.met == self.turn)))
-            place = _places(names, self.words)
+            place = self._places(names, hashes)
         if new:
-            unknown = place < 0
-            place[unknown] = len(self.words) + np.arange(new)
-            self._learn(names.filter(pa.array(unknown)))
+            unknown, spaced = place < 0, pc.starts_with(names, " ").to_numpy(zero_copy_only=False)
+            words, others = np.flatnonzero(unknown & spaced), np.flatnonzero(unknown & ~spaced)
+            place[words], place[others] = len(self.words) + np.arange(len(words)), len(self.words) + len(words) + np.arange(len(others))
+            self._learn(pc.utf8_slice_codeunits(names.take(pa.array(words)), 1))
+            self._learn_parts(names.take(pa.array(others)))
+            added = np.concatenate((words, others))
+            self._add(names.take(pa.array(added)), hashes[added])
         place = place[coded.indices.to_numpy()]
         n = self.n[place]
         return _laid_out(self.ids, (np.cumsum(self.n, dtype=np.int64) - self.n)[place], n), n
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        plain = [not (t[:1].isspace() or t[-1:].isspace() or _RUN.search(t)) for t in texts]
-        # what the table cannot give: whole texts, and the first word of a text, which has no space before it
-        cut = [t.find(" ") if p else -1 for t, p in zip(texts, plain)]
-        direct = self.tokenizer.encode_batch_fast([t if c < 0 else t[:c] for t, c in zip(texts, cut)], add_special_tokens=False)
-        out = [np.array(e.ids, "<u4") for e in direct]
-        more = [i for i, c in enumerate(cut) if c >= 0]
-        if more:
-            words = pc.split_pattern(pa.array([texts[i][cut[i] + 1:] for i in more], pa.large_string()), " ")
-            ids, n = self._word_ids(words.flatten())
-            reach = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[words.offsets.to_numpy()].tolist()
-            for i, x, y in zip(more, reach, reach[1:]):
-                out[i] = np.concatenate((out[i], ids[x:y]))
+        plain = [bool(t) and not (t[0].isspace() or t[-1].isspace() or _RUN.search(t) or any(a in t for a in self.added)) for t in texts]
+        out = [np.empty(0, "<u4")] * len(texts)
+        whole = [i for i, p in enumerate(plain) if not p and texts[i]]
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<u4")
+        if any(plain):
+            cut = [t.encode() for t, p in zip(texts, plain) if p]
+            start, parts = _parts(cut)
+            ids, n = self._part_ids(parts)
+            reach = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[start].tolist()
+            for i, x, y in zip((i for i, p in enumerate(plain) if p), reach, reach[1:]):
+                out[i] = ids[x:y]
         return out
 
 
+def _parts(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """Texts cut where the pre-tokenizer surely begins a piece: the number of each text's first part (and of all parts), and the parts end to end."""
+    data = b"".join(texts)
+    kind = _KIND[np.frombuffer(data, np.uint8)]
+    cut = np.zeros(len(kind) + 1, bool)
+    cut[:-1] = kind == _SPACE
+    cut[1:-1] |= (kind[:-1] == _ALNUM) & (kind[1:] == _MARK)
+    line = np.flatnonzero(kind[1:-1] == _LINE) + 1
+    cut[line[(kind[line - 1] <= _MARK) & (kind[line + 1] <= _MARK)]] = True
+    at = np.cumsum([0, *map(len, texts)])
+    cut[at] = True
+    at_cut = np.flatnonzero(cut)
+    parts = pa.LargeStringArray.from_buffers(len(at_cut) - 1, pa.py_buffer(at_cut), pa.py_buffer(data))
+    return np.searchsorted(at_cut, at), parts
+
+
 def _offsets(words: pa.Array) -> np.ndarray:
     """Where each word of the large type begins, and the last one ends, in bytes."""
     return np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
 
 
-def _places(names: pa.Array, words: pa.Array) -> np.ndarray:
-    """Where each name is among the words, -1 if nowhere."""
-    return pc.fill_null(pc.index_in(names, value_set=words), -1).to_numpy().astype(np.int64)
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of words of the large type: of their lengths and first ``HASHED`` bytes, eight at a time."""
+    at = _offsets(words)
+    start, n = at[:-1], np.diff(at)
+    data = np.concatenate((np.frombuffer(words.buffers()[2] or b"", np.uint8, at[-1]), np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out, todo = mix64(n.astype(np.uint64)), np.flatnonzero(n)
+    for k in range(0, HASHED, 8):
+        unused = np.maximum(k + 8 - n[todo], 0).astype(np.uint64) << np.uint64(3)   # bits after the word
+        out[todo] = mix64(out[todo] * _HASHES[0] + (eight[start[todo] + k] << unused))
+        todo = todo[n[todo] > k + 8]
+    return out
 
 
 def _laid_out(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -237,13 +317,22 @@ def expansion_lengths(rules: np.ndarray) -> np.ndarray:
 
 
 def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids that each symbol stands for, end to end, with the start and length of each symbol's."""
-    one = np.arange(TERMINALS, dtype=np.uint32)
-    parts: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        parts.append(np.concatenate([parts[x - TERMINALS] if x >= TERMINALS else one[x:x + 1] for x in (a, b)]))
-    length = np.concatenate((np.ones(TERMINALS, np.int32), np.fromiter(map(len, parts), np.int32, len(parts))))
-    return np.concatenate([one, *parts]), np.cumsum(length) - length, length
+    """The ids that each symbol stands for, end to end, with the start and length of each symbol's. Rules of one depth are expanded together."""
+    depth = [0] * len(rules)
+    for i, (a, b) in enumerate(rules.tolist()):
+        depth[i] = 1 + max(depth[a - TERMINALS] if a >= TERMINALS else 0, depth[b - TERMINALS] if b >= TERMINALS else 0)
+    order = np.argsort(depth, kind="stable")
+    length = np.concatenate((np.ones(TERMINALS, np.int64), expansion_lengths(rules)))
+    start = np.arange(len(length))
+    start[TERMINALS + order] = TERMINALS + np.cumsum(length[TERMINALS + order]) - length[TERMINALS + order]
+    ids = np.empty(length.sum(), np.uint32)
+    ids[:TERMINALS] = np.arange(TERMINALS)
+    for level in np.split(order, np.cumsum(np.bincount(depth, minlength=1))[:-1]):
+        if len(level):
+            both = rules[level].ravel()
+            first = start[TERMINALS + level[0]]
+            ids[first:first + length[both].sum()] = _laid_out(ids, start[both], length[both])
+    return ids, start, length
 
 
 def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:

@@ -75,6 +75,36 @@ def test_word_table_is_bounded_and_asks_for_a_word_once(monkeypatch):
         assert len(small.words) == len(small.n) == len(small.met) <= 80 + 60 and len(small.ids) == small.n.sum()
 
 
+def test_marks_and_line_feeds_are_cut_from_words(monkeypatch):
+    encoder = repair.Encoder(TOKENIZER)
+    asked, learn = [], encoder._part_ids
+    monkeypatch.setattr(encoder, "_part_ids", lambda p: asked.extend(p.to_pylist()) or learn(p))
+    texts = ["One river. The river, the river;\nriver 12: don't (river)", "river.\n\nAn\tend", "a <|endoftext|> river.", "Größe,\nñandú. x"]
+    for t, ids in zip(texts, encoder.encode(texts)):
+        assert [*ids.tolist(), 0] == encode(t)
+    assert asked == ["One", " river", ".", " The", " river", ",", " the", " river", ";", "\nriver", " 12", ":", " don", "'t", " (river", ")",
+                     "river", ".\n\nAn\tend", "Größe", ",\nñandú.", " x"]
+    assert sorted(encoder.words.to_pylist()) == sorted(set(asked))
+    r = random.Random(5)
+    chars = ["a", "B", "7", " ", " ", "\n", "\r", "\x1c", ".", ",", "'s", "'", "é", "\xa0", "日", "<|endoftext|>", "<|", "_", "\x7f"]
+    texts = ["".join(r.choice(chars) for _ in range(r.randrange(14))) for _ in range(5000)]
+    for t, ids in zip(texts, encoder.encode(texts)):
+        assert [*ids.tolist(), 0] == encode(t), repr(t)
+
+
+def test_words_of_equal_hashes_are_told_apart(monkeypatch):
+    texts = [f"{prose(('hash', i), 20)} {'x' * 70}{i} {'x' * 70}y" for i in range(20)]   # some differ after the hashed bytes only
+    for hashes in (repair._hashes, lambda words: np.zeros(len(words), np.uint64)):
+        monkeypatch.setattr(repair, "_hashes", hashes)
+        for size in (1_000_000, 30):
+            monkeypatch.setattr(repair, "TABLE", size)
+            encoder = repair.Encoder(TOKENIZER)
+            for i in [*range(20), *range(20)]:
+                assert [*encoder.encode([texts[i]])[0].tolist(), 0] == encode(texts[i])
+            words = encoder.words.to_pylist()
+            assert len(set(words)) == len(words) == len(encoder.hashes) == len(encoder.n) and sorted(encoder.at.tolist()) == list(range(len(words)))
+
+
 def test_repair_round_trip_and_random_access():
     r = np.random.default_rng(3)
     phrase = r.integers(0, 50000, 40)
