@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from areascope import oracle as O
 from areascope.queries.base import layers, register
-from areascope.session import ensure_checkpoint_dir, materialize
+from areascope.session import ensure_checkpoint_dir
 from areascope.sources import ingest as ING
 from areascope.sources import landed as LD
 from areascope.sources import pages as PG
@@ -142,12 +142,12 @@ FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN dim d ON l.l_suppk
 def q_relanded_pages(spark, sf_dir):
     """All pages land, are streamed into a table, and land again under other names before the stream goes on: the table stays the same."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/areascope/stream-{uuid.uuid4().hex}"
-    docs = materialize(LD.amenity_documents(spark, sf_dir, layers(spark, sf_dir).area_dimension), "pages")
+    docs = LD.amenity_documents(spark, sf_dir, layers(spark, sf_dir).area_dimension)
     # pages of equal content are one page: an element without a class tells orders apart
-    tagged = docs.withColumn("document", F.regexp_replace("document", '"elements":\\[', F.concat(
+    tagged = docs.withColumn("document", F.replace("document", F.lit('"elements":['), F.concat(
         F.lit('"elements":[{"lat":'), F.col("page").cast("string"), F.lit('.0,"tags":{"note":"page"}},'))))
-    for _ in range(2):
-        LD.write_pages(tagged, f"{root}/landing")
+    for again in (False, True):
+        LD.write_pages(spark.read.text(f"{root}/landing").withColumnRenamed("value", "document") if again else tagged, f"{root}/landing")
         stream = amenity_page_stream(spark, f"{root}/landing", multi_line=False, once=True)
         append_to_table(stream, f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/table").groupBy("city", "state_name").agg(F.count(F.lit(1)).alias("amenities"))
